@@ -35,7 +35,7 @@ def lower_ascii(c: Column) -> Column:
 
 
 def strip_ascii(c: Column) -> Column:
-    return F.regexp_replace(c, rf"^{SPACE}+|{SPACE}+$", "")
+    return F.btrim(c, F.lit(" \t\n\x0b\x0c\r"))
 
 
 def words(c: Column) -> Column:

@@ -40,14 +40,15 @@ def line_drops(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, text: st
         .where(F.char_length("key") >= min_chars)
         .select(F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(7), "key").alias("h2"), "doc_id", "text_hash", F.expr("pos div 64").cast("int").alias("word"), F.expr("shiftleft(1L, cast(pos % 64 as int))").alias("bit"))
     )
+    keyed = common.cut(keyed)  # a few numbers a line, read for the ranges' bounds, the firsts and the join
     ranged = keyed.repartitionByRange(common.parallel(docs), "h1", "h2", "doc_id").sortWithinPartitions("h1", "h2", F.desc("doc_id"), "word")
-    # One row per line, document and bitmap word; the range partitioning already puts them together.
-    held = ranged.groupBy("h1", "h2", "doc_id").agg(F.collect_list(F.struct("text_hash", "word", "bit")).alias("at"))
-    firsts = held.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n_docs"), F.max("doc_id").alias("first_doc")).where(F.col("n_docs") >= min_docs)
-    lost = held.join(firsts, ["h1", "h2"]).where(~F.col("doc_id").eqNullSafe(F.col("first_doc")))
+    # A row per line and document: the range partitioning already puts them together.
+    held = ranged.select("h1", "h2", "doc_id").groupBy("h1", "h2", "doc_id").agg(F.lit(1).alias("one"))
+    # Cut, so that the join below reads two plain exchanges and AQE can split the rows of a hot line.
+    firsts = common.cut(held.groupBy("h1", "h2").agg(F.count("one").alias("n_docs"), F.max("doc_id").alias("first_doc")).where(F.col("n_docs") >= min_docs))
+    lost = keyed.join(firsts, ["h1", "h2"]).where(~F.col("doc_id").eqNullSafe(F.col("first_doc")))
     return (
-        lost.select("doc_id", F.inline("at"))
-        .groupBy("doc_id", "text_hash", "word")
+        lost.groupBy("doc_id", "text_hash", "word")
         .agg(F.bit_or("bit").alias("mask"))
         .groupBy("doc_id", "text_hash")
         .agg(F.map_from_entries(F.collect_list(F.struct("word", "mask"))).alias("drop_words"))
