@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, line_dedup, mixing, quality_rules
+from . import exact_dedup, language_id, line_dedup, mixing, ngram_join, quality_rules, recompression_dedup, sentencepiece_codec, suffix_dedup, token_output
 
 QUERIES = {
     "op1_line_dedup": line_dedup.query,
+    "op2_ngram_join": ngram_join.query,
+    "op3_sentencepiece": sentencepiece_codec.query,
+    "op4_token_output": token_output.query,
     "op5_quality_rules": quality_rules.query,
+    "op6_suffix_dedup": suffix_dedup.query,
     "op7_exact_dedup": exact_dedup.query,
     "op8_mixing": mixing.query,
+    "op9_language_id": language_id.query,
+    "op10_recompression_dedup": recompression_dedup.query,
 }
 
 ORACLE_SQL = {
