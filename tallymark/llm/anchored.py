@@ -11,7 +11,7 @@ windows with one anchor form a run, and only runs travel:
    third of all documents hold leaves a task once.
 2. by anchor key: equal runs are settled (all but the first are repeats).  If an
    anchor has different runs, they may still share some windows: they stay open.
-3. by document: open runs are opened into windows, named by 128 bits of hash.
+3. by document: open runs are opened into windows, named by 96 bits of hash.
 4. by window name: all but the first are repeats.
 5. by document: repeats are laid over the text.
 
@@ -46,13 +46,18 @@ def rows(k, r, doc, at, n) -> np.ndarray:
     return out
 
 
+def six(x: np.ndarray) -> bytes:
+    """Six bytes of each value: keys are compared by 96 bits beside the part they are dealt to."""
+    return np.ascontiguousarray(np.ascontiguousarray(x).view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
+
+
 def packed(part: np.ndarray, keys: bool) -> bytes:
     """Columns one after another, documents and starts as differences, compressed."""
     head = len(part).to_bytes(4, "little") + bytes([keys])
     cols = [np.diff(part["doc"], prepend=0).tobytes(), part["at"].astype("<i8").view(np.uint8).reshape(-1, 8).T.tobytes(), part["n"].tobytes()]
     body = zstandard.ZstdCompressor(level=1).compress(b"".join(cols))
     if keys:
-        body = len(body).to_bytes(4, "little") + body + part["k"].tobytes() + part["r"].tobytes()
+        body = len(body).to_bytes(4, "little") + body + six(part["k"]) + six(part["r"])
     return head + body
 
 
@@ -62,8 +67,12 @@ def unpacked(data: bytes) -> np.ndarray:
     if keys:
         size = int.from_bytes(data[5:9], "little")
         at = 9 + size
-        out["k"] = np.frombuffer(data, "<u8", n, at)
-        out["r"] = np.frombuffer(data, "<u8", n, at + 8 * n)
+        for name in ("k", "r"):
+            wide = np.zeros((n, 8), np.uint8)
+            wide[:, :6] = np.frombuffer(data, np.uint8, 6 * n, at).reshape(n, 6)
+            out[name] = wide.view("<u8").ravel()
+            at += 6 * n
+        at = 9 + size
         body = data[9:at]
     else:
         body = data[5:]
@@ -118,7 +127,6 @@ def send_runs(items: np.ndarray, same_doc: bool, parts: int, groups: int) -> lis
     marks = left[hot & new].copy()
     marks["r"], marks["n"], marks["doc"], marks["at"] = 0, 0, 0, 0
     left["n"][hot] |= HOT_FLAG
-    left["n"] |= 0
     part = np.where(hot, mix(left["r"]), mix(left["k"])) % np.uint64(parts)
     marked = np.concatenate([left, marks])
     part = np.concatenate([part, mix(marks["k"]) % np.uint64(parts)]).astype(np.int32)
@@ -216,7 +224,7 @@ class Repeats:
             for d, b in zip(text["doc"].tolist(), text["body"]):
                 s, e = np.searchsorted(items["doc"], [d, d], "left")[0], np.searchsorted(items["doc"], d, "right")
                 if e > s:
-                    found.append(self.windows(bytes(b), items[s:e]))
+                    found.append(self.windows(zstandard.ZstdDecompressor().decompress(bytes(b)), items[s:e]))
                     found[-1]["doc"] = d
             out = [(SETTLED, k % parts, p) for k, v in kinds.items() for p in v[SETTLED]]
             if found:
@@ -237,13 +245,16 @@ class Repeats:
             out = []
             for d, b in zip(text["doc"].tolist(), text["body"]):
                 s, e = np.searchsorted(items["doc"], d, "left"), np.searchsorted(items["doc"], d, "right")
-                out.append((d, *finish(bytes(b), items[s:e])))
+                out.append((d, *finish(zstandard.ZstdDecompressor().decompress(bytes(b)), items[s:e])))
             return pd.DataFrame(out, columns=[c.strip().split(" ")[0] for c in f"doc long, {schema}".split(",")])
 
-        def group_column(doc: pd.Series) -> pd.Series:
-            return pd.Series(group_of(doc.to_numpy(np.int64), groups))
+        def grouped(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            pack = zstandard.ZstdCompressor(level=1)
+            for f in frames:
+                yield pd.DataFrame({"part": group_of(f["doc"].to_numpy(np.int64), groups), "doc": f["doc"], "body": [pack.compress(bytes(b)) for b in f["body"]]})
 
-        text = body.withColumn("part", F.pandas_udf(group_column, "int")("doc"))
+        # One exchange of the texts, compressed, serves steps 3 and 5.
+        text = body.mapInPandas(grouped, "part int, doc long, body binary")
         runs = body.mapInPandas(anchors, SCHEMA).repartition(n, "part").mapInPandas(by_anchor, SCHEMA)
         opened = text.groupBy("part").cogroup(runs.groupBy("part")).applyInPandas(open_up, SCHEMA)
         spans = opened.repartition(n, "part").mapInPandas(by_window, SCHEMA)

@@ -141,10 +141,13 @@ def counted(doc: np.ndarray, groups: int) -> Iterator[tuple[int, int, bytes]]:
         yield COUNT, p, pack(ids[rows], n[rows].astype("<i4"))
 
 
-def shared_hashes(docs: DataFrame) -> DataFrame:
-    """``doc, n, sig1, sig2, shared`` of every row: how many of its sent hashes other documents send too."""
+def shared_hashes(docs: DataFrame, whole: bool = False) -> DataFrame:
+    """``doc, n, sig1, sig2, shared`` of every row: how many of its sent hashes other documents send too.
+
+    ``whole`` sends whole sets, and then four fifths are needed.
+    """
     n_parts = common.parallel(docs)
-    parts, groups = 4 * n_parts, 4 * n_parts
+    parts, groups = 2 * n_parts, 2 * n_parts
     body = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NONE)).alias("doc"), F.coalesce(F.encode("text", "UTF-8"), F.lit(b"")).alias("body"))
 
     def flush(docs_of: list, hashes: list) -> pd.DataFrame:
@@ -175,7 +178,7 @@ def shared_hashes(docs: DataFrame) -> DataFrame:
             sig1, sig2 = prefix[begin + n] - prefix[begin], prefix2[begin + n] - prefix2[begin]
             part = (mix(ids.view("<u8")) % np.uint64(groups)).astype(np.int32)
             yield frame([(STAT, p, pack(ids[r], n[r].astype("<i8"), sig1[r].astype("<u8"), sig2[r].astype("<u8"))) for p, r in slices(part, ids)])
-            k = sent(n)
+            k = n if whole else sent(n)
             pick = np.repeat(begin - (np.cumsum(k) - k), k) + np.arange(k.sum())
             docs_of.append(np.repeat(ids, k))
             hashes.append(h[pick])
@@ -231,16 +234,20 @@ def shared_hashes(docs: DataFrame) -> DataFrame:
                 of = np.bincount(at, np.concatenate([c[1] for c in counts])).astype(np.int64)
                 where = np.minimum(np.searchsorted(ids, doc), len(ids) - 1)
                 total = np.where(ids[where] == doc, of[where], 0)
-            yield pd.DataFrame({"doc": doc, "n": n, "sig1": sig1.view("<i8"), "sig2": sig2.view("<i8"), "shared": total, "needed": needed(n)})
+            yield pd.DataFrame({"doc": doc, "n": n, "sig1": sig1.view("<i8"), "sig2": sig2.view("<i8"), "shared": total, "needed": n - missing(n) if whole else needed(n)})
 
     met = body.mapInPandas(send, SCHEMA).repartition(n_parts, "part").mapInPandas(meet, SCHEMA)
     return met.repartition(n_parts, "part").mapInPandas(add_up, "doc long, n long, sig1 long, sig2 long, shared long, needed long")
 
 
+def limited(ids: DataFrame) -> DataFrame:
+    """``ids`` (a few numbers a row), to be broadcast if there are few; beyond that a shuffled join."""
+    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+
+
 def whole_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """``node, n, hashes`` (sorted, as bytes) of the documents in ``wanted (doc, node)``."""
-    if wanted.count() <= BROADCAST_IDS:  # two numbers a document; beyond that a shuffled join
-        wanted = F.broadcast(wanted)
+    wanted = limited(wanted)
     body = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NONE)).alias("doc"), F.coalesce(F.encode("text", "UTF-8"), F.lit(b"")).alias("body"))
     chosen = body.join(wanted.select("doc").distinct(), "doc", "left_semi")
 
@@ -274,17 +281,17 @@ def merged(comp: DataFrame, links: DataFrame) -> DataFrame:
     here = comp.select(F.col("node").alias("a"), F.col("comp").alias("ca"))
     there = comp.select(F.col("node").alias("b"), F.col("comp").alias("cb"))
     edges = links.join(here, "a").join(there, "b").where("ca <> cb").select("ca", "cb")
-    edges = common.cut(edges.union(edges.select("cb", "ca")).distinct())
-    label = common.cut(edges.groupBy("ca").agg(F.least(F.col("ca"), F.min("cb")).alias("to")))
+    edges = common.written(edges.union(edges.select("cb", "ca")).distinct())
+    label = common.written(edges.groupBy("ca").agg(F.least(F.col("ca"), F.min("cb")).alias("to")))
     while True:
         near = edges.join(label.select(F.col("ca").alias("cb"), F.col("to").alias("to_b")), "cb").groupBy("ca").agg(F.min("to_b").alias("low"))
         step = label.join(near, "ca", "left").select("ca", F.least("to", "low").alias("to"), F.col("to").alias("was"))
         jump = step.select(F.col("ca").alias("to"), F.col("to").alias("far"))
-        step = common.cut(step.join(jump, "to", "left").select("ca", F.least("to", "far").alias("to"), "was"))
+        step = common.written(step.join(jump, "to", "left").select("ca", F.least("to", "far").alias("to"), "was"))
         label = step.select("ca", "to")
         if step.where("to <> was").isEmpty():
             break
-    return common.cut(comp.join(label.withColumnRenamed("ca", "comp"), "comp", "left").select("node", F.coalesce("to", "comp").alias("comp")))
+    return common.written(comp.join(label.withColumnRenamed("ca", "comp"), "comp", "left").select("node", F.coalesce("to", "comp").alias("comp")))
 
 
 def link_nodes(sets: DataFrame) -> DataFrame:
@@ -298,19 +305,19 @@ def link_nodes(sets: DataFrame) -> DataFrame:
 
     carried = sets.mapInPandas(smallest, "region long, node long, n long")
     held = carried.groupBy("region").agg(F.count(F.lit(1)).alias("held")).where("held > 1")
-    regions = common.cut(carried.join(held, "region"))
+    regions = common.written(carried.join(held, "region"))
     central = regions.groupBy("node").agg((F.sum("held") / F.max(F.expr("n div 5 + 1"))).alias("central"))
-    regions = common.cut(regions.join(central, "node").select("region", "node", "n", F.struct("central", "node", "n").alias("rank")))
-    comp = common.cut(sets.select("node", F.col("node").alias("comp")))
+    regions = common.written(regions.join(central, "node").select("region", "node", "n", F.struct("central", "node", "n").alias("rank")))
+    comp = common.written(sets.select("node", F.col("node").alias("comp")))
     last = None
     for turn in range(10**6):
         here = regions.join(comp, "node")
         if last is not None:
             here = here.join(last, "region").where(F.col("rank") < F.col("last")).drop("last")
         # What is left of a region: nodes that were no pivot yet; one component needs no more.
-        left = common.cut(here)
+        left = common.written(here)
         pivots = left.groupBy("region").agg(F.max("rank").alias("pivot"), F.max_by("comp", "rank").alias("pivot_comp"), F.min("comp").alias("c1"), F.max("comp").alias("c2"), F.count(F.lit(1)).alias("size"))
-        pivots = common.cut(pivots.where("c1 <> c2").drop("c1", "c2"))
+        pivots = common.written(pivots.where("c1 <> c2").drop("c1", "c2"))
         if pivots.isEmpty():
             return comp
         near = F.expr("5 * least(n, pivot.n) >= 4 * greatest(n, pivot.n)")
@@ -321,26 +328,31 @@ def link_nodes(sets: DataFrame) -> DataFrame:
             two = one.select("region", F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("comp").alias("comp_b"))
             few = one.join(two, "region").where("node < b and comp <> comp_b and 5 * least(n, n_b) >= 4 * greatest(n, n_b)")
             pairs = pairs.union(few.groupBy(F.col("node").alias("a"), "b").agg(F.count(F.lit(1)).alias("regions")))
-        pairs = common.cut(pairs)
+        pairs = common.written(pairs)
         home = pairs.groupBy("a").agg(F.max_by("b", F.struct("regions", "b")).alias("b"))
         comp = merged(comp, alike(home, sets))
         rest = pairs.select("a", "b").join(home.withColumnRenamed("b", "home"), "a").where("b <> home").select("a", "b")
         still = rest.join(comp.select(F.col("node").alias("a"), F.col("comp").alias("ca")), "a").join(comp.select(F.col("node").alias("b"), F.col("comp").alias("cb")), "b").where("ca <> cb").select("a", "b")
         comp = merged(comp, alike(still, sets))
         done = pivots.select("region", F.col("pivot").alias("last"))
-        last = common.cut(done if turn < 2 else done.join(big.select("region"), "region", "left_semi"))
+        last = common.written(done if turn < 2 else done.join(big.select("region"), "region", "left_semi"))
     return comp
 
 
 def join_documents(docs: DataFrame) -> DataFrame:
     """``doc_id, n_shingles, component_id`` of every row."""
-    stats = common.cut(shared_hashes(docs.select("doc_id", "text")))
+    stats = common.written(shared_hashes(docs.select("doc_id", "text")))
     node = F.xxhash64("sig1", "sig2", "n").alias("node")
     real = stats.where("n > 0").select("doc", "n", "sig1", node, (F.col("shared") >= F.col("needed")).alias("may"))
     # One node per distinct set; a node may link if its members share enough.
     first = F.min(F.when(F.col("doc") != NONE, F.col("doc")))
-    classes = common.cut(real.groupBy("node", "sig1", "n").agg(first.alias("first"), F.min("doc").alias("doc"), F.max("may").alias("may")))
-    sets = common.cut(whole_sets(docs, classes.where("may").select("doc", "sig1", "node")))
+    classes = common.written(real.groupBy("node", "sig1", "n").agg(first.alias("first"), F.min("doc").alias("doc"), F.max("may").alias("may")))
+    wanted = classes.where("may").select("doc", "sig1", "node")
+    for _ in range(2):  # among those that may link, count again, over whole sets
+        chosen = docs.join(limited(wanted.select(F.col("doc").alias("w")).distinct()), F.coalesce(F.col("doc_id").cast("long"), F.lit(NONE)) == F.col("w"), "left_semi")
+        again = shared_hashes(chosen.select("doc_id", "text"), whole=True).where(F.col("shared") >= F.col("needed")).select("doc", "sig1").distinct()
+        wanted = common.written(wanted.join(again, ["doc", "sig1"], "left_semi"))
+    sets = common.written(whole_sets(docs, wanted))
     comp = link_nodes(sets)
     named = classes.join(comp, "node", "left").select("node", "first", F.coalesce("comp", "node").alias("comp"))
     lowest = named.groupBy("comp").agg(F.min("first").alias("component_id"))
