@@ -180,7 +180,7 @@ class Repeats:
     def find(self, docs: DataFrame, finish: Callable[[bytes, np.ndarray], tuple], schema: str) -> DataFrame:
         """``finish(text, spans)`` for every row, with the spans of repeated windows of its document."""
         n = common.parallel(docs)
-        parts, groups, same_doc = 4 * n, 8 * n, self.same_doc
+        parts, groups, same_doc = 2 * n, 2 * n, self.same_doc
         body = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NONE)).alias("doc"), F.coalesce(F.encode("text", "UTF-8"), F.lit(b"")).alias("body"))
 
         def anchors(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -7,8 +7,8 @@ stand for and hence the same in every document and task: each round is global
 without a table of names.  Equal substrings get equal symbols in their
 interior.  Every symbol carries the span of words that it stands for and the
 zone of words that decided it; a window of 20 words files itself under the
-least name among the symbols whose zone lies in the window, so equal windows
-share a symbol, and windows without such a symbol under a name of their own.
+zone of the least name among the symbols whose zone lies in the window, so equal
+windows share a symbol, and windows without such a symbol under a name of their own.
 Shared symbols then reveal long repeats, which are verified run by run and
 window by window (see ``anchored``).
 
@@ -68,13 +68,15 @@ def recompress(name: np.ndarray, text: np.ndarray, rounds: int = ROUNDS, long_ru
         long = ~whole[run]
         tail = np.where(long, pick, head[run] + size[run] - 1)
         new = np.where(long, mix(name[pick] + np.uint64(977)), np.where(size[run] > 1, mix(name[pick] * np.uint64(31) + size[run].astype(np.uint64) + salt), name[pick]))
-        reach = np.where(long, long_run, 1)
-        lo, hi = pick - reach, tail + reach
-        start_out = np.where((lo >= 0) & (text[np.maximum(lo, 0)] == text[pick]), start[np.maximum(lo, 0)], -FAR)
+        # A whole run is known by its two neighbours; the first parts of a long one by the neighbour before and
+        # long_run + 1 equal symbols, later parts by the symbols before.  Such zones never step back along the text.
         top = len(name) - 1
+        early = pick - head[run] < long_run
+        lo = np.where(long & ~early, pick - long_run, head[run] - 1)
+        hi = np.where(long, np.where(early, head[run] + long_run, pick), tail + 1)
+        start_out = np.where((lo >= 0) & (text[np.maximum(lo, 0)] == text[pick]), start[np.maximum(lo, 0)], -FAR)
         end_out = np.where((hi <= top) & (text[np.minimum(hi, top)] == text[pick]), end[np.minimum(hi, top)], FAR)
-        # A longer look inside a run cannot miss its border: the zone covers the symbols between.
-        name, start, end, text = new, np.minimum(start_out, start[pick]), np.maximum(end_out, end[tail]), text[pick]
+        name, start, end, text = new, start_out, end_out, text[pick]
         # Pairs: a left symbol and a right one after it.
         left = (mix(name + salt) & np.uint64(1)) == 0
         join = np.zeros(len(name), bool)
@@ -126,10 +128,9 @@ class WordRepeats(Repeats):
         if n <= 0:
             return
         begin = np.searchsorted(text, np.arange(len(texts)))  # first word of each text
-        # Zones grow along the text up to the ones that reach over a border; those serve no window.
+        # Zones that reach over a border of a text serve no window.
         good = np.flatnonzero((zone_from >= 0) & (zone_to < FAR))
-        name, zone_from, zone_to = name[good], np.maximum.accumulate(zone_from[good]), zone_to[good]
-        zone_to = np.maximum.accumulate(zone_to)
+        name, zone_from, zone_to = name[good], zone_from[good], zone_to[good]
         start = np.arange(n, dtype=np.int64)
         lo, hi = np.searchsorted(zone_from, start, "left"), np.searchsorted(zone_to, start + self.width, "right")
         some = hi > lo
@@ -151,7 +152,8 @@ class WordRepeats(Repeats):
                 where[mine] = np.where(value[y] < value[x], y, x)
         prefix = h.prefix(word)
         own = h.of(prefix, start, start + self.width)
-        key = np.where(some, mix(name[where] + np.uint64(5)) if len(name) else own, own)
+        # The key is all that decided the symbol, not only what it stands for: it is rarer.
+        key = np.where(some, mix(h.of(prefix, zone_from, zone_to) + np.uint64(5))[where] if len(name) else own, own)
         real = text[self.width - 1 :] == text[:n]
         new = np.ones(n + 1, bool)
         new[1:n] = (where[1:] != where[:-1]) | ~real[:-1] | ~some[1:] | ~some[:-1]
