@@ -129,7 +129,7 @@ register(
     lambda v: hours_of(v).where("hour >= timestamp'1996-01-01' and hour < timestamp'1997-01-01'").groupBy("chain", "entity").agg(*[(total(f"{k}_{x}") if x == "value" else F.sum(f"{k}_{x}")).alias(f"{k}_{x}") for k in ("deposit", "withdrawal", "internal") for x in ("count", "value")]),
     f"WITH {HOURS} SELECT chain, entity, {SUMS} FROM r WHERE hour >= TIMESTAMP '1996-01-01' AND hour < TIMESTAMP '1997-01-01' GROUP BY ALL",
 )
-register("flow_hours", lambda v: hours_of(v).where("entity = 'NATION_7'").select("chain", "hour", "entity", "deposit_count", "deposit_value").orderBy(F.desc("hour"), "chain"), f"WITH {HOURS} SELECT chain, hour, entity, deposit_count, deposit_value FROM r WHERE entity = 'NATION_7'")
+register("flow_hours", lambda v: hours_of(v).where("entity = 'NATION_13'").select("chain", "hour", "entity", "deposit_count", "deposit_value").orderBy(F.desc("hour"), "chain"), f"WITH {HOURS} SELECT chain, hour, entity, deposit_count, deposit_value FROM r WHERE entity = 'NATION_13'")
 register("flow_entities", lambda v: hours_of(v).groupBy("entity").agg(F.count(F.lit(1)).alias("hours"), F.max("hour").alias("latest_hour")), f"WITH {HOURS} SELECT entity, count(*) AS hours, max(hour) AS latest_hour FROM r GROUP BY entity")
 register("hour_quality", lambda v: hour_quality(v.blk), "SELECT chain, date_trunc('hour', block_time) AS hour, count(*) AS blocks, count(*) FILTER (WHERE complete) AS complete_blocks, max(capture_floor)::BIGINT AS floor FROM blk WHERE canonical GROUP BY ALL")
 
