@@ -52,7 +52,7 @@ def quality_findings(blocks: DataFrame) -> DataFrame:
 
 
 register("parse_address", lambda v: v.txn.select("tx_key", parse_address(F.upper(F.substring("tx_key", 1, 42))).alias("short"), parse_address(F.concat(F.col("tx_key"), F.lit("00000000"))).alias("good"), parse_address(F.concat(F.lit("Zz"), "tx_key")).alias("base")), "SELECT tx_key, CAST(NULL AS VARCHAR) AS short, lower(concat(tx_key, '00000000')) AS good, concat('Zz', tx_key) AS base FROM txn")
-register("validate_address", lambda v: v.txn.select("tx_key", address_kind(F.concat(F.col("tx_key"), F.lit("ABCDEF12"))).alias("a"), address_kind(F.concat(F.lit("bc1"), F.substring("tx_key", 3, 32))).alias("b"), address_kind("from_address" if False else F.col("from_address")).alias("c")), "SELECT tx_key, 'evm' AS a, 'bech32' AS b, 'unknown' AS c FROM txn")
+register("validate_address", lambda v: v.txn.select("tx_key", address_kind(F.concat(F.col("tx_key"), F.lit("ABCDEF12"))).alias("a"), address_kind(F.concat(F.lit("bc1"), F.substring("tx_key", 3, 32))).alias("b"), address_kind(F.col("from_address")).alias("c")), "SELECT tx_key, 'evm' AS a, 'bech32' AS b, 'unknown' AS c FROM txn")
 register("hex_quantity", lambda v: v.txn.select("tx_key", hex_quantity(F.concat(F.lit("0x"), F.lower(F.hex(F.col("value").cast("long"))))).alias("value"), hex_quantity(F.lit("0xzz")).alias("bad")), "SELECT tx_key, value::BIGINT AS value, CAST(NULL AS BIGINT) AS bad FROM txn")
 register("amount_units", lambda v: v.txn.select("tx_key", (F.col("value") / F.lit(100).cast("decimal(3,0)")).cast("decimal(30,2)").cast("double").alias("units")), "SELECT tx_key, CAST(value / 100 AS DECIMAL(30,2))::DOUBLE AS units FROM txn")
 register("padded_key", lambda v: v.txn.groupBy("chain").agg(F.max(padded_key(F.col("value"))).alias("largest_key")), "SELECT chain, max(lpad(value::VARCHAR, 78, '0')) AS largest_key FROM txn GROUP BY chain")

@@ -38,7 +38,7 @@ def language_votes(c: Column) -> Column:
 
 def stance(c: Column) -> Column:
     low = F.lower(c)
-    has = lambda ws: F.expr("false") | F.coalesce(low.rlike("|".join(ws)), F.lit(False))
+    has = lambda ws: F.coalesce(low.rlike("|".join(ws)), F.lit(False))
     return F.when(has(DENY), "deny").when(has(SUPPORT), "support").when(low.contains("?"), "question").otherwise("neutral")
 
 

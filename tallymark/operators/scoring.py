@@ -1 +1,134 @@
+"""Detectors over subjects, scores, decisions and the evaluation of detectors."""
 
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from ..registry import register
+from .ledger import CANON, CLS, canonical, count_if, flow_stats, flows_of, total
+from .rollups import SUMMARY, summary
+
+
+def band(score: Column, edges: tuple = (20, 40, 60, 80)) -> Column:
+    a, b, c, d = edges
+    return F.when(score >= d, "critical").when(score >= c, "high").when(score >= b, "medium").when(score >= a, "low").otherwise("minimal")
+
+
+def div(a: Column, b: Column) -> Column:
+    """A ratio, null on a zero denominator."""
+    return F.round(a / F.nullif(b, F.lit(0)), 9)
+
+
+def confusion(cases: DataFrame) -> DataFrame:
+    """Counts and rates per detector."""
+    p, y = F.col("predicted"), F.col("label")
+    out = cases.groupBy("detector").agg(count_if(p & y).alias("tp"), count_if(p & ~y).alias("fp"), count_if(~p & y).alias("fn"), count_if(~p & ~y).alias("tn"))
+    c = F.col
+    return out.select("*", div(c("tp"), c("tp") + c("fp")).alias("precision"), div(c("tp"), c("tp") + c("fn")).alias("recall"), div(c("fp"), c("fp") + c("tn")).alias("fpr"), div(2 * c("tp"), 2 * c("tp") + c("fp") + c("fn")).alias("f1"))
+
+
+def calibration(cases: DataFrame, bins: int = 10) -> DataFrame:
+    """Reliability per bin, the last bin closed at 1; expected and largest error on each row's detector."""
+    b = F.least(F.floor(F.col("confidence") * bins + 1e-9), F.lit(bins - 1)).cast("int")
+    each = cases.groupBy(b.alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("confidence"), 9).alias("mean_confidence"), F.round(F.avg(F.col("label").cast("int")), 9).alias("observed"))
+    every = each.sparkSession.range(bins).select(F.col("id").cast("int").alias("bin"))
+    return every.join(each, "bin", "left").select("bin", F.coalesce("n", F.lit(0)).alias("n"), "mean_confidence", "observed", F.round(F.abs(F.col("mean_confidence") - F.col("observed")), 8).alias("error"))
+
+
+CONF = "cf AS (SELECT detector, count(*) FILTER (WHERE predicted AND label) AS tp, count(*) FILTER (WHERE predicted AND NOT label) AS fp, count(*) FILTER (WHERE NOT predicted AND label) AS fn, count(*) FILTER (WHERE NOT predicted AND NOT label) AS tn FROM evalcase GROUP BY detector)"
+register("confusion", lambda v: confusion(v.evalcase), f"WITH {CONF} SELECT *, round(tp / nullif(tp + fp, 0), 9) AS precision, round(tp / nullif(tp + fn, 0), 9) AS recall, round(fp / nullif(fp + tn, 0), 9) AS fpr, round(2 * tp / nullif(2 * tp + fp + fn, 0), 9) AS f1 FROM cf")
+CAL = "cb AS (SELECT CAST(least(floor(confidence * 10 + 1e-9), 9) AS INT) AS bin, count(*) AS n, round(avg(confidence), 9) AS mean_confidence, round(avg(label::INT), 9) AS observed FROM evalcase GROUP BY 1)"
+register("calibration", lambda v: calibration(v.evalcase), f"WITH {CAL} SELECT CAST(b.bin AS INT) AS bin, coalesce(n, 0) AS n, mean_confidence, observed, round(abs(mean_confidence - observed), 8) AS error FROM (SELECT unnest(range(10)) AS bin) b LEFT JOIN cb USING (bin)")
+register("outcome_calibration", lambda v: v.evalcase.where("confidence < 1.0").groupBy(F.floor(F.col("confidence") * 4 + 1e-9).cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(F.col("label").cast("int")), 9).alias("observed")), "SELECT CAST(floor(confidence * 4 + 1e-9) AS INT) AS bin, count(*) AS n, round(avg(label::INT), 9) AS observed FROM evalcase WHERE confidence < 1.0 GROUP BY 1")
+register("outcome_metrics", lambda v: v.evalcase.groupBy("detector").agg(F.round(F.avg((F.col("predicted") == F.col("label")).cast("int")), 9).alias("accuracy"), F.round(F.avg(F.pow(F.col("confidence") - F.col("label").cast("int"), 2)), 8).alias("brier"), F.round(F.avg(F.abs(F.col("confidence") - F.col("label").cast("int"))), 8).alias("mae"), F.round(F.avg(F.col("confidence") - F.col("label").cast("int")), 8).alias("bias")), "SELECT detector, round(avg((predicted = label)::INT), 9) AS accuracy, round(avg(pow(confidence - label::INT, 2)), 8) AS brier, round(avg(abs(confidence - label::INT)), 8) AS mae, round(avg(confidence - label::INT), 8) AS bias FROM evalcase GROUP BY detector")
+register("sample_eval", lambda v: v.evalcase.select("detector", F.when(F.col("predicted") & F.col("label"), "HIT").when(F.col("predicted"), "FP").when(F.col("label"), F.when(F.col("confidence") >= 0.5, "WEAK").otherwise("FN")).otherwise("PASS").alias("outcome")).groupBy("detector", "outcome").agg(F.count(F.lit(1)).alias("n")), "SELECT detector, CASE WHEN predicted AND label THEN 'HIT' WHEN predicted THEN 'FP' WHEN label THEN CASE WHEN confidence >= 0.5 THEN 'WEAK' ELSE 'FN' END ELSE 'PASS' END AS outcome, count(*) AS n FROM evalcase GROUP BY ALL")
+register("backtest", lambda v: confusion(v.evalcase).select("detector", (F.col("tp") + F.col("fp") + F.col("fn") + F.col("tn")).alias("cases"), ((F.col("tp") + F.col("fp") + F.col("fn") + F.col("tn") >= 10) & F.col("fpr").isNotNull()).alias("promotable")), f"WITH {CONF} SELECT detector, tp + fp + fn + tn AS cases, tp + fp + fn + tn >= 10 AND fp + tn > 0 AS promotable FROM cf")
+
+
+def whales(transfers: DataFrame, percent: float = 99.0) -> DataFrame:
+    """Transfers at or above a percentile of their chain's population, strictly-below rank; with the direction's party."""
+    w = Window.partitionBy("chain")
+    counts = transfers.groupBy("chain", "value").agg(F.count(F.lit(1)).alias("k"))
+    ranked = counts.select("chain", "value", ((F.sum("k").over(w.orderBy("value")) - F.col("k")) / F.sum("k").over(w) * 100).alias("below"), F.sum("k").over(w).alias("n"))
+    usable = F.col("n") >= F.ceil(100 / (100 - F.lit(percent)))
+    return transfers.join(ranked, ["chain", "value"]).where(usable & (F.col("below") >= percent))
+
+
+WHALE = f"WITH {CANON}, r AS (SELECT *, (rank() OVER (PARTITION BY chain ORDER BY value) - 1) / count(*) OVER (PARTITION BY chain) * 100 AS below, count(*) OVER (PARTITION BY chain) AS n FROM c)"
+register("det_whale", lambda v: whales(canonical(v.txn, v.blk)).select("tx_key", "chain", "value"), f"{WHALE} SELECT tx_key, chain, value::BIGINT AS value FROM r WHERE n >= 100 AND below >= 99")
+register("whale_entries", lambda v: whales(canonical(v.txn, v.blk)).groupBy("from_address").agg(F.count(F.lit(1)).alias("n"), total("value").alias("total")), f"{WHALE} SELECT from_address, count(*) AS n, sum(value)::BIGINT AS total FROM r WHERE n >= 100 AND below >= 99 GROUP BY from_address")
+
+
+def dormant(addresses: DataFrame, as_of: str, days: int = 365) -> DataFrame:
+    """Addresses by days since their last outbound transfer."""
+    quiet = F.datediff(F.lit(as_of).cast("date"), F.to_date("last_outbound_at"))
+    return addresses.select("address", quiet.alias("days"), F.when(quiet.isNull(), "never_sent").when(quiet >= 5 * days, "ancient").when(quiet >= days, "dormant").otherwise("active").alias("band"))
+
+
+register("det_dormant", lambda v: dormant(summary(v), "1999-01-01"), f"WITH {SUMMARY}, d AS (SELECT address, CAST(datediff('day', last_outbound_at::DATE, DATE '1999-01-01') AS INT) AS days FROM a) SELECT address, days, CASE WHEN days IS NULL THEN 'never_sent' WHEN days >= 1825 THEN 'ancient' WHEN days >= 365 THEN 'dormant' ELSE 'active' END AS band FROM d")
+
+
+def exchange_direction(stats: DataFrame, least: int = 10, imbalance: float = 0.20) -> DataFrame:
+    """Which way attributed flow leans, if there is enough of it."""
+    i, o = F.col("deposit_value").cast("double"), F.col("withdrawal_value").cast("double")
+    lean = (i - o) / F.nullif(i + o, F.lit(0.0))
+    n = F.col("deposit_count") + F.col("withdrawal_count")
+    return stats.select("chain", n.alias("attributed"), F.round(lean, 9).alias("imbalance"), F.when((n < least) | lean.isNull(), "insufficient").when(lean >= imbalance, "inflow").when(lean <= -imbalance, "outflow").otherwise("balanced").alias("verdict"))
+
+
+EX = f"WITH {CLS}, s AS (SELECT chain, count(*) FILTER (WHERE flow_kind IN ('deposit', 'withdrawal')) AS n, coalesce(sum(value) FILTER (WHERE flow_kind = 'deposit'), 0)::DOUBLE AS i, coalesce(sum(value) FILTER (WHERE flow_kind = 'withdrawal'), 0)::DOUBLE AS o FROM k GROUP BY chain), l AS (SELECT *, (i - o) / nullif(i + o, 0) AS lean FROM s)"
+EX_CASE = "CASE WHEN n < 10 OR lean IS NULL THEN 'insufficient' WHEN lean >= 0.2 THEN 'inflow' WHEN lean <= -0.2 THEN 'outflow' ELSE 'balanced' END"
+register("det_exchange", lambda v: exchange_direction(flow_stats(flows_of(v))), f"{EX} SELECT chain, n AS attributed, round(lean, 9) AS imbalance, {EX_CASE} AS verdict FROM l")
+
+
+def security(transfers: DataFrame) -> DataFrame:
+    """Flags per sender: dust, concentration on one counterparty."""
+    pair = transfers.where("to_address is not null").groupBy("from_address", "to_address").agg(F.count(F.lit(1)).alias("k"), count_if(F.col("value") < 200000).alias("dust"))
+    out = pair.groupBy("from_address").agg(F.sum("k").alias("n"), F.sum("dust").alias("dust"), F.max("k").alias("top"))
+    flags = F.array_compact(F.array(F.when(F.col("dust") > 0, F.lit("dust")), F.when((F.col("n") > 5) & (F.col("top") / F.col("n") > 0.3), F.lit("concentrated"))))
+    return out.select("from_address", "n", "dust", F.array_join(flags, ",").alias("flags"))
+
+
+register("security_scan", lambda v: security(canonical(v.txn, v.blk)), f"WITH {CANON}, p AS (SELECT from_address, to_address, count(*) AS k, count(*) FILTER (WHERE value < 200000) AS dust FROM c WHERE to_address IS NOT NULL GROUP BY ALL), s AS (SELECT from_address, sum(k)::BIGINT AS n, sum(dust)::BIGINT AS dust, max(k) AS top FROM p GROUP BY ALL) SELECT from_address, n, dust, concat_ws(',', CASE WHEN dust > 0 THEN 'dust' END, CASE WHEN n > 5 AND top / n > 0.3 THEN 'concentrated' END) AS flags FROM s")
+register("metric_analyzers", lambda v: v.part.select("p_partkey", F.when(F.col("p_retailprice") >= 1500, "deep").when(F.col("p_retailprice") >= 1000, "fair").otherwise("thin").alias("depth"), F.when(F.col("p_size") > 40, "concentrated").when(F.col("p_size") > 20, "mixed").otherwise("spread").alias("holding")), "SELECT p_partkey, CASE WHEN p_retailprice >= 1500 THEN 'deep' WHEN p_retailprice >= 1000 THEN 'fair' ELSE 'thin' END AS depth, CASE WHEN p_size > 40 THEN 'concentrated' WHEN p_size > 20 THEN 'mixed' ELSE 'spread' END AS holding FROM part")
+
+
+def scores(addresses: DataFrame) -> DataFrame:
+    """Risk, influence and trust, 0 to 100, and the band of risk."""
+    clamp = lambda c: F.round(F.greatest(F.lit(0.0), F.least(F.lit(100.0), c)), 6)
+    n = F.col("sent") + F.col("received")
+    out = addresses.select("address", clamp(100.0 * F.col("sent") / n * 0.6 + F.when(F.col("counterparties") <= 2, 40.0).otherwise(0.0)).alias("risk"), clamp(F.col("counterparties") * 1.5).alias("influence"), clamp(100.0 - 10.0 * F.abs(F.col("sent") - F.col("received")) / n).alias("trust"))
+    return out.withColumn("band", band(F.col("risk")))
+
+
+SCORES = f"{SUMMARY}, sc AS (SELECT address, round(greatest(0.0::DOUBLE, least(100.0::DOUBLE, 100.0::DOUBLE * sent / (sent + received) * 0.6::DOUBLE + CASE WHEN counterparties <= 2 THEN 40.0::DOUBLE ELSE 0.0::DOUBLE END)), 6) AS risk, round(greatest(0.0::DOUBLE, least(100.0::DOUBLE, counterparties * 1.5::DOUBLE)), 6) AS influence, round(greatest(0.0::DOUBLE, least(100.0::DOUBLE, 100.0::DOUBLE - 10.0::DOUBLE * abs(sent - received) / (sent + received))), 6) AS trust FROM a)"
+BAND = "CASE WHEN {0} >= 80 THEN 'critical' WHEN {0} >= 60 THEN 'high' WHEN {0} >= 40 THEN 'medium' WHEN {0} >= 20 THEN 'low' ELSE 'minimal' END"
+register("scores", lambda v: scores(summary(v)), f"WITH {SCORES} SELECT *, {BAND.format('risk')} AS band FROM sc")
+register("final_score", lambda v: scores(summary(v)).select("address", F.round((F.col("risk") * 0.5 + F.col("influence") * 0.3 + F.col("trust") * 0.2), 5).alias("final")), f"WITH {SCORES} SELECT address, round(risk * 0.5::DOUBLE + influence * 0.3::DOUBLE + trust * 0.2::DOUBLE, 5) AS final FROM sc")
+signal = F.least(F.lit(100), F.when(F.col("risk") >= 60, 40).otherwise(0) + F.when(F.col("influence") >= 50, 25).otherwise(0) + F.when(F.col("trust") < 95, 35).otherwise(0))
+register("signal_score", lambda v: scores(summary(v)).select("address", signal.alias("signal"), F.when(signal >= 80, "critical").when(signal >= 60, "high").when(signal >= 35, "medium").otherwise("low").alias("band")), f"WITH {SCORES}, g AS (SELECT address, least(100, CASE WHEN risk >= 60 THEN 40 ELSE 0 END + CASE WHEN influence >= 50 THEN 25 ELSE 0 END + CASE WHEN trust < 95 THEN 35 ELSE 0 END) AS signal FROM sc) SELECT address, signal, CASE WHEN signal >= 80 THEN 'critical' WHEN signal >= 60 THEN 'high' WHEN signal >= 35 THEN 'medium' ELSE 'low' END AS band FROM g")
+
+
+def alerts(found: DataFrame, budget: int = 5) -> DataFrame:
+    """Alerts within a daily budget per subscription, the rest as a digest's count."""
+    w = Window.partitionBy("subscription", "day").orderBy(F.desc("score"), "event_id")
+    placed = found.withColumn("r", F.row_number().over(w))
+    return placed.groupBy("subscription", "day").agg(count_if(F.col("r") <= budget).alias("sent"), count_if(F.col("r") > budget).alias("digest"), F.round(F.min(F.when(F.col("r") <= budget, F.col("score"))), 6).alias("least_sent"))
+
+
+register("alerts", lambda v: alerts(v.events.where("value > 50").select(F.col("event_type").alias("subscription"), F.to_date("ts").cast("string").alias("day"), F.col("value").alias("score"), "event_id")), "WITH p AS (SELECT event_type AS subscription, ts::DATE::VARCHAR AS day, value AS score, row_number() OVER (PARTITION BY event_type, ts::DATE ORDER BY value DESC, event_id) AS r FROM events WHERE value > 50) SELECT subscription, day, count(*) FILTER (WHERE r <= 5) AS sent, count(*) FILTER (WHERE r > 5) AS digest, round(min(score) FILTER (WHERE r <= 5), 6) AS least_sent FROM p GROUP BY ALL")
+
+
+def triggers(rows: DataFrame, rules: list[tuple[str, Column, str]]) -> DataFrame:
+    """One row per rule that a row meets."""
+    hits = F.array_compact(F.array(*[F.when(cond, F.struct(F.lit(n).alias("rule"), F.lit(s).alias("severity"))) for n, cond, s in rules]))
+    return rows.select("*", F.explode(hits).alias("h")).select(*rows.columns, "h.*")
+
+
+register("triggers", lambda v: triggers(v.events.select("event_id", "event_type", "value"), [("large", F.col("value") > 90, "high"), ("error", F.col("event_type") == "error", "low")]).select("event_id", "rule", "severity"), "SELECT event_id, 'large' AS rule, 'high' AS severity FROM events WHERE value > 90 UNION ALL SELECT event_id, 'error', 'low' FROM events WHERE event_type = 'error'")
+register("conclusions", lambda v: confusion(v.evalcase).select("detector", F.when(F.col("tp") + F.col("fp") == 0, "UNDETERMINED").when(F.col("precision") >= 0.5, "AFFIRMED").otherwise("NEGATED").alias("stance"), F.least(F.coalesce("precision", F.lit(0.0)), F.lit(0.9)).alias("confidence")), f"WITH {CONF} SELECT detector, CASE WHEN tp + fp = 0 THEN 'UNDETERMINED' WHEN round(tp / nullif(tp + fp, 0), 9) >= 0.5 THEN 'AFFIRMED' ELSE 'NEGATED' END AS stance, least(coalesce(round(tp / nullif(tp + fp, 0), 9), 0.0::DOUBLE), 0.9::DOUBLE) AS confidence FROM cf")
+register("rank_decisions", lambda v: confusion(v.evalcase).select("detector", F.col("tp").alias("priority")).orderBy(F.desc("priority"), "detector"), f"WITH {CONF} SELECT detector, tp AS priority FROM cf")
+register("forecasts", lambda v: v.candle.groupBy("symbol").agg(F.max_by("close", "open_time").alias("c"), F.regr_slope("close", F.unix_timestamp(F.col("open_time").cast("timestamp")) / 3600.0).alias("s")).select("symbol", F.explode(F.array(*map(F.lit, (1, 6, 24)))).alias("horizon"), "c", "s").select("symbol", "horizon", F.round(F.col("c") + F.col("s") * F.col("horizon"), 5).alias("expected"), F.round(F.exp(-F.col("horizon") / 24.0), 9).alias("confidence")), "WITH t AS (SELECT symbol, max_by(close, open_time) AS c, regr_slope(close, epoch(open_time) / 3600.0::DOUBLE) AS s FROM candle GROUP BY symbol) SELECT symbol, CAST(h AS INT) AS horizon, round(c + s * h, 5) AS expected, round(exp(-h / 24.0::DOUBLE), 9) AS confidence FROM t, (SELECT unnest([1, 6, 24]) AS h)")
+register("recommend", lambda v: v.blk.where("incomplete_reason <> ''").groupBy("chain", F.when(F.col("incomplete_reason") == "selective_capture", "lower_floor").otherwise("fetch_logs").alias("action")).agg(F.count(F.lit(1)).alias("weight")), "SELECT chain, CASE WHEN incomplete_reason = 'selective_capture' THEN 'lower_floor' ELSE 'fetch_logs' END AS action, count(*) AS weight FROM blk WHERE incomplete_reason <> '' GROUP BY ALL")
+register("st_backfill", lambda v: v.blk.groupBy("chain").agg(F.min("number").alias("a"), F.max("number").alias("b")).select("chain", F.explode(F.sequence("a", "b")).alias("number")).join(v.blk.select("chain", "number"), ["chain", "number"], "left_anti").groupBy("chain").agg(F.count(F.lit(1)).alias("missing"), F.min("number").alias("first_missing")), "WITH r AS (SELECT chain, unnest(range(min(number), max(number) + 1)) AS number FROM blk GROUP BY chain) SELECT r.chain, count(*) AS missing, CAST(min(r.number) AS INT) AS first_missing FROM r ANTI JOIN blk b ON r.chain = b.chain AND r.number = b.number GROUP BY r.chain")
