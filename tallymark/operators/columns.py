@@ -61,10 +61,10 @@ register("block_rules", lambda v: v.blk.select("block_key", (F.col("number") >=
 register("quality", lambda v: quality_findings(v.blk), "SELECT block_key, f AS findings, f = '' AS clean, f IN ('', 'selective_capture') AS bounded FROM (SELECT block_key, concat_ws(',', CASE WHEN NOT complete AND incomplete_reason = 'logs_captured' THEN 'logs_captured' END, CASE WHEN incomplete_reason = 'selective_capture' THEN 'selective_capture' END, CASE WHEN tx_count = 0 THEN 'transactions_expanded' END, CASE WHEN block_time > TIMESTAMP '1998-06-01' THEN 'timestamp_future' END) AS f FROM blk)")
 register("tx_kind", lambda v: v.events.select("event_id", tx_kind(F.col("event_type")).alias("kind")), "SELECT event_id, CASE WHEN contains(lower(event_type), 'purchase') THEN 'swap' WHEN contains(lower(event_type), 'sign') THEN 'mint' WHEN contains(lower(event_type), 'err') THEN 'burn' ELSE 'transfer' END AS kind FROM events")
 register("content_id", lambda v: v.events.select("event_id", content_id(F.lit("sim"), F.col("event_type"), F.col("props")).alias("id")), "SELECT event_id, substring(sha256(concat_ws('|', 'sim', event_type, props)), 1, 32) AS id FROM events")
-LABEL_REASON = F.when(~F.col("address").rlike("^s[0-9]+$"), "bad address").when(F.col("category") == "contract", "unknown category")
+label_reason = lambda: F.when(~F.col("address").rlike("^s[0-9]+$"), "bad address").when(F.col("category") == "contract", "unknown category")
 register(
     "label_reject",
-    lambda v: v.lbl.withColumn("reason", LABEL_REASON).withColumn("r", F.row_number().over(Window.partitionBy("address", F.col("reason").isNull()).orderBy("source"))).select("address", "source", F.when(F.col("reason").isNull() & (F.col("r") > 1), "duplicate").otherwise(F.col("reason")).alias("reason")),
+    lambda v: v.lbl.withColumn("reason", label_reason()).withColumn("r", F.row_number().over(Window.partitionBy("address", F.col("reason").isNull()).orderBy("source"))).select("address", "source", F.when(F.col("reason").isNull() & (F.col("r") > 1), "duplicate").otherwise(F.col("reason")).alias("reason")),
     "SELECT address, source, CASE WHEN reason IS NULL AND r > 1 THEN 'duplicate' ELSE reason END AS reason FROM (SELECT *, row_number() OVER (PARTITION BY address, reason IS NULL ORDER BY source) AS r FROM (SELECT *, CASE WHEN category = 'contract' THEN 'unknown category' END AS reason FROM lbl))",
 )
 register("candles_source", lambda v: v.candle.unionByName(v.candle.where("symbol = 'view'").withColumn("close", F.col("close") + 1)).groupBy("symbol", "open_time").agg(F.round(F.max("close"), 6).alias("close")).where("open_time >= timestamp'2024-01-10' and open_time < timestamp'2024-01-12'"), "SELECT symbol, open_time, round(CASE WHEN symbol = 'view' THEN close + 1 ELSE close END, 6) AS close FROM candle WHERE open_time >= TIMESTAMP '2024-01-10' AND open_time < TIMESTAMP '2024-01-12'")

@@ -7,13 +7,10 @@ from pyspark.sql import functions as F
 
 from ..registry import register
 
-ZERO = F.lit(0).cast("decimal(38,0)")
-
-
 def total(value, when: Column | None = None) -> Column:
     """An exact sum of amounts; 0 where nothing counts."""
     c = F.col(value) if isinstance(value, str) else value
-    return F.coalesce(F.sum(c if when is None else F.when(when, c)), ZERO).cast("decimal(38,0)")
+    return F.coalesce(F.sum(c if when is None else F.when(when, c)), F.lit(0).cast("decimal(38,0)")).cast("decimal(38,0)")
 
 
 def count_if(when: Column) -> Column:

@@ -105,28 +105,28 @@ def near_titles(items: DataFrame, a: str, b: str) -> Column:
     return F.round(F.size(F.array_intersect(x, y)) / F.greatest(F.size(F.array_union(x, y)), F.lit(1)), 9)
 
 
-NEXT = Window.partitionBy("source").orderBy("doc_id")
+following = lambda: Window.partitionBy("source").orderBy("doc_id")
 WORDS = r"list_distinct(list_filter(regexp_split_to_array(lower({0}), '\s+'), lambda x: x <> ''))"
 register(
     "token_overlap",
-    lambda v: v.news.withColumn("next_title", F.lead("title").over(NEXT)).where("next_title is not null").select("doc_id", near_titles(v.news, "title", "next_title").alias("overlap")),
+    lambda v: v.news.withColumn("next_title", F.lead("title").over(following())).where("next_title is not null").select("doc_id", near_titles(v.news, "title", "next_title").alias("overlap")),
     f"WITH n AS (SELECT doc_id, title, lead(title) OVER (PARTITION BY source ORDER BY doc_id) AS nt FROM news), w AS (SELECT doc_id, {WORDS.format('title')} AS a, {WORDS.format('nt')} AS b FROM n WHERE nt IS NOT NULL) SELECT doc_id, round(len(list_intersect(a, b)) / greatest(len(list_distinct(list_concat(a, b))), 1), 9) AS overlap FROM w",
 )
 register(
     "similarity",
-    lambda v: v.news.withColumn("nt", F.lead("title").over(NEXT)).withColumn("np", F.lead("published_at").over(NEXT)).where("nt is not null").select("doc_id", F.round(near_titles(v.news, "title", "nt") * F.exp(-(F.unix_micros(F.col("np").cast("timestamp")) - F.unix_micros(F.col("published_at").cast("timestamp"))) / 3.6e9 / 24), 7).alias("score")),
+    lambda v: v.news.withColumn("nt", F.lead("title").over(following())).withColumn("np", F.lead("published_at").over(following())).where("nt is not null").select("doc_id", F.round(near_titles(v.news, "title", "nt") * F.exp(-(F.unix_micros(F.col("np").cast("timestamp")) - F.unix_micros(F.col("published_at").cast("timestamp"))) / 3.6e9 / 24), 7).alias("score")),
     f"WITH n AS (SELECT doc_id, title, published_at, lead(title) OVER w AS nt, lead(published_at) OVER w AS np FROM news WINDOW w AS (PARTITION BY source ORDER BY doc_id)), w AS (SELECT *, {WORDS.format('title')} AS a, {WORDS.format('nt')} AS b FROM n WHERE nt IS NOT NULL) SELECT doc_id, round(round(len(list_intersect(a, b)) / greatest(len(list_distinct(list_concat(a, b))), 1), 9) * exp(-(epoch_us(np) - epoch_us(published_at)) / 3.6e9 / 24), 7) AS score FROM w",
 )
 EMAIL, PHONE = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", r"\+?[0-9][0-9 ()-]{7,}[0-9]"
 register("moderation", lambda v: v.documents.select("doc_id", F.col("text").rlike(EMAIL).alias("has_email"), F.col("text").rlike(PHONE).alias("has_phone"), F.md5(F.regexp_replace(F.regexp_replace("text", EMAIL, "[EMAIL]"), PHONE, "[PHONE]")).alias("redacted")), f"SELECT doc_id, regexp_matches(text, '{EMAIL}') AS has_email, regexp_matches(text, '{PHONE}') AS has_phone, md5(regexp_replace(regexp_replace(text, '{EMAIL}', '[EMAIL]', 'g'), '{PHONE}', '[PHONE]', 'g')) AS redacted FROM documents")
-tokens = F.when(F.length("text") == 0, 0).otherwise(F.greatest(F.lit(1), F.floor(F.length("text") / 4))).cast("long")
+tokens = lambda: F.when(F.length("text") == 0, 0).otherwise(F.greatest(F.lit(1), F.floor(F.length("text") / 4))).cast("long")
 TOK = "(CASE WHEN length(text) = 0 THEN 0 ELSE greatest(1, length(text) // 4) END)::BIGINT"
-register("conv_stats", lambda v: v.conversations.groupBy("conv_id").agg(F.count(F.lit(1)).alias("messages"), F.sum(tokens).alias("tokens"), count_if(F.col("role") == "user").alias("user"), count_if(F.col("role") == "assistant").alias("assistant"), F.max("turn").alias("last_turn")), f"SELECT conv_id, count(*) AS messages, sum({TOK})::BIGINT AS tokens, count(*) FILTER (WHERE role = 'user') AS user, count(*) FILTER (WHERE role = 'assistant') AS assistant, max(turn) AS last_turn FROM conversations GROUP BY conv_id")
+register("conv_stats", lambda v: v.conversations.groupBy("conv_id").agg(F.count(F.lit(1)).alias("messages"), F.sum(tokens()).alias("tokens"), count_if(F.col("role") == "user").alias("user"), count_if(F.col("role") == "assistant").alias("assistant"), F.max("turn").alias("last_turn")), f"SELECT conv_id, count(*) AS messages, sum({TOK})::BIGINT AS tokens, count(*) FILTER (WHERE role = 'user') AS user, count(*) FILTER (WHERE role = 'assistant') AS assistant, max(turn) AS last_turn FROM conversations GROUP BY conv_id")
 
 
 def conv_window(messages: DataFrame, budget: int) -> DataFrame:
     """The latest messages within a token budget; one that does not fit is skipped, the last is always kept."""
-    listed = messages.groupBy("conv_id").agg(F.reverse(F.array_sort(F.collect_list(F.struct("turn", tokens.alias("tokens"))))).alias("m"))
+    listed = messages.groupBy("conv_id").agg(F.reverse(F.array_sort(F.collect_list(F.struct("turn", tokens().alias("tokens"))))).alias("m"))
     fold = F.aggregate("m", F.struct(F.lit(0).cast("long").alias("used"), F.expr("cast(array() as array<bigint>)").alias("kept")), lambda a, x: F.when((a["used"] + x["tokens"] <= budget) | (F.size(a["kept"]) == 0), F.struct((a["used"] + x["tokens"]).alias("used"), F.array_append(a["kept"], x["turn"]).alias("kept"))).otherwise(a))
     return listed.select("conv_id", fold.alias("f")).select("conv_id", F.col("f.used").alias("used"), F.size("f.kept").alias("kept"), F.array_join(F.array_sort("f.kept"), ",").alias("turns"))
 

@@ -106,8 +106,8 @@ SCORES = f"{SUMMARY}, sc AS (SELECT address, round(greatest(0.0::DOUBLE, least(1
 BAND = "CASE WHEN {0} >= 80 THEN 'critical' WHEN {0} >= 60 THEN 'high' WHEN {0} >= 40 THEN 'medium' WHEN {0} >= 20 THEN 'low' ELSE 'minimal' END"
 register("scores", lambda v: scores(summary(v)), f"WITH {SCORES} SELECT *, {BAND.format('risk')} AS band FROM sc")
 register("final_score", lambda v: scores(summary(v)).select("address", F.round((F.col("risk") * 0.5 + F.col("influence") * 0.3 + F.col("trust") * 0.2), 5).alias("final")), f"WITH {SCORES} SELECT address, round(risk * 0.5::DOUBLE + influence * 0.3::DOUBLE + trust * 0.2::DOUBLE, 5) AS final FROM sc")
-signal = F.least(F.lit(100), F.when(F.col("risk") >= 60, 40).otherwise(0) + F.when(F.col("influence") >= 50, 25).otherwise(0) + F.when(F.col("trust") < 95, 35).otherwise(0))
-register("signal_score", lambda v: scores(summary(v)).select("address", signal.alias("signal"), F.when(signal >= 80, "critical").when(signal >= 60, "high").when(signal >= 35, "medium").otherwise("low").alias("band")), f"WITH {SCORES}, g AS (SELECT address, least(100, CASE WHEN risk >= 60 THEN 40 ELSE 0 END + CASE WHEN influence >= 50 THEN 25 ELSE 0 END + CASE WHEN trust < 95 THEN 35 ELSE 0 END) AS signal FROM sc) SELECT address, signal, CASE WHEN signal >= 80 THEN 'critical' WHEN signal >= 60 THEN 'high' WHEN signal >= 35 THEN 'medium' ELSE 'low' END AS band FROM g")
+signal = lambda: F.least(F.lit(100), F.when(F.col("risk") >= 60, 40).otherwise(0) + F.when(F.col("influence") >= 50, 25).otherwise(0) + F.when(F.col("trust") < 95, 35).otherwise(0))
+register("signal_score", lambda v: scores(summary(v)).select("address", signal().alias("signal"), F.when(signal() >= 80, "critical").when(signal() >= 60, "high").when(signal() >= 35, "medium").otherwise("low").alias("band")), f"WITH {SCORES}, g AS (SELECT address, least(100, CASE WHEN risk >= 60 THEN 40 ELSE 0 END + CASE WHEN influence >= 50 THEN 25 ELSE 0 END + CASE WHEN trust < 95 THEN 35 ELSE 0 END) AS signal FROM sc) SELECT address, signal, CASE WHEN signal >= 80 THEN 'critical' WHEN signal >= 60 THEN 'high' WHEN signal >= 35 THEN 'medium' ELSE 'low' END AS band FROM g")
 
 
 def alerts(found: DataFrame, budget: int = 5) -> DataFrame:

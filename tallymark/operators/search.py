@@ -54,8 +54,8 @@ def fuse(lists: list[DataFrame], k: int = 60) -> DataFrame:
 near_label = lambda v: v.embeddings.where(QUERIES).select(F.col("vec_id").alias("query_id"), "label").join(v.embeddings.select("vec_id", "label"), "label").where("vec_id <> query_id").withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("vec_id"))).where("rank <= 10")
 register("hybrid", lambda v: fuse([top(v, 10), near_label(v)]), f"WITH {COS}, b AS (SELECT * FROM (SELECT q.vec_id AS query_id, e.vec_id, row_number() OVER (PARTITION BY q.vec_id ORDER BY e.vec_id) AS rank FROM embeddings q JOIN embeddings e ON q.label = e.label AND q.vec_id <> e.vec_id WHERE q.vec_id % 100 = 0) WHERE rank <= 10), u AS (SELECT query_id, vec_id, rank FROM k WHERE rank <= 10 UNION ALL SELECT query_id, vec_id, rank FROM b) SELECT query_id, vec_id, round(sum(1 / (60 + rank)), 9) AS score FROM u GROUP BY ALL")
 register("multi_query", lambda v: top(v, 10).groupBy("vec_id").agg(F.max("score").alias("score")), f"WITH {COS} SELECT vec_id, max(score) AS score FROM k WHERE rank <= 10 GROUP BY vec_id")
-BY_Q = Window.partitionBy("query_id")
-register("ranking", lambda v: top(v, 10).select("query_id", "vec_id", F.round(0.7 * (F.col("score") - F.min("score").over(BY_Q)) / F.nullif(F.max("score").over(BY_Q) - F.min("score").over(BY_Q), F.lit(0.0)) + 0.3 * F.pow(F.lit(0.5), F.col("rank") / 5), 6).alias("blend")), f"WITH {COS}, t AS (SELECT * FROM k WHERE rank <= 10) SELECT query_id, vec_id, round(0.7::DOUBLE * (score - min(score) OVER w) / nullif(max(score) OVER w - min(score) OVER w, 0) + 0.3::DOUBLE * pow(0.5, rank / 5), 6) AS blend FROM t WINDOW w AS (PARTITION BY query_id)")
+by_query = lambda: Window.partitionBy("query_id")
+register("ranking", lambda v: top(v, 10).select("query_id", "vec_id", F.round(0.7 * (F.col("score") - F.min("score").over(by_query())) / F.nullif(F.max("score").over(by_query()) - F.min("score").over(by_query()), F.lit(0.0)) + 0.3 * F.pow(F.lit(0.5), F.col("rank") / 5), 6).alias("blend")), f"WITH {COS}, t AS (SELECT * FROM k WHERE rank <= 10) SELECT query_id, vec_id, round(0.7::DOUBLE * (score - min(score) OVER w) / nullif(max(score) OVER w - min(score) OVER w, 0) + 0.3::DOUBLE * pow(0.5, rank / 5), 6) AS blend FROM t WINDOW w AS (PARTITION BY query_id)")
 register("meta_filter", lambda v: v.documents.where((F.col("lang").isin("en", "de")) & (F.col("n_chars") > 500) & F.col("source").isin("src1", "src2", "src3")).select("doc_id", "lang", "source"), "SELECT doc_id, lang, source FROM documents WHERE lang IN ('en', 'de') AND n_chars > 500 AND source IN ('src1', 'src2', 'src3')")
 
 

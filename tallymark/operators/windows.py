@@ -110,9 +110,9 @@ def value_rank(transfers: DataFrame) -> DataFrame:
 
 register("value_rank", lambda v: value_rank(canonical(v.txn, v.blk)).select("tx_key", "below"), f"WITH {CANON} SELECT tx_key, round((rank() OVER (PARTITION BY chain ORDER BY value) - 1) / count(*) OVER (PARTITION BY chain) * 100, 7) AS below FROM c")
 micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
-TIME = Window.partitionBy("user_id").orderBy("ts", "event_id")
-register("event_gaps", lambda v: v.events.withColumn("gap", micros("ts") - F.lag(micros("ts")).over(TIME)).groupBy("user_id").agg(F.count("gap").alias("gaps"), F.max("gap").alias("longest"), F.round((F.max(micros("ts")) - F.min(micros("ts"))) / 86_400_000_000, 7).alias("span_days")), "SELECT user_id, count(gap) AS gaps, max(gap) AS longest, round((max(epoch_us(ts)) - min(epoch_us(ts))) / 86400000000, 7) AS span_days FROM (SELECT *, epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS gap FROM events) GROUP BY user_id")
-register("bursts", lambda v: v.events.withColumn("gap", micros("ts") - F.lag(micros("ts")).over(TIME)).where("gap < 3600000000").select("event_id", "user_id", "gap"), "SELECT event_id, user_id, gap FROM (SELECT *, epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS gap FROM events) WHERE gap < 3600000000")
+by_time = lambda: Window.partitionBy("user_id").orderBy("ts", "event_id")
+register("event_gaps", lambda v: v.events.withColumn("gap", micros("ts") - F.lag(micros("ts")).over(by_time())).groupBy("user_id").agg(F.count("gap").alias("gaps"), F.max("gap").alias("longest"), F.round((F.max(micros("ts")) - F.min(micros("ts"))) / 86_400_000_000, 7).alias("span_days")), "SELECT user_id, count(gap) AS gaps, max(gap) AS longest, round((max(epoch_us(ts)) - min(epoch_us(ts))) / 86400000000, 7) AS span_days FROM (SELECT *, epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS gap FROM events) GROUP BY user_id")
+register("bursts", lambda v: v.events.withColumn("gap", micros("ts") - F.lag(micros("ts")).over(by_time())).where("gap < 3600000000").select("event_id", "user_id", "gap"), "SELECT event_id, user_id, gap FROM (SELECT *, epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS gap FROM events) WHERE gap < 3600000000")
 register("milestones", lambda v: v.events.where(F.col("event_type").isin("signup", "purchase")).groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), F.min("ts").alias("first_at"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ts", "event_id", "event_type"))), lambda x: x["event_type"]), ",").alias("timeline")), "SELECT user_id, count(*) AS n, min(ts) AS first_at, string_agg(event_type, ',' ORDER BY ts, event_id) AS timeline FROM events WHERE event_type IN ('signup', 'purchase') GROUP BY user_id")
 
 
@@ -125,8 +125,8 @@ def asof(points: DataFrame, candles: DataFrame) -> DataFrame:
 
 
 register("price_asof", lambda v: asof(v.events.select(F.col("event_type").alias("symbol"), F.col("ts").alias("at_time"), F.col("event_id").alias("point_id")), v.candle).select("point_id", "price"), "SELECT e.event_id AS point_id, c.close AS price FROM events e ASOF LEFT JOIN candle c ON e.event_type = c.symbol AND e.ts >= c.open_time")
-SYM = Window.partitionBy("symbol").orderBy("open_time")
-returns = lambda c: c.withColumn("r", F.col("close") / F.lag("close").over(SYM) - 1)
+by_symbol = lambda: Window.partitionBy("symbol").orderBy("open_time")
+returns = lambda c: c.withColumn("r", F.col("close") / F.lag("close").over(by_symbol()) - 1)
 RET = "r AS (SELECT *, close / lag(close) OVER (PARTITION BY symbol ORDER BY open_time) - 1 AS r FROM candle)"
 register("vol_std", lambda v: returns(v.candle).groupBy("symbol").agg(F.round(F.stddev_pop("r") * 100, 6).alias("vol"), F.round(F.sqrt(F.sum(F.col("r") * F.col("r"))) * F.sqrt(F.lit(24.0)), 5).alias("realized")), f"WITH {RET} SELECT symbol, round(stddev_pop(r) * 100, 6) AS vol, round(sqrt(sum(r * r)) * sqrt(24.0), 5) AS realized FROM r GROUP BY symbol")
 register("jumps", lambda v: returns(v.candle).join(returns(v.candle).groupBy("symbol").agg(F.avg("r").alias("m"), F.stddev_pop("r").alias("s")), "symbol").where(F.abs(F.col("r") - F.col("m")) > F.greatest(3 * F.col("s"), F.lit(0.005))).select("symbol", "open_time", F.round("r", 7).alias("ret")), f"WITH {RET}, s AS (SELECT symbol, avg(r) AS m, stddev_pop(r) AS s FROM r GROUP BY symbol) SELECT symbol, open_time, round(r, 7) AS ret FROM r JOIN s USING (symbol) WHERE abs(r - m) > greatest(3 * s, 0.005)")
@@ -143,7 +143,7 @@ def tail_risk(candles: DataFrame) -> DataFrame:
     ranked = r.select("symbol", "r", F.row_number().over(w.orderBy("r")).alias("k"), F.count(F.lit(1)).over(w).alias("n"))
     at = F.greatest(F.lit(1), F.floor(F.col("n") * 0.05))
     tail = ranked.where(F.col("k") <= at).groupBy("symbol").agg(F.round(F.max("r"), 7).alias("var95"), F.round(F.avg("r"), 7).alias("cvar95"))
-    fall = candles.select("symbol", (F.col("close") / F.max("close").over(SYM.rowsBetween(Window.unboundedPreceding, 0)) - 1).alias("d")).groupBy("symbol").agg(F.round(F.min("d"), 7).alias("drawdown"))
+    fall = candles.select("symbol", (F.col("close") / F.max("close").over(by_symbol().rowsBetween(Window.unboundedPreceding, 0)) - 1).alias("d")).groupBy("symbol").agg(F.round(F.min("d"), 7).alias("drawdown"))
     return tail.join(fall, "symbol")
 
 
