@@ -107,10 +107,12 @@ def settle(items: np.ndarray, same_doc: bool) -> tuple[np.ndarray, np.ndarray]:
     items = items[np.lexsort((items["at"], items["doc"], items["r"], items["k"]))]
     new = np.ones(len(items), bool)
     new[1:] = (items["k"][1:] != items["k"][:-1]) | (items["r"][1:] != items["r"][:-1])
-    if same_doc:
+    if not len(items):
         return items, ~new
-    first = items["doc"][new][np.cumsum(new) - 1] if len(items) else items["doc"]
-    return items, items["doc"] > first
+    first = items[new][np.cumsum(new) - 1]
+    later = items["doc"] > first["doc"]
+    # A row that comes twice has its windows twice, at the same starts: they do not repeat each other.
+    return items, later | (items["at"] > first["at"]) if same_doc else later
 
 
 def group_of(doc: np.ndarray, groups: int) -> np.ndarray:

@@ -136,9 +136,9 @@ def exact_dedup(docs: DataFrame, text: str = "text", doc: str = "doc_id", table_
 
 def drop_copies(docs: DataFrame, table_bytes: int = 64 << 20) -> DataFrame:
     """``docs`` without the copies: of equal texts, one row with the largest doc_id stays."""
-    groups = duplicate_groups(docs, table_bytes).select(F.col("digest").alias("g_digest"), "top")
+    groups = duplicate_groups(docs, table_bytes).select(F.col("digest").alias("__digest"), F.col("top").alias("__top"))
     digest = F.unhex(F.sha2(F.encode(F.coalesce(F.col("text"), F.lit("")), "UTF-8"), 256))
-    return docs.join(groups, (digest == F.col("g_digest")) & (F.coalesce(F.col("doc_id").cast("long"), F.lit(NONE)) == F.col("top")), "left_semi")
+    return docs.join(groups, (digest == F.col("__digest")) & (F.coalesce(F.col("doc_id").cast("long"), F.lit(NONE)) == F.col("__top")), "left_semi")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -101,25 +101,29 @@ def fences(measured: DataFrame, spread: int = SPREAD, least: int = LEAST) -> Dat
 
 
 def judge(measured: DataFrame, spread: int = SPREAD, least: int = LEAST) -> DataFrame:
-    """``measured`` with ``base_failed`` and ``kept``; ``measured`` should be cheap to read twice."""
+    """``measured`` with ``base_failed`` and ``kept``.
+
+    The measures are cut first: a few numbers a document, read twice, and no
+    filter on them may pull the counting of windows into itself.
+    """
+    measured = common.cut(measured)
     limits = fences(measured, spread, least)
     # One row per language and source: AQE broadcasts it only if its measured size allows.
     own = limits.where(~F.col("whole")).select(F.col("lang").alias("f_lang"), F.col("source").alias("f_source"), *[F.col(f"{n}_fence").alias(f"{n}_own") for n in RATIOS])
-    whole = F.broadcast(limits.where("whole").select(*[F.col(f"{n}_fence").alias(f"{n}_all") for n in RATIOS]).agg(*[F.max(f"{n}_all").alias(f"{n}_all") for n in RATIOS]))  # one row
-    joined = measured.join(own, measured.lang.cast("string").eqNullSafe(F.col("f_lang")) & measured.source.cast("string").eqNullSafe(F.col("f_source")), "left").join(whole, F.lit(True), "left")
+    whole = limits.where("whole").first()  # one row: a number per ratio
+    joined = measured.join(own, measured.lang.cast("string").eqNullSafe(F.col("f_lang")) & measured.source.cast("string").eqNullSafe(F.col("f_source")), "left")
     fine = F.lit(True)
     for n in RATIOS:
-        fine = fine & (ratio(n) <= F.coalesce(F.col(f"{n}_own"), F.col(f"{n}_all"), F.lit(RATIOS[n][3])))
+        fine = fine & (ratio(n) <= F.coalesce(F.col(f"{n}_own"), F.lit(whole[f"{n}_fence"] if whole else RATIOS[n][3])))
     return joined.select(*measured.columns, base_failed().alias("base_failed"), (~base_failed() & fine).alias("kept"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    measured = common.cut(measure(common.documents(spark, sf_dir)))  # a few numbers a document; read twice
-    return judge(measured).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+    return judge(measure(common.documents(spark, sf_dir))).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that pass, with all their columns."""
-    measured = common.cut(measure(docs.select("doc_id", "lang", "source", "text", F.xxhash64("text").alias("_hash")), extra=("_hash",)))
-    kept = judge(measured).where("kept").select(F.col("doc_id").alias("k_doc"), F.col("_hash").alias("k_hash")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("k_doc")) & (F.xxhash64("text") == F.col("k_hash")), "left_semi")
+    measured = measure(docs.select("doc_id", "lang", "source", "text", F.xxhash64("text").alias("_hash")), extra=("_hash",))
+    kept = judge(measured).where("kept").select(F.col("doc_id").alias("__doc"), F.col("_hash").alias("__hash")).distinct()
+    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("__doc")) & (F.xxhash64("text") == F.col("__hash")), "left_semi")
