@@ -45,7 +45,7 @@ def sample(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_chars: int =
     # Two steps, so that no task sorts all documents of a language.
     first = rows.select("*", F.row_number().over(Window.partitionBy("lang", F.pmod("h", F.lit(SPREAD))).orderBy("h", "doc_id")).alias("r")).where(F.col("r") <= sample_docs)
     chosen = first.select("doc_id", "lang", "h", F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id")).alias("n")).where(F.col("n") <= sample_docs).select("doc_id", "h", "n").distinct()
-    texts = docs.where(~held_out() & F.col("lang").isNotNull()).join(F.broadcast(chosen), "doc_id").select("lang", "n", "doc_id", F.substring("text", 1, sample_chars).alias("text"))
+    texts = docs.where(~held_out() & F.col("lang").isNotNull()).select("doc_id", "lang", "text").join(F.broadcast(chosen), "doc_id").select("lang", "n", "doc_id", F.substring("text", 1, sample_chars).alias("text"))
     out: dict[str, str] = {}
     for lang, _, _, text in sorted((tuple(r) for r in texts.collect()), key=lambda r: (r[0], r[1], r[2], r[3] or "")):  # at most sample_docs short texts a language
         if len(out.get(lang, "")) < sample_chars:
