@@ -8,18 +8,18 @@ Jaccard distance is a metric, and the join works in it with pivots:
    its smallest hashes (about half of them), a count of how many of these any
    other document sends too comes back, and nodes with too few are alone: by the
    prefix argument below they cannot have a link.
-3. Regions: two linked sets share one of the ``n // 5 + 1`` smallest hashes of
-   each, so every such hash holds a region of the nodes that carry it.  Each
-   region has a pivot: the most central node in it, the one whose smallest
-   hashes are held by most others.  A node belongs to the Voronoi cell of the
-   pivot it meets in most regions, and is compared with that one first.
+3. Regions: in an order of all hashes, rarest first, two linked sets share one
+   of the first ``n // 5 + 1`` of each, so every such hash holds a region of the
+   nodes that carry it there.  Each region has a pivot: the most central node in
+   it, the one whose hashes most others hold.  A node belongs to the Voronoi
+   cell of the pivot it meets in most regions, and is compared with that one
+   first.
 4. A node within the radius of its pivot is linked to it, and two nodes linked
    to one pivot need no comparison: they are in one component.  What is left of
    a region are nodes of other components; sizes that differ too much rule a
-   pair out (the triangle inequality at the empty set), and so do distances to
-   a common pivot that differ by more than the radius.  These nodes join
-   again with the next pivot, and so on, until regions are of one component or
-   small enough to compare their few remaining pairs directly.
+   pair out (the triangle inequality at the empty set).  They join again with
+   the next pivot; after ``PIVOTS`` turns the few nodes that are still outside
+   a region's largest component are compared with the rest of the region.
 
 Every link between different components is found, so components are exact; no
 region is ever collected into one task, and no pairs are made inside a
@@ -45,7 +45,7 @@ from pyspark.sql import functions as F
 from . import common
 from .hashing import TO_LOWER, mix, spans, word_bounds
 
-SHINGLE, SMALL_REGION, BROADCAST_IDS, BLOCK, FLUSH = 5, 48, 1_000_000, 2 << 20, 3_000_000
+SHINGLE, PIVOTS, BROADCAST_IDS, BLOCK, FLUSH = 5, 2, 1_000_000, 2 << 20, 3_000_000
 NONE = -(2**63)
 
 
@@ -281,6 +281,9 @@ def merged(comp: DataFrame, links: DataFrame) -> DataFrame:
     here = comp.select(F.col("node").alias("a"), F.col("comp").alias("ca"))
     there = comp.select(F.col("node").alias("b"), F.col("comp").alias("cb"))
     edges = links.join(here, "a").join(there, "b").where("ca <> cb").select("ca", "cb")
+    edges = common.written(edges)
+    if edges.isEmpty():
+        return comp
     edges = common.written(edges.union(edges.select("cb", "ca")).distinct())
     label = common.written(edges.groupBy("ca").agg(F.least(F.col("ca"), F.min("cb")).alias("to")))
     while True:
@@ -297,45 +300,50 @@ def merged(comp: DataFrame, links: DataFrame) -> DataFrame:
 def link_nodes(sets: DataFrame) -> DataFrame:
     """``node, comp``: components of the links between sets."""
 
-    def smallest(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def every(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            keys = [np.frombuffer(h, "<i8", int(n) // 5 + 1) for h, n in zip(f["hashes"], f["n"])]
-            k = [len(x) for x in keys]
-            yield pd.DataFrame({"region": np.concatenate(keys) if keys else np.zeros(0, np.int64), "node": np.repeat(f["node"].to_numpy(), k), "n": np.repeat(f["n"].to_numpy(), k)})
-
-    carried = sets.mapInPandas(smallest, "region long, node long, n long")
-    held = carried.groupBy("region").agg(F.count(F.lit(1)).alias("held")).where("held > 1")
-    regions = common.written(carried.join(held, "region"))
+            for at in range(0, len(f), 200):
+                part = f.iloc[at : at + 200]
+                k = part["n"].to_numpy()
+                yield pd.DataFrame({"region": np.concatenate([np.frombuffer(h, "<i8") for h in part["hashes"]]), "node": np.repeat(part["node"].to_numpy(), k), "n": np.repeat(k, k)})
+
+    # Rarest first: what many nodes hold by chance or as a common passage does not make regions.
+    carried = sets.mapInPandas(every, "region long, node long, n long")
+    held = carried.groupBy("region").agg(F.count(F.lit(1)).alias("held"))
+    rare = carried.join(held, "region").groupBy("node", "n").agg(F.sort_array(F.collect_list(F.struct("held", "region"))).alias("all"))
+    prefix = F.slice("all", F.lit(1), F.expr("cast(n div 5 + 1 as int)"))
+    regions = rare.select("node", "n", F.explode(F.filter(prefix, lambda x: x["held"] > 1)).alias("r")).select("r.region", "node", "n", "r.held")
+    regions = common.written(regions)
     central = regions.groupBy("node").agg((F.sum("held") / F.max(F.expr("n div 5 + 1"))).alias("central"))
     regions = common.written(regions.join(central, "node").select("region", "node", "n", F.struct("central", "node", "n").alias("rank")))
     comp = common.written(sets.select("node", F.col("node").alias("comp")))
     last = None
-    for turn in range(10**6):
+    for turn in range(PIVOTS + 1):
         here = regions.join(comp, "node")
-        if last is not None:
+        if last is not None:  # what is left of a region: nodes that were no pivot yet
             here = here.join(last, "region").where(F.col("rank") < F.col("last")).drop("last")
-        # What is left of a region: nodes that were no pivot yet; one component needs no more.
         left = common.written(here)
-        pivots = left.groupBy("region").agg(F.max("rank").alias("pivot"), F.max_by("comp", "rank").alias("pivot_comp"), F.min("comp").alias("c1"), F.max("comp").alias("c2"), F.count(F.lit(1)).alias("size"))
+        # One component needs no more.
+        pivots = left.groupBy("region").agg(F.max("rank").alias("pivot"), F.max_by("comp", "rank").alias("pivot_comp"), F.min("comp").alias("c1"), F.max("comp").alias("c2"))
         pivots = common.written(pivots.where("c1 <> c2").drop("c1", "c2"))
         if pivots.isEmpty():
-            return comp
-        near = F.expr("5 * least(n, pivot.n) >= 4 * greatest(n, pivot.n)")
-        big = pivots if turn < 2 else pivots.where(F.col("size") > SMALL_REGION)
-        pairs = left.join(big, "region").where(near & (F.col("comp") != F.col("pivot_comp"))).groupBy(F.col("node").alias("a"), F.col("pivot.node").alias("b")).agg(F.count(F.lit(1)).alias("regions"))
-        if turn >= 2:  # the few pairs that small regions still hold
-            one = left.join(pivots.where(F.col("size") <= SMALL_REGION).select("region"), "region")
-            two = one.select("region", F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("comp").alias("comp_b"))
-            few = one.join(two, "region").where("node < b and comp <> comp_b and 5 * least(n, n_b) >= 4 * greatest(n, n_b)")
-            pairs = pairs.union(few.groupBy(F.col("node").alias("a"), "b").agg(F.count(F.lit(1)).alias("regions")))
+            break
+        if turn < PIVOTS:
+            near = F.expr("5 * least(n, pivot.n) >= 4 * greatest(n, pivot.n)")
+            pairs = left.join(pivots, "region").where(near & (F.col("comp") != F.col("pivot_comp"))).groupBy(F.col("node").alias("a"), F.col("pivot.node").alias("b")).agg(F.count(F.lit(1)).alias("regions"))
+        else:  # the nodes outside a region's largest component, against what else is left of it
+            parts = left.join(pivots.select("region"), "region", "left_semi").groupBy("region", "comp").agg(F.count(F.lit(1)).alias("k"))
+            largest = parts.groupBy("region").agg(F.max_by("comp", F.struct("k", "comp")).alias("largest"))
+            few = left.join(largest, "region").where("comp <> largest").select("region", F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("comp").alias("comp_a"))
+            both = few.join(left, "region").where("comp <> comp_a and 5 * least(n, n_a) >= 4 * greatest(n, n_a)")
+            pairs = both.groupBy(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).agg(F.count(F.lit(1)).alias("regions"))
         pairs = common.written(pairs)
-        home = pairs.groupBy("a").agg(F.max_by("b", F.struct("regions", "b")).alias("b"))
+        home = common.written(pairs.groupBy("a").agg(F.max_by("b", F.struct("regions", "b")).alias("b")))
         comp = merged(comp, alike(home, sets))
-        rest = pairs.select("a", "b").join(home.withColumnRenamed("b", "home"), "a").where("b <> home").select("a", "b")
+        rest = pairs.select("a", "b").join(home, ["a", "b"], "left_anti")
         still = rest.join(comp.select(F.col("node").alias("a"), F.col("comp").alias("ca")), "a").join(comp.select(F.col("node").alias("b"), F.col("comp").alias("cb")), "b").where("ca <> cb").select("a", "b")
         comp = merged(comp, alike(still, sets))
-        done = pivots.select("region", F.col("pivot").alias("last"))
-        last = common.written(done if turn < 2 else done.join(big.select("region"), "region", "left_semi"))
+        last = common.written(pivots.select("region", F.col("pivot").alias("last")))
     return comp
 
 
@@ -364,8 +372,8 @@ def join_documents(docs: DataFrame) -> DataFrame:
 
 def drop_near_copies(docs: DataFrame) -> DataFrame:
     """``docs`` with one document of each component: the one whose id is the component's."""
-    keep = join_documents(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("k")).distinct()
-    return docs.join(keep, F.col("doc_id").eqNullSafe(F.col("k")), "left_semi")
+    keep = join_documents(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__k")).distinct()
+    return docs.join(keep, F.col("doc_id").eqNullSafe(F.col("__k")), "left_semi")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
