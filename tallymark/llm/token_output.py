@@ -1,11 +1,12 @@
 """Token-ID output in training order: a keyed permutation gives every sequence its slot.
 
-Every document is encoded (SentencePiece ids) and cut into sequences of up to
+Every document is encoded (a byte-level BPE vocabulary, read by tiktoken) and cut into sequences of up to
 ``SEQ_TOKENS`` ids.  Sequences get dense numbers 0..N-1 in two steps (documents
-dealt by hash, offsets by running sums over the few hash buckets), and a keyed
+dealt by hash, offsets by running sums over the few hash buckets; only counts
+travel for it), and a keyed
 Feistel network with cycle-walking maps number to slot, a permutation of 0..N-1
-that needs no sort and no state.  Slots are dealt by range to shards; a task
-writes its shards one after another, record k of a shard at byte
+that needs no sort and no state.  Slots are dealt by range to parts of whole
+shards, many sequences to a compressed row; a task writes its shards one after another, record k of a shard at byte
 ``k * stride``, so a reader can start anywhere and read on in order.
 
 A record holds the number of ids and the ids, padded to the stride (both as
@@ -18,19 +19,39 @@ numbered apart; a null doc_id is a document like others; no rows, no shards.
 
 from __future__ import annotations
 
+import base64
+import functools
 import hashlib
 import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common
-from .sentencepiece_codec import batches, codec, default_model
 
-SEQ_TOKENS, SHARD_RECORDS, KEY, ROUNDS, WIDTH = 512, 8192, 0x5DEECE66D, 6, 2
+SEQ_TOKENS, SHARD_RECORDS, KEY, ROUNDS, WIDTH, BROADCAST_DOCS = 256, 16384, 0x5DEECE66D, 6, 2, 1_000_000
+NONE = -(2**63)  # a null doc_id
+
+
+def default_vocabulary() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+
+
+@functools.lru_cache(maxsize=2)
+def encoder(path: str):
+    """One encoder per worker process and vocabulary."""
+    import public_tokenizers
+    import tiktoken
+
+    with open(path, "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -55,80 +76,122 @@ def permute(number: np.ndarray, n: int, key: int = KEY, rounds: int = ROUNDS) ->
     return out.astype(np.int64)
 
 
-def sequences(docs: DataFrame, model: str | None = None, seq_tokens: int = SEQ_TOKENS, width: int = WIDTH) -> DataFrame:
+def sequences(docs: DataFrame, vocabulary: str | None = None, seq_tokens: int = SEQ_TOKENS, width: int = WIDTH) -> DataFrame:
     """``doc_id, row_key, seq, n_tokens, ids``: the ids of each sequence as bytes."""
-    path = model or default_model()
+    path = vocabulary or default_vocabulary()
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        c = codec(path)
-        if len(c.pieces) > 1 << (8 * width):
+        e = encoder(path)
+        if e.n_vocab > 1 << (8 * width):
             raise ValueError("ids do not fit the width")
         for f in frames:
-            for part in batches(f):
-                rows = []
-                for d, k, ids in zip(part["doc_id"], part["row_key"], c.encode_many(list(part["body"]))):
-                    raw = np.fromstring(ids, dtype=np.int64, sep=",").astype(f"<u{width}") if ids else np.zeros(0)
+            for start in range(0, len(f), 500):
+                part, rows = f.iloc[start : start + 500], []
+                for d, k, text in zip(part["doc_id"], part["row_key"], part["body"]):
+                    raw = e.encode_to_numpy(text).astype(f"<u{width}")
                     rows += [(d, k, i, len(s := raw[at : at + seq_tokens]), s.tobytes()) for i, at in enumerate(range(0, len(raw), seq_tokens))]
                 yield pd.DataFrame(rows, columns=["doc_id", "row_key", "seq", "n_tokens", "ids"])
 
-    rows = docs.select(F.col("doc_id").cast("string").alias("doc_id"), F.xxhash64("doc_id", "text").alias("row_key"), F.coalesce("text", F.lit("")).alias("body"))
+    # Rows that repeat get keys of their own, so each has its own numbers.
+    key = F.xxhash64("doc_id", "text", F.monotonically_increasing_id())
+    rows = docs.select(F.col("doc_id").cast("string").alias("doc_id"), key.alias("row_key"), F.coalesce("text", F.lit("")).alias("body"))
     return rows.mapInPandas(run, "doc_id string, row_key long, seq int, n_tokens int, ids binary").withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 def number(seqs: DataFrame) -> tuple[DataFrame, int]:
-    """``seqs`` with dense ``number``; and how many there are.  ``seqs`` should be cheap to read twice."""
+    """``seqs`` with dense ``number``; and how many there are.  ``seqs`` is read twice, its ids once."""
     spark = seqs.sparkSession
     n_buckets = max(64, common.parallel(seqs) * 4)
-    dealt = seqs.withColumn("bucket", F.pmod(F.xxhash64(F.col("row_key"), F.col("seq")), F.lit(n_buckets)).cast("int"))
-    counts = {r["bucket"]: r["n"] for r in dealt.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).collect()}  # n_buckets rows at most
+    per_doc = seqs.groupBy("row_key").agg(F.max("seq").alias("last")).select("row_key", (F.col("last") + 1).cast("long").alias("n"), F.pmod("row_key", F.lit(n_buckets)).cast("int").alias("bucket"))
+    per_doc = common.written(per_doc)
+    counts = {r["bucket"]: r["n"] for r in per_doc.groupBy("bucket").agg(F.sum("n").alias("n")).collect()}  # n_buckets rows at most
     offsets, total = [], 0
     for b in range(n_buckets):
         offsets.append((b, total))
         total += counts.get(b, 0)
-    offset = F.broadcast(spark.createDataFrame(offsets, "bucket int, first long"))  # n_buckets rows
-    nth = F.row_number().over(Window.partitionBy("bucket").orderBy("row_key", "seq"))
-    return dealt.withColumn("nth", nth).join(offset, "bucket").select(*seqs.columns, (F.col("first") + F.col("nth") - 1).alias("number")), total
+    offset = F.broadcast(spark.createDataFrame(offsets, "bucket int, offset long"))  # n_buckets rows
+    before = F.sum("n").over(Window.partitionBy("bucket").orderBy("row_key")) - F.col("n")
+    first = per_doc.withColumn("before", before).join(offset, "bucket").select("row_key", (F.col("offset") + F.col("before")).alias("first"))
+    if per_doc.count() <= BROADCAST_DOCS:  # two numbers a document; beyond that a shuffled join
+        first = F.broadcast(first)
+    return seqs.join(first, "row_key").select(*seqs.columns, (F.col("first") + F.col("seq")).alias("number")), total
 
 
-def shards(docs: DataFrame, out_dir: str, model: str | None = None, seq_tokens: int = SEQ_TOKENS, shard_records: int = SHARD_RECORDS, key: int = KEY, width: int = WIDTH) -> DataFrame:
+def shards(docs: DataFrame, out_dir: str, vocabulary: str | None = None, seq_tokens: int = SEQ_TOKENS, shard_records: int = SHARD_RECORDS, key: int = KEY, width: int = WIDTH) -> DataFrame:
     """Write the shards; a row per sequence: ``slot, shard, byte_at, doc_id, seq, n_tokens, record_sha256``."""
-    seqs = common.cut(sequences(docs, model, seq_tokens, width))
+    seqs = common.written(sequences(docs, vocabulary, seq_tokens, width))
     numbered, n = number(seqs)
     stride = width * (seq_tokens + 1)
 
-    @F.pandas_udf("long")
-    def slot_of(x: pd.Series) -> pd.Series:
-        return pd.Series(permute(x.to_numpy(), n, key))
+    n_shards = max(1, -(-n // shard_records))
+    n_parts = min(n_shards, 2 * common.parallel(docs))
+
+    def deal(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Sequences by range of slots, many to a compressed row."""
+        held, size = [], 0
+        for f in frames:
+            held.append(f)
+            size += int(f["n_tokens"].sum()) * width
+            if size > 48 << 20:
+                yield pack(pd.concat(held))
+                held, size = [], 0
+        if held:
+            yield pack(pd.concat(held))
+
+    def pack(f: pd.DataFrame) -> pd.DataFrame:
+        slot = permute(f["number"].to_numpy(), n, key)
+        part = slot // shard_records * n_parts // n_shards
+        order = np.lexsort((slot, part))
+        cuts = np.flatnonzero(np.diff(part[order])) + 1
+        rows, z = [], zstandard.ZstdCompressor(level=1)
+        doc, seq, tokens, ids = f["doc"].to_numpy(np.int64), f["seq"].to_numpy("<i4"), f["n_tokens"].to_numpy("<u2"), f["ids"].to_numpy()
+        for s, e in zip([0, *cuts], [*cuts, len(order)]):
+            if e > s:
+                o = order[s:e]
+                rows.append((int(part[o[0]]), z.compress(b"".join([len(o).to_bytes(8, "little"), slot[o].astype("<i8").tobytes(), doc[o].tobytes(), seq[o].tobytes(), tokens[o].tobytes(), *ids[o]]))))
+        return pd.DataFrame(rows, columns=["part", "payload"]).astype({"part": "int32"})
+
+    def unpack(data: bytes) -> tuple[np.ndarray, ...]:
+        raw = zstandard.ZstdDecompressor().decompress(data)
+        m, at, out = int.from_bytes(raw[:8], "little"), 8, []
+        for kind in ("<i8", "<i8", "<i4", "<u2"):
+            out.append(np.frombuffer(raw, kind, m, at))
+            at += m * np.dtype(kind).itemsize
+        end = at + np.cumsum(out[3].astype(np.int64)) * width
+        ids = np.empty(m, object)
+        ids[:] = [raw[s:e] for s, e in zip([at, *end[:-1]], end)]
+        return (*out, ids)
 
     def write(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyarrow import fs
 
+        got: dict[int, list[bytes]] = {}
+        for f in frames:
+            for p, b in zip(f["part"], f["payload"]):
+                got.setdefault(int(p), []).append(bytes(b))
+        if not got:
+            return
         store, root = fs.FileSystem.from_uri(out_dir)
         store.create_dir(root, recursive=True)
-        shard, file, name = None, None, ""
-
-        def close():
-            if file is not None:
-                file.close()
-                store.move(f"{root}/{name}", f"{root}/shard-{shard:08d}.bin")
-
-        for f in frames:  # sorted by slot
-            digests = []
-            for s, size, ids in zip(f["shard"], f["n_tokens"], f["ids"]):
-                if s != shard:
-                    close()
-                    shard, name = s, f"_writing-{uuid.uuid4().hex}"
-                    file = store.open_output_stream(f"{root}/{name}")
-                record = (int(size).to_bytes(width, "little") + bytes(ids)).ljust(stride, b"\0")
-                file.write(record)
-                digests.append(hashlib.sha256(record).hexdigest())
-            yield pd.DataFrame({"slot": f["slot"], "shard": f["shard"], "byte_at": (f["slot"] % shard_records) * stride, "doc_id": f["doc_id"], "seq": f["seq"], "n_tokens": f["n_tokens"], "record_sha256": digests})
-        close()
-
-    placed = numbered.withColumn("slot", slot_of("number")).withColumn("shard", F.expr(f"slot div {shard_records}"))
-    ranged = placed.withColumn("doc_id", F.col("doc_id").cast("string")).repartitionByRange(common.parallel(docs), "shard").sortWithinPartitions("slot")
-    out = ranged.mapInPandas(write, "slot long, shard long, byte_at long, doc_id string, seq int, n_tokens int, record_sha256 string")
-    return out.withColumn("doc_id", F.col("doc_id").cast("long"))
+        for payloads in got.values():  # one range of slots at a time
+            slot, doc, seq, tokens, ids = (np.concatenate(c) for c in zip(*map(unpack, payloads)))
+            order = np.argsort(slot)
+            shard = slot[order] // shard_records
+            cuts = np.flatnonzero(np.diff(shard)) + 1
+            for s, e in zip([0, *cuts], [*cuts, len(order)]):
+                o, name, digests = order[s:e], f"_writing-{uuid.uuid4().hex}", []
+                with store.open_output_stream(f"{root}/{name}") as file:
+                    for i in o:
+                        record = (int(tokens[i]).to_bytes(width, "little") + ids[i]).ljust(stride, b"\0")
+                        file.write(record)
+                        digests.append(hashlib.sha256(record).hexdigest())
+                store.move(f"{root}/{name}", f"{root}/shard-{int(shard[s]):08d}.bin")
+                yield pd.DataFrame({"slot": slot[o], "shard": shard[s:e], "byte_at": slot[o] % shard_records * stride, "doc": doc[o], "seq": seq[o], "n_tokens": tokens[o].astype(np.int32), "record_sha256": digests})
+
+    rows = numbered.select(F.coalesce("doc_id", F.lit(NONE)).alias("doc"), "seq", "n_tokens", "ids", "number")
+    dealt = rows.mapInPandas(deal, "part int, payload binary").repartition(common.parallel(docs), "part")
+    out = dealt.mapInPandas(write, "slot long, shard long, byte_at long, doc long, seq int, n_tokens int, record_sha256 string")
+    return out.withColumn("doc_id", F.nullif("doc", F.lit(NONE))).drop("doc")
 
 
 def read_records(data: bytes, width: int = WIDTH, seq_tokens: int = SEQ_TOKENS) -> list[list[int]]:
