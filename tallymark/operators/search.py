@@ -2,23 +2,89 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from decimal import ROUND_HALF_UP, Decimal
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..registry import register
 
 
-def dot(a: str, b: str) -> Column:
-    return F.aggregate(F.zip_with(F.col(a).cast("array<double>"), F.col(b).cast("array<double>"), lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+BLOCK, SLICE = 1024, 8192
+
+
+def rounded(x: np.ndarray) -> np.ndarray:
+    """Six decimals, halves away from zero by the shortest decimal form, as Spark's round."""
+    scaled = np.abs(x) * 1e6
+    out = np.sign(x) * np.floor(scaled + 0.5) / 1e6
+    with np.errstate(invalid="ignore"):
+        for at in zip(*np.nonzero(np.abs(scaled - np.floor(scaled) - 0.5) < 1e-6)):
+            out[at] = float(Decimal(repr(float(x[at]))).quantize(Decimal("0.000001"), ROUND_HALF_UP))
+    return out
+
+
+def by_length(vectors: pd.Series) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """Length -> which vectors have it, and their values; null vectors are left out."""
+    size = np.array([-1 if x is None else len(x) for x in vectors])
+    return {int(n): (at, np.array([vectors.iloc[i] for i in at], np.float64).reshape(len(at), n)) for n in np.unique(size[size >= 0]) for at in [np.flatnonzero(size == n)]}
+
+
+def dots(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Inner products of all rows of ``x`` and ``y``, summed in the order of the dimensions."""
+    out = np.zeros((len(x), len(y)))
+    for d in range(x.shape[1]):
+        out += x[:, d, None] * y[None, :, d]
+    return out
+
+
+def norm(x: np.ndarray) -> np.ndarray:
+    out = np.zeros(len(x))
+    for d in range(x.shape[1]):
+        out += x[:, d] * x[:, d]
+    return np.sqrt(out)
+
+
+def best_of(q: pd.DataFrame, v: pd.DataFrame, k: int) -> pd.DataFrame:
+    """The ``k`` best vectors of ``v`` for each row of ``q``; pairs without a cosine come last."""
+    score = np.full((len(v), len(q)), -np.inf)
+    left, right = by_length(v["embedding"]), by_length(q["embedding"])
+    for n in left.keys() & right.keys():
+        (i, x), (j, y) = left[n], right[n]
+        with np.errstate(divide="ignore", invalid="ignore"):
+            cos = dots(x, y) / norm(x)[:, None] / norm(y)[None, :]
+        score[np.ix_(i, j)] = np.where(np.isfinite(cos), rounded(cos), -np.inf)
+    vec, query = v["vec_id"].to_numpy(np.int64), q["vec_id"].to_numpy(np.int64)
+    other = vec[:, None] != query[None, :]
+    score = np.where(other, score, np.nan)  # sorts last and is no pair
+    least = -np.sort(-score, axis=0)[min(k, len(v)) - 1] if len(v) > k else np.full(len(q), -np.inf)
+    i, j = np.nonzero(other & ~(score < least))
+    order = np.lexsort((vec[i], -score[i, j], j))
+    i, j = i[order], j[order]
+    first = np.flatnonzero(np.append(True, j[1:] != j[:-1])) if len(j) else np.zeros(0, int)
+    nth = np.arange(len(j)) - np.repeat(first, np.diff(np.append(first, len(j))))
+    i, j = i[nth < k], j[nth < k]
+    found = score[i, j]
+    return pd.DataFrame({"query_id": query[j], "vec_id": vec[i], "score": pd.Series(found, dtype="float64").where(np.isfinite(found))})
 
 
 def ranked(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
-    """The k most similar vectors (cosine) of each query; the queries are few by contract and broadcast."""
-    q = queries.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
-    pairs = vectors.join(F.broadcast(q), F.col("vec_id") != F.col("query_id"))
-    scored = pairs.select("query_id", "vec_id", F.round(dot("embedding", "q") / F.sqrt(dot("embedding", "embedding")) / F.sqrt(dot("q", "q")), 6).alias("score"))
+    """The k most similar vectors (cosine) of each query.
+
+    Blocks of queries meet slices of vectors, both of bounded size; a task keeps
+    the k best of its slice for each query, and only these are ranked.
+    """
+    q, v = queries.select("vec_id", "embedding").where("vec_id is not null"), vectors.select("vec_id", "embedding").where("vec_id is not null")
+    blocks = -(-max(q.count(), 1) // BLOCK)
+    slices = max(-(-v.count() // SLICE), int(v.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    dealt = lambda n: F.pmod(F.xxhash64("vec_id", "embedding"), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = q.select(dealt(blocks).alias("block"), every(slices).alias("slice"), "vec_id", "embedding")
+    right = v.select(every(blocks).alias("block"), dealt(slices).alias("slice"), "vec_id", "embedding")
+    met = left.groupBy("block", "slice").cogroup(right.groupBy("block", "slice")).applyInPandas(lambda a, b: best_of(a, b, k), "query_id long, vec_id long, score double")
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return met.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
 QUERIES = "vec_id % 100 = 0"

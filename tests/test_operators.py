@@ -67,3 +67,18 @@ def test_streams_over_landed_files(spark, tmp_path):
     schema = spark.read.parquet(str(tmp_path / "in")).schema
     got = streams.run_once(streams.deduped(streams.ingest(spark, str(tmp_path / "in"), schema), "id", "ts", "1 day"))
     assert sorted(r.id for r in got.collect()) == [1, 2, 3]
+
+
+def test_search_keeps_a_top_k_per_slice(spark):
+    rows = [(i, [float((i * 7) % 5 - 2), float((i * 3) % 11 - 5), 1.0]) for i in range(90)] + [(200, None), (201, [1.0]), (202, [0.0, 0.0, 0.0]), (205, [1.0, 2.0, 3.0]), (206, [1.0, 2.0, 3.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = search.ranked(df.where("vec_id % 5 = 0"), df, 4)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoopJoin" not in plan and "CartesianProduct" not in plan and "Broadcast" not in plan
+    cos = lambda x, y: round(sum(a * b for a, b in zip(x, y)) / sum(a * a for a in x) ** 0.5 / sum(b * b for b in y) ** 0.5, 6) if x and y and len(x) == len(y) and any(x) and any(y) else None
+    want = []
+    for i, x in rows:
+        if i % 5 == 0:
+            best = sorted(((cos(x, y), j) for j, y in rows if j != i), key=lambda p: (p[0] is None, -(p[0] or 0), p[1]))[:4]
+            want += [(i, j, s, n) for n, (s, j) in enumerate(best, 1)]
+    assert sorted(tuple(r) for r in got.select("query_id", "vec_id", "score", "rank").collect()) == sorted(want)
