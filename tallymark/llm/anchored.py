@@ -6,14 +6,17 @@ row per window.  So every window is filed under an anchor inside it that is
 chosen by content alone: equal windows choose equal anchors.  Neighbouring
 windows with one anchor form a run, and only runs travel:
 
-1. map: runs ``(anchor key, hash of all the run covers, document, start,
+1. map: runs ``(anchor key, hash of all the run covers, document, row, start,
    length)``.  Equal runs of a task are settled at once, so a passage that a
    third of all documents hold leaves a task once.
 2. by anchor key: equal runs are settled (all but the first are repeats).  If an
    anchor has different runs, they may still share some windows: they stay open.
-3. by document: open runs are opened into windows, named by 96 bits of hash.
+3. by row: open runs are opened into windows, named by 96 bits of hash.
 4. by window name: all but the first are repeats.
-5. by document: repeats are laid over the text.
+5. by row: repeats are laid over the text.
+
+The document says what is earlier; a row, a hash of id and text, says where a
+span was found: rows that share an id, or have none, do not share their spans.
 
 Rows are packed into NumPy columns, a binary value per task and target part.
 An anchor with very many different runs in a task (more than ``HOT``) is open
@@ -36,13 +39,14 @@ from .hashing import mix
 
 NONE = -(2**63)  # a null doc_id: before all others
 HOT, FLUSH, HOT_FLAG = 64, 1_500_000, 128
-RUNS = np.dtype([("k", "<u8"), ("r", "<u8"), ("doc", "<i8"), ("at", "<i8"), ("n", "u1")])
-SPANS = RUNS  # spans use doc, at, n only
+RUNS = np.dtype([("k", "<u8"), ("r", "<u8"), ("doc", "<i8"), ("row", "<i8"), ("at", "<i8"), ("n", "u1")])
+SPANS = RUNS  # spans use doc, row, at, n only
 
 
-def rows(k, r, doc, at, n) -> np.ndarray:
-    out = np.empty(len(doc), RUNS)
-    out["k"], out["r"], out["doc"], out["at"], out["n"] = k, r, doc, at, n
+def rows(k, r, ids, at, n) -> np.ndarray:
+    """``ids`` are pairs of document and row."""
+    out = np.empty(len(ids), RUNS)
+    out["k"], out["r"], out["doc"], out["row"], out["at"], out["n"] = k, r, ids[:, 0], ids[:, 1], at, n
     return out
 
 
@@ -52,9 +56,9 @@ def six(x: np.ndarray) -> bytes:
 
 
 def packed(part: np.ndarray, keys: bool) -> bytes:
-    """Columns one after another, documents and starts as differences, compressed."""
+    """Columns one after another, documents and rows as differences, compressed."""
     head = len(part).to_bytes(4, "little") + bytes([keys])
-    cols = [np.diff(part["doc"], prepend=0).tobytes(), part["at"].astype("<i8").view(np.uint8).reshape(-1, 8).T.tobytes(), part["n"].tobytes()]
+    cols = [np.diff(part["doc"], prepend=0).tobytes(), *(x.astype("<i8").view(np.uint8).reshape(-1, 8).T.tobytes() for x in (part["at"], np.diff(part["row"], prepend=0))), part["n"].tobytes()]
     body = zstandard.ZstdCompressor(level=1).compress(b"".join(cols))
     if keys:
         body = len(body).to_bytes(4, "little") + body + six(part["k"]) + six(part["r"])
@@ -78,16 +82,18 @@ def unpacked(data: bytes) -> np.ndarray:
         body = data[5:]
     raw = zstandard.ZstdDecompressor().decompress(body)
     out["doc"] = np.cumsum(np.frombuffer(raw, "<i8", n, 0))
-    out["at"] = np.ascontiguousarray(np.frombuffer(raw, np.uint8, 8 * n, 8 * n).reshape(8, n).T).view("<i8").ravel()
-    out["n"] = np.frombuffer(raw, np.uint8, n, 16 * n)
+    for i, name in ((1, "at"), (2, "row")):
+        out[name] = np.ascontiguousarray(np.frombuffer(raw, np.uint8, 8 * n, 8 * n * i).reshape(8, n).T).view("<i8").ravel()
+    out["row"] = np.cumsum(out["row"])
+    out["n"] = np.frombuffer(raw, np.uint8, n, 24 * n)
     return out
 
 
 def dealt(kind: int, part: np.ndarray, items: np.ndarray) -> Iterator[tuple[int, int, bytes]]:
-    """``items`` by target part, each in order of document and start."""
+    """``items`` by target part, each in order of document, row and start."""
     if not len(items):
         return
-    order = np.lexsort((items["at"], items["doc"], part))
+    order = np.lexsort((items["at"], items["row"], items["doc"], part))
     items, part = items[order], part[order]
     cuts = np.flatnonzero(np.diff(part)) + 1
     for s, e in zip([0, *cuts], [*cuts, len(part)]):
@@ -115,8 +121,8 @@ def settle(items: np.ndarray, same_doc: bool) -> tuple[np.ndarray, np.ndarray]:
     return items, later | (items["at"] > first["at"]) if same_doc else later
 
 
-def group_of(doc: np.ndarray, groups: int) -> np.ndarray:
-    return (mix(doc.view("<u8")) % np.uint64(groups)).astype(np.int32)
+def group_of(row: np.ndarray, groups: int) -> np.ndarray:
+    return (mix(row.view("<u8")) % np.uint64(groups)).astype(np.int32)
 
 
 def send_runs(items: np.ndarray, same_doc: bool, parts: int, groups: int) -> list[tuple[int, int, bytes]]:
@@ -127,12 +133,12 @@ def send_runs(items: np.ndarray, same_doc: bool, parts: int, groups: int) -> lis
     size = np.diff(np.flatnonzero(np.append(new, True)))
     hot = np.repeat(size, size) > HOT
     marks = left[hot & new].copy()
-    marks["r"], marks["n"], marks["doc"], marks["at"] = 0, 0, 0, 0
+    marks["r"], marks["n"], marks["doc"], marks["row"], marks["at"] = 0, 0, 0, 0, 0
     left["n"][hot] |= HOT_FLAG
     part = np.where(hot, mix(left["r"]), mix(left["k"])) % np.uint64(parts)
     marked = np.concatenate([left, marks])
     part = np.concatenate([part, mix(marks["k"]) % np.uint64(parts)]).astype(np.int32)
-    return [*dealt(OPEN, part, marked), *dealt(SETTLED, group_of(gone["doc"], parts), gone)]
+    return [*dealt(OPEN, part, marked), *dealt(SETTLED, group_of(gone["row"], parts), gone)]
 
 
 def by_part(frames: Iterator[pd.DataFrame]) -> dict[int, dict[int, list[bytes]]]:
@@ -154,8 +160,8 @@ def spans_by_group(kind: int, items: np.ndarray, groups: int) -> Iterator[tuple[
 def unpacked_groups(items: np.ndarray, groups: int) -> Iterator[tuple[int, int, np.ndarray]]:
     if not len(items):
         return
-    part = group_of(items["doc"], groups)
-    order = np.lexsort((items["at"], items["doc"], part))
+    part = group_of(items["row"], groups)
+    order = np.lexsort((items["at"], items["row"], items["doc"], part))
     items, part = items[order], part[order]
     cuts = np.flatnonzero(np.diff(part)) + 1
     for s, e in zip([0, *cuts], [*cuts, len(part)]):
@@ -165,7 +171,7 @@ def unpacked_groups(items: np.ndarray, groups: int) -> Iterator[tuple[int, int,
 class Repeats:
     """The five steps for one kind of symbols; see ``suffix_dedup`` and ``recompression_dedup``.
 
-    ``runs(texts)`` yields RUNS arrays of ``(doc, bytes)`` pairs, ``windows(texts,
+    ``runs(texts)`` yields RUNS arrays of ``((doc, row), bytes)`` pairs, ``windows(texts,
     spans)`` names the windows of open spans, ``same_doc`` tells whether an
     earlier start in the same document counts.
     """
@@ -173,21 +179,27 @@ class Repeats:
     width: int
     same_doc: bool
 
-    def runs(self, texts: Iterator[tuple[int, bytes]]) -> Iterator[np.ndarray]:
+    def runs(self, texts: Iterator[tuple[tuple[int, int], bytes]]) -> Iterator[np.ndarray]:
         raise NotImplementedError
 
     def windows(self, text: bytes, spans: np.ndarray) -> np.ndarray:
         raise NotImplementedError
 
     def find(self, docs: DataFrame, finish: Callable[[bytes, np.ndarray], tuple], schema: str) -> DataFrame:
-        """``finish(text, spans)`` for every row, with the spans of repeated windows of its document."""
+        """``finish(text, spans)`` for every row, with the spans of repeated windows found in it."""
         n = common.parallel(docs)
         parts, groups, same_doc = 2 * n, 2 * n, self.same_doc
         body = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NONE)).alias("doc"), F.coalesce(F.encode("text", "UTF-8"), F.lit(b"")).alias("body"))
+        body = body.select("doc", F.xxhash64("doc", "body").alias("row"), "body")
+
+        def of_row(items: np.ndarray, d: int, r: int) -> np.ndarray:
+            """Of ``items`` in order of row and start, those of one row."""
+            s, e = np.searchsorted(items["row"], r, "left"), np.searchsorted(items["row"], r, "right")
+            return items[s:e][items["doc"][s:e] == d]
 
         def anchors(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             held, size = [], 0
-            for got in self.runs((d, bytes(b)) for f in frames for d, b in zip(f["doc"].tolist(), f["body"])):
+            for got in self.runs(((d, r), bytes(b)) for f in frames for d, r, b in zip(f["doc"].tolist(), f["row"].tolist(), f["body"])):
                 held.append(got)
                 size += len(got)
                 if size > FLUSH:
@@ -221,18 +233,18 @@ class Repeats:
         def open_up(text: pd.DataFrame, spans: pd.DataFrame) -> pd.DataFrame:
             kinds = by_part([spans])
             items = joined([p for k in kinds.values() for p in k[OPEN]])
-            items = items[np.lexsort((items["at"], items["doc"]))]
+            items = items[np.lexsort((items["at"], items["row"]))]
             found = []
-            for d, b in zip(text["doc"].tolist(), text["body"]):
-                s, e = np.searchsorted(items["doc"], [d, d], "left")[0], np.searchsorted(items["doc"], d, "right")
-                if e > s:
-                    found.append(self.windows(zstandard.ZstdDecompressor().decompress(bytes(b)), items[s:e]))
-                    found[-1]["doc"] = d
+            for d, r, b in zip(text["doc"].tolist(), text["row"].tolist(), text["body"]):
+                own = of_row(items, d, r)
+                if len(own):
+                    found.append(self.windows(zstandard.ZstdDecompressor().decompress(bytes(b)), own))
+                    found[-1]["doc"], found[-1]["row"] = d, r
             out = [(SETTLED, k % parts, p) for k, v in kinds.items() for p in v[SETTLED]]
             if found:
                 named, repeats = settle(np.concatenate(found), same_doc)
                 gone, left = named[repeats], named[~repeats]
-                out += [*dealt(OPEN, (mix(left["k"]) % np.uint64(parts)).astype(np.int32), left), *dealt(SETTLED, group_of(gone["doc"], parts), gone)]
+                out += [*dealt(OPEN, (mix(left["k"]) % np.uint64(parts)).astype(np.int32), left), *dealt(SETTLED, group_of(gone["row"], parts), gone)]
             return frame(out)
 
         def by_window(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -243,20 +255,19 @@ class Repeats:
 
         def lay_over(text: pd.DataFrame, spans: pd.DataFrame) -> pd.DataFrame:
             items = joined([bytes(p) for p in spans["payload"]])
-            items = items[np.lexsort((items["at"], items["doc"]))]
+            items = items[np.lexsort((items["at"], items["row"]))]
             out = []
-            for d, b in zip(text["doc"].tolist(), text["body"]):
-                s, e = np.searchsorted(items["doc"], d, "left"), np.searchsorted(items["doc"], d, "right")
-                out.append((d, *finish(zstandard.ZstdDecompressor().decompress(bytes(b)), items[s:e])))
+            for d, r, b in zip(text["doc"].tolist(), text["row"].tolist(), text["body"]):
+                out.append((d, *finish(zstandard.ZstdDecompressor().decompress(bytes(b)), of_row(items, d, r))))
             return pd.DataFrame(out, columns=[c.strip().split(" ")[0] for c in f"doc long, {schema}".split(",")])
 
         def grouped(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             pack = zstandard.ZstdCompressor(level=1)
             for f in frames:
-                yield pd.DataFrame({"part": group_of(f["doc"].to_numpy(np.int64), groups), "doc": f["doc"], "body": [pack.compress(bytes(b)) for b in f["body"]]})
+                yield pd.DataFrame({"part": group_of(f["row"].to_numpy(np.int64), groups), "doc": f["doc"], "row": f["row"], "body": [pack.compress(bytes(b)) for b in f["body"]]})
 
         # One exchange of the texts, compressed, serves steps 3 and 5.
-        text = body.mapInPandas(grouped, "part int, doc long, body binary")
+        text = body.mapInPandas(grouped, "part int, doc long, row long, body binary")
         runs = body.mapInPandas(anchors, SCHEMA).repartition(n, "part").mapInPandas(by_anchor, SCHEMA)
         opened = text.groupBy("part").cogroup(runs.groupBy("part")).applyInPandas(open_up, SCHEMA)
         spans = opened.repartition(n, "part").mapInPandas(by_window, SCHEMA)

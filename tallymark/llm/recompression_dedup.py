@@ -18,8 +18,8 @@ parts of a long run: their zone stays short.
 Removed is each word covered by a window of 20 words that also starts earlier
 (a smaller doc_id, or an earlier start in the same document).  Defined results:
 null has no words; a null doc_id comes first; rows that repeat a doc_id are the
-same document: windows at equal starts count as one, and spans found for either
-are laid over both; fewer than 20 words lose nothing.  Extra columns are
+same document: windows at equal starts count as one, and each row loses only
+what it repeats itself; fewer than 20 words lose nothing.  Extra columns are
 ignored.
 """
 
@@ -102,7 +102,7 @@ class WordRepeats(Repeats):
     def __init__(self, width: int = WIDTH, rounds: int = ROUNDS) -> None:
         self.width, self.rounds = width, rounds
 
-    def runs(self, texts: Iterator[tuple[int, bytes]]) -> Iterator[np.ndarray]:
+    def runs(self, texts: Iterator[tuple[tuple[int, int], bytes]]) -> Iterator[np.ndarray]:
         held, size = [], 0
         for doc, text in texts:
             held.append((doc, text))
@@ -113,7 +113,7 @@ class WordRepeats(Repeats):
         if held:
             yield from self.block_runs(held)
 
-    def block_runs(self, texts: list[tuple[int, bytes]]) -> Iterator[np.ndarray]:
+    def block_runs(self, texts: list[tuple[tuple[int, int], bytes]]) -> Iterator[np.ndarray]:
         data = np.frombuffer(b" ".join(t for _, t in texts), np.uint8)
         length = np.array([len(t) + 1 for _, t in texts], np.int64)
         cuts = np.cumsum(length) - length

@@ -13,7 +13,7 @@ in the next one without a global renumbering.
 Removed is each byte covered by a 50-byte string that also starts in a document
 with a smaller doc_id.  Defined results: null is empty; a null doc_id is smaller
 than all others; rows that repeat a doc_id are one document for the rule "in a
-smaller document", and spans found for either are laid over both; a text
+smaller document", and each loses only what it repeats itself; a text
 shorter than 50 bytes loses nothing.  Extra columns are ignored.
 """
 
@@ -32,8 +32,8 @@ from .hashing import mix, spans
 WIDTH, GRAM, BLOCK = 50, 20, 2 << 20
 
 
-def blocks(texts: Iterator[tuple[int, bytes]], width: int, size: int = BLOCK) -> Iterator[tuple[bytes, list[tuple[int, int, int, int]]]]:
-    """Bytes of about ``size`` and their pieces ``(doc, offset in doc, start, windows)``; long texts come in overlapping parts."""
+def blocks(texts: Iterator[tuple[tuple[int, int], bytes]], width: int, size: int = BLOCK) -> Iterator[tuple[bytes, list[tuple[tuple[int, int], int, int, int]]]]:
+    """Bytes of about ``size`` and their pieces ``((doc, row), offset in doc, start, windows)``; long texts come in overlapping parts."""
     data, pieces, at = [], [], 0
     for doc, text in texts:
         for off in range(0, max(len(text) - width + 1, 0), size):
@@ -54,7 +54,7 @@ class ByteRepeats(Repeats):
     def __init__(self, width: int = WIDTH, gram: int = GRAM) -> None:
         self.width, self.gram = width, gram
 
-    def runs(self, texts: Iterator[tuple[int, bytes]]) -> Iterator[np.ndarray]:
+    def runs(self, texts: Iterator[tuple[tuple[int, int], bytes]]) -> Iterator[np.ndarray]:
         for data, pieces in blocks(texts, self.width):
             yield self.block_runs(np.frombuffer(data, np.uint8), pieces)
 
@@ -80,9 +80,9 @@ class ByteRepeats(Repeats):
         first = np.flatnonzero(real & new[:m])
         stop = np.append(real[1:], False)
         last = np.flatnonzero(real & (new[1:] | ~stop))
-        piece = np.array([(d, off, start) for d, off, start, _ in pieces], np.int64)
-        own = piece[np.searchsorted(piece[:, 2], first, "right") - 1]
-        return rows(bucket[where[first]], h.of(prefix, first, last + width), own[:, 0], first - own[:, 2] + own[:, 1], last - first + 1)
+        piece = np.array([(d, row, off, start) for (d, row), off, start, _ in pieces], np.int64)
+        own = piece[np.searchsorted(piece[:, 3], first, "right") - 1]
+        return rows(bucket[where[first]], h.of(prefix, first, last + width), own[:, :2], first - own[:, 3] + own[:, 2], last - first + 1)
 
     def windows(self, text: bytes, open_spans: np.ndarray) -> np.ndarray:
         data = np.frombuffer(text, np.uint8)

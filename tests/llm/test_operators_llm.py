@@ -176,6 +176,20 @@ def test_recompression_dedup(docs, rows, empty):
     assert recompression_dedup.dedup_passages(empty).count() == 0
 
 
+def test_rows_of_one_id_lose_only_their_own_repeats(spark):
+    rng = random.Random(8)
+    fresh = lambda n: ["".join(rng.choice("abcdefgh") for _ in range(7)) for _ in range(n)]
+    passage = fresh(25)
+    early, late, clean = fresh(100) + passage + fresh(300), fresh(300) + passage + fresh(100), fresh(500)
+    for doc in (None, 7):
+        df = spark.createDataFrame([(doc, " ".join(w)) for w in (early, late, clean)], "doc_id long, text string").repartition(3)
+        kept = {bytes(r.kept).decode() for r in recompression_dedup.dedup_passages(df).collect()}
+        assert kept == {" ".join(early), " ".join(late[:300] + late[325:]), " ".join(clean)}
+    df = spark.createDataFrame([(1, " ".join(early)), (7, " ".join(late)), (7, " ".join(clean))], "doc_id long, text string").repartition(3)
+    got = {(r.doc_id, r.n_bytes): r.n_removed for r in suffix_dedup.dedup_spans(df).collect()}
+    assert got[1, len(" ".join(early))] == 0 and got[7, len(" ".join(clean))] == 0 and got[7, len(" ".join(late))] >= len(" ".join(passage))
+
+
 def test_recompression_is_local():
     """Equal stretches have equal symbols wherever the zone lies inside."""
     rng = np.random.RandomState(1)
