@@ -64,6 +64,11 @@ def sha256_text(c: Column) -> Column:
     return F.sha2(F.encode(c, "UTF-8"), 256)
 
 
+def one_each(rows: DataFrame, key: str, columns: list[str]) -> DataFrame:
+    """One row of each ``key``: the least by all ``columns``, so that reruns agree."""
+    return rows.groupBy(key).agg(F.min(F.struct(*columns)).alias("least")).select("least.*")
+
+
 def parallel(df: DataFrame, least: int = 1) -> int:
     """Partitions for one shuffle: what the session sets for shuffles."""
     return max(least, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))

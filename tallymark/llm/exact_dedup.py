@@ -136,9 +136,13 @@ def exact_dedup(docs: DataFrame, text: str = "text", doc: str = "doc_id", table_
 
 def drop_copies(docs: DataFrame, table_bytes: int = 64 << 20) -> DataFrame:
     """``docs`` without the copies: of equal texts, one row with the largest doc_id stays."""
-    groups = duplicate_groups(docs, table_bytes).select(F.col("digest").alias("__digest"), F.col("top").alias("__top"))
+    groups = common.written(duplicate_groups(docs, table_bytes).select(F.col("digest").alias("__digest"), F.col("top").alias("__top"), "n"))
     digest = F.unhex(F.sha2(F.encode(F.coalesce(F.col("text"), F.lit("")), "UTF-8"), 256))
-    return docs.join(groups, (digest == F.col("__digest")) & (F.coalesce(F.col("doc_id").cast("long"), F.lit(NONE)) == F.col("__top")), "left_semi")
+    top = (digest == F.col("__digest")) & (F.coalesce(F.col("doc_id").cast("long"), F.lit(NONE)) == F.col("__top"))
+    # Rows of one text may tie for the largest id, or all have none: one of them stays.
+    once = docs.join(groups.where("n = 1").drop("n"), top, "left_semi")
+    ties = docs.join(groups.where("n > 1").drop("n"), top)
+    return once.unionByName(common.one_each(ties, "__digest", docs.columns))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

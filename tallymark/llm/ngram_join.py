@@ -115,7 +115,7 @@ def unpack(data: bytes, *kinds: str) -> list[np.ndarray]:
     return out
 
 
-STATS = ("<i8", "<u8", "<u8")
+STATS = ("<i8", "<i8", "<i8")
 ENTRY, COUNT, STAT = 0, 1, 2
 SCHEMA = "kind int, part int, payload binary"
 
@@ -133,32 +133,58 @@ def slices(part: np.ndarray, *more: np.ndarray) -> Iterator[tuple[int, slice, np
             yield int(part[order[s]]), order[s:e]
 
 
+def distinct(doc: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs in order of hash and node, each once."""
+    order = np.lexsort((doc, h))
+    doc, h = doc[order], h[order]
+    new = np.ones(len(h), bool)
+    new[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
+    return doc[new], h[new]
+
+
 def counted(doc: np.ndarray, groups: int) -> Iterator[tuple[int, int, bytes]]:
-    """How often each document stands in ``doc``, packed by group of documents."""
+    """How often each node stands in ``doc``, packed by group of nodes."""
     ids, n = np.unique(doc, return_counts=True)
     part = (mix(ids.view("<u8")) % np.uint64(groups)).astype(np.int32)
     for p, rows in slices(part, ids):
         yield COUNT, p, pack(ids[rows], n[rows].astype("<i4"))
 
 
-def shared_hashes(docs: DataFrame, whole: bool = False) -> DataFrame:
-    """``doc, n, sig1, sig2, shared`` of every row: how many of its sent hashes other documents send too.
+def keyed(docs: DataFrame) -> DataFrame:
+    """``doc, row, body`` of every row; ``row`` tells texts apart that share an id, or have none."""
+    body = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NONE)).alias("doc"), F.coalesce(F.encode("text", "UTF-8"), F.lit(b"")).alias("body"))
+    return body.select("doc", F.xxhash64("doc", "body").alias("row"), "body")
+
+
+def set_keys(n: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """The node of each set: a hash of all its shingles; 0 for the empty set."""
+    begin = np.cumsum(n) - n
+    total = []
+    for salt in (0, 0x5851F42D4C957F2D):
+        prefix = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mix(h ^ np.uint64(salt)), dtype=np.uint64)))
+        total.append(prefix[begin + n] - prefix[begin])
+    node = mix(mix(total[0]) + total[1] * np.uint64(0x9E3779B97F4A7C15) + n.astype(np.uint64))
+    return np.where(n > 0, node, np.uint64(0)).view("<i8")
 
-    ``whole`` sends whole sets, and then four fifths are needed.
+
+def shared_hashes(body: DataFrame, whole: bool = False) -> DataFrame:
+    """``doc, row, n, node`` of every row of ``keyed``, and rows ``node, shared``, to be summed by node.
+
+    ``shared`` counts the sent hashes of a node that other nodes send too (those
+    of copies in several tasks perhaps more than once).  ``whole`` sends whole
+    sets.
     """
-    n_parts = common.parallel(docs)
+    n_parts = common.parallel(body)
     parts, groups = 2 * n_parts, 2 * n_parts
-    body = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NONE)).alias("doc"), F.coalesce(F.encode("text", "UTF-8"), F.lit(b"")).alias("body"))
 
     def flush(docs_of: list, hashes: list) -> pd.DataFrame:
         doc, h = np.concatenate(docs_of), np.concatenate(hashes)
-        order = np.lexsort((doc, h))
-        doc, h = doc[order], h[order]
+        doc, h = distinct(doc, h)
         new = np.ones(len(h), bool)
         new[1:] = h[1:] != h[:-1]
         start = np.flatnonzero(new)
         size = np.diff(np.append(start, len(h)))
-        both = np.repeat(doc[start] != doc[start + size - 1], size)  # two documents of this task hold it
+        both = np.repeat(size > 1, size)  # two nodes of this task hold it
         keep = ~both | new  # of a hash known to be shared, only a marker travels
         mark = np.where(both, np.int64(NONE + 1), doc)[keep]
         h_out, out = h[keep], list(counted(doc[both], groups)) if both.any() else []
@@ -171,16 +197,13 @@ def shared_hashes(docs: DataFrame, whole: bool = False) -> DataFrame:
 
     def send(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         docs_of, hashes, size = [], [], 0
-        for keys, n, h in shingle_sets((d, bytes(b)) for f in frames for d, b in zip(f["doc"].tolist(), f["body"])):
-            ids, begin = np.array(keys, np.int64), np.cumsum(n) - n
-            prefix = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mix(h), dtype=np.uint64)))
-            prefix2 = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mix(h ^ np.uint64(0x5851F42D4C957F2D)), dtype=np.uint64)))
-            sig1, sig2 = prefix[begin + n] - prefix[begin], prefix2[begin + n] - prefix2[begin]
-            part = (mix(ids.view("<u8")) % np.uint64(groups)).astype(np.int32)
-            yield frame([(STAT, p, pack(ids[r], n[r].astype("<i8"), sig1[r].astype("<u8"), sig2[r].astype("<u8"))) for p, r in slices(part, ids)])
+        for keys, n, h in shingle_sets(((d, r), bytes(b)) for f in frames for d, r, b in zip(f["doc"].tolist(), f["row"].tolist(), f["body"])):
+            ids, begin, node = np.array(keys, np.int64), np.cumsum(n) - n, set_keys(n, h)
+            part = (mix(ids[:, 1].view("<u8")) % np.uint64(groups)).astype(np.int32)
+            yield frame([(STAT, p, pack(ids[r, 0], ids[r, 1], n[r].astype("<i8"), node[r])) for p, r in slices(part, ids[:, 0])])
             k = n if whole else sent(n)
             pick = np.repeat(begin - (np.cumsum(k) - k), k) + np.arange(k.sum())
-            docs_of.append(np.repeat(ids, k))
+            docs_of.append(np.repeat(node, k))
             hashes.append(h[pick])
             size += len(pick)
             if size > FLUSH:
@@ -207,13 +230,12 @@ def shared_hashes(docs: DataFrame, whole: bool = False) -> DataFrame:
                 hashes.append(wide.view("<u8").ravel())
                 docs_of.append(np.cumsum(np.frombuffer(zstandard.ZstdDecompressor().decompress(b[4 + 6 * n :]), "<i8")))
             doc, h = np.concatenate(docs_of), np.concatenate(hashes)
-            order = np.lexsort((doc, h))
-            doc, h = doc[order], h[order]
+            doc, h = distinct(doc, h)
             new = np.ones(len(h), bool)
             new[1:] = h[1:] != h[:-1]
             start = np.flatnonzero(new)
             size = np.diff(np.append(start, len(h)))
-            both = np.repeat((doc[start] != doc[start + size - 1]) | (doc[start] == NONE + 1), size) & (doc != NONE + 1)
+            both = np.repeat((size > 1) | (doc[start] == NONE + 1), size) & (doc != NONE + 1)
             if both.any():
                 yield frame(list(counted(doc[both], groups)))
 
@@ -223,21 +245,18 @@ def shared_hashes(docs: DataFrame, whole: bool = False) -> DataFrame:
             for k, p, b in zip(f["kind"], f["part"], f["payload"]):
                 got.setdefault(int(p), []).append((int(k), bytes(b)))
         for payloads in got.values():
-            counts = [unpack(b, "<i4") for k, b in payloads if k == COUNT]
             stats = [unpack(b, *STATS) for k, b in payloads if k == STAT]
-            if not stats:
-                continue
-            doc, n, sig1, sig2 = (np.concatenate(c) for c in zip(*stats))
-            total = np.zeros(len(doc), np.int64)
+            if stats:
+                yield pd.DataFrame(dict(zip(("doc", "row", "n", "node"), (np.concatenate(c) for c in zip(*stats)))) | {"shared": 0})
+            counts = [unpack(b, "<i4") for k, b in payloads if k == COUNT]
             if counts:
                 ids, at = np.unique(np.concatenate([c[0] for c in counts]), return_inverse=True)
                 of = np.bincount(at, np.concatenate([c[1] for c in counts])).astype(np.int64)
-                where = np.minimum(np.searchsorted(ids, doc), len(ids) - 1)
-                total = np.where(ids[where] == doc, of[where], 0)
-            yield pd.DataFrame({"doc": doc, "n": n, "sig1": sig1.view("<i8"), "sig2": sig2.view("<i8"), "shared": total, "needed": n - missing(n) if whole else needed(n)})
+                none = pd.array([None] * len(ids), "Int64")
+                yield pd.DataFrame({"doc": none, "row": none, "n": none, "node": ids, "shared": of})
 
     met = body.mapInPandas(send, SCHEMA).repartition(n_parts, "part").mapInPandas(meet, SCHEMA)
-    return met.repartition(n_parts, "part").mapInPandas(add_up, "doc long, n long, sig1 long, sig2 long, shared long, needed long")
+    return met.repartition(n_parts, "part").mapInPandas(add_up, "doc long, row long, n long, node long, shared long")
 
 
 def limited(ids: DataFrame) -> DataFrame:
@@ -245,22 +264,19 @@ def limited(ids: DataFrame) -> DataFrame:
     return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
 
 
-def whole_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """``node, n, hashes`` (sorted, as bytes) of the documents in ``wanted (doc, node)``."""
+def whole_sets(body: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``node, n, hashes`` (sorted, as bytes) of the rows in ``wanted (row, node)``."""
     wanted = limited(wanted)
-    body = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NONE)).alias("doc"), F.coalesce(F.encode("text", "UTF-8"), F.lit(b"")).alias("body"))
-    chosen = body.join(wanted.select("doc").distinct(), "doc", "left_semi")
+    chosen = body.join(wanted.select("row").distinct(), "row", "left_semi").select("row", "body")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            for keys, n, h in shingle_sets((d, bytes(b)) for d, b in zip(f["doc"].tolist(), f["body"])):
+            for keys, n, h in shingle_sets((r, bytes(b)) for r, b in zip(f["row"].tolist(), f["body"])):
                 begin = np.cumsum(n) - n
-                sig1 = [int(mix(h[b : b + k]).sum(dtype=np.uint64).view("<i8")) for b, k in zip(begin, n)]
-                yield pd.DataFrame({"doc": keys, "sig1": sig1, "n": n, "hashes": [h[b : b + k].tobytes() for b, k in zip(begin, n)]})
+                yield pd.DataFrame({"row": keys, "node": set_keys(n, h), "n": n, "hashes": [h[b : b + k].tobytes() for b, k in zip(begin, n)]})
 
-    sets = chosen.mapInPandas(run, "doc long, sig1 long, n long, hashes binary")
-    # A doc_id may come with several texts: a set counts if it is the one of the node.
-    return sets.join(wanted, ["doc", "sig1"]).select("node", "n", "hashes").dropDuplicates(["node"])
+    sets = chosen.mapInPandas(run, "row long, node long, n long, hashes binary")
+    return sets.join(wanted, ["row", "node"]).select("node", "n", "hashes").dropDuplicates(["node"])
 
 
 def alike(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -347,33 +363,52 @@ def link_nodes(sets: DataFrame) -> DataFrame:
     return comp
 
 
-def join_documents(docs: DataFrame) -> DataFrame:
-    """``doc_id, n_shingles, component_id`` of every row."""
-    stats = common.written(shared_hashes(docs.select("doc_id", "text")))
-    node = F.xxhash64("sig1", "sig2", "n").alias("node")
-    real = stats.where("n > 0").select("doc", "n", "sig1", node, (F.col("shared") >= F.col("needed")).alias("may"))
-    # One node per distinct set; a node may link if its members share enough.
-    first = F.min(F.when(F.col("doc") != NONE, F.col("doc")))
-    classes = common.written(real.groupBy("node", "sig1", "n").agg(first.alias("first"), F.min("doc").alias("doc"), F.max("may").alias("may")))
-    wanted = classes.where("may").select("doc", "sig1", "node")
+def linked(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``doc, row, n, node`` of every row, and ``node, component_id, keep`` of every set that has words.
+
+    ``keep`` is the row that stands for the component: of the smallest id, null
+    last, ties by the row's key.
+    """
+    body = keyed(docs)
+    both = common.written(shared_hashes(body))
+    stats = both.where("row is not null").drop("shared")
+    # One node per distinct set.
+    lead = F.struct((F.col("doc") == NONE).alias("no_id"), "doc", "row")
+    classes = both.where("node <> 0").groupBy("node").agg(F.max("n").alias("n"), F.min(F.when(F.col("row").isNotNull(), lead)).alias("lead"), F.sum("shared").alias("shared"))
+    classes = common.written(classes)
+    wanted = common.written(classes.where(F.col("shared") >= F.expr("(3 * ((4 * n + 4) div 5) + 9) div 10")).select(F.col("lead.row").alias("row"), "node", "n"))
     for _ in range(2):  # among those that may link, count again, over whole sets
-        chosen = docs.join(limited(wanted.select(F.col("doc").alias("w")).distinct()), F.coalesce(F.col("doc_id").cast("long"), F.lit(NONE)) == F.col("w"), "left_semi")
-        again = shared_hashes(chosen.select("doc_id", "text"), whole=True).where(F.col("shared") >= F.col("needed")).select("doc", "sig1").distinct()
-        wanted = common.written(wanted.join(again, ["doc", "sig1"], "left_semi"))
-    sets = common.written(whole_sets(docs, wanted))
+        chosen = body.join(limited(wanted.select("row").distinct()), "row", "left_semi").select("doc", "row", "body")
+        again = shared_hashes(chosen, whole=True).groupBy("node").agg(F.sum("shared").alias("shared"))
+        wanted = common.written(wanted.join(again, "node").where(F.col("shared") >= F.expr("n - n div 5")).select("row", "node", "n"))
+    sets = common.written(whole_sets(body, wanted.select("row", "node")))
     comp = link_nodes(sets)
-    named = classes.join(comp, "node", "left").select("node", "first", F.coalesce("comp", "node").alias("comp"))
-    lowest = named.groupBy("comp").agg(F.min("first").alias("component_id"))
-    by_node = named.join(lowest, "comp").select("node", "component_id")
-    out = stats.select("doc", "n", F.when(F.col("n") > 0, node).alias("node")).join(by_node, "node", "left")
+    named = classes.join(comp, "node", "left").select("node", "lead", F.coalesce("comp", "node").alias("comp"))
+    lowest = named.groupBy("comp").agg(F.min("lead").alias("first"))
+    by_node = named.join(lowest, "comp").select("node", F.nullif(F.col("first.doc"), F.lit(NONE)).alias("component_id"), F.col("first.row").alias("keep"))
+    return stats, by_node
+
+
+def join_documents(docs: DataFrame) -> DataFrame:
+    """``doc_id, n_shingles, component_id`` of every row."""
+    stats, by_node = linked(docs.select("doc_id", "text"))
+    out = stats.join(by_node, "node", "left")
     doc_id = F.nullif("doc", F.lit(NONE))
     return out.select(doc_id.alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(doc_id).alias("component_id"))
 
 
 def drop_near_copies(docs: DataFrame) -> DataFrame:
-    """``docs`` with one document of each component: the one whose id is the component's."""
-    keep = join_documents(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__k")).distinct()
-    return docs.join(keep, F.col("doc_id").eqNullSafe(F.col("__k")), "left_semi")
+    """``docs`` with one row of each component: the one with the smallest id; rows without words all stay."""
+    stats, by_node = linked(docs.select("doc_id", "text"))
+    keep = common.written(by_node.select(F.col("keep").alias("row")).distinct())
+    often = common.written(stats.where("n > 0").join(keep, "row", "left_semi").groupBy("row").count().where("count > 1").select("row"))
+    once = keep.join(often, "row", "left_anti").union(stats.where("n = 0").select("row").distinct())
+    row = F.xxhash64(F.coalesce(F.col("doc_id").cast("long"), F.lit(NONE)), F.coalesce(F.encode("text", "UTF-8"), F.lit(b"")))
+    stay = docs.join(once.select(F.col("row").alias("__k")), row == F.col("__k"), "left_semi")
+    if often.isEmpty():
+        return stay
+    same = docs.join(limited(often).select(F.col("row").alias("__k")), row == F.col("__k"))
+    return stay.unionByName(common.one_each(same, "__k", docs.columns))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -236,6 +236,25 @@ def test_ngram_join(docs, rows, empty):
     assert ngram_join.join_documents(empty).count() == 0
 
 
+def test_links_between_classes_with_null_and_repeated_ids(spark):
+    rng = random.Random(5)
+    fresh = lambda: [f"w{rng.randrange(10**6)}" for _ in range(200)]
+    near = lambda w: " ".join([*w[:-1], "other"])
+    a, b, c, d = fresh(), fresh(), fresh(), fresh()
+    rows = [(None, " ".join(a)), (9, " ".join(a)), (None, near(a)), (10, near(a))]
+    rows += [(20, " ".join(b)), (22, " ".join(b)), (20, near(b)), (21, near(b))]
+    rows += [(None, " ".join(c)), (None, near(c)), (None, near(c)), (30, " ".join(d)), (30, near(d)), (30, near(d)), (None, None), (40, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    low = {"a": 9, "b": 20, "c": None, "d": 30}
+    group = lambda t: next((g for g, w in zip("abcd", (a, b, c, d)) if t and t.startswith(w[0] + " ")), None)
+    want = [(i, 196 if t else 0, low[group(t)] if t else i) for i, t in rows]
+    assert table(ngram_join.join_documents(docs)) == sorted(want, key=str)
+    left = ngram_join.drop_near_copies(docs).collect()
+    assert Counter((r.doc_id, group(r.text)) for r in left) == Counter([(9, "a"), (20, "b"), (None, "c"), (30, "d"), (None, None), (40, None)])
+    once = exact_dedup.drop_copies(docs).collect()
+    assert len(once) == len({t or "" for _, t in rows}) and len({r.text or "" for r in once}) == len(once)
+
+
 @pytest.mark.parametrize("text", ["", " ", "  a  b ", "\n\n", "a▁b", "日本語 テスト\u0000x", "<s> </s> <0x41>", "😀 ok", "\t\tx", "a,b;c.d\n- e", "x" * 3000, "é" * 200 + "​"])
 def test_codec_equals_the_library(text):
     c = sentencepiece_codec.codec(sentencepiece_codec.default_model())
