@@ -82,3 +82,29 @@ def test_search_keeps_a_top_k_per_slice(spark):
             best = sorted(((cos(x, y), j) for j, y in rows if j != i), key=lambda p: (p[0] is None, -(p[0] or 0), p[1]))[:4]
             want += [(i, j, s, n) for n, (s, j) in enumerate(best, 1)]
     assert sorted(tuple(r) for r in got.select("query_id", "vec_id", "score", "rank").collect()) == sorted(want)
+
+
+def test_clusters_hold_all_links(spark):
+    from tallymark.operators.evidence import linkers
+
+    e = spark.createDataFrame([("a", "b", 0.6, "x"), ("b", "c", 0.8, "y"), ("p", "q", 0.7, "x"), ("p", "q", 0.9, "x")], "a string, b string, confidence double, relation string")
+    got = {r.comp: (r.size, r.confidence, r.links, r.relations) for r in graph.clusters(e).collect()}
+    assert got == {"a": (3, 0.6, 2, "x,y"), "p": (2, 0.7, 2, "x")}
+    from tallymark.catalog import QUERIES
+    from tallymark.views import Views
+
+    v = Views(spark, "/root/testdata/sf0.001")
+    links, up = linkers(ledger.canonical(v.txn, v.blk), ledger.best_labels(v.lbl)).collect(), {}
+
+    def find(x):
+        while up.setdefault(x, x) != x:
+            x = up[x]
+        return x
+
+    for r in links:
+        hi, lo = max(find(r.a), find(r.b)), min(find(r.a), find(r.b))
+        up[hi] = lo
+    want = {}
+    for x in list(up):
+        want[find(x)] = want.get(find(x), 0) + 1
+    assert {r.comp: r["size"] for r in QUERIES["clusters"](spark, "/root/testdata/sf0.001").collect()} == want
