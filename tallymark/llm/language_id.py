@@ -1,10 +1,12 @@
 """Language ID by cross-parsing entropy.
 
-Per language, a bounded sample of labelled text (``SAMPLE_DOCS`` documents,
-``SAMPLE_CHARS`` letters; both are parameters) is turned into a suffix
-automaton.  A text is parsed against it: the longest match with the sample is
+Per language, a bounded sample of labelled text (``SAMPLE_DOCS`` distinct texts
+with letters, ``SAMPLE_CHARS`` characters shared evenly among them and taken
+from pieces over the length of each; both are parameters) is turned into a
+suffix automaton.  A text is parsed against it: the longest match with the sample is
 one phrase, the next phrase starts at the character that broke it.  Phrases
-times the logarithm of the sample's length estimate the cross entropy, and the
+times the logarithm of the sample's length, and for a character that the sample
+does not hold a letter code over all letters, estimate the cross entropy, and the
 language that needs fewest wins (ties: the smallest name).
 
 Samples are small, so they are broadcast as text and each worker builds the
@@ -27,30 +29,51 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common
 
-SAMPLE_DOCS, SAMPLE_CHARS, LANE, SPREAD = 64, 20_000, 2048, 64
+SAMPLE_DOCS, SAMPLE_CHARS, LANE, SPREAD, PIECES = 64, 20_000, 2048, 64, 4
 
 
 def held_out():
     return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
 
 
+def water_level(lengths: list[int], room: int) -> int:
+    """The largest level at which ``lengths``, each cut to the level, fit ``room``."""
+    left, level = room, 0
+    for i, n in enumerate(sorted(lengths)):
+        level = left // (len(lengths) - i)
+        if n > level:
+            return level
+        left -= n
+    return max([level, *lengths])
+
+
+def spread(text: Column, level: Column) -> Column:
+    """A text of at most ``level`` characters: ``PIECES`` pieces at even distances of a longer one."""
+    size = F.greatest(F.expr(f"level div {PIECES}"), F.lit(1))
+    begin = lambda i: F.floor((F.length(text) - size) * (i / (PIECES - 1))).cast("int") + 1
+    pieces = F.concat_ws(" ", *[F.substring(text, begin(i), size) for i in range(PIECES)])
+    return F.when(F.length(text) <= level, text).otherwise(pieces)
+
+
 def sample(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_chars: int = SAMPLE_CHARS) -> dict[str, str]:
-    """Language -> training text: at most ``sample_docs`` documents and ``sample_chars`` characters each."""
-    rows = docs.where(~held_out() & F.col("doc_id").isNotNull() & F.col("lang").isNotNull()).select("doc_id", "lang", F.xxhash64("doc_id").alias("h"))
+    """Language -> training text: at most ``sample_docs`` distinct texts with letters and ``sample_chars`` characters each."""
+    usable = docs.where(~held_out() & F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "text", F.xxhash64("text").alias("t"))
+    rows = usable.groupBy("lang", "t").agg(F.min(F.struct(F.xxhash64("doc_id").alias("h"), "doc_id", F.length("text").alias("size"))).alias("d")).select("lang", "t", "d.*")
     # Two steps, so that no task sorts all documents of a language.
-    first = rows.select("*", F.row_number().over(Window.partitionBy("lang", F.pmod("h", F.lit(SPREAD))).orderBy("h", "doc_id")).alias("r")).where(F.col("r") <= sample_docs)
-    chosen = first.select("doc_id", "lang", "h", F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id")).alias("n")).where(F.col("n") <= sample_docs).select("doc_id", "h", "n").distinct()
-    texts = docs.where(~held_out() & F.col("lang").isNotNull()).select("doc_id", "lang", "text").join(F.broadcast(chosen), "doc_id").select("lang", "n", "doc_id", F.substring("text", 1, sample_chars).alias("text"))
+    first = rows.select("*", F.row_number().over(Window.partitionBy("lang", F.pmod("h", F.lit(SPREAD))).orderBy("h", "doc_id", "t")).alias("r")).where(F.col("r") <= sample_docs)
+    chosen = first.select("doc_id", "lang", "t", "size", F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id", "t")).alias("nth")).where(F.col("nth") <= sample_docs).collect()  # numbers of at most sample_docs texts a language
+    levels = {lang: water_level([c["size"] for c in chosen if c["lang"] == lang], sample_chars) for lang in {c["lang"] for c in chosen}}
+    wanted = docs.sparkSession.createDataFrame([(c["doc_id"], c["lang"], c["t"], c["nth"], levels[c["lang"]]) for c in chosen], "doc_id long, lang string, t long, nth int, level int")
+    texts = usable.join(F.broadcast(wanted), ["doc_id", "lang", "t"]).select("lang", "nth", spread(F.col("text"), F.col("level")).alias("text")).dropDuplicates(["lang", "nth"])
     out: dict[str, str] = {}
-    for lang, _, _, text in sorted((tuple(r) for r in texts.collect()), key=lambda r: (r[0], r[1], r[2], r[3] or "")):  # at most sample_docs short texts a language
-        if len(out.get(lang, "")) < sample_chars:
-            out[lang] = (out.get(lang, "") + " " + (text or ""))[:sample_chars]
-    return out
+    for lang, _, text in sorted(tuple(r) for r in texts.collect()):
+        out[lang] = (out.get(lang, "") + " " + text)[: sample_chars + sample_docs * PIECES]
+    return {lang: text for lang, text in out.items() if any(c.isalpha() for c in text)}
 
 
 def suffix_automaton(symbols: list[int]) -> list[dict[int, int]]:
@@ -92,6 +115,7 @@ class Parser:
         self.kind = np.zeros(0x110000, np.uint16)
         alpha = np.fromiter((chr(i).isalpha() for i in range(0x110000)), bool, 0x110000)
         self.alpha = alpha
+        self.letter = math.log2(int(alpha.sum()) + 1)
         self.kind[alpha] = 1
         for i, c in enumerate(letters):
             self.kind[ord(c)] = i + 2
@@ -103,12 +127,12 @@ class Parser:
         for _, text in samples:
             symbols = self.symbols(text).tolist()
             to = suffix_automaton(symbols)
-            start = [to[0].get(c, 0) + at for c in range(self.classes)]
-            row = np.array([[(s * self.classes) << 1 | 1 for s in start]], np.int64)  # a phrase ends, the next starts here
+            start = [to[0].get(c, 0) for c in range(self.classes)]
+            row = np.array([[((s + at) * self.classes) << 2 | (0 if s else 2) | 1 for s in start]], np.int64)  # a phrase ends, the next starts here; 2: with a character that the sample lacks
             table = np.repeat(row, len(to), axis=0)
             for s, moves in enumerate(to):
                 for c, t in moves.items():
-                    table[s, c] = ((t + at) * self.classes) << 1
+                    table[s, c] = ((t + at) * self.classes) << 2
             tables.append(table)
             self.roots.append(at * self.classes)
             self.log.append(math.log2(len(symbols) + 2))
@@ -126,15 +150,19 @@ class Parser:
 
     def phrases(self, texts: list[str]) -> np.ndarray:
         """Phrases by text and language."""
+        return self.parse(texts)[0]
+
+    def parse(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Phrases, and characters that the sample lacks, by text and language."""
         lanes, owner = [], []
         for i, t in enumerate(texts):
             s = self.symbols(t)
             for at in range(0, len(s), LANE):
                 lanes.append(s[at : at + LANE])
                 owner.append(i)
-        out = np.zeros((len(texts), len(self.langs)), np.int64)
+        out, lacking = np.zeros((2, len(texts), len(self.langs)), np.int64)
         if not lanes:
-            return out
+            return out, lacking
         order = sorted(range(len(lanes)), key=lambda i: -len(lanes[i]))
         sizes = np.array([len(lanes[i]) for i in order])
         grid = np.zeros((sizes[0], len(order)), np.int32)
@@ -142,14 +170,16 @@ class Parser:
             grid[: len(lanes[i]), k] = lanes[i]
         active = np.searchsorted(-sizes, -np.arange(sizes[0]), side="left")  # lanes longer than t
         state = np.repeat(np.array(self.roots, self.table.dtype)[:, None], len(order), axis=1)
-        count = np.ones((len(self.langs), len(order)), np.int32)
+        count, lacks = np.ones((len(self.langs), len(order)), np.int32), np.zeros((len(self.langs), len(order)), np.int32)
         for t in range(sizes[0]):
             n = active[t]
             entry = self.table[state[:, :n] + grid[t, :n]]
             count[:, :n] += entry & 1
-            state[:, :n] = entry >> 1
+            lacks[:, :n] += (entry >> 1) & 1
+            state[:, :n] = entry >> 2
         np.add.at(out, np.array(owner)[order], count.T)
-        return out
+        np.add.at(lacking, np.array(owner)[order], lacks.T)
+        return out, lacking
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
         lang, score = ["und"] * len(texts), [0.0] * len(texts)
@@ -164,7 +194,8 @@ class Parser:
                 groups.append([])
                 size = 0
         for g in groups:
-            cost = self.phrases([texts[i] for i in g]) * np.array(self.log)
+            count, lacking = self.parse([texts[i] for i in g])
+            cost = count * np.array(self.log) + lacking * self.letter
             for i, row in zip(g, cost):
                 best = int(row.argmin())
                 rest = np.delete(row, best)

@@ -336,6 +336,20 @@ def test_language_id(spark, docs, empty):
     assert language_id.identify(empty).count() == 0
 
 
+def test_language_samples_hold_letters_of_many_texts(spark):
+    rows = [(i, None if i % 2 else " \n1", "xx") for i in range(40)] + [(100 + i, "the same words of a copy", "en") for i in range(300)]
+    rows += [(1000 + i, f"another text number {chr(97 + i % 26)}{chr(97 + i // 26)} here", "en") for i in range(60)]
+    rows += [(2000 + i, ("ein sehr langer satz " * 3000 + " ende zz") if i < 3 else f"noch ein kurzer text {chr(97 + i)}", "de") for i in range(20)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    learned = language_id.sample(df, sample_chars=2000)
+    assert set(learned) == {"de", "en"} and all(len(t) <= 2000 + 64 * 4 for t in learned.values())
+    assert learned["en"].count("the same words of a copy") <= 1 and learned["en"].count("another text") > 20
+    assert learned["de"].count("noch ein kurzer text") >= 8
+    assert {r.lang_pred for r in language_id.identify(df).collect() if r.doc_id >= 100} == {"de", "en"}
+    p = language_id.Parser((("aa", "the word"), ("bb", "one other long text with many letters of the alphabet")))
+    assert p.predict(["many letters with one text"])[0] == ["bb"]
+
+
 def test_phrases_against_a_plain_parse():
     samples = (("aa", "abra cadabra abra"), ("bb", "hocus pocus locus"))
     p = language_id.Parser(samples)
