@@ -1,29 +1,35 @@
 """N-gram Jaccard join: exact links between documents whose shingle sets are alike.
 
-Jaccard distance is a metric, and the join works in it with pivots:
+Jaccard distance is a metric, and the join works in it with pivots (``RADIUS``
+is the distance of a link, 0.2):
 
 1. Texts become sets of hashed 5-word shingles; equal sets are one class, and
    one node, from here on.
 2. A node in any link shares at least four fifths of its set.  Each set sends
    its smallest hashes (about half of them), a count of how many of these any
-   other document sends too comes back, and nodes with too few are alone: by the
-   prefix argument below they cannot have a link.
-3. Regions: in an order of all hashes, rarest first, two linked sets share one
-   of the first ``n // 5 + 1`` of each, so every such hash holds a region of the
-   nodes that carry it there.  Each region has a pivot: the most central node in
-   it, the one whose hashes most others hold.  A node belongs to the Voronoi
-   cell of the pivot it meets in most regions, and is compared with that one
-   first.
-4. A node within the radius of its pivot is linked to it, and two nodes linked
-   to one pivot need no comparison: they are in one component.  What is left of
-   a region are nodes of other components; sizes that differ too much rule a
-   pair out (the triangle inequality at the empty set).  They join again with
-   the next pivot; after ``PIVOTS`` turns the few nodes that are still outside
-   a region's largest component are compared with the rest of the region.
-
-Every link between different components is found, so components are exact; no
-region is ever collected into one task, and no pairs are made inside a
-component.  Sets are compared whole.
+   other document sends too comes back, and nodes with too few are alone.
+3. Pivots: nodes with the same few least hashes (a MinHash) form a group; the
+   most central node of a group, whose hashes most others hold, is its pivot.
+   Of pivots within ``COVER`` of each other the most central one stays.
+4. Voronoi regions: a node within ``COVER`` of a pivot lives in the cell of its
+   nearest pivot.  The cell's reach is the largest distance of those in it.
+5. Windows: by the triangle inequality a node that is linked to one of a cell
+   lies within the cell's reach plus the radius of the pivot, and within its own
+   pivot's distance plus twice the radius.  Only such border nodes are replicated
+   into the cell.  In a cell each node meets only those whose distance to the
+   pivot differs from its own by the radius at most, and those within the radius
+   of the pivot are one component and do not meet each other.
+6. Recursion: nodes that no pivot covers, and all nodes of a cell that holds
+   more than ``CELL_BYTES``, join again among themselves, with new pivots, until
+   what is left fits ``CELL_BYTES`` and is one cell of one pivot.  Every second turn splits dense regions: all pivots stay, cells cover the radius
+   only, so that each is one component, and only border nodes of other
+   components meet them.
+
+A link has an end that lives in a cell, and is found there, or both ends go on
+to the next turn: every link between components is found.  Distances are exact,
+of whole sets.  A cell's nodes come in slices of ``CELL_BYTES``, so a task holds
+two slices of a region at a time.  An index of the rarest hashes finds the
+pivots near a node.
 
 Defined results: null, empty and wordless texts have an empty set and link with
 nothing; fewer than five words are one shingle; rows that repeat a doc_id are
@@ -34,18 +40,20 @@ told apart by 64 bits of hash.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import common
 from .hashing import TO_LOWER, mix, spans, word_bounds
 
-SHINGLE, PIVOTS, BROADCAST_IDS, BLOCK, FLUSH = 5, 2, 1_000_000, 2 << 20, 3_000_000
+SHINGLE, RADIUS, COVER, CELL_BYTES, BROADCAST_IDS, BLOCK, FLUSH = 5, 0.2, 0.4, 8 << 20, 1_000_000, 2 << 20, 1_000_000
+TINY = 1e-9  # distances are quotients of integers: windows are closed
 NONE = -(2**63)
 
 
@@ -265,101 +273,198 @@ def limited(ids: DataFrame) -> DataFrame:
 
 
 def whole_sets(body: DataFrame, wanted: DataFrame) -> DataFrame:
-    """``node, n, hashes`` (sorted, as bytes) of the rows in ``wanted (row, node)``."""
+    """``node, n, hashes`` of the rows in ``wanted (row, node)``."""
     wanted = limited(wanted)
     chosen = body.join(wanted.select("row").distinct(), "row", "left_semi").select("row", "body")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             for keys, n, h in shingle_sets((r, bytes(b)) for r, b in zip(f["row"].tolist(), f["body"])):
-                begin = np.cumsum(n) - n
-                yield pd.DataFrame({"row": keys, "node": set_keys(n, h), "n": n, "hashes": [h[b : b + k].tobytes() for b, k in zip(begin, n)]})
+                begin, h = np.cumsum(n) - n, h.view("<i8")
+                yield pd.DataFrame({"row": keys, "node": set_keys(n, h.view("<u8")), "n": n, "hashes": [h[b : b + k] for b, k in zip(begin, n)]})
 
-    sets = chosen.mapInPandas(run, "row long, node long, n long, hashes binary")
+    sets = chosen.mapInPandas(run, "row long, node long, n long, hashes array<long>")
     return sets.join(wanted, ["row", "node"]).select("node", "n", "hashes").dropDuplicates(["node"])
 
 
-def alike(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs ``a, b`` that link."""
-    left, right = sets.select(F.col("node").alias("a"), F.col("hashes").alias("x")), sets.select(F.col("node").alias("b"), F.col("hashes").alias("y"))
+def distances(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """``node, pivot`` with their Jaccard ``distance``."""
+    pivots, nodes = sets.select(F.col("node").alias("pivot"), F.col("hashes").alias("y")), sets.select("node", F.col("hashes").alias("x"))
+    both = pairs.join(pivots, "pivot").join(nodes, "node")
+    same = F.size(F.array_intersect("x", "y"))
+    return both.select("node", "pivot", same.alias("same"), (F.size("x") + F.size("y")).alias("sizes")).select("node", "pivot", (1 - F.col("same") / (F.col("sizes") - F.col("same"))).alias("distance"))
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            same = [len(np.intersect1d(np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8"), assume_unique=True)) for x, y in zip(f["x"], f["y"])]
-            union = f["x"].str.len() // 8 + f["y"].str.len() // 8 - same
-            yield f.loc[100 * np.array(same, np.int64) >= 80 * union.to_numpy(np.int64), ["a", "b"]]
-
-    return pairs.join(left, "a").join(right, "b").mapInPandas(run, "a long, b long")
-
-
-def merged(comp: DataFrame, links: DataFrame) -> DataFrame:
-    """``node, comp`` after the components of linked nodes become one (the smallest number)."""
-    here = comp.select(F.col("node").alias("a"), F.col("comp").alias("ca"))
-    there = comp.select(F.col("node").alias("b"), F.col("comp").alias("cb"))
-    edges = links.join(here, "a").join(there, "b").where("ca <> cb").select("ca", "cb")
-    edges = common.written(edges)
-    if edges.isEmpty():
-        return comp
-    edges = common.written(edges.union(edges.select("cb", "ca")).distinct())
-    label = common.written(edges.groupBy("ca").agg(F.least(F.col("ca"), F.min("cb")).alias("to")))
+
+def placed(sets: DataFrame) -> DataFrame:
+    """``node, n, central, order`` of the sets that may link: the hashes that others hold too, rarest first."""
+    carried = sets.select("node", "n", F.explode("hashes").alias("hash"))
+    held = carried.groupBy("hash").agg(F.count(F.lit(1)).alias("held")).where("held > 1")
+    nodes = carried.join(held, "hash").groupBy("node", "n").agg(F.sort_array(F.collect_list(F.struct("held", "hash"))).alias("order"), (F.sum("held") / F.first("n")).alias("central"))
+    return nodes.where(F.size("order") >= F.expr("n - n div 5")).select("node", "n", "central", "order")
+
+
+def choose_pivots(nodes: DataFrame, salt: int, hashes: int) -> DataFrame:
+    """``pivot, rank``: the most central node of each group with equal least ``hashes``."""
+    least = [F.array_min(F.transform("order", lambda x: F.xxhash64(F.lit(salt * 64 + i), x["hash"]))).alias(f"least{i}") for i in range(hashes)]  # noqa: B023
+    rank = F.struct("central", "node")
+    return nodes.select(rank.alias("rank"), *least).groupBy(*[f"least{i}" for i in range(hashes)]).agg(F.max("rank").alias("rank")).select("rank.node", "rank").withColumnRenamed("node", "pivot")
+
+
+def thinned(pivots: DataFrame, nodes: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pivots that no more central one has within ``COVER``."""
+    own = nodes.join(pivots.select(F.col("pivot").alias("node")), "node", "left_semi")
+    near = distances(near_pivots(own, pivots.select("pivot", F.lit(COVER).alias("reach"))), sets).where(F.col("distance") <= COVER + TINY)
+    above = near.join(pivots, "pivot").join(pivots.select(F.col("pivot").alias("node"), F.col("rank").alias("mine")), "node").where(F.col("rank") > F.col("mine"))
+    return pivots.join(above.select(F.col("node").alias("pivot")), "pivot", "left_anti")
+
+
+def index_rows(nodes: DataFrame, within: Column, extra: tuple[str, ...] = ()) -> DataFrame:
+    """``node, n, place, hash``: the rarest hashes of a node, one of which any node ``within`` that distance holds among its own.
+
+    A node may lack ``within`` of its set; hashes that no other node holds count as lacking.
+    """
+    first = F.floor(within * F.col("n") + TINY) + 1 - (F.col("n") - F.size("order"))
+    head = F.slice("order", F.lit(1), F.greatest(first, F.lit(0)).cast("int"))
+    return nodes.select("node", "n", *extra, F.size("order").alias("shared"), F.posexplode(head).alias("place", "entry")).select("node", "n", *extra, "shared", "place", "entry.hash")
+
+
+def near_pivots(nodes: DataFrame, pivots: DataFrame) -> DataFrame:
+    """``node, pivot`` of all that may lie within ``reach`` of a pivot (``pivot, reach``)."""
+    own = nodes.join(pivots.withColumnRenamed("pivot", "node"), "node")
+    theirs = index_rows(own, F.col("reach"), ("reach",)).select(F.col("node").alias("pivot"), F.col("n").alias("pivot_n"), "reach", "hash")
+    mine = index_rows(nodes, F.lit(COVER + RADIUS))
+    far = F.col("reach") + TINY
+    sizes = F.least("n", "pivot_n") >= (1 - far) * F.greatest("n", "pivot_n")
+    place = F.col("place") < F.floor(far * F.col("n")) + 1 - (F.col("n") - F.col("shared"))
+    return mine.join(theirs, "hash").where((F.col("node") != F.col("pivot")) & sizes & place).select("node", "pivot").distinct()
+
+
+def meet(f: pd.DataFrame) -> pd.DataFrame:
+    """Links ``a, b`` that join components: of border nodes with those that live in the cell, and among these.
+
+    What lies within the radius of the pivot is one component from the start.
+    """
+    f = f.sort_values("distance", ascending=False, kind="stable")
+    home, border = f[~f["border"]], f[f["border"]]
+    words, ids = np.unique(np.concatenate(home["hashes"].to_numpy()), return_inverse=True)
+    size, distance, names = home["n"].to_numpy(), home["distance"].to_numpy(), home["node"].to_numpy()
+    end = np.cumsum(size)
+    part = np.where(distance <= RADIUS + TINY, -1, np.arange(len(home)))  # component of each that lives here; -1: the pivot's
+    found: list[tuple[int, int]] = []
+    among = f["among"].iloc[0]
+    rest = [(i, *x) for i, x in enumerate(zip(names, size, distance, home["hashes"])) if part[i] >= 0] if among else []
+    for at, node, n, d, hashes in [*rest, *((-1, *x) for x in zip(border["node"], border["n"], border["distance"], border["hashes"]))]:
+        few = int(np.searchsorted(-distance, -(d - RADIUS - TINY), side="right"))  # farthest from the pivot first
+        if not few:
+            continue
+        i = np.searchsorted(words, hashes)
+        i[i == len(words)] = 0
+        mark = np.zeros(len(words), np.int64)
+        mark[i[words[i] == hashes]] = 1
+        same = np.add.reduceat(mark[ids[: end[few - 1]]], end[:few] - size[:few])
+        linked = np.flatnonzero(100 * same >= 80 * (size[:few] + n - same))
+        own = -2 if at < 0 and d > RADIUS + TINY else -1 if at < 0 else part[at]
+        for p in np.unique(part[linked]):
+            if p != own:
+                found.append((node, names[linked[part[linked] == p][0]]))
+        if len(linked) and at >= 0:
+            low = min(int(part[linked].min()), int(own))
+            part[np.isin(part, np.append(part[linked], own))] = low
+    return pd.DataFrame(found, columns=["a", "b"]).astype("int64")
+
+
+def join_region(f: pd.DataFrame) -> pd.DataFrame:
+    """Links that join components, of a whole region that fits a task: one pivot, one cell."""
+    at = int(f["n"].to_numpy().argmax())
+    pivot, words = f["node"].iloc[at], np.sort(f["hashes"].iloc[at])
+    place = np.searchsorted(words, held := np.concatenate(f["hashes"].to_numpy()))
+    place[place == len(words)] = 0
+    size = f["n"].to_numpy()
+    same = np.add.reduceat((words[place] == held).astype(np.int64), np.cumsum(size) - size)
+    f = f.assign(pivot=pivot, distance=1 - same / (size + len(words) - same), border=False, among=True)
+    near = f["node"][(f["distance"] <= RADIUS + TINY) & (f["node"] != pivot)]
+    rest = f[f["node"] != pivot]
+    more = [meet(rest)] if len(rest) else []
+    return pd.concat([pd.DataFrame({"a": near, "b": pivot}).astype("int64"), *more])
+
+
+def turn(sets: DataFrame, count: int) -> tuple[list[DataFrame], DataFrame, list[DataFrame]]:
+    """One turn among ``sets``: tables of links ``a, b``, the nodes that go on to the next turn, tables for this turn only."""
+    splits = count % 2 == 1  # of dense regions
+    cover = RADIUS if splits else COVER
+    nodes = common.written(placed(sets))
+    sets = common.written(sets.join(nodes.select("node"), "node", "left_semi"))
+    pivots = common.written(choose_pivots(nodes, count, 1 + count // 2))
+    spent = [nodes, sets, pivots]
+    if not splits:
+        pivots = common.written(thinned(pivots, nodes, sets))
+        spent.append(pivots)
+    close = common.written(distances(near_pivots(nodes, pivots.select("pivot", F.lit(cover).alias("reach"))), sets).where(F.col("distance") <= cover + TINY))
+    links = [common.written(close.where(F.col("distance") <= RADIUS + TINY).select(F.col("node").alias("a"), F.col("pivot").alias("b")))]
+    # Cells: of the nearest pivot.  A pivot's own links are all found by now.
+    is_pivot = pivots.select(F.col("pivot").alias("node"))
+    home = close.join(is_pivot, "node", "left_anti").groupBy("node").agg(F.min(F.struct("distance", "pivot")).alias("nearest"))
+    home = common.written(home.select("node", F.col("nearest.pivot").alias("pivot"), F.col("nearest.distance").alias("distance")).join(nodes.select("node", "n"), "node"))
+    cells = common.written(home.groupBy("pivot").agg((F.max("distance") + RADIUS).alias("reach"), F.ceil(8 * F.sum("n") / CELL_BYTES).cast("int").alias("home_slices")))
+    # Borders: within the cell's reach, but at home elsewhere or nowhere.
+    more = near_pivots(nodes, cells.select("pivot", "reach")).join(is_pivot, "node", "left_anti").join(close.select("node", "pivot"), ["node", "pivot"], "left_anti")
+    border = distances(more, sets).unionByName(close.join(is_pivot, "node", "left_anti")).join(cells, "pivot").where(F.col("distance") <= F.col("reach") + TINY)
+    border = border.join(home.select("node", F.col("pivot").alias("own"), F.col("distance").alias("own_distance")), "node", "left").where(~F.col("pivot").eqNullSafe(F.col("own")) & (F.col("own").isNull() | (F.col("distance") <= F.col("own_distance") + 2 * RADIUS + TINY)))
+    if splits:  # a cell is one component: only others need to meet it
+        comp = components(links[0])
+        spent.append(comp)
+        border = border.join(comp, "node", "left").join(comp.select(F.col("node").alias("pivot"), F.col("comp").alias("pivot_comp")), "pivot", "left").where(~F.col("comp").eqNullSafe(F.col("pivot_comp")) | F.col("comp").isNull())
+    border = common.written(border.select("pivot", "node", "distance").join(nodes.select("node", "n"), "node"))
+    guests = border.groupBy("pivot").agg(F.ceil(8 * F.sum("n") / CELL_BYTES).cast("int").alias("border_slices"))
+    shape = cells.join(guests, "pivot", "left").select("pivot", "home_slices", F.coalesce("border_slices", F.lit(0 if splits else 1)).alias("border_slices")).where("border_slices > 0")
+    bounded = (F.least("home_slices", "border_slices") == 1) if splits else (F.col("home_slices") == 1)
+    shape = common.written(shape.select("*", bounded.alias("bounded")))
+    here = shape.where("bounded")
+    slices = lambda own, all_of: (F.pmod(F.xxhash64("node"), own).cast("int"), F.explode(F.sequence(F.lit(0), F.col(all_of) - 1)))
+    i, j = slices(F.col("home_slices"), "border_slices")
+    hosts = home.join(here, "pivot").select("pivot", i.alias("home_slice"), j.alias("border_slice"), "node", "distance", F.lit(False).alias("border"))
+    j, i = slices(F.col("border_slices"), "home_slices")
+    guests = border.join(here, "pivot").select("pivot", i.alias("home_slice"), j.alias("border_slice"), "node", "distance", F.lit(True).alias("border"))
+    members = hosts.unionByName(guests).join(sets, "node").withColumn("among", (F.col("border_slice") == 0) & F.lit(not splits))
+    links.append(common.written(members.groupBy("pivot", "home_slice", "border_slice").applyInPandas(meet, "a long, b long")))
+    # The next turn: what no pivot covers, and the cells that hold too much.
+    done = is_pivot.unionByName(home.select("node"))
+    crowded = home.select("node", "pivot").unionByName(border.select("node", "pivot")).join(shape.where("not bounded"), "pivot", "left_semi").select("node")
+    left = common.written(sets.join(nodes.select("node").join(done, "node", "left_anti").union(crowded).distinct(), "node", "left_semi"))
+    return links, left, [*spent, close, home, cells, border, shape]
+
+
+def components(links: DataFrame) -> DataFrame:
+    """``node, comp`` of all nodes in ``links (a, b)``: comp is the smallest node reachable."""
+    edges = common.written(links.union(links.select("b", "a")).distinct())
+    label = common.written(edges.groupBy(F.col("a").alias("node")).agg(F.least(F.col("a"), F.min("b")).alias("to")).select("node", "to"))
     while True:
-        near = edges.join(label.select(F.col("ca").alias("cb"), F.col("to").alias("to_b")), "cb").groupBy("ca").agg(F.min("to_b").alias("low"))
-        step = label.join(near, "ca", "left").select("ca", F.least("to", "low").alias("to"), F.col("to").alias("was"))
-        jump = step.select(F.col("ca").alias("to"), F.col("to").alias("far"))
-        step = common.written(step.join(jump, "to", "left").select("ca", F.least("to", "far").alias("to"), "was"))
-        label = step.select("ca", "to")
+        near = edges.join(label.select(F.col("node").alias("b"), F.col("to").alias("to_b")), "b").groupBy(F.col("a").alias("node")).agg(F.min("to_b").alias("low"))
+        step = label.drop("was").join(near, "node").select("node", F.least("to", "low").alias("to"), F.col("to").alias("was"))
+        jump = step.select(F.col("node").alias("to"), F.col("to").alias("far"))
+        step = common.written(step.join(jump, "to").select("node", F.least("to", "far").alias("to"), "was"))
+        common.discard(label)
+        label = step
         if step.where("to <> was").isEmpty():
-            break
-    return common.written(comp.join(label.withColumnRenamed("ca", "comp"), "comp", "left").select("node", F.coalesce("to", "comp").alias("comp")))
+            common.discard(edges)
+            return common.renamed(label, to="comp")
 
 
 def link_nodes(sets: DataFrame) -> DataFrame:
-    """``node, comp``: components of the links between sets."""
-
-    def every(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            for at in range(0, len(f), 200):
-                part = f.iloc[at : at + 200]
-                k = part["n"].to_numpy()
-                yield pd.DataFrame({"region": np.concatenate([np.frombuffer(h, "<i8") for h in part["hashes"]]), "node": np.repeat(part["node"].to_numpy(), k), "n": np.repeat(k, k)})
-
-    # Rarest first: what many nodes hold by chance or as a common passage does not make regions.
-    carried = sets.mapInPandas(every, "region long, node long, n long")
-    held = carried.groupBy("region").agg(F.count(F.lit(1)).alias("held"))
-    rare = carried.join(held, "region").groupBy("node", "n").agg(F.sort_array(F.collect_list(F.struct("held", "region"))).alias("all"))
-    prefix = F.slice("all", F.lit(1), F.expr("cast(n div 5 + 1 as int)"))
-    regions = rare.select("node", "n", F.explode(F.filter(prefix, lambda x: x["held"] > 1)).alias("r")).select("r.region", "node", "n", "r.held")
-    regions = common.written(regions)
-    central = regions.groupBy("node").agg((F.sum("held") / F.max(F.expr("n div 5 + 1"))).alias("central"))
-    regions = common.written(regions.join(central, "node").select("region", "node", "n", F.struct("central", "node", "n").alias("rank")))
-    comp = common.written(sets.select("node", F.col("node").alias("comp")))
-    last = None
-    for turn in range(PIVOTS + 1):
-        here = regions.join(comp, "node")
-        if last is not None:  # what is left of a region: nodes that were no pivot yet
-            here = here.join(last, "region").where(F.col("rank") < F.col("last")).drop("last")
-        left = common.written(here)
-        # One component needs no more.
-        pivots = left.groupBy("region").agg(F.max("rank").alias("pivot"), F.max_by("comp", "rank").alias("pivot_comp"), F.min("comp").alias("c1"), F.max("comp").alias("c2"))
-        pivots = common.written(pivots.where("c1 <> c2").drop("c1", "c2"))
-        if pivots.isEmpty():
+    """``node, comp`` of every node that is linked: components of the links between sets."""
+    links: list[DataFrame] = []
+    count = 0
+    while total := sets.agg(8 * F.sum("n")).first()[0]:
+        if total <= CELL_BYTES:
+            links.append(common.written(sets.withColumn("region", F.lit(0)).groupBy("region").applyInPandas(join_region, "a long, b long")))
             break
-        if turn < PIVOTS:
-            near = F.expr("5 * least(n, pivot.n) >= 4 * greatest(n, pivot.n)")
-            pairs = left.join(pivots, "region").where(near & (F.col("comp") != F.col("pivot_comp"))).groupBy(F.col("node").alias("a"), F.col("pivot.node").alias("b")).agg(F.count(F.lit(1)).alias("regions"))
-        else:  # the nodes outside a region's largest component, against what else is left of it
-            parts = left.join(pivots.select("region"), "region", "left_semi").groupBy("region", "comp").agg(F.count(F.lit(1)).alias("k"))
-            largest = parts.groupBy("region").agg(F.max_by("comp", F.struct("k", "comp")).alias("largest"))
-            few = left.join(largest, "region").where("comp <> largest").select("region", F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("comp").alias("comp_a"))
-            both = few.join(left, "region").where("comp <> comp_a and 5 * least(n, n_a) >= 4 * greatest(n, n_a)")
-            pairs = both.groupBy(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).agg(F.count(F.lit(1)).alias("regions"))
-        pairs = common.written(pairs)
-        home = common.written(pairs.groupBy("a").agg(F.max_by("b", F.struct("regions", "b")).alias("b")))
-        comp = merged(comp, alike(home, sets))
-        rest = pairs.select("a", "b").join(home, ["a", "b"], "left_anti")
-        still = rest.join(comp.select(F.col("node").alias("a"), F.col("comp").alias("ca")), "a").join(comp.select(F.col("node").alias("b"), F.col("comp").alias("cb")), "b").where("ca <> cb").select("a", "b")
-        comp = merged(comp, alike(still, sets))
-        last = common.written(pivots.select("region", F.col("pivot").alias("last")))
+        found, left, spent = turn(sets, count)
+        common.discard(sets, *spent)
+        links, sets, count = links + found, left, count + 1
+    if not links:
+        return sets.select("node", F.col("node").alias("comp"))
+    comp = components(functools.reduce(DataFrame.unionByName, links))
+    common.discard(*links)
     return comp
 
 

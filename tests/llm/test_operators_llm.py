@@ -7,6 +7,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tallymark.llm import exact_dedup, language_id, line_dedup, mixing, ngram_join, quality_rules, recompression_dedup, sentencepiece_codec, suffix_dedup, token_output
 
@@ -230,12 +231,54 @@ def test_ngram_join(docs, rows, empty):
             low[find(n)] = min(low.get(find(n), n[0]), n[0])
     want = [(d, len(sets[d, t or ""]), low.get(find((d, t or ""))) if sets[d, t or ""] else d) for d, t, *_ in rows]
     assert table(ngram_join.join_documents(docs)) == sorted(want, key=str)
+    wide = docs.select("*", *[F.lit(1).alias(c) for c in ("w", "row", "pivot", "hashes", "keep", "component_id")])
+    assert table(ngram_join.join_documents(wide)) == sorted(want, key=str)
     left = ngram_join.drop_near_copies(docs)
     assert left.columns == docs.columns
     assert {r.doc_id for r in left.select("doc_id").collect()} == {d for d, _, c in want if d == c}
     assert ngram_join.join_documents(empty).count() == 0
 
 
+def near_copies(seed, n_words=150, groups=((40, 0, 2), (25, 1, 4), (30, 2, 5))):
+    """Sets of groups with many near copies of different distances, most of them linked through others only."""
+    rng, texts = random.Random(seed), []
+    passage = [f"p{i}" for i in range(12)]
+    for size, least, most in groups:
+        base = [f"w{rng.randrange(10**6)}" for _ in range(n_words)]
+        for _ in range(size):
+            w = list(base)
+            for _ in range(rng.randint(least, most)):
+                w[rng.randrange(n_words)] = f"e{rng.randrange(40)}"
+            texts.append(" ".join(w + (passage if rng.random() < 0.4 else [])))
+    texts += [" ".join([f"x{rng.randrange(10**6)}" for _ in range(20)] + passage) for _ in range(10)]
+    return list(dict.fromkeys(texts))
+
+
+@pytest.mark.parametrize(("cell_bytes", "seed"), [(8 << 20, 1), (9000, 1), (1500, 2)])
+def test_pivot_join_recurses_exactly(spark, monkeypatch, cell_bytes, seed):
+    monkeypatch.setattr(ngram_join, "CELL_BYTES", cell_bytes)
+    texts = near_copies(seed)
+    sets = []
+    for t in texts:
+        w = t.split()
+        sets.append({tuple(w[i : i + 5]) for i in range(len(w) - 4)})
+    root = list(range(len(texts)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, x in enumerate(sets):
+        for j, y in enumerate(sets[:i]):
+            if 100 * len(x & y) >= 80 * len(x | y):
+                root[max(find(i), find(j))] = min(find(i), find(j))
+    assert len({find(i) for i in root}) < len(texts) - 20
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r.component_id for r in ngram_join.join_documents(docs).collect()}
+    assert got == {i: find(i) for i in range(len(texts))}
+
+
 def test_links_between_classes_with_null_and_repeated_ids(spark):
     rng = random.Random(5)
     fresh = lambda: [f"w{rng.randrange(10**6)}" for _ in range(200)]
