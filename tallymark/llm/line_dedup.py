@@ -1,15 +1,16 @@
-"""Line dedup: range-partitioned line hashes, first occurrences, keep bitmaps.
+"""Line dedup: range-partitioned line hashes, a secondary sort, first occurrences, keep bitmaps.
 
 Lines are cut and hashed where the text is read; only ``(hash, document,
 position)`` travels.  The hashes are range-partitioned together with the
 document, so that a line held by a third of all documents spreads over many
-ranges, and sorted inside a range by document and position.  Each range hands
-on one row per line and document, with its positions as 64-bit words of a
-sparse bitmap.  The first occurrence of a line in the chosen document order,
-and the number of documents that hold it, are aggregates with map-side
-combine; the few lines that lose rows are joined back, and each document gets
-one compressed bitmap: only words that drop a line are stored.  The text is
-joined with its bitmap last.
+ranges.  Inside a range the rows are sorted by line, document (largest first)
+and position, and a running window streams over them: the first row of a line
+names the document that keeps it, the document's rank counts those that hold it.
+A line that lies in one range is settled there.  At most one line a range goes
+on into the next one: the ends of all ranges (two rows each) tell which, and
+these few lines get their totals over the ranges.  Rows that lose a line become
+64-bit words of a sparse bitmap per document, compressed in that only words
+that drop a line are stored; the text is joined with its bitmap last.
 
 Defined results: a null or empty text is one empty line, which is never
 dropped.  Rows that repeat a doc_id count as one document per id for the
@@ -21,12 +22,21 @@ hash.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common
 
 
+def ranked_lines(keyed: DataFrame, parts: int) -> DataFrame:
+    """``keyed`` in sorted ranges, with the document that keeps the line and the number of documents that hold it in the range."""
+    ranged = keyed.repartitionByRange(parts, "h1", "h2", "doc_id").withColumn("range", F.spark_partition_id())
+    line = Window.partitionBy("range", "h1", "h2")
+    first = F.first("doc_id").over(line.orderBy(F.desc("doc_id"), "word"))
+    ranked = ranged.select("*", first.alias("first_doc"), F.dense_rank().over(line.orderBy(F.desc("doc_id"))).alias("nth_doc"))
+    return ranked.select("*", F.max("nth_doc").over(line).alias("n_docs"))
+
+
 def line_drops(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, text: str = "text", doc: str = "doc_id") -> DataFrame:
     """One row per document that loses lines: ``(doc_id, text_hash, drop_words)``.
 
@@ -40,13 +50,17 @@ def line_drops(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, text: st
         .where(F.char_length("key") >= min_chars)
         .select(F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(7), "key").alias("h2"), "doc_id", "text_hash", F.expr("pos div 64").cast("int").alias("word"), F.expr("shiftleft(1L, cast(pos % 64 as int))").alias("bit"))
     )
-    keyed = common.cut(keyed)  # a few numbers a line, read for the ranges' bounds, the firsts and the join
-    ranged = keyed.repartitionByRange(common.parallel(docs), "h1", "h2", "doc_id").sortWithinPartitions("h1", "h2", F.desc("doc_id"), "word")
-    # A row per line and document: the range partitioning already puts them together.
-    held = ranged.select("h1", "h2", "doc_id").groupBy("h1", "h2", "doc_id").agg(F.lit(1).alias("one"))
-    # Cut, so that the join below reads two plain exchanges and AQE can split the rows of a hot line.
-    firsts = common.cut(held.groupBy("h1", "h2").agg(F.count("one").alias("n_docs"), F.max("doc_id").alias("first_doc")).where(F.col("n_docs") >= min_docs))
-    lost = keyed.join(firsts, ["h1", "h2"]).where(~F.col("doc_id").eqNullSafe(F.col("first_doc")))
+    keyed = common.cut(keyed)  # a few numbers a line, read for the ranges' bounds and for the ranges
+    ranked = common.cut(ranked_lines(keyed, common.parallel(docs)))
+    # Lines that go over the end of a range: two rows a range tell which.
+    key = F.struct("h1", "h2")
+    ends = ranked.groupBy("range").agg(F.min(key).alias("low"), F.max(key).alias("high"))
+    ends = ends.select("range", F.explode(F.array("low", "high")).alias("key")).distinct().groupBy("key").count().where("count > 1").select("key.h1", "key.h2")
+    over = ranked.join(F.broadcast(ends), ["h1", "h2"], "left_semi").groupBy("h1", "h2", "range").agg(F.max("n_docs").alias("n_docs"), F.first("first_doc").alias("first_doc"))
+    over = over.groupBy("h1", "h2").agg(F.sum("n_docs").alias("all_docs"), F.max("first_doc").alias("top_doc"))
+    whole = ranked.join(F.broadcast(over), ["h1", "h2"], "left")
+    first = F.when(F.col("all_docs").isNull(), F.col("first_doc")).otherwise(F.col("top_doc"))
+    lost = whole.where((F.coalesce("all_docs", "n_docs") >= min_docs) & ~F.col("doc_id").eqNullSafe(first))
     return (
         lost.groupBy("doc_id", "text_hash", "word")
         .agg(F.bit_or("bit").alias("mask"))
