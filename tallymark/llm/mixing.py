@@ -19,9 +19,12 @@ left over, until each leaf is one output shard.  Shard s takes the next
 ``quota[source, s]`` blocks of the source's order, which makes the draws
 disjoint, and shuffles its rows locally by hash.
 
+Mixing takes whole documents: a source ends below its target by less than the
+smallest document that its border block left over.
+
 Defined results: a null text has size 0; a null source is a source of its own,
-last; rows that repeat count each; an empty table gives no rows.  Everything
-derives from hashes of ``seed``, so reruns agree.
+last; rows that repeat count each, being numbered among themselves; an empty
+table gives no rows.  Everything derives from hashes of ``seed``, so reruns agree.
 """
 
 from __future__ import annotations
@@ -34,9 +37,34 @@ from . import common
 WEIGHTS, VOLUME, MAX_EPOCHS, SHARD_LEVELS, SEED = (5, 2, 1), 1.5, 2, 5, 20240101
 
 
-def sizes(docs: DataFrame, extra: tuple[str, ...] = ()) -> DataFrame:
-    """``doc_id, source, size, text_hash``: the only pass over the texts."""
-    return docs.select("doc_id", F.col("source").cast("string").alias("source"), common.n_words(F.col("text")).alias("size"), F.xxhash64("text").alias("text_hash"), *extra)
+def row_key() -> Column:
+    """Tells rows apart by id and text."""
+    return F.xxhash64(F.col("doc_id").isNull(), "doc_id", "text")
+
+
+def sizes(docs: DataFrame) -> DataFrame:
+    """``doc_id, source, size, row``: the only pass over the texts."""
+    return docs.select("doc_id", F.col("source").cast("string").alias("source"), common.n_words(F.col("text")).alias("size"), row_key().alias("row"))
+
+
+def numbered(rows: DataFrame, row: str = "row", copy: str = "copy", salts: int = 64) -> DataFrame:
+    """``rows`` with a number 0, 1, ... among those of equal ``row``.
+
+    Few rows repeat as a rule, and only these are counted: in ``salts`` parts
+    each, so that no task orders a large group of them.
+    """
+    often = common.cut(rows.groupBy(F.col(row).alias("__often")).count().where("count > 1").select("__often"))
+    if often.isEmpty():
+        return rows.withColumn(copy, F.lit(0).cast("long"))
+    match = F.col(row) == F.col("__often")
+    some = common.cut(rows.join(often, match, "left_semi").withColumn("__salt", F.pmod(F.monotonically_increasing_id(), F.lit(salts))))
+    held = some.groupBy(F.col(row).alias("__of"), F.col("__salt").alias("__part")).agg(F.count(F.lit(1)).alias("__n"))
+    before = F.sum("__n").over(Window.partitionBy("__of").orderBy("__part")) - F.col("__n")
+    held = held.select("__of", "__part", before.alias("__before"))
+    nth = F.row_number().over(Window.partitionBy(row, "__salt").orderBy(F.lit(0)))
+    counted = some.withColumn("__nth", nth).join(held, (F.col(row) == F.col("__of")) & (F.col("__salt") == F.col("__part")))
+    counted = counted.select(*rows.columns, (F.col("__before") + F.col("__nth") - 1).alias(copy))
+    return rows.join(often, match, "left_anti").withColumn(copy, F.lit(0).cast("long")).unionByName(counted)
 
 
 def targets(sized: DataFrame, weights=WEIGHTS, volume: float = VOLUME, max_epochs: int = MAX_EPOCHS) -> DataFrame:
@@ -63,7 +91,7 @@ def draw(sized: DataFrame, per_source: DataFrame, seed: int = SEED) -> DataFrame
     blocks = F.ceil(F.sqrt(F.col("n_docs"))).cast("long")
     ps = per_source.select(F.col("source").alias("s_source"), "n_docs", "source_size", "target")
     dealt = sized.join(ps, sized.source.eqNullSafe(F.col("s_source")), "left").drop("s_source")
-    dealt = dealt.select("*", F.pmod(F.xxhash64(F.lit(seed), "doc_id", "text_hash"), blocks).alias("block"))
+    dealt = dealt.select("*", F.pmod(F.xxhash64(F.lit(seed), "row", "copy"), blocks).alias("block"))
     words = dealt.groupBy("source", "block", "source_size", "target").agg(F.sum("size").alias("block_words"))
     order = Window.partitionBy("source").orderBy(F.xxhash64(F.lit(seed + 1), "source", "block"), "block")
     words = words.select("*", F.row_number().over(order).alias("block_rank"), (F.sum("block_words").over(order) - F.col("block_words")).alias("block_from"))
@@ -73,7 +101,7 @@ def draw(sized: DataFrame, per_source: DataFrame, seed: int = SEED) -> DataFrame
     offers = offers.groupBy(F.col("source").alias("o_source"), F.col("block").alias("o_block"), "block_rank").agg(F.collect_list(F.struct("epoch", F.least(F.col("room"), F.col("block_words").cast("double")).alias("room"), (F.col("room") >= F.col("block_words")).alias("whole"))).alias("offers"))
     full = dealt.join(offers, dealt.source.eqNullSafe(F.col("o_source")) & (F.col("block") == F.col("o_block")), "left").drop("o_source", "o_block")
     # In a border block the largest documents that still fit go first: fit, or leave room for the smaller.
-    size_order = Window.partitionBy("source", "block").orderBy(F.desc("size"), F.xxhash64(F.lit(seed + 2), "doc_id", "text_hash"), "doc_id")
+    size_order = Window.partitionBy("source", "block").orderBy(F.desc("size"), F.xxhash64(F.lit(seed + 2), "row", "copy"), "row", "copy")
     ranked = full.select("*", F.row_number().over(size_order).alias("nth"))
     border = ranked.where(F.exists(F.coalesce("offers", F.expr("array()").cast("array<struct<epoch:int,room:double,whole:boolean>>")), lambda o: ~o["whole"]))
     fitting = border.groupBy(F.col("source").alias("b_source"), F.col("block").alias("b_block")).agg(F.sort_array(F.collect_list(F.struct("nth", "size"))).alias("in_order"), F.first(F.filter("offers", lambda o: ~o["whole"])).alias("o"))
@@ -124,32 +152,49 @@ def split_quotas(quotas: DataFrame, levels: int = SHARD_LEVELS, seed: int = SEED
     return node.select("shard", F.inline("quotas"))
 
 
-def mixture(docs: DataFrame, levels: int = SHARD_LEVELS, seed: int = SEED, extra: tuple[str, ...] = ()) -> DataFrame:
-    """The mix: one row per document copy taken, with its output ``shard`` and local order ``mix_key``."""
-    sized = sizes(docs, extra)
+def place(sized: DataFrame, levels: int = SHARD_LEVELS, seed: int = SEED) -> tuple[DataFrame, DataFrame]:
+    """The rows of ``draw``, and the mix: a row per copy taken, with its output ``shard`` and local order ``mix_key``.
+
+    ``sized``: numbered sizes.
+    """
     drawn = common.cut(draw(sized, targets(sized), seed))
-    copies = drawn.where(F.size("epochs") > 0).select("*", F.explode("epochs").alias("epoch")).drop("epochs")
+    copies = drawn.where(F.size("epochs") > 0).select("row", "copy", "source", "block", "block_rank", F.explode("epochs").alias("epoch"))
     used = copies.select("source", "epoch", "block", "block_rank").distinct()
     order = Window.partitionBy("source", "epoch").orderBy("block_rank")
-    used = used.select("*", F.row_number().over(order).alias("nth_block"))
+    used = common.cut(used.select("*", F.row_number().over(order).alias("nth_block")))
     quota = split_quotas(used.groupBy("source", "epoch").agg(F.count(F.lit(1)).alias("quota")), levels, seed)
     upto = Window.partitionBy("source", "epoch").orderBy("shard")
-    spans = quota.select(F.col("source").alias("q_source"), F.col("epoch").alias("q_epoch"), "shard", F.sum("quota").over(upto).alias("last"), (F.sum("quota").over(upto) - F.col("quota")).alias("before"))
-    placed = used.join(spans, used.source.eqNullSafe(F.col("q_source")) & (F.col("epoch") == F.col("q_epoch")) & (F.col("nth_block") > F.col("before")) & (F.col("nth_block") <= F.col("last")))
+    spans = quota.where("quota > 0").select(F.col("source").alias("q_source"), F.col("epoch").alias("q_epoch"), "shard", F.sum("quota").over(upto).alias("last"), F.col("quota").alias("n"))
+    # Shard s takes the next quota[source, s] blocks in order.
+    blocks = spans.select("q_source", "q_epoch", "shard", F.explode(F.sequence(F.col("last") - F.col("n") + 1, F.col("last"))).alias("q_block"))
+    placed = used.join(blocks, used.source.eqNullSafe(F.col("q_source")) & (F.col("epoch") == F.col("q_epoch")) & (F.col("nth_block") == F.col("q_block")))
     placed = placed.select(F.col("source").alias("p_source"), F.col("epoch").alias("p_epoch"), F.col("block").alias("p_block"), "shard")
-    out = copies.join(placed, copies.source.eqNullSafe(F.col("p_source")) & (F.col("epoch") == F.col("p_epoch")) & (F.col("block") == F.col("p_block"))).drop("p_source", "p_epoch", "p_block")
-    return out.select("*", F.xxhash64(F.lit(seed + 3), "doc_id", "text_hash", "epoch").alias("mix_key"))
+    out = copies.join(placed, copies.source.eqNullSafe(F.col("p_source")) & (F.col("epoch") == F.col("p_epoch")) & (F.col("block") == F.col("p_block")))
+    return drawn, out.select("row", "copy", "epoch", "shard", F.xxhash64(F.lit(seed + 3), "row", "copy", "epoch").alias("mix_key"))
+
+
+def mixture(docs: DataFrame, levels: int = SHARD_LEVELS, seed: int = SEED) -> DataFrame:
+    """Every row's ``doc_id, size, source_size, target, taken``, and the ``shards`` that take it."""
+    # Numbers only; cut, as they are read for the totals, the blocks and the draw.
+    drawn, copies = place(common.cut(numbered(common.cut(sizes(docs)))), levels, seed)
+    times = copies.groupBy("row", "copy").agg(F.sort_array(F.collect_list("shard")).alias("shards"))
+    out = drawn.select("doc_id", "size", "source_size", "target", "row", "copy").join(times, ["row", "copy"], "left")
+    shards = F.coalesce("shards", F.expr("cast(array() as array<int>)"))
+    return out.select("doc_id", "size", "source_size", "target", (F.col("size") * F.size(shards)).cast("long").alias("taken"), shards.alias("shards"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    sized = sizes(common.documents(spark, sf_dir))
-    sized = common.cut(sized)  # numbers only; read for the totals, the blocks and the draw
-    drawn = draw(sized, targets(sized))
-    return drawn.select("doc_id", "size", "source_size", "target", (F.col("size") * F.size("epochs")).cast("long").alias("taken"))
+    return mixture(common.documents(spark, sf_dir))
 
 
 def mix(docs: DataFrame, levels: int = SHARD_LEVELS, seed: int = SEED) -> DataFrame:
-    """``docs`` as mixed: rows not drawn go, rows drawn twice come twice, dealt by shard and shuffled in it."""
-    places = mixture(docs, levels, seed).select(F.col("doc_id").alias("__doc"), F.col("text_hash").alias("__hash"), F.col("epoch").alias("__epoch"), F.col("shard").alias("__shard"), F.col("mix_key").alias("__key")).distinct()
-    joined = docs.join(places, F.col("doc_id").eqNullSafe(F.col("__doc")) & (F.xxhash64("text") == F.col("__hash")))
-    return joined.repartition(common.parallel(docs), "__shard", "__key").sortWithinPartitions("__shard", "__key").select(*docs.columns)
+    """``docs`` as mixed: rows not drawn go, rows drawn twice come twice.
+
+    The output is in ranges of shards, and shuffled by a hash in each shard, so
+    written files follow each other shard by shard.
+    """
+    _, copies = place(common.cut(numbered(common.cut(sizes(docs)))), levels, seed)
+    places = copies.select(F.col("row").alias("__row"), F.col("copy").alias("__copy"), F.col("shard").alias("__shard"), F.col("mix_key").alias("__key"))
+    rows = numbered(docs.withColumn("__own", row_key()), "__own", "__nth")
+    joined = rows.join(places, (F.col("__own") == F.col("__row")) & (F.col("__nth") == F.col("__copy")))
+    return joined.repartitionByRange(common.parallel(docs), "__shard", "__key").sortWithinPartitions("__shard", "__key").select(*docs.columns)
