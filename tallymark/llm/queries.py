@@ -19,5 +19,9 @@ QUERIES = {
 
 ORACLE_SQL = {
     "op1_line_dedup": line_dedup.ORACLE,
+    "op2_ngram_join": ngram_join.ORACLE,
+    "op5_quality_rules": quality_rules.ORACLE,
+    "op6_suffix_dedup": suffix_dedup.ORACLE,
     "op7_exact_dedup": exact_dedup.ORACLE,
+    "op10_recompression_dedup": recompression_dedup.ORACLE,
 }

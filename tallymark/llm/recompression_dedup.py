@@ -193,3 +193,18 @@ def dedup_passages(docs: DataFrame, width: int = WIDTH, rounds: int = ROUNDS) ->
 
 def query(spark, sf_dir: str) -> DataFrame:
     return dedup_passages(common.documents(spark, sf_dir)).select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+ORACLE = r"""
+WITH t AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+p AS (SELECT doc_id, unnest(range(1, len(w) + 1)) AS i, unnest(w) AS word FROM t),
+p2 AS (SELECT doc_id, i, word || ' ' || lead(word) OVER o AS w2 FROM p WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+p4 AS (SELECT doc_id, i, w2 || ' ' || lead(w2, 2) OVER o AS w4 FROM p2 WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+p8 AS (SELECT doc_id, i, w4, w4 || ' ' || lead(w4, 4) OVER o AS w8 FROM p4 WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+g AS (SELECT doc_id, i, w8 || ' ' || lead(w8, 8) OVER o || ' ' || lead(w4, 16) OVER o AS g FROM p8 WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+s AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY g ORDER BY doc_id, i) AS k FROM g WHERE g IS NOT NULL) WHERE k > 1),
+b AS (SELECT p.doc_id, p.i, p.word, coalesce(max(s.i) OVER (PARTITION BY p.doc_id ORDER BY p.i) > p.i - 20, false) AS gone FROM p LEFT JOIN s ON s.doc_id = p.doc_id AND s.i = p.i),
+k AS (SELECT doc_id, count(*) AS n_words, count(*) FILTER (WHERE gone) AS n_removed, coalesce(string_agg(word, ' ' ORDER BY i) FILTER (WHERE NOT gone), '') AS kept FROM b GROUP BY doc_id)
+SELECT t.doc_id, coalesce(n_words, 0)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM t LEFT JOIN k ON k.doc_id = t.doc_id
+"""

@@ -113,3 +113,22 @@ def dedup_spans(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> DataFr
 
 def query(spark, sf_dir: str) -> DataFrame:
     return dedup_spans(common.documents(spark, sf_dir)).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+ORACLE = """
+WITH t AS (SELECT doc_id, regexp_extract_all(hex(encode(coalesce(text, ''))), '..') AS b FROM documents),
+p AS (SELECT doc_id, unnest(range(1, len(b) + 1)) AS i, unnest(b) AS byte FROM t),
+p2 AS (SELECT doc_id, i, byte || lead(byte) OVER o AS b2 FROM p WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+p4 AS (SELECT doc_id, i, b2, b2 || lead(b2, 2) OVER o AS b4 FROM p2 WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+p8 AS (SELECT doc_id, i, b2, b4 || lead(b4, 4) OVER o AS b8 FROM p4 WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+p16 AS (SELECT doc_id, i, b2, b8 || lead(b8, 8) OVER o AS b16 FROM p8 WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+w AS (SELECT doc_id, i, b16 || lead(b16, 16) OVER o || lead(b16, 32) OVER o || lead(b2, 48) OVER o AS g FROM p16 WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+f AS (SELECT g, min(doc_id) AS first FROM w WHERE g IS NOT NULL GROUP BY g HAVING min(doc_id) < max(doc_id)),
+s AS (SELECT w.doc_id, w.i FROM w JOIN f ON w.g = f.g WHERE w.doc_id > f.first),
+m AS (SELECT p.doc_id, p.i, p.byte, max(s.i) OVER (PARTITION BY p.doc_id ORDER BY p.i) AS last FROM p LEFT JOIN s ON s.doc_id = p.doc_id AND s.i = p.i),
+g AS (SELECT doc_id, i, byte, coalesce(last > i - 50, false) AS gone FROM m),
+r AS (SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY i), false) AS begins FROM g),
+k AS (SELECT doc_id, count(*) FILTER (WHERE gone) AS n_removed, count(*) FILTER (WHERE begins) AS n_spans, coalesce(string_agg(byte, '' ORDER BY i) FILTER (WHERE NOT gone), '') AS kept FROM r GROUP BY doc_id)
+SELECT t.doc_id, len(t.b)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(kept, ''))) AS kept_sha256
+FROM t LEFT JOIN k ON k.doc_id = t.doc_id
+"""

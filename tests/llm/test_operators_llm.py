@@ -96,6 +96,16 @@ def test_line_dedup(docs, rows, empty):
     assert line_dedup.dedup_lines(empty).count() == 0
 
 
+def test_lines_are_sorted_within_ranges_and_settled_over_them(spark):
+    hot = "a line that very many documents hold"
+    docs = spark.createDataFrame([(i, f"{hot}\nonly document {i} holds this line\n{hot}") for i in range(400)], "doc_id long, text string").repartition(7)
+    dropped = {r.doc_id: r.n_dropped for r in line_dedup.dedup_lines(docs).collect()}
+    assert dropped == {i: 2 if i < 399 else 0 for i in range(400)}
+    keyed = docs.select(F.xxhash64("text").alias("h1"), F.xxhash64("text").alias("h2"), "doc_id", F.lit(0).alias("word"))
+    plan = line_dedup.ranked_lines(keyed, 3)._jdf.queryExecution().executedPlan().toString()
+    assert "rangepartitioning(h1" in plan and "Sort [range" in plan and "Window [first(doc_id" in plan
+
+
 def test_exact_dedup(docs, rows, empty):
     groups = {}
     for d, text, *_ in rows:
@@ -340,21 +350,33 @@ def test_mixing(docs, rows, empty):
         if not over:
             break
         full |= over
-    sized = mixing.sizes(docs)
-    got = mixing.draw(sized, mixing.targets(sized)).collect()
+    got = mixing.mixture(docs, levels=2).collect()
     assert len(got) == len(rows)
-    taken = Counter()
+    taken, sources = Counter(), {(d, len(words(t))): s for d, t, _, s, *_ in rows}
     for r in got:
-        assert abs(r.target - target[r.source]) < 1e-6 * max(1, target[r.source]) and r.source_size == size[r.source] and len(r.epochs) <= 2
-        taken[r.source] += r["size"] * len(r.epochs)
-    assert all(taken[s] <= target[s] + 1e-6 for s in names) and sum(taken.values()) > 0.9 * sum(target.values()) - 9000
-    again = mixing.draw(mixing.sizes(docs.repartition(3)), mixing.targets(sized)).collect()
-    assert sorted((r.doc_id, tuple(r.epochs)) for r in got if r.doc_id) == sorted((r.doc_id, tuple(r.epochs)) for r in again if r.doc_id)
-    mixed = mixing.mixture(docs, levels=2)
-    assert mixed.count() == sum(len(r.epochs) for r in got) and {r.shard for r in mixed.collect()} <= {0, 1, 2, 3}
+        s = sources[r.doc_id, r.size]
+        assert abs(r.target - target[s]) < 1e-6 * max(1, target[s]) and r.source_size == size[s]
+        assert len(r.shards) <= 2 and set(r.shards) <= {0, 1, 2, 3} and r.taken == r.size * len(r.shards)
+        taken[s] += r.taken
+    for s in names:  # within the largest document of the source, here the border block may hold any
+        assert target[s] - max(len(words(t)) for _, t, _, x, *_ in rows if x == s) < taken[s] <= target[s] + 1e-6
+    key = lambda rs: sorted((str(r.doc_id), r.size, tuple(r.shards)) for r in rs)
+    assert key(got) == key(mixing.mixture(docs.repartition(3), levels=2).collect())
     out = mixing.mix(docs, levels=2)
     assert out.columns == docs.columns
-    assert mixing.mix(empty).count() == 0 and mixing.targets(mixing.sizes(empty)).count() == 0
+    want = Counter()
+    for r in got:
+        want[r.doc_id, r.size] += len(r.shards)
+    assert Counter((r.doc_id, len(words(r.text))) for r in out.collect()) == +want
+    assert mixing.mix(empty).count() == 0 and mixing.mixture(empty).count() == 0 and mixing.targets(mixing.sizes(empty)).count() == 0
+
+
+def test_repeated_rows_are_numbered(spark):
+    rows = spark.createDataFrame([(1,)] * 300 + [(i,) for i in range(2, 9)] + [(9,), (9,)], "row long").repartition(4)
+    got = {}
+    for r in mixing.numbered(rows, salts=5).collect():
+        got.setdefault(r.row, []).append(r.copy)
+    assert {k: sorted(v) for k, v in got.items()} == {1: list(range(300)), **{i: [0] for i in range(2, 9)}, 9: [0, 1]}
 
 
 def test_splitting_tree_keeps_quotas(spark):
