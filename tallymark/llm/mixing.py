@@ -37,34 +37,9 @@ from . import common
 WEIGHTS, VOLUME, MAX_EPOCHS, SHARD_LEVELS, SEED = (5, 2, 1), 1.5, 2, 5, 20240101
 
 
-def row_key() -> Column:
-    """Tells rows apart by id and text."""
-    return F.xxhash64(F.col("doc_id").isNull(), "doc_id", "text")
-
-
 def sizes(docs: DataFrame) -> DataFrame:
     """``doc_id, source, size, row``: the only pass over the texts."""
-    return docs.select("doc_id", F.col("source").cast("string").alias("source"), common.n_words(F.col("text")).alias("size"), row_key().alias("row"))
-
-
-def numbered(rows: DataFrame, row: str = "row", copy: str = "copy", salts: int = 64) -> DataFrame:
-    """``rows`` with a number 0, 1, ... among those of equal ``row``.
-
-    Few rows repeat as a rule, and only these are counted: in ``salts`` parts
-    each, so that no task orders a large group of them.
-    """
-    often = common.cut(rows.groupBy(F.col(row).alias("__often")).count().where("count > 1").select("__often"))
-    if often.isEmpty():
-        return rows.withColumn(copy, F.lit(0).cast("long"))
-    match = F.col(row) == F.col("__often")
-    some = common.cut(rows.join(often, match, "left_semi").withColumn("__salt", F.pmod(F.monotonically_increasing_id(), F.lit(salts))))
-    held = some.groupBy(F.col(row).alias("__of"), F.col("__salt").alias("__part")).agg(F.count(F.lit(1)).alias("__n"))
-    before = F.sum("__n").over(Window.partitionBy("__of").orderBy("__part")) - F.col("__n")
-    held = held.select("__of", "__part", before.alias("__before"))
-    nth = F.row_number().over(Window.partitionBy(row, "__salt").orderBy(F.lit(0)))
-    counted = some.withColumn("__nth", nth).join(held, (F.col(row) == F.col("__of")) & (F.col("__salt") == F.col("__part")))
-    counted = counted.select(*rows.columns, (F.col("__before") + F.col("__nth") - 1).alias(copy))
-    return rows.join(often, match, "left_anti").withColumn(copy, F.lit(0).cast("long")).unionByName(counted)
+    return docs.select("doc_id", F.col("source").cast("string").alias("source"), common.n_words(F.col("text")).alias("size"), common.row_key().alias("row"))
 
 
 def targets(sized: DataFrame, weights=WEIGHTS, volume: float = VOLUME, max_epochs: int = MAX_EPOCHS) -> DataFrame:
@@ -176,7 +151,7 @@ def place(sized: DataFrame, levels: int = SHARD_LEVELS, seed: int = SEED) -> tup
 def mixture(docs: DataFrame, levels: int = SHARD_LEVELS, seed: int = SEED) -> DataFrame:
     """Every row's ``doc_id, size, source_size, target, taken``, and the ``shards`` that take it."""
     # Numbers only; cut, as they are read for the totals, the blocks and the draw.
-    drawn, copies = place(common.cut(numbered(common.cut(sizes(docs)))), levels, seed)
+    drawn, copies = place(common.cut(common.numbered(common.cut(sizes(docs)))), levels, seed)
     times = copies.groupBy("row", "copy").agg(F.sort_array(F.collect_list("shard")).alias("shards"))
     out = drawn.select("doc_id", "size", "source_size", "target", "row", "copy").join(times, ["row", "copy"], "left")
     shards = F.coalesce("shards", F.expr("cast(array() as array<int>)"))
@@ -193,8 +168,8 @@ def mix(docs: DataFrame, levels: int = SHARD_LEVELS, seed: int = SEED) -> DataFr
     The output is in ranges of shards, and shuffled by a hash in each shard, so
     written files follow each other shard by shard.
     """
-    _, copies = place(common.cut(numbered(common.cut(sizes(docs)))), levels, seed)
+    _, copies = place(common.cut(common.numbered(common.cut(sizes(docs)))), levels, seed)
     places = copies.select(F.col("row").alias("__row"), F.col("copy").alias("__copy"), F.col("shard").alias("__shard"), F.col("mix_key").alias("__key"))
-    rows = numbered(docs.withColumn("__own", row_key()), "__own", "__nth")
+    rows = common.numbered(docs.withColumn("__own", common.row_key()), "__own", "__nth")
     joined = rows.join(places, (F.col("__own") == F.col("__row")) & (F.col("__nth") == F.col("__copy")))
     return joined.repartitionByRange(common.parallel(docs), "__shard", "__key").sortWithinPartitions("__shard", "__key").select(*docs.columns)

@@ -2,8 +2,9 @@
 
 Every document is encoded (a byte-level BPE vocabulary, read by tiktoken) and cut into sequences of up to
 ``SEQ_TOKENS`` ids.  Sequences get dense numbers 0..N-1 in two steps (documents
-dealt by hash, offsets by running sums over the few hash buckets; only counts
-travel for it), and a keyed
+dealt to ``BUCKETS`` by a hash of id and text, offsets by running sums over the
+buckets; only counts travel for it), so that any partitioning gives the same
+numbers, and a keyed
 Feistel network with cycle-walking maps number to slot, a permutation of 0..N-1
 that needs no sort and no state.  Slots are dealt by range to parts of whole
 shards, many sequences to a compressed row; a task writes its shards one after another, record k of a shard at byte
@@ -22,6 +23,7 @@ from __future__ import annotations
 import base64
 import functools
 import hashlib
+import itertools
 import uuid
 from collections.abc import Iterator
 
@@ -33,7 +35,7 @@ from pyspark.sql import functions as F
 
 from . import common
 
-SEQ_TOKENS, SHARD_RECORDS, KEY, ROUNDS, WIDTH, BROADCAST_DOCS = 256, 16384, 0x5DEECE66D, 6, 2, 1_000_000
+SEQ_TOKENS, SHARD_RECORDS, KEY, ROUNDS, WIDTH, BROADCAST_DOCS, BUCKETS, LEVEL = 256, 16384, 0x5DEECE66D, 6, 2, 1_000_000, 4096, 6
 NONE = -(2**63)  # a null doc_id
 
 
@@ -77,7 +79,7 @@ def permute(number: np.ndarray, n: int, key: int = KEY, rounds: int = ROUNDS) ->
 
 
 def sequences(docs: DataFrame, vocabulary: str | None = None, seq_tokens: int = SEQ_TOKENS, width: int = WIDTH) -> DataFrame:
-    """``doc_id, row_key, seq, n_tokens, ids``: the ids of each sequence as bytes."""
+    """``doc_id, row, copy, seq, n_tokens, ids``: the ids of each sequence as bytes; ``row, copy`` names the document."""
     path = vocabulary or default_vocabulary()
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -87,39 +89,38 @@ def sequences(docs: DataFrame, vocabulary: str | None = None, seq_tokens: int =
         for f in frames:
             for start in range(0, len(f), 500):
                 part, rows = f.iloc[start : start + 500], []
-                for d, k, text in zip(part["doc_id"], part["row_key"], part["body"]):
+                for d, k, c, text in zip(part["doc_id"], part["row"], part["copy"], part["body"]):
                     raw = e.encode_to_numpy(text).astype(f"<u{width}")
-                    rows += [(d, k, i, len(s := raw[at : at + seq_tokens]), s.tobytes()) for i, at in enumerate(range(0, len(raw), seq_tokens))]
-                yield pd.DataFrame(rows, columns=["doc_id", "row_key", "seq", "n_tokens", "ids"])
+                    rows += [(d, k, c, i, len(s := raw[at : at + seq_tokens]), s.tobytes()) for i, at in enumerate(range(0, len(raw), seq_tokens))]
+                yield pd.DataFrame(rows, columns=["doc_id", "row", "copy", "seq", "n_tokens", "ids"])
 
-    # Rows that repeat get keys of their own, so each has its own numbers.
-    key = F.xxhash64("doc_id", "text", F.monotonically_increasing_id())
-    rows = docs.select(F.col("doc_id").cast("string").alias("doc_id"), key.alias("row_key"), F.coalesce("text", F.lit("")).alias("body"))
-    return rows.mapInPandas(run, "doc_id string, row_key long, seq int, n_tokens int, ids binary").withColumn("doc_id", F.col("doc_id").cast("long"))
+    # Rows that repeat are numbered apart.
+    rows = common.numbered(docs.select("doc_id", common.row_key().alias("row"), F.coalesce("text", F.lit("")).alias("body")))
+    rows = rows.withColumn("doc_id", F.col("doc_id").cast("string"))
+    return rows.mapInPandas(run, "doc_id string, row long, copy long, seq int, n_tokens int, ids binary").withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 def number(seqs: DataFrame) -> tuple[DataFrame, int]:
     """``seqs`` with dense ``number``; and how many there are.  ``seqs`` is read twice, its ids once."""
     spark = seqs.sparkSession
-    n_buckets = max(64, common.parallel(seqs) * 4)
-    per_doc = seqs.groupBy("row_key").agg(F.max("seq").alias("last")).select("row_key", (F.col("last") + 1).cast("long").alias("n"), F.pmod("row_key", F.lit(n_buckets)).cast("int").alias("bucket"))
+    per_doc = seqs.groupBy("row", "copy").agg(F.max("seq").alias("last")).select("row", "copy", (F.col("last") + 1).cast("long").alias("n"), F.pmod("row", F.lit(BUCKETS)).cast("int").alias("bucket"))
     per_doc = common.written(per_doc)
-    counts = {r["bucket"]: r["n"] for r in per_doc.groupBy("bucket").agg(F.sum("n").alias("n")).collect()}  # n_buckets rows at most
+    counts = {r["bucket"]: r["n"] for r in per_doc.groupBy("bucket").agg(F.sum("n").alias("n")).collect()}  # BUCKETS rows at most
     offsets, total = [], 0
-    for b in range(n_buckets):
+    for b in range(BUCKETS):
         offsets.append((b, total))
         total += counts.get(b, 0)
-    offset = F.broadcast(spark.createDataFrame(offsets, "bucket int, offset long"))  # n_buckets rows
-    before = F.sum("n").over(Window.partitionBy("bucket").orderBy("row_key")) - F.col("n")
-    first = per_doc.withColumn("before", before).join(offset, "bucket").select("row_key", (F.col("offset") + F.col("before")).alias("first"))
-    if per_doc.count() <= BROADCAST_DOCS:  # two numbers a document; beyond that a shuffled join
+    offset = F.broadcast(spark.createDataFrame(offsets, "bucket int, offset long"))  # BUCKETS rows
+    before = F.sum("n").over(Window.partitionBy("bucket").orderBy("row", "copy")) - F.col("n")
+    first = per_doc.withColumn("before", before).join(offset, "bucket").select("row", "copy", (F.col("offset") + F.col("before")).alias("first"))
+    if per_doc.count() <= BROADCAST_DOCS:  # three numbers a document; beyond that a shuffled join
         first = F.broadcast(first)
-    return seqs.join(first, "row_key").select(*seqs.columns, (F.col("first") + F.col("seq")).alias("number")), total
+    return seqs.join(first, ["row", "copy"]).select(*seqs.columns, (F.col("first") + F.col("seq")).alias("number")), total
 
 
 def shards(docs: DataFrame, out_dir: str, vocabulary: str | None = None, seq_tokens: int = SEQ_TOKENS, shard_records: int = SHARD_RECORDS, key: int = KEY, width: int = WIDTH) -> DataFrame:
     """Write the shards; a row per sequence: ``slot, shard, byte_at, doc_id, seq, n_tokens, record_sha256``."""
-    seqs = common.written(sequences(docs, vocabulary, seq_tokens, width))
+    seqs = common.written(sequences(docs, vocabulary, seq_tokens, width), LEVEL)
     numbered, n = number(seqs)
     stride = width * (seq_tokens + 1)
 
@@ -143,7 +144,7 @@ def shards(docs: DataFrame, out_dir: str, vocabulary: str | None = None, seq_tok
         part = slot // shard_records * n_parts // n_shards
         order = np.lexsort((slot, part))
         cuts = np.flatnonzero(np.diff(part[order])) + 1
-        rows, z = [], zstandard.ZstdCompressor(level=1)
+        rows, z = [], zstandard.ZstdCompressor(level=LEVEL)
         doc, seq, tokens, ids = f["doc"].to_numpy(np.int64), f["seq"].to_numpy("<i4"), f["n_tokens"].to_numpy("<u2"), f["ids"].to_numpy()
         for s, e in zip([0, *cuts], [*cuts, len(order)]):
             if e > s:
@@ -165,16 +166,11 @@ def shards(docs: DataFrame, out_dir: str, vocabulary: str | None = None, seq_tok
     def write(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyarrow import fs
 
-        got: dict[int, list[bytes]] = {}
-        for f in frames:
-            for p, b in zip(f["part"], f["payload"]):
-                got.setdefault(int(p), []).append(bytes(b))
-        if not got:
-            return
         store, root = fs.FileSystem.from_uri(out_dir)
         store.create_dir(root, recursive=True)
-        for payloads in got.values():  # one range of slots at a time
-            slot, doc, seq, tokens, ids = (np.concatenate(c) for c in zip(*map(unpack, payloads)))
+        rows = ((p, bytes(b)) for f in frames for p, b in zip(f["part"], f["payload"]))
+        for _, payloads in itertools.groupby(rows, key=lambda r: r[0]):  # sorted: one range of slots at a time
+            slot, doc, seq, tokens, ids = (np.concatenate(c) for c in zip(*(unpack(b) for _, b in payloads)))
             order = np.argsort(slot)
             shard = slot[order] // shard_records
             cuts = np.flatnonzero(np.diff(shard)) + 1
@@ -189,7 +185,7 @@ def shards(docs: DataFrame, out_dir: str, vocabulary: str | None = None, seq_tok
                 yield pd.DataFrame({"slot": slot[o], "shard": shard[s:e], "byte_at": slot[o] % shard_records * stride, "doc": doc[o], "seq": seq[o], "n_tokens": tokens[o].astype(np.int32), "record_sha256": digests})
 
     rows = numbered.select(F.coalesce("doc_id", F.lit(NONE)).alias("doc"), "seq", "n_tokens", "ids", "number")
-    dealt = rows.mapInPandas(deal, "part int, payload binary").repartition(common.parallel(docs), "part")
+    dealt = rows.mapInPandas(deal, "part int, payload binary").repartition(common.parallel(docs), "part").sortWithinPartitions("part")
     out = dealt.mapInPandas(write, "slot long, shard long, byte_at long, doc long, seq int, n_tokens int, record_sha256 string")
     return out.withColumn("doc_id", F.nullif("doc", F.lit(NONE))).drop("doc")
 
