@@ -11,20 +11,26 @@ windows with one anchor form a run, and only runs travel:
    third of all documents hold leaves a task once.
 2. by anchor key: equal runs are settled (all but the first are repeats).  If an
    anchor has different runs, they may still share some windows: they stay open.
-3. by row: open runs are opened into windows, named by 96 bits of hash.
-4. by window name: all but the first are repeats.
+3. by row: the text of open runs is cut out and goes to the anchor's part.
+4. by anchor: a part sorts the windows of its open runs by content, with
+   bucket-pointer refinement (see ``refine``): all but the first of a bucket are
+   repeats.
 5. by row: repeats are laid over the text.
 
 The document says what is earlier; a row, a hash of id and text, says where a
 span was found: rows that share an id, or have none, do not share their spans.
 
 Rows are packed into NumPy columns, a binary value per task and target part.
-An anchor with very many different runs in a task (more than ``HOT``) is open
-anyway: its runs are dealt by their own hash, one marker goes to its key.
+An anchor with very many different runs in a task (more than ``HOT``) would make
+a large part: one marker goes to its key, and its open runs are cut into windows,
+each named by 96 bits of hash and dealt by its own name.  Parts and groups of
+rows are as many as the texts have multiples of ``PART_BYTES``, and a task takes
+one at a time.
 """
 
 from __future__ import annotations
 
+import itertools
 from collections import defaultdict
 from collections.abc import Callable, Iterator
 
@@ -38,7 +44,7 @@ from . import common
 from .hashing import mix
 
 NONE = -(2**63)  # a null doc_id: before all others
-HOT, FLUSH, HOT_FLAG = 64, 1_500_000, 128
+HOT, FLUSH, HOT_FLAG, PART_BYTES = 64, 500_000, 128, 16 << 20
 RUNS = np.dtype([("k", "<u8"), ("r", "<u8"), ("doc", "<i8"), ("row", "<i8"), ("at", "<i8"), ("n", "u1")])
 SPANS = RUNS  # spans use doc, row, at, n only
 
@@ -90,10 +96,11 @@ def unpacked(data: bytes) -> np.ndarray:
 
 
 def dealt(kind: int, part: np.ndarray, items: np.ndarray) -> Iterator[tuple[int, int, bytes]]:
-    """``items`` by target part, each in order of document, row and start."""
+    """``items`` by target part, otherwise in the order they have."""
     if not len(items):
         return
-    order = np.lexsort((items["at"], items["row"], items["doc"], part))
+    small = part.astype(np.uint16) if int(part.max()) < 1 << 16 else part  # sorted by counting
+    order = np.argsort(small, kind="stable")
     items, part = items[order], part[order]
     cuts = np.flatnonzero(np.diff(part)) + 1
     for s, e in zip([0, *cuts], [*cuts, len(part)]):
@@ -105,20 +112,73 @@ def frame(out: list[tuple[int, int, bytes]]) -> pd.DataFrame:
 
 
 SCHEMA = "kind int, part int, payload binary"
-OPEN, SETTLED = 0, 1
-
-
-def settle(items: np.ndarray, same_doc: bool) -> tuple[np.ndarray, np.ndarray]:
-    """``items`` sorted by key, and which of them repeat an earlier one."""
-    items = items[np.lexsort((items["at"], items["doc"], items["r"], items["k"]))]
+OPEN, SETTLED, CUT = 0, 1, 2
+
+
+def by_key(items: np.ndarray) -> np.ndarray:
+    """An order by key, then content, document and start; most keys come once, and only the others need more than one sort."""
+    order = np.argsort(items["k"])
+    k = items["k"][order]
+    twice = np.zeros(len(k), bool)
+    twice[1:] = k[1:] == k[:-1]
+    twice[:-1] |= twice[1:]
+    some = order[twice]
+    part = items[some]
+    order[twice] = some[np.lexsort((part["at"], part["doc"], part["r"], part["k"]))]
+    return order
+
+
+def settle(items: np.ndarray, same_doc: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """An order of ``items`` by key, ``items`` in it, and which of them repeat an earlier one."""
+    order = by_key(items)
+    items = items[order]
     new = np.ones(len(items), bool)
     new[1:] = (items["k"][1:] != items["k"][:-1]) | (items["r"][1:] != items["r"][:-1])
     if not len(items):
-        return items, ~new
-    first = items[new][np.cumsum(new) - 1]
+        return order, items, ~new
+    first = items[["doc", "at"]][new][np.cumsum(new) - 1]
     later = items["doc"] > first["doc"]
     # A row that comes twice has its windows twice, at the same starts: they do not repeat each other.
-    return items, later | (items["at"] > first["at"]) if same_doc else later
+    return order, items, later | (items["at"] > first["at"]) if same_doc else later
+
+
+def refine(ids: np.ndarray, depth: int, start: np.ndarray, doc: np.ndarray, at: np.ndarray, width: int, same_doc: bool) -> np.ndarray:
+    """Which windows of ``width`` symbols at ``start`` also start earlier, by bucket-pointer refinement.
+
+    ``ids[i]`` is the bucket of the ``depth`` symbols from i on, in sorted order.
+    A window's bucket is refined by sorting on its own bucket and the bucket at a
+    later offset, which doubles its depth; the buckets found serve the next turn
+    at all offsets.  Windows alone in a bucket, there or here, are done.
+    """
+    if not len(start):
+        return np.zeros(0, bool)
+    active = np.zeros(len(ids), bool)  # positions whose bucket a window needs
+    for offset in range(width - depth + 1):
+        active[start + offset] = True
+    while depth < width:
+        step = min(depth, width - depth)
+        held = np.bincount(ids[active], minlength=int(ids.max()) + 1)
+        alone = held[ids] < 2
+        left = np.flatnonzero(active)
+        left = left[left + step < len(ids)]
+        left = left[active[left + step] & ~alone[left] & ~alone[left + step]]
+        _, bucket = np.unique(ids[left].astype(np.int64) * (int(ids.max()) + 1) + ids[left + step], return_inverse=True)
+        ids = np.zeros(len(ids), np.int64)
+        active = np.zeros(len(ids), bool)
+        ids[left], active[left] = bucket, True
+        depth += step
+    live = np.flatnonzero(active[start])
+    out = np.zeros(len(start), bool)
+    if len(live):
+        bucket = ids[start[live]]
+        order = np.lexsort((at[live], doc[live], bucket))
+        live, bucket = live[order], bucket[order]
+        new = np.ones(len(live), bool)
+        new[1:] = bucket[1:] != bucket[:-1]
+        first = live[new][np.cumsum(new) - 1]
+        later = doc[live] > doc[first]
+        out[live] = later | (at[live] > at[first]) if same_doc else later
+    return out
 
 
 def group_of(row: np.ndarray, groups: int) -> np.ndarray:
@@ -126,35 +186,41 @@ def group_of(row: np.ndarray, groups: int) -> np.ndarray:
 
 
 def send_runs(items: np.ndarray, same_doc: bool, parts: int, groups: int) -> list[tuple[int, int, bytes]]:
-    items, repeats = settle(items, same_doc)
-    gone, left = items[repeats], items[~repeats]
+    order, ranked, repeats = settle(items, same_doc)
+    left = ranked["k"][~repeats]
     new = np.ones(len(left), bool)
-    new[1:] = left["k"][1:] != left["k"][:-1]
+    new[1:] = left[1:] != left[:-1]
     size = np.diff(np.flatnonzero(np.append(new, True)))
     hot = np.repeat(size, size) > HOT
-    marks = left[hot & new].copy()
-    marks["r"], marks["n"], marks["doc"], marks["row"], marks["at"] = 0, 0, 0, 0, 0
+    marks = np.zeros(int((hot & new).sum()), RUNS)
+    marks["k"] = left[hot & new]
+    # Back to the order of texts, which compresses best.
+    is_hot, gone = np.zeros(len(items), bool), np.zeros(len(items), bool)
+    is_hot[order[~repeats]], gone[order] = hot, repeats
+    gone, left, hot = items[gone], items[~gone], is_hot[~gone]
     left["n"][hot] |= HOT_FLAG
     part = np.where(hot, mix(left["r"]), mix(left["k"])) % np.uint64(parts)
     marked = np.concatenate([left, marks])
     part = np.concatenate([part, mix(marks["k"]) % np.uint64(parts)]).astype(np.int32)
-    return [*dealt(OPEN, part, marked), *dealt(SETTLED, group_of(gone["row"], parts), gone)]
+    return [*dealt(OPEN, part, marked), *dealt(SETTLED, group_of(gone["row"], groups), gone)]
 
 
-def by_part(frames: Iterator[pd.DataFrame]) -> dict[int, dict[int, list[bytes]]]:
-    got: dict = defaultdict(lambda: defaultdict(list))
-    for f in frames:
-        for kind, part, payload in zip(f["kind"], f["part"], f["payload"]):
-            got[int(part)][int(kind)].append(bytes(payload))
-    return got
+def by_part(frames: Iterator[pd.DataFrame]) -> Iterator[dict[int, list[bytes]]]:
+    """The payloads of each part, by kind, one part at a time: the rows come sorted by part."""
+    rows = ((p, k, b) for f in frames for p, k, b in zip(f["part"], f["kind"], f["payload"]))
+    for _, of_part in itertools.groupby(rows, key=lambda r: r[0]):
+        kinds: dict[int, list[bytes]] = defaultdict(list)
+        for _, k, b in of_part:
+            kinds[int(k)].append(bytes(b))
+        yield kinds
 
 
 def joined(payloads: list[bytes]) -> np.ndarray:
     return np.concatenate([unpacked(p) for p in payloads]) if payloads else np.zeros(0, RUNS)
 
 
-def spans_by_group(kind: int, items: np.ndarray, groups: int) -> Iterator[tuple[int, int, bytes]]:
-    return ((kind, g, packed(items_g, False)) for _, g, items_g in unpacked_groups(items, groups))
+def spans_by_group(kind: int, items: np.ndarray, groups: int, keys: bool = False) -> Iterator[tuple[int, int, bytes]]:
+    return ((kind, g, packed(items_g, keys)) for _, g, items_g in unpacked_groups(items, groups))
 
 
 def unpacked_groups(items: np.ndarray, groups: int) -> Iterator[tuple[int, int, np.ndarray]]:
@@ -168,12 +234,46 @@ def unpacked_groups(items: np.ndarray, groups: int) -> Iterator[tuple[int, int,
         yield 0, int(part[s]), items[s:e]
 
 
+def cut_out(items: np.ndarray, texts: list[bytes]) -> bytes:
+    """Open runs with their own text."""
+    head = packed(items, True)
+    sizes = np.array([len(t) for t in texts], "<u4").tobytes()
+    return len(head).to_bytes(4, "little") + head + zstandard.ZstdCompressor(level=1).compress(sizes + b"".join(texts))
+
+
+def cut_in(data: bytes) -> tuple[np.ndarray, list[bytes]]:
+    size = int.from_bytes(data[:4], "little")
+    items = unpacked(data[4 : 4 + size])
+    raw = zstandard.ZstdDecompressor().decompress(data[4 + size :])
+    sizes = np.frombuffer(raw, "<u4", len(items))
+    end = 4 * len(items) + np.cumsum(sizes.astype(np.int64))
+    return items, [raw[e - n : e] for e, n in zip(end.tolist(), sizes.tolist())]
+
+
+def long_spans(items: np.ndarray) -> np.ndarray:
+    """Windows in order of row and start, as few spans of up to 127."""
+    if not len(items):
+        return items
+    items = items[np.lexsort((items["at"], items["row"], items["doc"]))]
+    new = np.ones(len(items), bool)
+    new[1:] = (items["row"][1:] != items["row"][:-1]) | (items["doc"][1:] != items["doc"][:-1]) | (items["at"][1:] > items["at"][:-1] + 1)
+    head = np.flatnonzero(new)
+    since = items["at"] - items["at"][head][np.cumsum(new) - 1]
+    new |= (since % 127 == 0) & np.append(True, items["at"][1:] != items["at"][:-1])
+    head = np.flatnonzero(new)
+    out = items[head]
+    out["n"] = items["at"][np.append(head[1:], len(items)) - 1] - out["at"] + 1
+    return out
+
+
 class Repeats:
     """The five steps for one kind of symbols; see ``suffix_dedup`` and ``recompression_dedup``.
 
-    ``runs(texts)`` yields RUNS arrays of ``((doc, row), bytes)`` pairs, ``windows(texts,
-    spans)`` names the windows of open spans, ``same_doc`` tells whether an
-    earlier start in the same document counts.
+    ``runs(texts)`` yields RUNS arrays of ``((doc, row), bytes)`` pairs, ``windows(text,
+    spans)`` names the windows of open spans of hot anchors, ``pieces(text, spans)`` cuts
+    out the text of other open spans, ``buckets(pieces)`` gives the first buckets
+    of their symbols, their depth and the number of symbols of each piece.
+    ``same_doc`` tells whether an earlier start in the same document counts.
     """
 
     width: int
@@ -185,10 +285,32 @@ class Repeats:
     def windows(self, text: bytes, spans: np.ndarray) -> np.ndarray:
         raise NotImplementedError
 
+    def pieces(self, text: bytes, spans: np.ndarray) -> list[bytes]:
+        raise NotImplementedError
+
+    def buckets(self, pieces: list[bytes]) -> tuple[np.ndarray, int, np.ndarray]:
+        raise NotImplementedError
+
+    def repeats_of(self, payloads: list[bytes]) -> np.ndarray:
+        """The spans of ``CUT`` payloads that repeat earlier windows."""
+        got = [cut_in(b) for b in payloads]
+        items = np.concatenate([i for i, _ in got])
+        ids, depth, size = self.buckets([t for _, texts in got for t in texts])
+        n = np.minimum(items["n"].astype(np.int64), np.maximum(size - self.width + 1, 0))
+        inside = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        own = np.repeat(np.arange(len(items)), n)
+        start, at, doc = (np.cumsum(size) - size)[own] + inside, items["at"][own] + inside, items["doc"][own]
+        gone = refine(ids, depth, start, doc, at, self.width, self.same_doc)
+        out = np.zeros(int(gone.sum()), RUNS)
+        out["doc"], out["row"], out["at"], out["n"] = doc[gone], items["row"][own[gone]], at[gone], 1
+        return long_spans(out)
+
     def find(self, docs: DataFrame, finish: Callable[[bytes, np.ndarray], tuple], schema: str) -> DataFrame:
         """``finish(text, spans)`` for every row, with the spans of repeated windows found in it."""
         n = common.parallel(docs)
-        parts, groups, same_doc = 2 * n, 2 * n, self.same_doc
+        total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        parts = groups = max(n, -(-total // PART_BYTES))
+        same_doc = self.same_doc
         body = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NONE)).alias("doc"), F.coalesce(F.encode("text", "UTF-8"), F.lit(b"")).alias("body"))
         body = body.select("doc", F.xxhash64("doc", "body").alias("row"), "body")
 
@@ -209,49 +331,64 @@ class Repeats:
                 yield frame(send_runs(np.concatenate(held), same_doc, parts, groups))
 
         def by_anchor(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for kinds in by_part(frames).values():
+            for kinds in by_part(frames):
                 items = joined(kinds[OPEN])
                 marks = items["n"] == 0
                 shared = np.unique(items["k"][marks])
-                items, repeats = settle(items[~marks], same_doc)
+                _, items, repeats = settle(items[~marks], same_doc)
                 gone, left = items[repeats], items[~repeats]
                 new = np.ones(len(left), bool)
                 new[1:] = left["k"][1:] != left["k"][:-1]
                 differ = np.zeros(len(left), bool)
                 differ[1:] = ~new[1:] & (left["r"][1:] != left["r"][:-1])
+                hot = left[:0]
                 if len(left):
                     several = np.add.reduceat(differ, np.flatnonzero(new)) > 0
                     size = np.diff(np.flatnonzero(np.append(new, True)))
-                    still = np.repeat(several, size) | (left["n"] >= HOT_FLAG) | np.isin(left["k"], shared)
-                    left = left[still]
-                left["n"] &= HOT_FLAG - 1
-                gone["n"] &= HOT_FLAG - 1
+                    is_hot = (left["n"] >= HOT_FLAG) | np.isin(left["k"], shared)
+                    hot, left = left[is_hot], left[np.repeat(several, size) & ~is_hot]
                 gone = np.concatenate([gone, joined(kinds[SETTLED])])
+                hot["n"] &= HOT_FLAG - 1
                 gone["n"] &= HOT_FLAG - 1
-                yield frame([*spans_by_group(OPEN, left, groups), *spans_by_group(SETTLED, gone, groups)])
+                yield frame([*spans_by_group(OPEN, hot, groups), *spans_by_group(CUT, left, groups, True), *spans_by_group(SETTLED, gone, groups)])
 
         def open_up(text: pd.DataFrame, spans: pd.DataFrame) -> pd.DataFrame:
-            kinds = by_part([spans])
-            items = joined([p for k in kinds.values() for p in k[OPEN]])
-            items = items[np.lexsort((items["at"], items["row"]))]
-            found = []
+            kinds = next(by_part(iter([spans])), defaultdict(list))
+            items, cold = joined(kinds[OPEN]), joined(kinds[CUT])
+            items, cold = items[np.lexsort((items["at"], items["row"]))], cold[np.lexsort((cold["at"], cold["row"]))]
+            found, taken, pieces = [], [], []
             for d, r, b in zip(text["doc"].tolist(), text["row"].tolist(), text["body"]):
-                own = of_row(items, d, r)
+                own, mine = of_row(items, d, r), of_row(cold, d, r)
+                if not len(own) and not len(mine):
+                    continue
+                whole = zstandard.ZstdDecompressor().decompress(bytes(b))
                 if len(own):
-                    found.append(self.windows(zstandard.ZstdDecompressor().decompress(bytes(b)), own))
+                    found.append(self.windows(whole, own))
                     found[-1]["doc"], found[-1]["row"] = d, r
-            out = [(SETTLED, k % parts, p) for k, v in kinds.items() for p in v[SETTLED]]
+                if len(mine):
+                    taken.append(mine)
+                    pieces += self.pieces(whole, mine)
+            out = [(SETTLED, k % parts, p) for k, p in zip(itertools.repeat(int(spans["part"].iloc[0]) if len(spans) else 0), kinds[SETTLED])]
             if found:
-                named, repeats = settle(np.concatenate(found), same_doc)
+                _, named, repeats = settle(np.concatenate(found), same_doc)
                 gone, left = named[repeats], named[~repeats]
                 out += [*dealt(OPEN, (mix(left["k"]) % np.uint64(parts)).astype(np.int32), left), *dealt(SETTLED, group_of(gone["row"], parts), gone)]
+            if taken:
+                mine = np.concatenate(taken)
+                part = (mix(mine["k"]) % np.uint64(parts)).astype(np.int32)
+                order = np.argsort(part, kind="stable")
+                cuts = np.flatnonzero(np.diff(part[order])) + 1
+                for s, e in zip([0, *cuts], [*cuts, len(order)]):
+                    out.append((CUT, int(part[order[s]]), cut_out(mine[order[s:e]], [pieces[i] for i in order[s:e]])))
             return frame(out)
 
         def by_window(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for kinds in by_part(frames).values():
-                items, repeats = settle(joined(kinds[OPEN]), same_doc)
-                gone = np.concatenate([items[repeats], joined(kinds[SETTLED])])
-                yield frame(list(spans_by_group(SETTLED, gone, groups)))
+            for kinds in by_part(frames):
+                _, items, repeats = settle(joined(kinds[OPEN]), same_doc)
+                gone = [long_spans(items[repeats]), joined(kinds[SETTLED])]
+                if kinds[CUT]:
+                    gone.append(self.repeats_of(kinds[CUT]))
+                yield frame(list(spans_by_group(SETTLED, np.concatenate(gone), groups)))
 
         def lay_over(text: pd.DataFrame, spans: pd.DataFrame) -> pd.DataFrame:
             items = joined([bytes(p) for p in spans["payload"]])
@@ -268,9 +405,9 @@ class Repeats:
 
         # One exchange of the texts, compressed, serves steps 3 and 5.
         text = body.mapInPandas(grouped, "part int, doc long, row long, body binary")
-        runs = body.mapInPandas(anchors, SCHEMA).repartition(n, "part").mapInPandas(by_anchor, SCHEMA)
+        runs = body.mapInPandas(anchors, SCHEMA).repartition(n, "part").sortWithinPartitions("part").mapInPandas(by_anchor, SCHEMA)
         opened = text.groupBy("part").cogroup(runs.groupBy("part")).applyInPandas(open_up, SCHEMA)
-        spans = opened.repartition(n, "part").mapInPandas(by_window, SCHEMA)
+        spans = opened.repartition(n, "part").sortWithinPartitions("part").mapInPandas(by_window, SCHEMA)
         laid = text.groupBy("part").cogroup(spans.groupBy("part")).applyInPandas(lay_over, f"doc long, {schema}")
         return laid.withColumn("doc_id", F.nullif("doc", F.lit(NONE))).drop("doc")
 

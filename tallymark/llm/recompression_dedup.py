@@ -9,7 +9,8 @@ interior.  Every symbol carries the span of words that it stands for and the
 zone of words that decided it; a window of 20 words files itself under the
 zone of the least name among the symbols whose zone lies in the window, so equal
 windows share a symbol, and windows without such a symbol under a name of their own.
-Shared symbols then reveal long repeats, which are verified run by run and
+Shared symbols then reveal long repeats: equal runs of windows are settled at
+once, and where runs with one symbol differ, the words themselves are compared
 window by window (see ``anchored``).
 
 Runs of more than ``LONG_RUN`` equal symbols keep single symbols, marked as
@@ -179,6 +180,17 @@ class WordRepeats(Repeats):
         return out
 
 
+    def pieces(self, text: bytes, open_spans: np.ndarray) -> list[bytes]:
+        words = text.split()
+        return [b" ".join(words[at : at + n - 1 + self.width]) for at, n in zip(open_spans["at"].tolist(), open_spans["n"].tolist())]
+
+    def buckets(self, pieces: list[bytes]) -> tuple[np.ndarray, int, np.ndarray]:
+        names: dict[bytes, int] = {}
+        each = [t.split(b" ") for t in pieces]
+        ids = np.array([names.setdefault(w, len(names)) for t in each for w in t], np.int64)
+        return ids, 1, np.array([len(t) for t in each], np.int64)
+
+
 def dedup_passages(docs: DataFrame, width: int = WIDTH, rounds: int = ROUNDS) -> DataFrame:
     """``doc_id, n_words, n_removed, kept``: kept words joined by one space."""
 

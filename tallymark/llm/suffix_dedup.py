@@ -1,14 +1,18 @@
 """Suffix-array dedup by bucket-pointer refinement, on UTF-8 bytes.
 
-The initial buckets hold suffixes by their first ``q`` bytes.  Of the suffixes
-in a window of 50 bytes only the one with the least bucket hash keeps a row (a
-minimiser: equal windows keep equal suffixes), and its bucket is refined by the
-identifiers of what lies around and beyond it: first by the identifier of the
-whole run of windows it stands for, which settles long repeats at once, then,
-where runs of a bucket differ, window by window: the identifier of 50 bytes is
-named from the identifiers of 25 bytes at offset 0 and at offset 25.
-Identifiers are hashes of content, so that the buckets of one round can be used
-in the next one without a global renumbering.
+Suffixes by their first ``GRAM`` bytes are the buckets between tasks: of the
+suffixes in a window of 50 bytes the one with the least bucket hash (a
+minimiser: equal windows keep equal suffixes) files the window under its bucket.
+Runs of windows of one bucket that are equal as a whole are settled at once,
+and buckets without different runs need no sorting.
+
+In the others the suffixes are sorted by bucket-pointer refinement (see
+``anchored.refine``): buckets by the first eight bytes, in order of these bytes,
+are refined by sorting on a suffix's own bucket and its bucket at a later
+offset, at first eight bytes on; the buckets found then serve the next turn, at
+16, and so on until buckets are 50 bytes deep.  Suffixes alone in a bucket leave
+the sorting early.  Of each bucket in the end, all suffixes but those of the
+first document are repeats.
 
 Removed is each byte covered by a 50-byte string that also starts in a document
 with a smaller doc_id.  Defined results: null is empty; a null doc_id is smaller
@@ -99,6 +103,16 @@ class ByteRepeats(Repeats):
         return out
 
 
+    def pieces(self, text: bytes, open_spans: np.ndarray) -> list[bytes]:
+        return [text[at : at + n - 1 + self.width] for at, n in zip(open_spans["at"].tolist(), open_spans["n"].tolist())]
+
+    def buckets(self, pieces: list[bytes]) -> tuple[np.ndarray, int, np.ndarray]:
+        data = np.frombuffer(b"".join(pieces) + bytes(7), np.uint8)
+        eight = np.lib.stride_tricks.sliding_window_view(data, 8)[: len(data) - 7]
+        _, ids = np.unique(np.ascontiguousarray(eight).view(">u8").ravel().astype(np.uint64), return_inverse=True)
+        return ids, 8, np.array([len(t) for t in pieces], np.int64)
+
+
 def dedup_spans(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> DataFrame:
     """``doc_id, n_bytes, n_removed, n_spans, kept``: kept bytes as binary."""
 
