@@ -5,15 +5,17 @@ with letters, ``SAMPLE_CHARS`` characters shared evenly among them and taken
 from pieces over the length of each; both are parameters) is turned into a
 suffix automaton.  A text is parsed against it: the longest match with the sample is
 one phrase, the next phrase starts at the character that broke it.  Phrases
-times the logarithm of the sample's length, and for a character that the sample
-does not hold a letter code over all letters, estimate the cross entropy, and the
-language that needs fewest wins (ties: the smallest name).
+times the logarithm of the longest sample's length, and for a character that the
+sample does not hold a letter code over all letters, estimate the cross entropy,
+and the language that needs fewest wins (ties: the smallest name).  The logarithm
+is one for all, so a tiny sample does not make phrases cheap.
 
 Samples are small, so they are broadcast as text and each worker builds the
 automata once.  A batch of texts is parsed for all languages at once, one table
-look-up per character, with NumPy.  Long texts are cut into lanes of ``LANE``
-characters that are parsed side by side, which costs each language at most one
-phrase a lane; all of the text is read.
+look-up per character, with NumPy.  Long texts are read in lanes of ``LANE``
+characters side by side, each from the root at first; then each lane is read
+again from the state in which the lane before it ends, until that meets the
+states of the first reading.  So the result is the parse of the text as a whole.
 
 Defined results: null or no letter gives ``und`` and score 0; with no labelled
 rows all texts are ``und``; a null doc_id is neither held out nor learned from;
@@ -34,7 +36,7 @@ from pyspark.sql import functions as F
 
 from . import common
 
-SAMPLE_DOCS, SAMPLE_CHARS, LANE, SPREAD, PIECES = 64, 20_000, 2048, 64, 4
+SAMPLE_DOCS, SAMPLE_CHARS, LANE, TRACE, SPREAD, PIECES = 64, 20_000, 2048, 256, 64, 4
 
 
 def held_out():
@@ -123,7 +125,7 @@ class Parser:
             low = chr(i).lower()
             if len(low) == 1:
                 self.kind[i] = self.kind[ord(low)]
-        tables, self.roots, self.log, at = [], [], [], 0
+        tables, self.roots, longest, at = [], [], 0, 0
         for _, text in samples:
             symbols = self.symbols(text).tolist()
             to = suffix_automaton(symbols)
@@ -135,8 +137,9 @@ class Parser:
                     table[s, c] = ((t + at) * self.classes) << 2
             tables.append(table)
             self.roots.append(at * self.classes)
-            self.log.append(math.log2(len(symbols) + 2))
+            longest = max(longest, len(symbols))
             at += len(to)
+        self.log = math.log2(longest + 2)
         self.table = np.concatenate(tables).ravel() if tables else np.zeros(0, np.int64)
         if len(self.table) and self.table.max() < 2**31:
             self.table = self.table.astype(np.int32)
@@ -154,10 +157,11 @@ class Parser:
 
     def parse(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Phrases, and characters that the sample lacks, by text and language."""
-        lanes, owner = [], []
+        lanes, owner, before = [], [], []
         for i, t in enumerate(texts):
             s = self.symbols(t)
             for at in range(0, len(s), LANE):
+                before.append(len(lanes) - 1 if at else -1)
                 lanes.append(s[at : at + LANE])
                 owner.append(i)
         out, lacking = np.zeros((2, len(texts), len(self.langs)), np.int64)
@@ -165,22 +169,63 @@ class Parser:
             return out, lacking
         order = sorted(range(len(lanes)), key=lambda i: -len(lanes[i]))
         sizes = np.array([len(lanes[i]) for i in order])
+        place = np.empty(len(lanes), np.int64)
+        place[order] = np.arange(len(lanes))
+        prev = np.array([place[before[i]] if before[i] >= 0 else -1 for i in order])
         grid = np.zeros((sizes[0], len(order)), np.int32)
         for k, i in enumerate(order):
             grid[: len(lanes[i]), k] = lanes[i]
         active = np.searchsorted(-sizes, -np.arange(sizes[0]), side="left")  # lanes longer than t
+        shape = (len(self.langs), len(order))
         state = np.repeat(np.array(self.roots, self.table.dtype)[:, None], len(order), axis=1)
-        count, lacks = np.ones((len(self.langs), len(order)), np.int32), np.zeros((len(self.langs), len(order)), np.int32)
+        count, lacks = np.zeros(shape, np.int32), np.zeros(shape, np.int32)
+        follows = int((prev >= 0).sum())
+        trace = np.zeros((min(TRACE, sizes[0]) if follows else 0, 3, *shape), np.int32 if self.table.dtype == np.int32 else np.int64)
         for t in range(sizes[0]):
             n = active[t]
             entry = self.table[state[:, :n] + grid[t, :n]]
             count[:, :n] += entry & 1
             lacks[:, :n] += (entry >> 1) & 1
             state[:, :n] = entry >> 2
+            if t < len(trace):
+                trace[t] = state, count, lacks
+        if follows:
+            self.stitch(grid, sizes, prev, trace, state, count, lacks)
+        count[:, prev < 0] += 1  # the first phrase of each text
         np.add.at(out, np.array(owner)[order], count.T)
         np.add.at(lacking, np.array(owner)[order], lacks.T)
         return out, lacking
 
+    def stitch(self, grid: np.ndarray, sizes: np.ndarray, prev: np.ndarray, trace: np.ndarray, end: np.ndarray, count: np.ndarray, lacks: np.ndarray) -> None:
+        """Correct ``count`` and ``lacks`` of lanes that follow another one of their text, in place."""
+        first_count, first_lacks, first_end = count.copy(), lacks.copy(), end.copy()
+        follower = np.full(len(sizes), -1)
+        follower[prev[prev >= 0]] = np.flatnonzero(prev >= 0)
+        lane = np.repeat(np.flatnonzero(prev >= 0), len(self.langs))
+        lang = np.tile(np.arange(len(self.langs)), len(lane) // len(self.langs))
+        while len(lane):
+            state, n, no = end[lang, prev[lane]].copy(), np.zeros(len(lane), np.int64), np.zeros(len(lane), np.int64)
+            again, t = [], 0
+            while len(lane):
+                entry = self.table[state + grid[t, lane]]
+                n, no, state = n + (entry & 1), no + ((entry >> 1) & 1), entry >> 2
+                same = state == trace[t, 0, lang, lane] if t < len(trace) else np.zeros(len(lane), bool)
+                t += 1
+                over = ~same & (t >= sizes[lane])
+                g, k = lang[same], lane[same]  # from here on as in the first reading
+                new_end = first_end[g, k]
+                count[g, k] = n[same] + first_count[g, k] - trace[t - 1, 1, g, k] if len(g) else 0
+                lacks[g, k] = no[same] + first_lacks[g, k] - trace[t - 1, 2, g, k] if len(g) else 0
+                g2, k2 = lang[over], lane[over]
+                count[g2, k2], lacks[g2, k2] = n[over], no[over]
+                for gs, ks, ends in ((g, k, new_end), (g2, k2, state[over])):
+                    moved = (end[gs, ks] != ends) & (follower[ks] >= 0)
+                    end[gs, ks] = ends
+                    again.append((gs[moved], follower[ks[moved]]))
+                go = ~same & ~over
+                lane, lang, state, n, no = lane[go], lang[go], state[go], n[go], no[go]
+            lang, lane = (np.concatenate(x) for x in zip(*again))
+
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
         lang, score = ["und"] * len(texts), [0.0] * len(texts)
         real = [i for i, t in enumerate(texts) if t and self.alpha[np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32)].any()]
@@ -195,7 +240,7 @@ class Parser:
                 size = 0
         for g in groups:
             count, lacking = self.parse([texts[i] for i in g])
-            cost = count * np.array(self.log) + lacking * self.letter
+            cost = count * self.log + lacking * self.letter
             for i, row in zip(g, cost):
                 best = int(row.argmin())
                 rest = np.delete(row, best)
