@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tallymark.llm import exact_dedup, language_id, line_dedup, mixing, ngram_join, quality_rules, recompression_dedup, sentencepiece_codec, suffix_dedup, token_output
+from tallymark.llm import anchored, common, exact_dedup, language_id, line_dedup, mixing, ngram_join, quality_rules, recompression_dedup, sentencepiece_codec, suffix_dedup, token_output
 
 #: Columns of documents, and more that clash with names used inside.
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, key string, digest string, body string, n int, top int, shard int, epoch int, part int, node int"
@@ -201,6 +201,52 @@ def test_rows_of_one_id_lose_only_their_own_repeats(spark):
     assert got[1, len(" ".join(early))] == 0 and got[7, len(" ".join(clean))] == 0 and got[7, len(" ".join(late))] >= len(" ".join(passage))
 
 
+@pytest.mark.parametrize("same_doc", [False, True])
+def test_bucket_pointer_refinement(same_doc):
+    rng = random.Random(6)
+    for width, depth in ((20, 1), (50, 8)):
+        pieces, at, doc = [], [], []
+        stock = ["".join(rng.choice("ab") for _ in range(width + rng.randint(0, 30))) for _ in range(6)]
+        for i in range(60):
+            text = "".join(rng.choice("ab") for _ in range(rng.randint(0, 9))) + rng.choice(stock)
+            pieces.append(text.encode())
+            at.append(rng.randrange(5))
+            doc.append(rng.randrange(12))
+        if depth == 8:
+            ids, d, size = suffix_dedup.ByteRepeats().buckets(pieces)
+        else:
+            ids, d, size = recompression_dedup.WordRepeats().buckets([b" ".join(bytes([c]) for c in t) for t in pieces])
+        assert d == depth and size.tolist() == [len(t) for t in pieces]
+        n = [len(t) - width + 1 for t in pieces]
+        own = np.repeat(np.arange(60), n)
+        inside = np.concatenate([np.arange(k) for k in n])
+        docs_of, ats = np.array(doc)[own], np.array(at)[own] + inside
+        got = anchored.refine(ids, depth, (np.cumsum(size) - size)[own] + inside, docs_of, ats, width, same_doc)
+        content = [pieces[o][i : i + width] for o, i in zip(own, inside)]
+        first = {}
+        for w, e, a in zip(content, docs_of.tolist(), ats.tolist()):
+            first[w] = min(first.get(w, (e, a)), (e, a))
+        want = [(e, a) > first[w] if same_doc else e > first[w][0] for w, e, a in zip(content, docs_of.tolist(), ats.tolist())]
+        assert got.tolist() == want and any(want)
+
+
+def test_very_long_texts(spark):
+    """Texts beyond a block and beyond a part: passages around the borders of blocks are found."""
+    rng = np.random.RandomState(9)
+    words = ["".join(map(chr, 97 + w)) for w in rng.randint(0, 26, (420_000, 5))]
+    long = " ".join(words)
+    assert len(long) > 2_400_000
+    border = (2 << 20) // 6
+    copy = " ".join(["START", *words[border - 40 : border + 40], "END"])
+    docs = spark.createDataFrame([(1, long), (2, copy), (3, " ".join(words[:30] + ["other"] * 5))], "doc_id long, text string")
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans) for r in suffix_dedup.dedup_spans(docs).collect()}
+    assert got == {1: (len(long), 0, 0), 2: (len(copy), 481, 1), 3: (209, 180, 1)}
+    got = {r.doc_id: (r.n_words, r.n_removed) for r in recompression_dedup.dedup_passages(docs).collect()}
+    assert got == {1: (420_000, 0), 2: (82, 80), 3: (35, 30)}
+    assert {r.doc_id: r.n_shingles for r in ngram_join.join_documents(docs).collect()}[1] == 419_996
+    assert {r.doc_id: r.n_words for r in quality_rules.measure(docs.select("*", F.lit("x").alias("lang"), F.lit("y").alias("source"))).collect()}[1] == 420_000
+
+
 def test_recompression_is_local():
     """Equal stretches have equal symbols wherever the zone lies inside."""
     rng = np.random.RandomState(1)
@@ -374,7 +420,7 @@ def test_mixing(docs, rows, empty):
 def test_repeated_rows_are_numbered(spark):
     rows = spark.createDataFrame([(1,)] * 300 + [(i,) for i in range(2, 9)] + [(9,), (9,)], "row long").repartition(4)
     got = {}
-    for r in mixing.numbered(rows, salts=5).collect():
+    for r in common.numbered(rows, salts=5).collect():
         got.setdefault(r.row, []).append(r.copy)
     assert {k: sorted(v) for k, v in got.items()} == {1: list(range(300)), **{i: [0] for i in range(2, 9)}, 9: [0, 1]}
 
@@ -415,10 +461,29 @@ def test_language_samples_hold_letters_of_many_texts(spark):
     assert p.predict(["many letters with one text"])[0] == ["bb"]
 
 
-def test_phrases_against_a_plain_parse():
+def test_tiny_and_empty_samples_do_not_win(spark):
+    rng = random.Random(4)
+    text = lambda: " ".join(rng.choice(["the", "one", "other", "word", "with", "many", "letters", "here"]) for _ in range(60))
+    for tiny in ("ab", "", None, "one two"):
+        rows = [(i, text(), "en") for i in range(60)] + [(100 + i, tiny, "zz") for i in range(8)] + [(200, "the word", None), (201, "the word", None)]
+        got = language_id.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()
+        assert {r.lang_pred for r in got if r.doc_id < 60} == {"en"}
+        assert len({(r.lang_pred, r.score) for r in got if r.doc_id >= 200}) == 1
+    same = language_id.Parser((("bb", "abc abd"), ("aa", "abc abd")))  # ties: the smallest name
+    assert same.predict(["abc", "abd abd"])[0] == ["aa", "aa"] or same.langs == ["bb", "aa"]
+
+
+@pytest.mark.parametrize("lane", [2048, 7, 3])
+def test_phrases_against_a_plain_parse(monkeypatch, lane):
+    monkeypatch.setattr(language_id, "LANE", lane)
+    monkeypatch.setattr(language_id, "TRACE", 5)
     samples = (("aa", "abra cadabra abra"), ("bb", "hocus pocus locus"))
     p = language_id.Parser(samples)
-    for text in ("abracadabra", "pocus abra", "zzz", "a"):
+    rng = random.Random(lane)
+    long = ["".join(rng.choice("abracdhous p") for _ in range(rng.randint(5, 200))) for _ in range(20)]
+    texts = ["abracadabra", "pocus abra", "zzz", "a", *long]
+    together = p.phrases(texts)
+    for j, text in enumerate(texts):
         s = p.symbols(text).tolist()
         for k, (_, sample) in enumerate(samples):
             base = p.symbols(sample).tolist()
@@ -429,20 +494,24 @@ def test_phrases_against_a_plain_parse():
                     phrase = phrase + [c]
                 else:
                     n, phrase = n + 1, [c] if inside([c]) else []
-            assert p.phrases([text])[0, k] == n
+            assert p.phrases([text])[0, k] == together[j, k] == n
 
 
 def test_token_output(spark, docs, rows, empty, tmp_path):
-    got = token_output.shards(docs, f"file://{tmp_path}/a", seq_tokens=16, shard_records=50).collect()
-    assert sorted(r.slot for r in got) == list(range(len(got)))
     e = token_output.encoder(token_output.default_vocabulary())
-    record = {}
-    for f in sorted((tmp_path / "a").iterdir()):
-        for i, ids in enumerate(token_output.read_records(f.read_bytes(), seq_tokens=16)):
-            record[int(f.stem.split("-")[1]) * 50 + i] = ids
-    assert len(record) == len(got)
-    want = Counter(tuple(ids[i : i + 16]) for _, t, *_ in rows for ids in [e.encode_ordinary(t or "")] for i in range(0, len(ids), 16))
-    assert Counter(map(tuple, record.values())) == want
+    keys = sorted((k % token_output.BUCKETS, k, d, t or "") for d, t, k in docs.select("doc_id", "text", common.row_key()).collect())
+    order = [(d, i, ids[i * 16 : i * 16 + 16]) for _, _, d, t in keys for ids in [e.encode_ordinary(t)] for i in range(-(-len(ids) // 16))]
+    slot = token_output.permute(np.arange(len(order)), len(order)).tolist()
+    want = {s: o for s, o in zip(slot, order)}
+    for n, input_rows in enumerate((docs, docs.repartition(2))):  # the same shards from any partitioning
+        got = {r.slot: r for r in token_output.shards(input_rows, f"file://{tmp_path}/{n}", seq_tokens=16, shard_records=50).collect()}
+        assert {s: (r.doc_id, r.seq, r.n_tokens) for s, r in got.items()} == {s: (d, i, len(ids)) for s, (d, i, ids) in want.items()}
+        for f in sorted((tmp_path / str(n)).iterdir()):
+            shard, data = int(f.stem.split("-")[1]), f.read_bytes()
+            for i, ids in enumerate(token_output.read_records(data, seq_tokens=16)):
+                r = got[shard * 50 + i]
+                assert ids == want[r.slot][2] and r.shard == shard and r.byte_at == i * 34
+                assert r.record_sha256 == sha(data[r.byte_at : r.byte_at + 34])
     assert token_output.shards(empty, f"file://{tmp_path}/b").count() == 0
 
 
