@@ -52,7 +52,7 @@ from pyspark.sql import functions as F
 from . import common
 from .hashing import TO_LOWER, mix, spans, word_bounds
 
-SHINGLE, RADIUS, COVER, CELL_BYTES, BROADCAST_IDS, BLOCK, FLUSH = 5, 0.2, 0.4, 8 << 20, 1_000_000, 2 << 20, 1_000_000
+SHINGLE, RADIUS, COVER, CELL_BYTES, BROADCAST_IDS, BLOCK, FLUSH = 5, 0.2, 0.4, 8 << 20, 1_000_000, 1 << 19, 400_000
 TINY = 1e-9  # distances are quotients of integers: windows are closed
 NONE = -(2**63)
 
