@@ -44,7 +44,7 @@ from . import common
 from .hashing import mix
 
 NONE = -(2**63)  # a null doc_id: before all others
-HOT, FLUSH, HOT_FLAG, PART_BYTES = 64, 500_000, 128, 16 << 20
+HOT, FLUSH, HOT_FLAG, PART_BYTES = 64, 300_000, 128, 16 << 20
 RUNS = np.dtype([("k", "<u8"), ("r", "<u8"), ("doc", "<i8"), ("row", "<i8"), ("at", "<i8"), ("n", "u1")])
 SPANS = RUNS  # spans use doc, row, at, n only
 

@@ -36,7 +36,7 @@ from . import common
 from .anchored import RUNS, Repeats, covered, rows
 from .hashing import mix, spans, word_bounds
 
-WIDTH, ROUNDS, LONG_RUN, BLOCK = 20, 2, 3, 2 << 20
+WIDTH, ROUNDS, LONG_RUN, BLOCK = 20, 2, 3, 1 << 19
 FAR = 1 << 40  # beyond any text: the zone of a symbol at a border
 
 

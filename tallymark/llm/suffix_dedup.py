@@ -33,7 +33,7 @@ from . import common
 from .anchored import RUNS, Repeats, covered, rows
 from .hashing import mix, spans
 
-WIDTH, GRAM, BLOCK = 50, 20, 2 << 20
+WIDTH, GRAM, BLOCK = 50, 20, 1 << 19
 
 
 def blocks(texts: Iterator[tuple[tuple[int, int], bytes]], width: int, size: int = BLOCK) -> Iterator[tuple[bytes, list[tuple[tuple[int, int], int, int, int]]]]:
