@@ -1,6 +1,6 @@
 """All registered queries of the library."""
 
-from .operators import columns, evidence, graph, ledger, news, rollups, scoring, search, windows  # noqa: F401  (each registers its own)
+from .operators import chainlog, columns, evidence, graph, ledger, market, news, rollups, scoring, search, textsig, windows  # noqa: F401  (each registers its own)
 from .registry import ORACLE_SQL, QUERIES
 from .streaming import streams  # noqa: F401
 

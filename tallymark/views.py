@@ -54,6 +54,9 @@ FROM ttx GROUP BY token, block_number""",
     "news": """SELECT doc_id, source, lang, substring(text, 1, 80) AS title, text AS content, concat('a', doc_id % 7) AS author,
        CASE doc_id % 3 WHEN 0 THEN 'web' WHEN 1 THEN 'reddit' ELSE 'x' END AS platform, TIMESTAMP '2024-01-01 00:00:00' + INTERVAL 1 MINUTE * CAST(doc_id AS INT) AS published_at
 FROM documents""",
+    "impact": """SELECT event_id, event_type AS asset, ts AS first_seen, round(value, 2) - 50 AS measured_return, CASE event_id % 4 WHEN 0 THEN 'general' WHEN 1 THEN 'hack' WHEN 2 THEN 'listing' ELSE 'regulation' END AS category,
+       CASE event_id % 5 WHEN 0 THEN 'confirmed_true' WHEN 1 THEN 'likely_true' WHEN 2 THEN 'unverified' WHEN 3 THEN 'likely_false' ELSE 'confirmed_false' END AS status, event_id % 101 AS fomo_score
+FROM events""",
     "evalcase": """SELECT doc_id AS case_id, source AS detector, l.toxic = 1 AS predicted, l.quality = 1 AS label, CAST(doc_id % 101 AS DOUBLE) / 100 AS confidence
 FROM labels l JOIN documents USING (doc_id)""",
 }
