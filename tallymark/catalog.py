@@ -2,6 +2,6 @@
 
 from .operators import chainlog, columns, evidence, graph, ledger, market, news, rollups, scoring, search, textsig, windows  # noqa: F401  (each registers its own)
 from .registry import ORACLE_SQL, QUERIES
-from .streaming import streams  # noqa: F401
+from .streaming import reorg, streams  # noqa: F401
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
