@@ -1 +1 @@
-"""Functions of the library."""
+"""Functions that users bring: analyzers, skills, models and scores, by name."""

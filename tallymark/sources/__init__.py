@@ -1 +1 @@
-"""Sources of the library."""
+"""Readers of files that are not tables."""
