@@ -266,6 +266,18 @@ def long_spans(items: np.ndarray) -> np.ndarray:
     return out
 
 
+def of_rows(items: np.ndarray) -> Callable[[int, int], np.ndarray]:
+    """A function of document and row: those of ``items`` found in it, in order of start."""
+    items = items[np.lexsort((items["at"], items["row"]))]
+    row = np.ascontiguousarray(items["row"])
+
+    def own(d: int, r: int) -> np.ndarray:
+        s, e = np.searchsorted(row, r, "left"), np.searchsorted(row, r, "right")
+        return items[s:e][items["doc"][s:e] == d]
+
+    return own
+
+
 class Repeats:
     """The five steps for one kind of symbols; see ``suffix_dedup`` and ``recompression_dedup``.
 
@@ -314,11 +326,6 @@ class Repeats:
         body = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NONE)).alias("doc"), F.coalesce(F.encode("text", "UTF-8"), F.lit(b"")).alias("body"))
         body = body.select("doc", F.xxhash64("doc", "body").alias("row"), "body")
 
-        def of_row(items: np.ndarray, d: int, r: int) -> np.ndarray:
-            """Of ``items`` in order of row and start, those of one row."""
-            s, e = np.searchsorted(items["row"], r, "left"), np.searchsorted(items["row"], r, "right")
-            return items[s:e][items["doc"][s:e] == d]
-
         def anchors(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             held, size = [], 0
             for got in self.runs(((d, r), bytes(b)) for f in frames for d, r, b in zip(f["doc"].tolist(), f["row"].tolist(), f["body"])):
@@ -354,11 +361,10 @@ class Repeats:
 
         def open_up(text: pd.DataFrame, spans: pd.DataFrame) -> pd.DataFrame:
             kinds = next(by_part(iter([spans])), defaultdict(list))
-            items, cold = joined(kinds[OPEN]), joined(kinds[CUT])
-            items, cold = items[np.lexsort((items["at"], items["row"]))], cold[np.lexsort((cold["at"], cold["row"]))]
+            hot, cold = of_rows(joined(kinds[OPEN])), of_rows(joined(kinds[CUT]))
             found, taken, pieces = [], [], []
             for d, r, b in zip(text["doc"].tolist(), text["row"].tolist(), text["body"]):
-                own, mine = of_row(items, d, r), of_row(cold, d, r)
+                own, mine = hot(d, r), cold(d, r)
                 if not len(own) and not len(mine):
                     continue
                 whole = zstandard.ZstdDecompressor().decompress(bytes(b))
@@ -391,11 +397,10 @@ class Repeats:
                 yield frame(list(spans_by_group(SETTLED, np.concatenate(gone), groups)))
 
         def lay_over(text: pd.DataFrame, spans: pd.DataFrame) -> pd.DataFrame:
-            items = joined([bytes(p) for p in spans["payload"]])
-            items = items[np.lexsort((items["at"], items["row"]))]
+            found = of_rows(joined([bytes(p) for p in spans["payload"]]))
             out = []
             for d, r, b in zip(text["doc"].tolist(), text["row"].tolist(), text["body"]):
-                out.append((d, *finish(zstandard.ZstdDecompressor().decompress(bytes(b)), of_row(items, d, r))))
+                out.append((d, *finish(zstandard.ZstdDecompressor().decompress(bytes(b)), found(d, r))))
             return pd.DataFrame(out, columns=[c.strip().split(" ")[0] for c in f"doc long, {schema}".split(",")])
 
         def grouped(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
