@@ -11,11 +11,11 @@ from ..operators.columns import parse_address
 from ..operators.graph import shared_folder
 from ..registry import register
 
-# Header names of each field, in the order in which fields claim a column.
+# Header names of each field, in the order in which fields claim a column.
 FIELDS = {
-    "address": ["address", "addr", "wallet", "account", "contract"],
-    "entity": ["entity", "exchange", "owner", "operator", "organization", "name"],
-    "label": ["label", "tag", "title", "name"],
+    "address": ["address", "addr", "wallet", "account"],
+    "entity": ["entity", "cexname", "exchange", "owner", "operator", "organisation", "organization", "org", "name"],
+    "label": ["label", "distinctname", "tag", "nametag", "note", "description"],
     "category": ["category", "type", "kind"],
     "chain": ["chain", "network", "blockchain"],
 }
