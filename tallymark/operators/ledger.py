@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..registry import register
+from .order import fine_log, nth_values
 
 def total(value, when: Column | None = None) -> Column:
     """An exact sum of amounts; 0 where nothing counts."""
@@ -200,12 +201,9 @@ register("approvals_owner", lambda v: v.appr.where("owner = 'u7'").orderBy("bloc
 
 
 def floor_of(transfers: DataFrame, percentile: float = 99.5, least: int = 200) -> DataFrame:
-    """Nearest-rank percentile of positive values per chain, exact: counts of values, then running sums; null below ``least``."""
-    values = transfers.where("value > 0").groupBy("chain", "value").agg(F.count(F.lit(1)).alias("n"))
-    w = Window.partitionBy("chain")
-    ranked = values.select("chain", "value", F.sum("n").over(w.orderBy("value")).alias("upto"), F.sum("n").over(w).alias("all_n"))
-    at = F.greatest(F.lit(1), F.bround(F.lit(percentile) / 100 * F.col("all_n")))
-    return ranked.groupBy("chain").agg(F.max("all_n").alias("population"), F.min(F.when(F.col("upto") >= at, F.col("value"))).alias("floor")).select("chain", "population", F.when(F.col("population") >= least, F.col("floor")).alias("floor"))
+    """Nearest-rank percentile of positive values per chain, exact; null below ``least``."""
+    at = nth_values(transfers.where("value > 0"), "chain", "value", fine_log(F.col("value")), {"floor": lambda n: F.greatest(F.lit(1), F.bround(F.lit(percentile) / 100 * n))})
+    return at.select("chain", F.col("all_n").alias("population"), F.when(F.col("all_n") >= least, F.col("floor")).alias("floor"))
 
 
 def gate(transfers: DataFrame, floor: DataFrame, best: DataFrame) -> DataFrame:

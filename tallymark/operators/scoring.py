@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..registry import register
+from .order import fine_log, nth_values
 from .ledger import CANON, CLS, canonical, count_if, flow_stats, flows_of, total
 from .rollups import SUMMARY, summary
 
@@ -48,11 +49,9 @@ register("backtest", lambda v: confusion(v.evalcase).select("detector", (F.col("
 
 def whales(transfers: DataFrame, percent: float = 99.0) -> DataFrame:
     """Transfers at or above a percentile of their chain's population, strictly-below rank; with the direction's party."""
-    w = Window.partitionBy("chain")
-    counts = transfers.groupBy("chain", "value").agg(F.count(F.lit(1)).alias("k"))
-    ranked = counts.select("chain", "value", ((F.sum("k").over(w.orderBy("value")) - F.col("k")) / F.sum("k").over(w) * 100).alias("below"), F.sum("k").over(w).alias("n"))
-    usable = F.col("n") >= F.ceil(100 / (100 - F.lit(percent)))
-    return transfers.join(ranked, ["chain", "value"]).where(usable & (F.col("below") >= percent))
+    # With m rows or more strictly below, a value lies above the m-th one.
+    edge = nth_values(transfers, "chain", "value", fine_log(F.greatest("value", F.lit(1))), {"edge": lambda n: F.ceil(F.lit(percent) * n / 100)}).select("chain", "all_n", "edge")
+    return transfers.join(edge, "chain").where((F.col("all_n") >= F.ceil(100 / (100 - F.lit(percent)))) & (F.col("value") > F.col("edge")))
 
 
 WHALE = f"WITH {CANON}, r AS (SELECT *, (rank() OVER (PARTITION BY chain ORDER BY value) - 1) / count(*) OVER (PARTITION BY chain) * 100 AS below, count(*) OVER (PARTITION BY chain) AS n FROM c)"

@@ -87,8 +87,8 @@ def ranked(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
     return met.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-QUERIES = "vec_id % 100 = 0"
-COS = "s AS (SELECT q.vec_id AS query_id, e.vec_id, round(list_dot_product(e.embedding::DOUBLE[], q.embedding::DOUBLE[]) / sqrt(list_dot_product(e.embedding::DOUBLE[], e.embedding::DOUBLE[])) / sqrt(list_dot_product(q.embedding::DOUBLE[], q.embedding::DOUBLE[])), 6) AS score FROM embeddings e JOIN embeddings q ON q.vec_id % 100 = 0 AND e.vec_id <> q.vec_id), k AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INT) AS rank FROM s)"
+QUERIES = "vec_id % 20 = 0"
+COS = "s AS (SELECT q.vec_id AS query_id, e.vec_id, round(list_dot_product(e.embedding::DOUBLE[], q.embedding::DOUBLE[]) / sqrt(list_dot_product(e.embedding::DOUBLE[], e.embedding::DOUBLE[])) / sqrt(list_dot_product(q.embedding::DOUBLE[], q.embedding::DOUBLE[])), 6) AS score FROM embeddings e JOIN embeddings q ON q.vec_id % 20 = 0 AND e.vec_id <> q.vec_id), k AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INT) AS rank FROM s)"
 top = lambda v, k: ranked(v.embeddings.where(QUERIES), v.embeddings, k)
 register("vec_topk", lambda v: top(v, 10), f"WITH {COS} SELECT query_id, vec_id, score, rank FROM k WHERE rank <= 10")
 register("semantic", lambda v: top(v, 20).where("score >= 0.2").select("query_id", "vec_id", "score"), f"WITH {COS} SELECT query_id, vec_id, score FROM k WHERE rank <= 20 AND score >= 0.2")
@@ -117,8 +117,16 @@ def fuse(lists: list[DataFrame], k: int = 60) -> DataFrame:
     return every.groupBy("query_id", "vec_id").agg(F.round(F.sum(1 / (F.lit(k) + F.col("rank"))), 9).alias("score"))
 
 
-near_label = lambda v: v.embeddings.where(QUERIES).select(F.col("vec_id").alias("query_id"), "label").join(v.embeddings.select("vec_id", "label"), "label").where("vec_id <> query_id").withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("vec_id"))).where("rank <= 10")
-register("hybrid", lambda v: fuse([top(v, 10), near_label(v)]), f"WITH {COS}, b AS (SELECT * FROM (SELECT q.vec_id AS query_id, e.vec_id, row_number() OVER (PARTITION BY q.vec_id ORDER BY e.vec_id) AS rank FROM embeddings q JOIN embeddings e ON q.label = e.label AND q.vec_id <> e.vec_id WHERE q.vec_id % 100 = 0) WHERE rank <= 10), u AS (SELECT query_id, vec_id, rank FROM k WHERE rank <= 10 UNION ALL SELECT query_id, vec_id, rank FROM b) SELECT query_id, vec_id, round(sum(1 / (60 + rank)), 9) AS score FROM u GROUP BY ALL")
+
+
+def label_mates(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
+    """The ``k`` first other vectors of each query's label: of a label, only its first ``k + 1`` can be among them."""
+    first = vectors.select("label", "vec_id", F.row_number().over(Window.partitionBy("label").orderBy("vec_id")).alias("r")).where(F.col("r") <= k + 1).drop("r")
+    both = queries.select(F.col("vec_id").alias("query_id"), "label").join(first, "label").where("vec_id <> query_id")
+    return both.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("vec_id"))).where(F.col("rank") <= k)
+
+
+register("hybrid", lambda v: fuse([top(v, 10), label_mates(v.embeddings.where(QUERIES), v.embeddings, 10)]), f"WITH {COS}, b AS (SELECT * FROM (SELECT q.vec_id AS query_id, e.vec_id, row_number() OVER (PARTITION BY q.vec_id ORDER BY e.vec_id) AS rank FROM embeddings q JOIN embeddings e ON q.label = e.label AND q.vec_id <> e.vec_id WHERE q.vec_id % 20 = 0) WHERE rank <= 10), u AS (SELECT query_id, vec_id, rank FROM k WHERE rank <= 10 UNION ALL SELECT query_id, vec_id, rank FROM b) SELECT query_id, vec_id, round(sum(1 / (60 + rank)), 9) AS score FROM u GROUP BY ALL")
 register("multi_query", lambda v: top(v, 10).groupBy("vec_id").agg(F.max("score").alias("score")), f"WITH {COS} SELECT vec_id, max(score) AS score FROM k WHERE rank <= 10 GROUP BY vec_id")
 by_query = lambda: Window.partitionBy("query_id")
 register("ranking", lambda v: top(v, 10).select("query_id", "vec_id", F.round(0.7 * (F.col("score") - F.min("score").over(by_query())) / F.nullif(F.max("score").over(by_query()) - F.min("score").over(by_query()), F.lit(0.0)) + 0.3 * F.pow(F.lit(0.5), F.col("rank") / 5), 6).alias("blend")), f"WITH {COS}, t AS (SELECT * FROM k WHERE rank <= 10) SELECT query_id, vec_id, round(0.7::DOUBLE * (score - min(score) OVER w) / nullif(max(score) OVER w - min(score) OVER w, 0) + 0.3::DOUBLE * pow(0.5, rank / 5), 6) AS blend FROM t WINDOW w AS (PARTITION BY query_id)")

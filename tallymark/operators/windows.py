@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..registry import register
+from .order import medians
 from .ledger import CANON, canonical, count_if
 
 
@@ -165,9 +166,9 @@ register("vol_recursive", lambda v: vol_recursive(v.candle), f"WITH {RET}, a AS
 def anomalies(population: DataFrame, least: int = 20) -> DataFrame:
     """Modified z-scores of log10 values per chain; no spread or few samples mean insufficient evidence."""
     logs = population.where("value > 0").select("chain", "tx_key", F.log10(F.col("value").cast("double")).alias("x"))
-    middle = logs.groupBy("chain").agg(F.median("x").alias("m"), F.count(F.lit(1)).alias("n"))
+    middle = medians(logs, "chain", "x", F.floor(F.col("x") * 256), "m").withColumnRenamed("all_n", "n")
     off = logs.join(middle, "chain").withColumn("d", F.abs(F.col("x") - F.col("m")))
-    spread = off.groupBy("chain").agg(F.median("d").alias("mad"))
+    spread = medians(off, "chain", "d", F.floor(F.col("d") * 4096), "mad").drop("all_n")
     z = F.col("d") * 0.6745 / F.col("mad")
     grade = F.when((F.col("n") < least) | (F.col("mad") == 0), "insufficient").when(z >= 8, "extreme").when(z >= 5, "strong").when(z >= 3.5, "anomalous").otherwise("normal")
     return off.join(spread, "chain").select("tx_key", grade.alias("grade"))

@@ -28,8 +28,12 @@ def whole_numbers(df: DataFrame) -> DataFrame:
     return df.withColumns({n: F.col(n).cast("long") for n in wide}) if wide else df
 
 
+#: Queries that read transfers several times: a five-table join that is then written once.
+STORED = {"flow_rollup", "flow_stats", "flow_by_entity", "flow_totals", "flow_hours", "flow_entities", "gate", "filter_stats", "selective_capture", "block_aggregate", "window_totals", "det_anomaly", "det_whale", "whale_entries", "smart_money"}
+
+
 def register(name: str, plan: Callable[[Views], DataFrame], sql: str | None = None) -> None:
-    QUERIES[name] = lambda spark, sf_dir: whole_numbers(plan(Views(spark, sf_dir)))
+    QUERIES[name] = lambda spark, sf_dir: whole_numbers(plan(Views(spark, sf_dir).stored() if name in STORED else Views(spark, sf_dir)))
     if sql is not None:
         used = needed_views(sql)
         body = sql.strip()

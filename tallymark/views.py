@@ -74,6 +74,14 @@ class Views:
     def __init__(self, spark: SparkSession, sf_dir: str) -> None:
         self.spark, self.sf_dir = spark, sf_dir
 
+    def stored(self) -> "Views":
+        """These views, with transfers and blocks written once for a query that reads them several times."""
+        from .operators.graph import written
+
+        self.txn = written(self.txn)
+        self.blk = written(self.blk)
+        return self
+
     def __getattr__(self, name: str) -> DataFrame:
         if name in TABLES:
             df = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
