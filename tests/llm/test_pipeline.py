@@ -59,3 +59,42 @@ def test_pipeline(spark):
         want[d, len(tokens), hashlib.sha256(",".join(map(str, tokens)).encode()).hexdigest()] += 1
     got = Counter((r.doc_id, r.n_tokens, r.ids_sha256) for r in corpus_pipeline.run(spark, SF).collect())
     assert got == want
+
+
+def odd_documents(spark, folder):
+    """Null, empty and short texts, repeated rows, ties of id, null ids, languages and sources, near copies, and columns with clashing names."""
+    import random
+
+    rng = random.Random(2)
+    words = lambda n: " ".join(f"w{rng.randrange(5000)}" for _ in range(n))
+    clean = [words(120) for _ in range(40)]
+    near = [" ".join([*t.split()[:-1], "other"]) for t in clean[:6]]
+    rows = [(i, t, ("en", "de", None)[i % 3], ("s1", "s2", None)[i % 3]) for i, t in enumerate(clean)]
+    rows += [(100 + i, t, "en", "s1") for i, t in enumerate(near)]
+    rows += [rows[0], rows[0], (7, clean[3], "en", "s1"), (None, clean[4], "en", "s1"), (None, words(130), None, None), (None, None, None, None), (200, None, "en", "s1"), (201, "", "en", None), (202, "a few words only", "en", "s2"), (203, "spam " * 300, "en", "s2")]
+    docs = spark.createDataFrame([(*r, i, "x", 1, 2.0) for i, r in enumerate(rows)], "doc_id long, text string, lang string, source string, n_chars long, row string, shard int, kept double")
+    docs.write.parquet(f"{folder}/documents.parquet")
+    return rows, clean
+
+
+def test_pipeline_on_odd_rows(spark, tmp_path):
+    rows, clean = odd_documents(spark, tmp_path)
+    docs, left = common.documents(spark, str(tmp_path)), {}
+    columns = docs.columns
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = common.written(stage(spark, docs, str(tmp_path)))
+        assert docs.columns == columns
+        left[name] = Counter((r.doc_id, r.text) for r in docs.collect())
+    assert left["quality"] == Counter((d, t) for d, t, *_ in rows if t and len(t.split()) >= 50 and not t.startswith("spam"))
+    assert {t for _, t in left["exact"]} == {t for _, t in left["quality"]} and all(n == 1 for n in left["exact"].values())
+    assert (7, clean[3]) in left["exact"] and (4, clean[4]) in left["exact"]
+    assert {d for d, _ in left["near"]} == {d for d, _ in left["exact"] if d is None or d < 100}
+    assert set(left["mix"]) <= set(left["near"]) and max(left["mix"].values()) <= mixing.MAX_EPOCHS
+    out = corpus_pipeline.run(spark, str(tmp_path))
+    assert Counter(r.doc_id for r in out.collect()) == Counter({d: 0 for d, _ in left["mix"]}) + Counter(d for d, _ in left["mix"].elements())
+
+
+def test_pipeline_on_an_empty_table(spark, tmp_path):
+    odd_documents(spark, tmp_path / "some")
+    common.documents(spark, str(tmp_path / "some")).limit(0).write.parquet(str(tmp_path / "none" / "documents.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path / "none")).count() == 0
