@@ -13,27 +13,27 @@ from tallymark.llm import common, exact_dedup, mixing, ngram_join, quality_rules
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep."""
+    """Documents that the quality rules keep; null, empty and short texts go, rows that repeat are judged alike."""
     return quality_rules.keep_good(docs)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts, the one with the largest doc_id."""
+    """Of equal texts, one row with the largest doc_id, a null id only if none has one; null counts as empty."""
     return exact_dedup.drop_copies(docs)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents that are linked by shingles, the one with the smallest doc_id."""
+    """Of documents that are linked by shingles, one row with the smallest doc_id, null ids last; texts without words all stay."""
     return ngram_join.drop_near_copies(docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the mix takes, as often as it takes them."""
+    """The documents that the mix takes, as often as it takes them; null sources are a source of their own, last."""
     return mixing.mix(docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token counts and digests of the mixed documents."""
+    """Token counts and digests of the mixed documents, one row each time that the mix takes one; null counts as empty."""
     return sentencepiece_codec.digest_documents(docs)
 
 
