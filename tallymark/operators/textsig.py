@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..registry import register
+from .graph import components, written
 
 BITS, SIMILAR = 64, 0.85
 
@@ -155,3 +156,19 @@ register("claims", lambda v: claims(v.news, "doc_id", "title", "content", SYMBOL
 e AS (SELECT doc_id, unnest(s) AS x, unnest(range(1, len(s) + 1)) AS i FROM s), r AS (SELECT doc_id, x, i, 2.0 * ({HIT_SQL}) + CASE WHEN len(regexp_split_to_array(x, '\s+')) >= 6 THEN 0.5 ELSE 0.0 END + CASE WHEN regexp_matches(substr(x, 2, 4), '[A-Z]') THEN 0.5 ELSE 0.0 END AS score FROM e),
 b AS (SELECT doc_id, x, score::DOUBLE AS score FROM r QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, i) = 1)
 SELECT s.doc_id, b.x AS claim, b.score, nullif(regexp_extract(lower(array_to_string(s.s, ' ')), '\b({'|'.join(HINTS)})\b', 1), '') AS time_hint FROM s LEFT JOIN b ON b.doc_id = s.doc_id""")
+
+
+def near_clusters(docs: DataFrame, key: str, text: str, threshold: float = 0.8) -> DataFrame:
+    """``key, cluster``: components of MinHash pairs and of equal word sets, named by their smallest key; texts without words stand alone."""
+    signed = minhash(docs, key, text)
+    first = written(signed.groupBy("words").agg(F.min(key).alias("head"), F.collect_list(key).alias("members")).select("head", F.explode("members").alias(key)))
+    pairs = written(minhash_pairs(signed, key, threshold).select(F.col("a").alias("src"), F.col("b").alias("dst")))
+    comp = first.select("head").distinct() if pairs.isEmpty() else components(pairs).select(F.col("node").alias("head"), "comp")
+    named = first.join(comp, "head", "left") if "comp" in comp.columns else first.withColumn("comp", F.col("head"))
+    return docs.select(key).join(named.select(key, F.coalesce("comp", "head").alias("cluster")), key, "left").select(key, F.coalesce("cluster", key).alias("cluster"))
+
+
+register("news_cluster", lambda v: near_clusters(v.documents, "doc_id", "text"), f"""WITH RECURSIVE d AS (SELECT doc_id, list_sort(list_distinct({TOKENS})) AS ws FROM documents), u AS (SELECT ws, min(doc_id) AS id FROM d WHERE len(ws) > 0 GROUP BY ws),
+e AS (SELECT id, unnest(ws) AS w FROM u), m AS (SELECT id, {MIN_SQL} FROM e GROUP BY id), b AS (SELECT id, unnest([{BANDS}]) AS band FROM m), p AS (SELECT DISTINCT x.id AS a, y.id AS b FROM b x JOIN b y ON x.band = y.band AND x.id < y.id),
+k AS (SELECT a, b, len(list_intersect(x.ws, y.ws)) AS same, len(x.ws) AS n, len(y.ws) AS m FROM p JOIN u x ON x.id = a JOIN u y ON y.id = b), l AS (SELECT a, b FROM k WHERE same / (n + m - same) >= 0.8), t AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r AS (SELECT id AS v, id AS w FROM u UNION SELECT t.b, r.w FROM r JOIN t ON t.a = r.v AND r.w < t.b), c AS (SELECT v, min(w) AS low FROM r GROUP BY v) SELECT d.doc_id, coalesce(c.low, d.doc_id) AS cluster FROM d LEFT JOIN u ON u.ws = d.ws LEFT JOIN c ON c.v = u.id""")

@@ -78,3 +78,14 @@ def test_registries(spark):
     assert s.run("join", {"left": spark.range(3), "right": spark.range(2)}).count() == 2
     with pytest.raises(ValueError, match="right"):
         s.run("join", {"left": spark.range(3)})
+
+
+def test_text_model_on_the_held_out_quarter(spark):
+    from tallymark.operators import models
+    from tallymark.views import Views
+
+    v = Views(spark, "/root/testdata/sf0.01")
+    got = models.quality_model(v).where("held_out").join(v.labels, "doc_id").collect()
+    right = sum(r.predicted == (r.quality == 1) for r in got)
+    most = max(sum(r.quality == 1 for r in got), sum(r.quality == 0 for r in got))
+    assert len(got) > 60 and right > most
