@@ -183,7 +183,7 @@ def shared_hashes(body: DataFrame, whole: bool = False) -> DataFrame:
     sets.
     """
     n_parts = common.parallel(body)
-    parts, groups = 2 * n_parts, 2 * n_parts
+    parts, groups = n_parts, n_parts
 
     def flush(docs_of: list, hashes: list) -> pd.DataFrame:
         doc, h = np.concatenate(docs_of), np.concatenate(hashes)
