@@ -1,8 +1,8 @@
-"""The registered queries of the ten operators, and their oracle SQL where SQL can express them."""
+"""The registered queries of the dealt operators, and their oracle SQL where SQL can express them."""
 
 from __future__ import annotations
 
-from . import exact_dedup, language_id, line_dedup, mixing, ngram_join, quality_rules, recompression_dedup, sentencepiece_codec, suffix_dedup, token_output
+from . import exact_dedup, language_id, line_dedup, mixing, ngram_join, quality_rules, recompression_dedup, sentencepiece_codec, suffix_dedup, token_alignment, token_output
 
 QUERIES = {
     "op1_line_dedup": line_dedup.query,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_mixing": mixing.query,
     "op9_language_id": language_id.query,
     "op10_recompression_dedup": recompression_dedup.query,
+    "op12_token_alignment": token_alignment.query,
 }
 
 ORACLE_SQL = {
