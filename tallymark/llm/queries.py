@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, language_id, line_dedup, mixing, ngram_join, quality_rules, recompression_dedup, sentencepiece_codec, suffix_dedup, token_alignment, token_output
+from . import exact_dedup, language_id, line_dedup, mixing, ngram_join, quality_rules, recompression_dedup, sentencepiece_codec, source_divergence, suffix_dedup, token_alignment, token_output
 
 QUERIES = {
     "op1_line_dedup": line_dedup.query,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_mixing": mixing.query,
     "op9_language_id": language_id.query,
     "op10_recompression_dedup": recompression_dedup.query,
+    "op11_source_divergence": source_divergence.query,
     "op12_token_alignment": token_alignment.query,
 }
 
@@ -25,4 +26,5 @@ ORACLE_SQL = {
     "op6_suffix_dedup": suffix_dedup.ORACLE,
     "op7_exact_dedup": exact_dedup.ORACLE,
     "op10_recompression_dedup": recompression_dedup.ORACLE,
+    "op11_source_divergence": source_divergence.ORACLE,
 }
