@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, language_id, line_dedup, mixing, ngram_join, quality_rules, recompression_dedup, sentencepiece_codec, source_divergence, suffix_dedup, token_alignment, token_output
+from . import chat_format, exact_dedup, language_id, line_dedup, mixing, ngram_join, quality_rules, recompression_dedup, sentencepiece_codec, source_divergence, suffix_dedup, token_alignment, token_output
 
 QUERIES = {
     "op1_line_dedup": line_dedup.query,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_recompression_dedup": recompression_dedup.query,
     "op11_source_divergence": source_divergence.query,
     "op12_token_alignment": token_alignment.query,
+    "op13_chat_format": chat_format.query,
 }
 
 ORACLE_SQL = {
@@ -27,4 +28,5 @@ ORACLE_SQL = {
     "op7_exact_dedup": exact_dedup.ORACLE,
     "op10_recompression_dedup": recompression_dedup.ORACLE,
     "op11_source_divergence": source_divergence.ORACLE,
+    "op13_chat_format": chat_format.ORACLE,
 }
