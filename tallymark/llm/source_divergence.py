@@ -81,7 +81,7 @@ def div(a: Column, b: Column) -> Column:
 
 def share(n: Column, of: Column) -> Column:
     """``1 + floor(10^9 * n / of)`` for ``n <= of``, by three steps of long division, as the product may not fit; null if ``of`` is 0."""
-    out, rest = F.lit(0).cast("long"), n
+    out, rest, of = F.lit(0).cast("long"), n, F.nullif(of, F.lit(0))
     for _ in range(3):
         out, rest = out * 1000 + div(rest * 1000, of), rest * 1000 % of
     return out + 1
