@@ -48,7 +48,7 @@ CUT = re.compile(rf"(?<=[^ {META}]) (?![\s{META}]|\Z)")
 #: A text without it, without U+2581 and without white space at its ends is cut at each space.
 ODD = re.compile(r" \s")
 #: Distinct links, added over its documents, that a block holds; pieces that a worker remembers.
-BLOCK_LINKS, MEMO = 2_000_000, 500_000
+BLOCK_LINKS, MEMO = 2_000_000, 350_000
 
 DOCS = "block long, doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, at binary, n binary, keys binary"
 RESULT = "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string"
@@ -198,7 +198,7 @@ def pair(path_a: str, path_b: str) -> Pair:
     return Pair(path_a, path_b)
 
 
-def batches(texts: list[str | None], chars: int = 1_000_000) -> Iterator[slice]:
+def batches(texts: list[str | None], chars: int = 700_000) -> Iterator[slice]:
     """Slices with about ``chars`` characters."""
     at = n = 0
     for k, t in enumerate(texts):
