@@ -26,6 +26,8 @@ its nature.  Extra columns are ignored.
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -63,22 +65,23 @@ def numbered(messages: DataFrame) -> DataFrame:
 
 
 def climb(messages: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
-    """``node, up, n, total``: path length and score up to the root of each node, ``up`` null if there is one; and the written tables of 2^k-th ancestors."""
+    """``node, up, n, total``: path length and score up to the root of each node that has one (``up`` is null); and the written tables of 2^k-th ancestors."""
     of = messages.groupBy(F.col("tree").alias("of_tree"), F.col("id").alias("of_id")).agg(F.min("node").alias("up"))
     asks = messages.where("parent is not null").select("node", "tree", "parent")
     found = asks.join(of, F.col("tree").eqNullSafe(F.col("of_tree")) & (F.col("parent") == F.col("of_id"))).select("node", "up")
-    state = common.written(messages.select("node", "score").join(found, "node", "left").select("node", "up", F.lit(1).cast("long").alias("n"), F.col("score").alias("total")))
-    jumps: list[DataFrame] = []
-    most = state.count()
+    first = messages.select("node", "score").join(found, "node", "left").select("node", "up", F.lit(1).cast("long").alias("n"), F.col("score").alias("total"))
+    steps, jumps = [common.written(first)], []
+    most = steps[0].count()
     while 2 ** len(jumps) <= 2 * most:
-        active = state.where("up is not null")
+        active = steps[-1].where("up is not null")
         if active.isEmpty():
             break
         jumps.append(active.select("node", F.col("up").alias("to")))
-        above = state.select(F.col("node").alias("at"), F.col("up").alias("next"), F.col("n").alias("more"), F.col("total").alias("plus"))
-        joined = state.join(above, F.col("up") == F.col("at"), "left")
-        state = common.written(joined.select("node", F.col("next").alias("up"), (F.col("n") + F.coalesce("more", F.lit(0))).alias("n"), (F.col("total") + F.coalesce("plus", F.lit(0))).alias("total")))
-    return state, jumps
+        # Ways that have come to their root stay where they are and move no more.
+        above = functools.reduce(DataFrame.union, [s.where("up is null") for s in steps], active)
+        above = above.select(F.col("node").alias("at"), F.col("up").alias("next"), F.col("n").alias("more"), F.col("total").alias("plus"))
+        steps.append(common.written(active.join(above, F.col("up") == F.col("at")).select("node", F.col("next").alias("up"), (F.col("n") + F.col("more")).alias("n"), (F.col("total") + F.col("plus")).alias("total"))))
+    return functools.reduce(DataFrame.union, [s.where("up is null") for s in steps]), jumps
 
 
 def branches(messages: DataFrame, ways: DataFrame, first: DataFrame | None, top: int) -> DataFrame:
@@ -86,22 +89,20 @@ def branches(messages: DataFrame, ways: DataFrame, first: DataFrame | None, top:
     leaves = messages.select("tree", "id", F.col("node").alias("leaf"))
     if first is not None:
         leaves = leaves.join(first.select(F.col("to").alias("leaf")).distinct(), "leaf", "left_anti")
-    rooted = leaves.join(ways.where("up is null").select(F.col("node").alias("leaf"), "n", "total"), "leaf")
+    rooted = leaves.join(ways.select(F.col("node").alias("leaf"), "n", "total"), "leaf")
     rank = F.row_number().over(Window.partitionBy("tree").orderBy(F.col("total").desc(), "id", "leaf"))
     return rooted.withColumn("rank", rank).where(F.col("rank") <= top).select("leaf", "tree", "rank", "n")
 
 
 def spread(chosen: DataFrame, jumps: list[DataFrame]) -> DataFrame:
     """``leaf, node, pos``: every message of the chosen branches, the root at 0."""
-    part = lambda node, high, low: F.struct(node.alias("node"), high.alias("high"), low.alias("low"))
+    half = lambda node, high, low: F.struct(node.alias("node"), high.alias("high"), low.alias("low"))
     rows = chosen.select("leaf", F.col("leaf").alias("node"), (F.col("n") - 1).alias("high"), F.lit(0).cast("long").alias("low"))
     for k in reversed(range(len(jumps))):
         long = F.col("high") - F.col("low") >= 2**k
-        key = F.when(long, F.col("node"))
-        joined = rows.join(jumps[k].select(F.col("node").alias("at"), "to"), key == F.col("at"), "left")
-        halves = F.array(part(F.col("node"), F.col("high"), F.col("high") - (2**k - 1)), part(F.col("to"), F.col("high") - 2**k, F.col("low")))
-        whole = F.array(part(F.col("node"), F.col("high"), F.col("low")))
-        rows = joined.select("leaf", F.explode(F.when(long, halves).otherwise(whole)).alias("p")).select("leaf", "p.node", "p.high", "p.low")
+        halves = F.array(half(F.col("node"), F.col("high"), F.col("high") - (2**k - 1)), half(F.col("to"), F.col("high") - 2**k, F.col("low")))
+        cut = rows.where(long).join(jumps[k].select(F.col("node").alias("at"), "to"), F.col("node") == F.col("at")).select("leaf", F.explode(halves).alias("p")).select("leaf", "p.node", "p.high", "p.low")
+        rows = common.written(rows.where(~long).unionByName(cut))
     return rows.select("leaf", "node", F.col("high").alias("pos"))
 
 
