@@ -1,9 +1,9 @@
 """All registered queries of the library."""
 
-from .operators import bundles, chainlog, columns, evidence, graph, ledger, market, mentions, models, news, rollups, scoring, search, textsig, windows  # noqa: F401  (each registers its own)
+from .operators import bundles, chainlog, columns, evidence, graph, ledger, market, mentions, models, news, rollups, scoring, search, setjoin, textsig, windows  # noqa: F401  (each registers its own)
 from .functions import registry as user_functions  # noqa: F401
 from .registry import ORACLE_SQL, QUERIES
 from .sources import labels  # noqa: F401
-from .streaming import reorg, streams  # noqa: F401
+from .streaming import narratives, reorg, streams  # noqa: F401
 
 __all__ = ["ORACLE_SQL", "QUERIES"]

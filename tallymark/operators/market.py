@@ -158,7 +158,7 @@ t AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY narrative ORDER BY
 told = lambda v: v.impact.withColumn("narrative", F.col("event_id") % 300)
 register("training_export", lambda v: training_rows(told(v), narrative_rows(v)).select("event_id", "narrative", "asset", "measured_return", "label"), f"WITH {NARR} SELECT event_id, narrative, asset, measured_return, CASE WHEN status IN ('confirmed_true', 'likely_true') THEN 1 ELSE 0 END AS label FROM impact JOIN n ON narrative = event_id % 300 WHERE confidence >= 0.6 AND status <> 'unverified'")
 register("narrative_items", lambda v: narrative_items(v.documents.select(F.col("doc_id").alias("narrative")), v.impact.select((F.col("event_id") % 300).alias("narrative"), F.col("event_id").alias("item")), v.impact.where("event_id % 2 = 0").select(F.col("event_id").alias("item"), F.explode(F.array("asset", "category")).alias("entity"))), """WITH m AS (SELECT event_id AS item, CASE WHEN asset < category THEN concat(asset, ',', category) ELSE concat(category, ',', asset) END AS entities FROM impact WHERE event_id % 2 = 0), x AS (SELECT event_id % 300 AS narrative, event_id AS item, coalesce(entities, '') AS entities FROM impact LEFT JOIN m ON event_id = item)
-SELECT d.doc_id AS narrative, count(x.item)::INT AS n_items, string_agg(concat(x.item, ':', x.entities), ';' ORDER BY x.item) AS items FROM documents d LEFT JOIN x ON x.narrative = d.doc_id GROUP BY d.doc_id""")
+SELECT d.doc_id AS narrative, count(x.item)::INT AS n_items, string_agg(concat(x.item, ':', x.entities), ';' ORDER BY x.item) FILTER (WHERE x.item IS NOT NULL) AS items FROM documents d LEFT JOIN x ON x.narrative = d.doc_id GROUP BY d.doc_id""")
 register("composite_merge", lambda v: composite_merge(v.lbl.selectExpr("address AS subject", "'entity' AS key", "entity AS value", "1 AS rank", "confidence AS coverage").unionByName(v.lbl.selectExpr("address AS subject", "'category' AS key", "category AS value", "CASE source WHEN 'src9' THEN 2 ELSE 1 END AS rank", "confidence AS coverage"))), """WITH o AS (SELECT address AS subject, 'entity' AS key, entity AS value, 1 AS rank, confidence AS coverage FROM lbl UNION ALL SELECT address, 'category', category, CASE source WHEN 'src9' THEN 2 ELSE 1 END, confidence FROM lbl)
 SELECT subject, key, first(value ORDER BY rank, value) AS value, count(DISTINCT value) > 1 AS conflict, min(coverage) AS coverage FROM o GROUP BY ALL""")
 register("evidence_lineage", lambda v: lineage(v.part.selectExpr("p_partkey AS node", "p_size % 2 = 0 AS observed"), v.part.selectExpr("p_partkey AS node", "explode(array(p_partkey div 3, p_partkey div 5)) AS parent").where("parent > 2").distinct()), """WITH RECURSIVE e AS (SELECT DISTINCT p_partkey AS node, unnest([p_partkey // 3, p_partkey // 5]) AS parent FROM part), d AS (SELECT * FROM e WHERE parent > 2), a AS (SELECT node, parent AS above FROM d UNION SELECT a.node, d.parent FROM a JOIN d ON d.node = a.above),

@@ -99,24 +99,6 @@ register(
 register("contradictions", lambda v: v.events.where("event_type in ('error', 'purchase')").groupBy("user_id").agg(count_if(F.col("event_type") == "error").alias("deny"), count_if(F.col("event_type") == "purchase").alias("support")).where("deny > 0 and support > 0").withColumn("pairs", F.col("deny") * F.col("support")), "SELECT *, deny * support AS pairs FROM (SELECT user_id, count(*) FILTER (WHERE event_type = 'error') AS deny, count(*) FILTER (WHERE event_type = 'purchase') AS support FROM events GROUP BY user_id) WHERE deny > 0 AND support > 0")
 
 
-def near_titles(items: DataFrame, a: str, b: str) -> Column:
-    """Jaccard overlap of the words of two texts."""
-    x, y = (F.array_distinct(F.filter(F.split(F.lower(c), r"\s+"), lambda w: w != "")) for c in (a, b))
-    return F.round(F.size(F.array_intersect(x, y)) / F.greatest(F.size(F.array_union(x, y)), F.lit(1)), 9)
-
-
-following = lambda: Window.partitionBy("source").orderBy("doc_id")
-WORDS = r"list_distinct(list_filter(regexp_split_to_array(lower({0}), '\s+'), lambda x: x <> ''))"
-register(
-    "token_overlap",
-    lambda v: v.news.withColumn("next_title", F.lead("title").over(following())).where("next_title is not null").select("doc_id", near_titles(v.news, "title", "next_title").alias("overlap")),
-    f"WITH n AS (SELECT doc_id, title, lead(title) OVER (PARTITION BY source ORDER BY doc_id) AS nt FROM news), w AS (SELECT doc_id, {WORDS.format('title')} AS a, {WORDS.format('nt')} AS b FROM n WHERE nt IS NOT NULL) SELECT doc_id, round(len(list_intersect(a, b)) / greatest(len(list_distinct(list_concat(a, b))), 1), 9) AS overlap FROM w",
-)
-register(
-    "similarity",
-    lambda v: v.news.withColumn("nt", F.lead("title").over(following())).withColumn("np", F.lead("published_at").over(following())).where("nt is not null").select("doc_id", F.round(near_titles(v.news, "title", "nt") * F.exp(-(F.unix_micros(F.col("np").cast("timestamp")) - F.unix_micros(F.col("published_at").cast("timestamp"))) / 3.6e9 / 24), 7).alias("score")),
-    f"WITH n AS (SELECT doc_id, title, published_at, lead(title) OVER w AS nt, lead(published_at) OVER w AS np FROM news WINDOW w AS (PARTITION BY source ORDER BY doc_id)), w AS (SELECT *, {WORDS.format('title')} AS a, {WORDS.format('nt')} AS b FROM n WHERE nt IS NOT NULL) SELECT doc_id, round(round(len(list_intersect(a, b)) / greatest(len(list_distinct(list_concat(a, b))), 1), 9) * exp(-(epoch_us(np) - epoch_us(published_at)) / 3.6e9 / 24), 7) AS score FROM w",
-)
 EMAIL, PHONE = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", r"\+?[0-9][0-9 ()-]{7,}[0-9]"
 register("moderation", lambda v: v.documents.select("doc_id", F.col("text").rlike(EMAIL).alias("has_email"), F.col("text").rlike(PHONE).alias("has_phone"), F.md5(F.regexp_replace(F.regexp_replace("text", EMAIL, "[EMAIL]"), PHONE, "[PHONE]")).alias("redacted")), f"SELECT doc_id, regexp_matches(text, '{EMAIL}') AS has_email, regexp_matches(text, '{PHONE}') AS has_phone, md5(regexp_replace(regexp_replace(text, '{EMAIL}', '[EMAIL]', 'g'), '{PHONE}', '[PHONE]', 'g')) AS redacted FROM documents")
 tokens = lambda: F.when(F.length("text") == 0, 0).otherwise(F.greatest(F.lit(1), F.floor(F.length("text") / 4))).cast("long")

@@ -38,8 +38,8 @@ def register(name: str, plan: Callable[[Views], DataFrame], sql: str | None = No
         used = needed_views(sql)
         body = sql.strip()
         ctes = ",\n".join(f"{v} AS ({VIEW_SQL[v]})" for v in used)
-        if used and re.match(r"WITH\b", body, re.I):
-            body = f"WITH {ctes},\n{body[4:].lstrip()}"
+        if used and (head := re.match(r"WITH( RECURSIVE)?\b", body, re.I)):
+            body = f"{head[0]} {ctes},\n{body[head.end():].lstrip()}"
         elif used:
             body = f"WITH {ctes}\n{body}"
         ORACLE_SQL[name] = body

@@ -24,14 +24,17 @@ FIELD_NAMES = list(FIELDS)
 
 
 def map_header(names: list[str]) -> dict[str, int]:
-    """Field -> column: exact names of all fields first, then parts of names; a column feeds one field."""
+    """Field -> column.  All matches of a name with a column are ranked, and the best that is still free on both sides is taken.
+
+    A whole match ranks before a name inside a longer header, then the order of fields, of their names and of columns.
+    """
     plain = ["".join(c for c in n.strip().lower() if c not in "_- ") for n in names]
+    known = [(f, r, k) for f, field in enumerate(FIELD_NAMES) for r, k in enumerate(FIELDS[field])]
+    ranked = sorted((k != n, f, r, i) for f, r, k in known for i, n in enumerate(plain) if k == n or len(k) >= PARTIAL and k in n)
     found: dict[str, int] = {}
-    for exact in (True, False):
-        for field, known in FIELDS.items():
-            hits = (i for k in known if exact or len(k) >= PARTIAL for i, n in enumerate(plain) if i not in found.values() and (n == k if exact else k in n))
-            if field not in found and (hit := next(hits, None)) is not None:
-                found[field] = hit
+    for _, f, _, i in ranked:
+        if FIELD_NAMES[f] not in found and i not in found.values():
+            found[FIELD_NAMES[f]] = i
     return found
 
 
@@ -66,7 +69,7 @@ def read_json(spark: SparkSession, path: str) -> DataFrame:
         return pairs.select("address", "entity", *blank)
     each = whole.select(F.explode(F.from_json("value", "array<string>")).alias("x"))
     as_map = F.from_json("x", "map<string,string>")
-    keys = sorted({k for (ks,) in each.where("startswith(x, '{')").select(F.map_keys(as_map)).distinct().limit(100).collect() for k in ks or []})  # kinds of keys, few
+    keys = sorted(k for (k,) in each.where("startswith(x, '{')").select(F.explode(F.map_keys(as_map))).distinct().collect() if k)  # names of fields only
     at = map_header(keys)
     named = each.select("x", as_map.alias("m"))
     value = lambda f: F.element_at("m", F.lit(keys[at[f]])) if f in at else F.lit(None).cast("string")

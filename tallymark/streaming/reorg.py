@@ -6,7 +6,7 @@ import uuid
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -24,37 +24,42 @@ class Recent:
     def __init__(self, heights: list[int], hashes: list[str], final: int | None, window: int) -> None:
         self.at, self.final, self.window = dict(zip(heights, hashes)), final, window
 
-    def keep(self, number: int, block: str) -> None:
-        self.at[number] = block
-        while len(self.at) > self.window:
-            del self.at[min(self.at)]
+    def base(self, number: int, parent: str) -> int | None:
+        """Walk down from a block: the highest stored height that it leaves standing, None if all that is stored falls.
+
+        Its parent's place is the first step.  If another block is stored there,
+        that one falls too, and what is stored beneath is as far as one can tell.
+        """
+        if self.at.get(number - 1) == parent:
+            return number - 1
+        return max((h for h in self.at if h < number - 1), default=None)
 
     def observe(self, number: int, block: str, parent: str) -> tuple:
-        """Verdict, depth, ancestor, whether the depth is a lower bound, whether it crossed finality, and the orphaned hashes."""
-        calm = lambda verdict: (verdict, None, None, False, False, [])
-        if not self.at:
-            self.keep(number, block)
-            return calm("initial")
-        tip = max(self.at)
-        if self.at.get(number) == block:
-            return calm("duplicate")
-        if number == tip + 1 and self.at[tip] == parent:
-            self.keep(number, block)
-            return calm("extended")
-        if number > tip + 1:
-            return calm("gap")
-        if number < min(self.at):
-            return calm("below_window")
-        below = [h for h in self.at if h < number - 1]
-        ancestor = number - 1 if self.at.get(number - 1) == parent else max(below, default=None)
-        gone = sorted(h for h in self.at if (h > ancestor if ancestor is not None else h >= number))
-        crossed = self.final is not None and (number if ancestor is None else ancestor + 1) <= self.final
-        orphaned = [self.at[h] for h in gone]
-        if not crossed:  # what crosses finality is reported and needs a decision
-            for h in gone:
-                del self.at[h]
-            self.keep(number, block)
-        return "reorg", max(len(gone), 1), ancestor, ancestor is None, crossed, [] if crossed else orphaned
+        """Verdict, depth, ancestor, whether the depth is a lower bound, whether it crossed finality, and the orphaned hashes.
+
+        The verdict follows from what falls above the ancestor: nothing for a
+        block on the tip, and blocks outside of what is stored are not judged.
+        """
+        low, tip = min(self.at, default=number), max(self.at, default=number)
+        ancestor = self.base(number, parent)
+        falls = sorted(h for h in self.at if ancestor is None or h > ancestor)
+        rules = {"initial": not self.at, "duplicate": self.at.get(number) == block, "gap": number > tip + 1, "below_window": number < low, "extended": not falls}
+        verdict = next((name for name, holds in rules.items() if holds), "reorg")
+        if verdict != "reorg":
+            if verdict in ("initial", "extended"):
+                self.store(number, block, [])
+            return verdict, None, None, False, False, []
+        # What crosses finality is reported and needs a decision: nothing is rewritten.
+        crossed = self.final is not None and falls[0] <= self.final
+        orphaned = [] if crossed else [self.at[h] for h in falls]
+        if not crossed:
+            self.store(number, block, falls)
+        return "reorg", len(falls), ancestor, ancestor is None, crossed, orphaned
+
+    def store(self, number: int, block: str, falls: list[int]) -> None:
+        """Put a block in place of those that fall; the window keeps the highest."""
+        kept = {h: x for h, x in self.at.items() if h not in falls} | {number: block}
+        self.at = {h: kept[h] for h in sorted(kept)[-self.window :]}
 
 
 def reorgs(blocks: DataFrame, final_depth: int | None = None, window: int = WINDOW) -> DataFrame:
@@ -78,27 +83,54 @@ def reorgs(blocks: DataFrame, final_depth: int | None = None, window: int = WIND
     return blocks.groupBy("chain").applyInPandasWithState(track, VERDICT, "heights array<long>, hashes array<string>, final long", "append", GroupStateTimeout.NoTimeout)
 
 
-def withdrawn(verdicts: DataFrame) -> DataFrame:
-    """Run a stream of verdicts into a table of canonical blocks: each batch withdraws orphaned rows first, then adds its own.
+CHANGES = "chain string, hash string, number long, arrival long, added boolean"
+
+
+def stored_batches(spark: SparkSession, folder: str) -> list[int]:
+    """Numbers of the finished tables ``at=N`` of a folder, as the storage lists them."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = path.getFileSystem(spark._jsc.sc().hadoopConfiguration())
+    if not fs.exists(path):
+        return []
+    names = [f.getPath().getName() for f in fs.listStatus(path) if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f.getPath(), "_SUCCESS"))]
+    return sorted(int(n[3:]) for n in names if n.startswith("at="))
+
+
+def canonical_blocks(spark: SparkSession, base: str) -> DataFrame:
+    """``chain, number, hash`` of a table of ``withdrawn``: its last compaction and the changes after it; the last change of a block holds."""
+    whole, steps = stored_batches(spark, f"{base}/whole"), stored_batches(spark, f"{base}/changes")
+    last = whole[-1] if whole else -1
+    paths = [f"{base}/whole/at={last}"] * bool(whole) + [f"{base}/changes/at={k}" for k in steps if k > last]
+    if not paths:
+        return spark.createDataFrame([], "chain string, number long, hash string")
+    rows = spark.read.schema(CHANGES).parquet(*paths)
+    final = rows.groupBy("chain", "hash").agg(F.max_by(F.struct("number", "added"), F.struct("arrival", "added")).alias("x"))
+    return final.where("x.added").select("chain", "x.number", "hash")
+
+
+def withdrawn(verdicts: DataFrame, base: str | None = None, compact_every: int = 20) -> DataFrame:
+    """Run a stream of verdicts into a table of canonical blocks in ``base``.
 
-    The table is written anew in each batch that withdraws from it, as a new
-    version; a batch that is run again makes the same version again.
+    A batch writes its changes only: blocks that it adds, and keys of those that
+    a reorganisation withdraws, each with its arrival, so a block may come back.
+    Every ``compact_every`` batches the table as it stands is written whole, and
+    readers start from there.  What exists is read from the storage, so a run
+    that starts again in the same folder goes on where the last one ended, and a
+    batch that runs twice replaces its own changes.
     """
     spark = verdicts.sparkSession
-    base = f"{shared_folder(spark)}/canonical-{uuid.uuid4().hex}"
-    seen: list[int] = []
+    base = base or f"{shared_folder(spark)}/canonical-{uuid.uuid4().hex}"
 
     def apply(batch: DataFrame, batch_id: int) -> None:
-        orphaned = batch.select("chain", F.explode("orphaned").alias("hash")).distinct()
-        fresh = batch.where("verdict in ('initial', 'extended') or (verdict = 'reorg' and not crossed_finality)").select("chain", "number", "hash")
-        before = [i for i in seen if i < batch_id]
-        rows = spark.read.schema(fresh.schema).parquet(f"{base}/v{before[-1]}").unionByName(fresh) if before else fresh
-        rows.join(orphaned, ["chain", "hash"], "left_anti").select("chain", "number", "hash").write.mode("overwrite").parquet(f"{base}/v{batch_id}")
-        if batch_id not in seen:
-            seen.append(batch_id)
+        gone = batch.select("chain", F.explode("orphaned").alias("hash"), F.lit(None).cast("long").alias("number"), "arrival", F.lit(False).alias("added"))
+        fresh = batch.where("verdict in ('initial', 'extended') or (verdict = 'reorg' and not crossed_finality)").select("chain", "hash", "number", "arrival", F.lit(True).alias("added"))
+        gone.unionByName(fresh).write.mode("overwrite").parquet(f"{base}/changes/at={batch_id}")
+        if (batch_id + 1) % compact_every == 0:
+            whole = canonical_blocks(spark, base).select("chain", "hash", "number", F.lit(-1).cast("long").alias("arrival"), F.lit(True).alias("added"))
+            whole.write.mode("overwrite").parquet(f"{base}/whole/at={batch_id}")
 
     verdicts.writeStream.foreachBatch(apply).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema("chain string, number long, hash string").parquet(f"{base}/v{seen[-1]}") if seen else spark.createDataFrame([], "chain string, number long, hash string")
+    return canonical_blocks(spark, base)
 
 
 def within_budget(alerts: DataFrame, key: str, order: str, budget: int) -> DataFrame:
