@@ -41,6 +41,7 @@ told apart by 64 bits of hash.
 from __future__ import annotations
 
 import functools
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -52,7 +53,7 @@ from pyspark.sql import functions as F
 from . import common
 from .hashing import TO_LOWER, mix, spans, word_bounds
 
-SHINGLE, RADIUS, COVER, CELL_BYTES, BROADCAST_IDS, BLOCK, FLUSH = 5, 0.2, 0.4, 8 << 20, 1_000_000, 1 << 19, 400_000
+SHINGLE, RADIUS, COVER, CELL_BYTES, BROADCAST_IDS, BLOCK, FLUSH, PART_BYTES = 5, 0.2, 0.4, 8 << 20, 1_000_000, 1 << 19, 400_000, 16 << 20
 TINY = 1e-9  # distances are quotients of integers: windows are closed
 NONE = -(2**63)
 
@@ -158,6 +159,13 @@ def counted(doc: np.ndarray, groups: int) -> Iterator[tuple[int, int, bytes]]:
         yield COUNT, p, pack(ids[rows], n[rows].astype("<i4"))
 
 
+def by_part(frames: Iterator[pd.DataFrame]) -> Iterator[list[tuple[int, int, bytes]]]:
+    """Kind, part and payload of the rows of each part, one part at a time: they come sorted by part."""
+    rows = ((int(k), int(p), bytes(b)) for f in frames for k, p, b in zip(f["kind"], f["part"], f["payload"]))
+    for _, of_part in itertools.groupby(rows, key=lambda r: r[1]):
+        yield list(of_part)
+
+
 def keyed(docs: DataFrame) -> DataFrame:
     """``doc, row, body`` of every row; ``row`` tells texts apart that share an id, or have none."""
     body = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NONE)).alias("doc"), F.coalesce(F.encode("text", "UTF-8"), F.lit(b"")).alias("body"))
@@ -178,12 +186,14 @@ def set_keys(n: np.ndarray, h: np.ndarray) -> np.ndarray:
 def shared_hashes(body: DataFrame, whole: bool = False) -> DataFrame:
     """``doc, row, n, node`` of every row of ``keyed``, and rows ``node, shared``, to be summed by node.
 
-    ``shared`` counts the sent hashes of a node that other nodes send too (those
+    Parts are as many as the texts have multiples of ``PART_BYTES``, and a task
+    takes one at a time.  ``shared`` counts the sent hashes of a node that other nodes send too (those
     of copies in several tasks perhaps more than once).  ``whole`` sends whole
     sets.
     """
     n_parts = common.parallel(body)
-    parts, groups = n_parts, n_parts
+    total = body.agg(F.sum(F.length("body"))).first()[0] or 0
+    parts = groups = max(n_parts, -(-total // PART_BYTES))
 
     def flush(docs_of: list, hashes: list) -> pd.DataFrame:
         doc, h = np.concatenate(docs_of), np.concatenate(hashes)
@@ -221,24 +231,19 @@ def shared_hashes(body: DataFrame, whole: bool = False) -> DataFrame:
             yield flush(docs_of, hashes)
 
     def meet(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        got: dict[int, list[bytes]] = {}
-        for f in frames:
-            on = [(k, p % groups, b) for k, p, b in zip(f["kind"], f["part"], f["payload"]) if k != ENTRY]
-            if on:
+        for rows in by_part(frames):
+            if on := [(k, p, b) for k, p, b in rows if k != ENTRY]:
                 yield frame(on)
-            for k, p, b in zip(f["kind"], f["part"], f["payload"]):
-                if k == ENTRY:
-                    got.setdefault(int(p), []).append(bytes(b))
-        for payloads in got.values():
             docs_of, hashes = [], []
-            for b in payloads:
+            for b in (b for k, _, b in rows if k == ENTRY):
                 n = int.from_bytes(b[:4], "little")
                 wide = np.zeros((n, 8), np.uint8)
                 wide[:, :6] = np.frombuffer(b, np.uint8, 6 * n, 4).reshape(n, 6)
                 hashes.append(wide.view("<u8").ravel())
                 docs_of.append(np.cumsum(np.frombuffer(zstandard.ZstdDecompressor().decompress(b[4 + 6 * n :]), "<i8")))
-            doc, h = np.concatenate(docs_of), np.concatenate(hashes)
-            doc, h = distinct(doc, h)
+            if not hashes:
+                continue
+            doc, h = distinct(np.concatenate(docs_of), np.concatenate(hashes))
             new = np.ones(len(h), bool)
             new[1:] = h[1:] != h[:-1]
             start = np.flatnonzero(new)
@@ -248,23 +253,19 @@ def shared_hashes(body: DataFrame, whole: bool = False) -> DataFrame:
                 yield frame(list(counted(doc[both], groups)))
 
     def add_up(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        got: dict[int, list] = {}
-        for f in frames:
-            for k, p, b in zip(f["kind"], f["part"], f["payload"]):
-                got.setdefault(int(p), []).append((int(k), bytes(b)))
-        for payloads in got.values():
-            stats = [unpack(b, *STATS) for k, b in payloads if k == STAT]
+        for rows in by_part(frames):
+            stats = [unpack(b, *STATS) for k, _, b in rows if k == STAT]
             if stats:
                 yield pd.DataFrame(dict(zip(("doc", "row", "n", "node"), (np.concatenate(c) for c in zip(*stats)))) | {"shared": 0})
-            counts = [unpack(b, "<i4") for k, b in payloads if k == COUNT]
+            counts = [unpack(b, "<i4") for k, _, b in rows if k == COUNT]
             if counts:
                 ids, at = np.unique(np.concatenate([c[0] for c in counts]), return_inverse=True)
                 of = np.bincount(at, np.concatenate([c[1] for c in counts])).astype(np.int64)
                 none = pd.array([None] * len(ids), "Int64")
                 yield pd.DataFrame({"doc": none, "row": none, "n": none, "node": ids, "shared": of})
 
-    met = body.mapInPandas(send, SCHEMA).repartition(n_parts, "part").mapInPandas(meet, SCHEMA)
-    return met.repartition(n_parts, "part").mapInPandas(add_up, "doc long, row long, n long, node long, shared long")
+    met = body.mapInPandas(send, SCHEMA).repartition(n_parts, "part").sortWithinPartitions("part").mapInPandas(meet, SCHEMA)
+    return met.repartition(n_parts, "part").sortWithinPartitions("part").mapInPandas(add_up, "doc long, row long, n long, node long, shared long")
 
 
 def limited(ids: DataFrame) -> DataFrame:
