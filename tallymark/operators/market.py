@@ -67,26 +67,38 @@ def propagate(predictions: DataFrame, corr: DataFrame, least: float = 0.5) -> Da
 TRUE = ["confirmed_true", "likely_true"]
 
 
-def analogs(narratives: DataFrame, impacts: DataFrame, k: int = 3) -> DataFrame:
-    """``narrative, mean, used, similarity``: the ``k`` most similar events of each narrative and their weighted return (ties: the older event).
+def closest(narratives: DataFrame, impacts: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
+    """Narratives with their kind, and for each kind the ``k`` most similar events with ``score`` (ties: the older event).
 
-    Events and narratives fall into a few classes that the score tells apart:
-    classes meet, each with its ``k`` oldest events, not rows.
+    What counts of an event is its class (category, tenth of attention, whether
+    it was true), of which there are ten a category, and whether its asset is the
+    narrative's.  So the ``k`` oldest events of each class meet the kinds, and
+    those of each class of an asset meet the kinds that name it.
     """
-    bucket = lambda c: F.least(F.lit(4), F.expr(f"cast({c} as int) div 20"))
-    cls = ["category", "bucket", "good", "asset"]
-    events = impacts.select("event_id", "measured_return", "category", bucket("fomo_score").alias("bucket"), F.col("status").isin(TRUE).alias("good"), "asset")
-    events = events.select("*", F.row_number().over(Window.partitionBy(*cls).orderBy("event_id")).alias("r")).where(F.col("r") <= k)
-    mine = narratives.select("narrative", F.col("category").alias("n_category"), bucket("fomo_score").alias("n_bucket"), F.coalesce("entity_type", F.lit("")).alias("n_type"))
+    level = lambda c: F.least(F.lit(4), F.expr(f"cast({c} as int) div 20"))
+    events = impacts.select("event_id", "measured_return", "category", level("fomo_score").alias("bucket"), F.col("status").isin(TRUE).alias("good"), "asset")
+    oldest = lambda *cls: events.select("*", F.row_number().over(Window.partitionBy(*cls).orderBy("event_id")).alias("r")).where(F.col("r") <= k)
+    mine = narratives.withColumns({"n_category": F.col("category"), "n_bucket": level("fomo_score"), "n_type": F.coalesce("entity_type", F.lit(""))})
     kinds = mine.select("n_category", "n_bucket", "n_type").distinct()
+    cls = ["category", "bucket", "good"]
+    any_asset = kinds.join(F.broadcast(oldest(*cls)), F.lit(True))  # ten times k rows a category, and categories are those of a list of rules
+    own_asset = kinds.join(oldest(*cls, "asset"), F.col("asset") == F.col("n_type"))
     # Points of a tenth, kept whole.
     score = (
         F.when(F.col("category") == F.col("n_category"), 5).when(F.col("n_category") == "general", 2).otherwise(0) + F.greatest(F.lit(0), 3 - F.abs(F.col("bucket") - F.col("n_bucket"))) + F.when(F.col("good"), 1).otherwise(0) + F.when(F.col("asset") == F.col("n_type"), 1).otherwise(0)
     )
-    met = kinds.join(F.broadcast(events), F.lit(True)).withColumn("score", F.least(F.lit(10), score))  # k events of each of a few hundred classes
-    top = met.select("*", F.row_number().over(Window.partitionBy("n_category", "n_bucket", "n_type").orderBy(F.desc("score"), "event_id")).alias("nth")).where((F.col("nth") <= k) & (F.col("score") > 0))
-    found = top.groupBy("n_category", "n_bucket", "n_type").agg(F.round(F.sum(F.col("measured_return") * F.col("score")) / F.sum("score"), 3).alias("mean"), F.count(F.lit(1)).alias("used"), F.round(F.avg("score") / 10, 3).alias("similarity"))
-    return mine.join(found, ["n_category", "n_bucket", "n_type"]).select("narrative", "mean", "used", "similarity")
+    kind = ["n_category", "n_bucket", "n_type"]
+    met = any_asset.unionByName(own_asset).withColumn("score", F.least(F.lit(10), score)).dropDuplicates([*kind, "event_id"])
+    top = met.select("*", F.row_number().over(Window.partitionBy(*kind).orderBy(F.desc("score"), "event_id")).alias("nth")).where((F.col("nth") <= k) & (F.col("score") > 0))
+    return mine, top.select(*kind, "event_id", "measured_return", "score")
+
+
+def analogs(narratives: DataFrame, impacts: DataFrame, k: int = 3) -> DataFrame:
+    """``narrative, mean, used, similarity``: the ``k`` most similar events of each narrative and their weighted return."""
+    mine, top = closest(narratives, impacts, k)
+    kind = ["n_category", "n_bucket", "n_type"]
+    found = top.groupBy(*kind).agg(F.round(F.sum(F.col("measured_return") * F.col("score")) / F.sum("score"), 3).alias("mean"), F.count(F.lit(1)).alias("used"), F.round(F.avg("score") / 10, 3).alias("similarity"))
+    return mine.join(found, kind).select("narrative", "mean", "used", "similarity")
 
 
 def training_rows(impacts: DataFrame, narratives: DataFrame, least: float = 0.6) -> DataFrame:

@@ -117,12 +117,26 @@ register("bursts", lambda v: v.events.withColumn("gap", micros("ts") - F.lag(mic
 register("milestones", lambda v: v.events.where(F.col("event_type").isin("signup", "purchase")).groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), F.min("ts").alias("first_at"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ts", "event_id", "event_type"))), lambda x: x["event_type"]), ",").alias("timeline")), "SELECT user_id, count(*) AS n, min(ts) AS first_at, string_agg(event_type, ',' ORDER BY ts, event_id) AS timeline FROM events WHERE event_type IN ('signup', 'purchase') GROUP BY user_id")
 
 
-def asof(points: DataFrame, candles: DataFrame) -> DataFrame:
-    """The last close at or before each point's time: union and a running last value, one shuffle by symbol."""
-    a = points.select("symbol", F.col("at_time"), F.lit(1).alias("is_point"), F.lit(None).cast("double").alias("close"), "point_id")
-    b = candles.select("symbol", F.col("open_time").alias("at_time"), F.lit(0).alias("is_point"), "close", F.lit(None).cast("long").alias("point_id"))
-    w = Window.partitionBy("symbol").orderBy("at_time", "is_point").rowsBetween(Window.unboundedPreceding, 0)
-    return a.unionByName(b).withColumn("price", F.last("close", ignorenulls=True).over(w)).where("is_point = 1").select("symbol", "point_id", "at_time", "price")
+RANGE = "6 hours"
+
+
+def asof(points: DataFrame, candles: DataFrame, width: str = RANGE) -> DataFrame:
+    """``symbol, point_id, at_time, price``: the last close at or before each point's time, null if there is none.
+
+    Time is dealt into ranges of ``width``, and within a range a running last
+    value finds the close.  A point before its range's first candle takes what
+    ranges carry over: the last close of each range, a row a range, so no task
+    sees a whole symbol.  Candles of one moment: the greatest close counts.
+    """
+    span = lambda t: F.window(F.col(t).cast("timestamp"), width)["start"]
+    a = points.select("symbol", span("at_time").alias("range"), "at_time", F.lit(1).alias("is_point"), F.lit(None).cast("double").alias("close"), "point_id")
+    b = candles.select("symbol", span("open_time").alias("range"), F.col("open_time").alias("at_time"), F.lit(0).alias("is_point"), F.col("close").cast("double").alias("close"), F.lit(None).cast("long").alias("point_id"))
+    w = Window.partitionBy("symbol", "range").orderBy("at_time", "is_point", "close").rowsBetween(Window.unboundedPreceding, 0)
+    inside = a.unionByName(b).withColumn("own", F.last("close", ignorenulls=True).over(w)).where("is_point = 1")
+    last = b.groupBy("symbol", "range").agg(F.max_by("close", F.struct("at_time", "close")).alias("last"))
+    asked = a.select("symbol", "range").distinct().join(last, ["symbol", "range"], "full")
+    before = F.last("last", ignorenulls=True).over(Window.partitionBy("symbol").orderBy("range").rowsBetween(Window.unboundedPreceding, -1))  # a row a range
+    return inside.join(asked.select("symbol", "range", before.alias("carried")), ["symbol", "range"], "left").select("symbol", "point_id", "at_time", F.coalesce("own", "carried").alias("price"))
 
 
 register("price_asof", lambda v: asof(v.events.select(F.col("event_type").alias("symbol"), F.col("ts").alias("at_time"), F.col("event_id").alias("point_id")), v.candle).select("point_id", "price"), "SELECT e.event_id AS point_id, c.close AS price FROM events e ASOF LEFT JOIN candle c ON e.event_type = c.symbol AND e.ts >= c.open_time")
