@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..registry import register
-from .evidence import linkers
-from .ledger import CANON, best_labels, canonical, total
+from .evidence import all_links
+from .ledger import CANON, canonical, total
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -78,10 +78,11 @@ def components(pairs: DataFrame) -> DataFrame:
 
 
 def clusters(links: DataFrame) -> DataFrame:
-    """Components of links ``a, b, confidence, relation``: size, weakest link, number of links and kinds of relation."""
+    """Components of links ``a, b, confidence, relation`` (and ``evidence``): size, weakest link, number of links, kinds of relation, and how many pieces of evidence, with the least."""
     comp = components(links.select(F.col("a").alias("src"), F.col("b").alias("dst")))
     size = comp.groupBy("comp").agg(F.count(F.lit(1)).alias("size"))
-    inside = links.join(comp, F.col("a") == F.col("node")).groupBy("comp").agg(F.min("confidence").alias("confidence"), F.count(F.lit(1)).alias("links"), F.array_join(F.array_sort(F.collect_set("relation")), ",").alias("relations"))
+    proof = [F.countDistinct("evidence").alias("proofs"), F.min("evidence").alias("evidence")] if "evidence" in links.columns else []
+    inside = links.join(comp, F.col("a") == F.col("node")).groupBy("comp").agg(F.min("confidence").alias("confidence"), F.count(F.lit(1)).alias("links"), F.array_join(F.array_sort(F.collect_set("relation")), ",").alias("relations"), *proof)
     return size.join(inside, "comp")
 
 
@@ -90,12 +91,11 @@ graph = lambda v: edges(canonical(v.txn, v.blk))
 register("edges", lambda v: graph(v).select("src", "dst"), f"WITH {EDGE} SELECT src, dst FROM ed")
 register("aggregate_edges", graph, f"WITH {EDGE} SELECT * FROM ed")
 register("prune", lambda v: prune(graph(v), 9_000_000), f"WITH {EDGE} SELECT src, string_agg(dst, ',' ORDER BY dst) AS adjacent, count(*) AS degree FROM ed WHERE weight >= 9000000 GROUP BY src")
-strong = lambda v: graph(v).where("weight >= 9500000")
 register(
     "reachable",
-    lambda v: reachable(strong(v), v.spark.createDataFrame([("s1",)], "node string"), 3),
-    f"WITH {EDGE}, u AS (SELECT src AS a, dst AS b FROM ed WHERE weight >= 9500000 UNION SELECT dst, src FROM ed WHERE weight >= 9500000), h0 AS (SELECT 's1' AS node, 0 AS depth), h1 AS (SELECT DISTINCT b AS node, 1 AS depth FROM u JOIN h0 ON a = node), h2 AS (SELECT DISTINCT b AS node, 2 AS depth FROM u JOIN h1 ON a = node), h3 AS (SELECT DISTINCT b AS node, 3 AS depth FROM u JOIN h2 ON a = node) SELECT node, min(depth) AS depth FROM (SELECT * FROM h0 UNION ALL SELECT * FROM h1 UNION ALL SELECT * FROM h2 UNION ALL SELECT * FROM h3) GROUP BY node",
+    lambda v: reachable(graph(v), v.spark.createDataFrame([("s1",)], "node string"), 3),
+    f"WITH {EDGE}, u AS (SELECT src AS a, dst AS b FROM ed UNION SELECT dst, src FROM ed), h0 AS (SELECT 's1' AS node, 0 AS depth), h1 AS (SELECT DISTINCT b AS node, 1 AS depth FROM u JOIN h0 ON a = node), h2 AS (SELECT DISTINCT b AS node, 2 AS depth FROM u JOIN h1 ON a = node), h3 AS (SELECT DISTINCT b AS node, 3 AS depth FROM u JOIN h2 ON a = node) SELECT node, min(depth) AS depth FROM (SELECT * FROM h0 UNION ALL SELECT * FROM h1 UNION ALL SELECT * FROM h2 UNION ALL SELECT * FROM h3) GROUP BY node",
 )
 register("shortest_path", lambda v: shortest_path(graph(v), "c1", "c2"))
-register("clusters", lambda v: clusters(written(linkers(canonical(v.txn, v.blk), best_labels(v.lbl)))))
+register("clusters", lambda v: clusters(written(all_links(v))))
 register("top_token_graph", lambda v: v.ttx.orderBy(F.desc("value"), "log_index").limit(60).groupBy("from_address", "to_address").agg(F.min("log_index").alias("first_edge")), "SELECT from_address, to_address, min(log_index) AS first_edge FROM (SELECT * FROM ttx ORDER BY value DESC, log_index LIMIT 60) GROUP BY ALL")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import itertools
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -33,19 +36,36 @@ def simhash(docs: DataFrame, key: str, text: str) -> DataFrame:
     return sums.select(key, whole("x").alias("low"), whole("y").alias("high"))
 
 
+def block_plan(prints: int, apart: int) -> tuple[list[tuple[int, int]], int]:
+    """Blocks (start, width) of the fingerprint, and how many of them make a key.
+
+    Of ``apart + k`` blocks, fingerprints that differ in ``apart`` bits share ``k``
+    whole ones.  More blocks make longer keys and more of them; ``k`` is the least
+    whose keys are as many as the fingerprints, so a key holds few.
+    """
+    for k in range(1, 6):
+        m = apart + k
+        widths = [BITS // m + (i < BITS % m) for i in range(m)]
+        if sum(sorted(widths)[:k]) >= math.log2(max(prints, 2)) or k == 5:
+            return [(sum(widths[:i]), w) for i, w in enumerate(widths)], k
+    raise AssertionError
+
+
 def simhash_pairs(prints: DataFrame, key: str, threshold: float = SIMILAR) -> DataFrame:
     """``a, b, similarity``: fingerprints alike, each named by the smallest key that has it.
 
-    Copies share a fingerprint and stand as one.  Candidates share one of four
-    bands of 16 bits: all pairs up to three bits apart are found, and those
-    farther apart as far as they share a band.
+    Copies share a fingerprint and stand as one.  No pair is lost: candidates
+    share all blocks of a key (``block_plan``), each pair once.
     """
-    each = prints.groupBy("low", "high").agg(F.min(key).alias("id"))
-    bands = F.array(*[F.struct(F.lit(i).alias("band"), F.shiftright(F.col(c), 16 * (i % 2)).bitwiseAND(F.lit(0xFFFF)).alias("v")) for i, c in enumerate(("low", "low", "high", "high"))])
-    in_band = each.select("id", "low", "high", F.explode(bands).alias("b")).select("id", "low", "high", "b.*")
-    other = in_band.select("band", "v", F.col("id").alias("b"), F.col("low").alias("low_b"), F.col("high").alias("high_b"))
-    apart = F.bit_count(F.col("low").bitwiseXOR(F.col("low_b"))) + F.bit_count(F.col("high").bitwiseXOR(F.col("high_b")))
-    near = in_band.join(other, ["band", "v"]).where("id < b").select(F.col("id").alias("a"), "b", (1 - apart / BITS).alias("similarity"))
+    each = written(prints.groupBy("low", "high").agg(F.min(key).alias("id")))
+    blocks, k = block_plan(each.count(), math.floor(BITS * (1 - threshold) + 1e-9))
+    masks = [sum(((1 << w) - 1) << s for s, w in c) for c in itertools.combinations(blocks, k)]
+    half = lambda c, m: F.col(c).bitwiseAND(F.lit(m & 0xFFFFFFFF))
+    keys = F.array(*[F.struct(F.lit(n).alias("n"), F.xxhash64(half("low", m), half("high", m >> 32)).alias("v")) for n, m in enumerate(masks)])
+    in_key = each.select("id", "low", "high", F.explode(keys).alias("k")).select("id", "low", "high", "k.*")
+    other = in_key.select("n", "v", F.col("id").alias("b"), F.col("low").alias("low_b"), F.col("high").alias("high_b"))
+    x, y = F.col("low").bitwiseXOR(F.col("low_b")), F.col("high").bitwiseXOR(F.col("high_b"))
+    near = in_key.join(other, ["n", "v"]).where("id < b").select(F.col("id").alias("a"), "b", (1 - (F.bit_count(x) + F.bit_count(y)) / BITS).alias("similarity"))
     return near.where(F.col("similarity") >= threshold).distinct()
 
 
@@ -104,28 +124,58 @@ def claims(items: DataFrame, key: str, title: str, content: str, symbols: list[s
     return every.select(key, ranked.alias("best"), F.nullif(hint, F.lit("")).alias("time_hint")).select(key, F.col("best.s").alias("claim"), F.col("best.score").alias("score"), "time_hint")
 
 
-def vector_duplicates(vectors: DataFrame, key: str, vector: str, threshold: float = 0.95, bits: int = 8, tables: int = 12) -> DataFrame:
-    """``a, b, cosine``: vectors alike, ``b`` the duplicate of the smaller ``a``.
+#: Pivots of the metric index at most, a sample that the driver holds; vectors of a side that meet in a task.
+PIVOTS, SLICE = 2048, 2000
 
-    Equal vectors stand as one.  Candidates share the signs of ``bits`` fixed
-    random projections in one of ``tables`` tables; the cosine is exact.
-    """
-    dim = len(vectors.select(vector).first()[0])
-    planes = np.random.RandomState(11).standard_normal((dim, tables * bits))
-    weights = np.tile(1 << np.arange(bits), tables)
 
-    @F.pandas_udf("array<long>")
-    def cells(v: pd.Series) -> pd.Series:
-        side = (np.stack(v.to_list()) @ planes > 0) * weights
-        return pd.Series(list(side.reshape(len(v), tables, bits).sum(axis=2) + (np.arange(tables) << bits)))
+def vector_duplicates(vectors: DataFrame, key: str, vector: str, threshold: float = 0.95, slice_rows: int = SLICE) -> DataFrame:
+    """``a, b, cosine``: vectors alike, ``b`` the duplicate of the smaller ``a``; no pair is lost.  Zero vectors have none.
 
+    Equal vectors stand as one.  Of unit length, vectors alike are at most
+    ``r = sqrt(2 - 2 * threshold)`` apart.  Each belongs to the cell of its nearest
+    pivot, and visits every cell whose pivot is no more than ``2 r`` farther: by
+    the triangle inequality it meets there all that are alike.  Cells are cut into
+    slices, so a task compares ``slice_rows`` of a cell's own with as many guests.
+    """
     each = vectors.select(F.col(key).alias("id"), F.col(vector).cast("array<double>").alias("v")).groupBy("v").agg(F.min("id").alias("id"))
-    each = each.select("id", "v", F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)).alias("norm")).where("norm > 0")
-    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p * q), F.lit(0.0), lambda a, p: a + p)
-    in_table = each.select("id", F.explode(cells("v")).alias("cell"))
-    pairs = in_table.join(in_table.withColumnRenamed("id", "b"), "cell").where("id < b").select(F.col("id").alias("a"), "b").distinct()
-    one, two = each.select(F.col("id").alias("a"), F.col("v").alias("x"), F.col("norm").alias("nx")), each.select(F.col("id").alias("b"), F.col("v").alias("y"), F.col("norm").alias("ny"))
-    return pairs.join(one, "a").join(two, "b").select("a", "b", (dot(F.col("x"), F.col("y")) / (F.col("nx") * F.col("ny"))).alias("cosine")).where(F.col("cosine") >= threshold)
+    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))
+    each = written(each.withColumn("norm", norm).where("norm > 0").select("id", F.transform("v", lambda x: x / F.col("norm")).alias("v")))
+    reach = 2 * math.sqrt(max(0.0, 2 - 2 * threshold)) + 1e-9
+    some = each.orderBy(F.xxhash64("id"), "id").limit(min(PIVOTS, math.isqrt(each.count()) + 1)).collect()  # a bounded sample
+    if not some:
+        return each.select(F.col("id").alias("a"), F.col("id").alias("b"), F.lit(0.0).alias("cosine")).limit(0)
+    pivots = np.array([r["v"] for r in some])
+
+    @F.pandas_udf("array<struct<cell: int, own: boolean>>")
+    def cells(v: pd.Series) -> pd.Series:
+        far = np.sqrt(np.maximum(0, 2 - 2 * np.stack(v.to_list()) @ pivots.T))
+        home = far.argmin(axis=1)
+        near = far <= far[np.arange(len(far)), home][:, None] + reach
+        return pd.Series([[{"cell": int(c), "own": bool(c == h)} for c in np.flatnonzero(n)] for n, h in zip(near, home)])
+
+    placed = written(each.select("id", "v", F.explode(cells("v")).alias("c")).select("id", "v", "c.cell", "c.own"))
+    sizes = placed.groupBy("cell").agg(F.count_if("own").alias("n_own"), F.count(F.lit(1)).alias("n_all"))
+    slices = lambda n: F.greatest(F.lit(1), F.ceil(F.col(n) / slice_rows)).cast("int")
+    cut = placed.join(sizes.where("n_own > 0").select("cell", slices("n_own").alias("h"), slices("n_all").alias("g")), "cell")
+    at = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    home = cut.where("own").select("cell", at("h").alias("part"), every("g").alias("other"), F.lit(True).alias("own"), "id", "v")
+    guest = cut.select("cell", every("h").alias("part"), at("g").alias("other"), F.lit(False).alias("own"), "id", "v")
+
+    def compare(rows: pd.DataFrame) -> pd.DataFrame:
+        own, guests = rows[rows["own"]], rows[~rows["own"]]
+        if not len(own) or not len(guests):
+            return pd.DataFrame({"a": [], "b": [], "cosine": []})
+        x, y = np.stack(own["v"].to_list()), np.stack(guests["v"].to_list())
+        cosine = x @ y.T
+        i, j = np.nonzero(cosine >= threshold)
+        one, two = own["id"].to_numpy()[i], guests["id"].to_numpy()[j]
+        keep = one != two
+        return pd.DataFrame({"a": np.minimum(one, two)[keep], "b": np.maximum(one, two)[keep], "cosine": cosine[i, j][keep]})
+
+    kind = each.schema["id"].dataType.simpleString()
+    found = home.unionByName(guest).groupBy("cell", "part", "other").applyInPandas(compare, f"a {kind}, b {kind}, cosine double")
+    return found.groupBy("a", "b").agg(F.max("cosine").alias("cosine"))  # met at home and as a guest
 
 
 BIT_SUMS = ", ".join(f"sum(2 * (({c} >> {i}) & 1) - 1) AS {c}{i}" for c in "xy" for i in range(32))
@@ -136,7 +186,7 @@ g AS (SELECT doc_id, md5(word || ' ' || lead(word) OVER o || ' ' || lead(word, 2
 b AS (SELECT doc_id, ('0x' || substr(h, 1, 8))::BIGINT AS x, ('0x' || substr(h, 9, 8))::BIGINT AS y FROM g WHERE h IS NOT NULL), s AS (SELECT doc_id, {BIT_SUMS} FROM b GROUP BY doc_id),
 f AS (SELECT d.doc_id, coalesce({WHOLE['x']}, 0)::BIGINT AS low, coalesce({WHOLE['y']}, 0)::BIGINT AS high FROM d LEFT JOIN s ON d.doc_id = s.doc_id)"""
 SIM_PAIRS = """, u AS (SELECT low, high, min(doc_id) AS id FROM f GROUP BY low, high),
-p AS (SELECT a.id AS a, b.id AS b, 1 - (bit_count(xor(a.low, b.low)) + bit_count(xor(a.high, b.high))) / 64 AS similarity FROM u a JOIN u b ON a.id < b.id AND (a.low & 65535 = b.low & 65535 OR a.low >> 16 = b.low >> 16 OR a.high & 65535 = b.high & 65535 OR a.high >> 16 = b.high >> 16))
+p AS (SELECT a.id AS a, b.id AS b, 1 - (bit_count(xor(a.low, b.low)) + bit_count(xor(a.high, b.high))) / 64 AS similarity FROM u a JOIN u b ON a.id < b.id)
 SELECT a, b, similarity FROM p WHERE similarity >= 0.85"""
 register("simhash", lambda v: simhash(v.documents, "doc_id", "text"), f"WITH {SIM_SQL} SELECT doc_id, low, high FROM f")
 register("simhash_pairs", lambda v: simhash_pairs(simhash(v.documents, "doc_id", "text"), "doc_id"), f"WITH {SIM_SQL}{SIM_PAIRS}")
@@ -149,7 +199,11 @@ LE = lambda at: " + ".join(f"('0x' || substr(h, {2 * (at + i) + 1}, 2))::BIGINT
 register("hash_embed", lambda v: hash_vectors(v.conversations, ["conv_id", "turn"], "text").withColumn("value", F.round("value", 6)), f"""WITH c AS (SELECT conv_id, turn, coalesce(text, '') AS t FROM conversations), p AS (SELECT conv_id, turn, t, unnest(range(1, greatest(length(t) - 2, 1) + 1)) AS i FROM c), g AS (SELECT conv_id, turn, sha256('0:' || substr(t, i, 3)) AS h FROM p),
 w AS (SELECT conv_id, turn, ('0x' || substr(h, 1, 2))::BIGINT % 64 AS bucket, ({LE(8)}) AS low, ({LE(12)}) AS high FROM g), s AS (SELECT conv_id, turn, bucket, sum((CASE WHEN high >= 2147483648 THEN high - 4294967296 ELSE high END) / 2147483648.0::DOUBLE + low / 9223372036854775808.0::DOUBLE) AS v FROM w GROUP BY ALL)
 SELECT conv_id, turn, bucket, round(v / sqrt(sum(v * v) OVER (PARTITION BY conv_id, turn)), 6) AS value FROM s""")
-register("vec_dedup", lambda v: vector_duplicates(v.embeddings, "vec_id", "embedding").withColumn("cosine", F.round("cosine", 6)), "WITH u AS (SELECT embedding::DOUBLE[] AS v, min(vec_id) AS id FROM embeddings GROUP BY 1) SELECT a.id AS a, b.id AS b, round(list_cosine_similarity(a.v, b.v), 6) AS cosine FROM u a JOIN u b ON a.id < b.id WHERE list_cosine_similarity(a.v, b.v) >= 0.95")
+#: Stand-ins for near copies: every third vector again, moved along its first few axes.
+NEAR_COPIES = "SELECT vec_id, embedding AS v FROM {0} UNION ALL SELECT vec_id + 1000000, {1} FROM {0} WHERE vec_id % 3 = 0"
+with_copies = lambda v: v.spark.sql(NEAR_COPIES.format("{e}", "transform(embedding, (x, i) -> CAST(x + CASE WHEN i < vec_id % 7 THEN 0.15D ELSE 0 END AS FLOAT))"), e=v.embeddings)
+COPIES_SQL = NEAR_COPIES.format("embeddings", "list_transform(embedding, lambda x, i: (x + CASE WHEN i <= vec_id % 7 THEN 0.15::DOUBLE ELSE 0::DOUBLE END)::FLOAT)")
+register("vec_dedup", lambda v: vector_duplicates(with_copies(v), "vec_id", "v").withColumn("cosine", F.round("cosine", 6)), f"WITH c AS ({COPIES_SQL}), u AS (SELECT v::DOUBLE[] AS v, min(vec_id) AS id FROM c GROUP BY 1) SELECT a.id AS a, b.id AS b, round(list_cosine_similarity(a.v, b.v), 6) AS cosine FROM u a JOIN u b ON a.id < b.id WHERE list_cosine_similarity(a.v, b.v) >= 0.95")
 SYMBOLS = ["The", "And", "Er", "On"]
 HIT_SQL = " + ".join(f"contains(x, '{s}')::INT" for s in SYMBOLS)
 register("claims", lambda v: claims(v.news, "doc_id", "title", "content", SYMBOLS), rf"""WITH s AS (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(coalesce(title, ''), '[.!?\n]+'), lambda x: trim(x)), lambda x: x <> '') || list_filter(list_transform(regexp_split_to_array(coalesce(content, ''), '[.!?\n]+'), lambda x: trim(x)), lambda x: x <> '') AS s FROM news),

@@ -5,7 +5,7 @@ from collections import deque
 import pytest
 
 from tallymark.catalog import QUERIES
-from tallymark.operators.evidence import linkers
+from tallymark.operators.evidence import all_links
 from tallymark.operators.graph import edges
 from tallymark.operators.ledger import best_labels, canonical
 from tallymark.operators.news import tokens
@@ -69,7 +69,7 @@ def test_shortest_path(spark, v):
 
 
 def test_clusters(spark, v):
-    links = linkers(canonical(v.txn, v.blk), best_labels(v.lbl)).collect()
+    links = all_links(v).collect()
     root = {}
 
     def find(x):

@@ -89,3 +89,37 @@ def test_text_model_on_the_held_out_quarter(spark):
     right = sum(r.predicted == (r.quality == 1) for r in got)
     most = max(sum(r.quality == 1 for r in got), sum(r.quality == 0 for r in got))
     assert len(got) > 60 and right > most
+
+
+@pytest.mark.parametrize("slice_rows", [2000, 3])
+def test_vector_duplicates_lose_none(spark, slice_rows):
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    base = rng.normal(size=(40, 12))
+    v = np.concatenate([base, base + rng.normal(scale=0.25, size=base.shape), base[:5] * 3, np.zeros((1, 12))])
+    got = textsig.vector_duplicates(spark.createDataFrame([(k, x.tolist()) for k, x in enumerate(v)], "id long, v array<double>"), "id", "v", 0.95, slice_rows)
+    norm = np.linalg.norm(v, axis=1)
+    cosine = (v @ v.T) / np.maximum(norm[:, None] * norm[None, :], 1e-300)
+    assert sorted((r.a, r.b) for r in got.collect()) == sorted((a, b) for a in range(len(v)) for b in range(a + 1, len(v)) if norm[a] and norm[b] and cosine[a, b] >= 0.95)
+
+
+@pytest.mark.parametrize("threshold", [0.85, 0.95, 1.0])
+def test_simhash_pairs_lose_none(spark, threshold):
+    rng = random.Random(4)
+    prints = [rng.getrandbits(64) for _ in range(25)]
+    prints += [p ^ sum(1 << i for i in rng.sample(range(64), k)) for p in prints for k in (0, 3, 9, 10)]
+    rows = [(k, p & 0xFFFFFFFF, p >> 32) for k, p in enumerate(prints)]
+    got = textsig.simhash_pairs(spark.createDataFrame(rows, "id long, low long, high long"), "id", threshold).collect()
+    first = {}
+    for k, p in enumerate(prints):
+        first.setdefault(p, k)
+    want = {(a, b) for p, a in first.items() for q, b in first.items() if a < b and 1 - (p ^ q).bit_count() / 64 >= threshold}
+    assert len(got) == len(want) and {(r.a, r.b) for r in got} == want
+
+
+def test_blocks_leave_a_key():
+    for prints in (1, 10**4, 10**6, 10**9):
+        for apart in (0, 3, 9):
+            blocks, k = textsig.block_plan(prints, apart)
+            assert len(blocks) == apart + k and sum(w for _, w in blocks) == 64 and [s for s, _ in blocks] == [sum(w for _, w in blocks[:i]) for i in range(len(blocks))]

@@ -85,7 +85,7 @@ def test_search_keeps_a_top_k_per_slice(spark):
 
 
 def test_clusters_hold_all_links(spark):
-    from tallymark.operators.evidence import linkers
+    from tallymark.operators.evidence import all_links
 
     e = spark.createDataFrame([("a", "b", 0.6, "x"), ("b", "c", 0.8, "y"), ("p", "q", 0.7, "x"), ("p", "q", 0.9, "x")], "a string, b string, confidence double, relation string")
     got = {r.comp: (r.size, r.confidence, r.links, r.relations) for r in graph.clusters(e).collect()}
@@ -94,7 +94,7 @@ def test_clusters_hold_all_links(spark):
     from tallymark.views import Views
 
     v = Views(spark, "/root/testdata/sf0.001")
-    links, up = linkers(ledger.canonical(v.txn, v.blk), ledger.best_labels(v.lbl)).collect(), {}
+    links, up = all_links(v).collect(), {}
 
     def find(x):
         while up.setdefault(x, x) != x:
