@@ -123,5 +123,4 @@ def chunks(docs: DataFrame, size: int = 512, overlap: int = 64) -> DataFrame:
 
 
 register("chunking", lambda v: chunks(v.documents), "SELECT doc_id, CAST(i // 448 AS INT) AS chunk, CAST(i AS INT) AS start, md5(substring(text, i + 1, 512)) AS digest FROM (SELECT doc_id, text, unnest(range(0, greatest(length(text) - 1 - 64, 0) + 1, 448)) AS i FROM documents)")
-register("page_extract", lambda v: v.pages.select("page_id", F.regexp_extract("html", "(?is)<title[^>]*>(.*?)</title>", 1).alias("title"), F.regexp_count("html", F.lit("(?i)<a [^>]*href=")).alias("links")), "SELECT page_id, regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1) AS title, CAST(len(regexp_extract_all(html, '(?i)<a [^>]*href=')) AS INT) AS links FROM pages")
 register("importance", lambda v: v.conversations.select("conv_id", "turn", F.round(F.when(F.col("role") == "system", 1.0).when(F.col("role") == "user", 0.6).otherwise(0.4) * 0.5 + F.when(F.col("text").rlike(r"\b(error|please|must)\b"), 0.3).otherwise(0.0) + F.least(F.lit(0.2), F.length("text") / 1000), 9).alias("importance")), r"SELECT conv_id, turn, round((CASE role WHEN 'system' THEN 1.0 WHEN 'user' THEN 0.6 ELSE 0.4 END * 0.5)::DOUBLE + CASE WHEN regexp_matches(text, '\b(error|please|must)\b') THEN 0.3::DOUBLE ELSE 0.0::DOUBLE END + least(0.2::DOUBLE, length(text) / 1000), 9) AS importance FROM conversations")

@@ -6,7 +6,7 @@ from decimal import ROUND_HALF_UP, Decimal
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..registry import register
@@ -109,6 +109,40 @@ LEX = f"q AS (SELECT item_id, unnest({WORD}) AS word FROM benchmark), d AS (SELE
 register("lexical", lambda v: token_hits(v.benchmark, v.documents, 10), f"WITH {LEX} SELECT item_id, doc_id, score, rank FROM lr WHERE rank <= 10")
 
 
+def normal_value(c: Column) -> Column:
+    return F.lower(F.regexp_replace(F.coalesce(c, F.lit("")), r"^\s+|\s+$", ""))
+
+
+def value_hits(queries: DataFrame, docs: DataFrame, mode: str, k: int) -> DataFrame:
+    """``query_id, doc_id, rank``: the ``k`` last documents whose value is (``exact``) or begins with (``prefix``) that of a query, case and outer white space aside.
+
+    ``queries``: ``query_id, text``; ``docs``: ``doc_id, text``.  Distinct values
+    of queries are looked up once and keep ``k`` documents, however many queries
+    or copies share them.  A beginning is a key of its own: a document has one
+    for each length that queries have, so a prefix search is a join on equality.
+    """
+    asked = queries.select("query_id", normal_value(F.col("text")).alias("q"))
+    values = docs.select("doc_id", normal_value(F.col("text")).alias("value"))
+    if mode == "exact":
+        found = values.select("doc_id", F.col("value").alias("q"))
+    elif mode == "prefix":
+        lengths = sorted(r[0] for r in asked.select(F.char_length("q")).distinct().collect())  # a number for each length of a query
+        cuts = F.explode(F.array(*map(F.lit, lengths)) if lengths else F.expr("cast(array() as array<int>)"))
+        found = values.select("doc_id", "value", cuts.alias("n")).where(F.char_length("value") >= F.col("n")).select("doc_id", F.expr("substring(value, 1, n)").alias("q"))
+    else:
+        raise ValueError(f"unknown mode {mode!r}")
+    last = found.join(asked.select("q").distinct(), "q").withColumn("rank", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("doc_id")))).where(F.col("rank") <= k)
+    return asked.join(last, "q").select("query_id", "doc_id", "rank")
+
+
+TWENTIETH = "doc_id % 20 = 0"
+asking = lambda v, text: v.documents.where(TWENTIETH).select(F.col("doc_id").alias("query_id"), text.alias("text"))
+VALUES = r"v AS (SELECT doc_id, lower(regexp_replace(coalesce(text, ''), '^\s+|\s+$', '', 'g')) AS value FROM documents)"
+NTH = "CAST(row_number() OVER (PARTITION BY query_id ORDER BY doc_id DESC) AS INT) AS rank"
+register("lexical_exact", lambda v: value_hits(asking(v, F.col("text")), v.documents, "exact", 10), f"WITH {VALUES}, h AS (SELECT q.doc_id AS query_id, v.doc_id, {NTH.replace('doc_id DESC', 'v.doc_id DESC').replace('query_id', 'q.doc_id')} FROM v q JOIN v ON v.value = q.value WHERE q.{TWENTIETH}) SELECT * FROM h WHERE rank <= 10")
+register("lexical_prefix", lambda v: value_hits(asking(v, F.expr("substring(text, 1, 4 + cast(doc_id % 3 as int))")), v.documents, "prefix", 10), rf"WITH {VALUES}, q AS (SELECT doc_id AS query_id, lower(regexp_replace(coalesce(substring(text, 1, 4 + doc_id % 3), ''), '^\s+|\s+$', '', 'g')) AS q FROM documents WHERE {TWENTIETH}), h AS (SELECT query_id, doc_id, {NTH} FROM q JOIN v ON starts_with(value, q)) SELECT * FROM h WHERE rank <= 10")
+
+
 def fuse(lists: list[DataFrame], k: int = 60) -> DataFrame:
     """Reciprocal rank fusion of ranked lists (query_id, vec_id, rank)."""
     every = lists[0].select("query_id", "vec_id", "rank")
