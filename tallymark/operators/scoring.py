@@ -93,8 +93,8 @@ register("security_scan", lambda v: security(canonical(v.txn, v.blk)), f"WITH {C
 register("metric_analyzers", lambda v: v.part.select("p_partkey", F.when(F.col("p_retailprice") >= 1500, "deep").when(F.col("p_retailprice") >= 1000, "fair").otherwise("thin").alias("depth"), F.when(F.col("p_size") > 40, "concentrated").when(F.col("p_size") > 20, "mixed").otherwise("spread").alias("holding")), "SELECT p_partkey, CASE WHEN p_retailprice >= 1500 THEN 'deep' WHEN p_retailprice >= 1000 THEN 'fair' ELSE 'thin' END AS depth, CASE WHEN p_size > 40 THEN 'concentrated' WHEN p_size > 20 THEN 'mixed' ELSE 'spread' END AS holding FROM part")
 
 
-def scores(addresses: DataFrame) -> DataFrame:
-    """Risk, influence and trust, 0 to 100, and the band of risk."""
+def activity_scores(addresses: DataFrame) -> DataFrame:
+    """Risk, influence and trust by transfers alone, 0 to 100, and the band of risk: what the signal score builds on."""
     clamp = lambda c: F.round(F.greatest(F.lit(0.0), F.least(F.lit(100.0), c)), 6)
     n = F.col("sent") + F.col("received")
     out = addresses.select("address", clamp(100.0 * F.col("sent") / n * 0.6 + F.when(F.col("counterparties") <= 2, 40.0).otherwise(0.0)).alias("risk"), clamp(F.col("counterparties") * 1.5).alias("influence"), clamp(100.0 - 10.0 * F.abs(F.col("sent") - F.col("received")) / n).alias("trust"))
@@ -103,10 +103,8 @@ def scores(addresses: DataFrame) -> DataFrame:
 
 SCORES = f"{SUMMARY}, sc AS (SELECT address, round(greatest(0.0::DOUBLE, least(100.0::DOUBLE, 100.0::DOUBLE * sent / (sent + received) * 0.6::DOUBLE + CASE WHEN counterparties <= 2 THEN 40.0::DOUBLE ELSE 0.0::DOUBLE END)), 6) AS risk, round(greatest(0.0::DOUBLE, least(100.0::DOUBLE, counterparties * 1.5::DOUBLE)), 6) AS influence, round(greatest(0.0::DOUBLE, least(100.0::DOUBLE, 100.0::DOUBLE - 10.0::DOUBLE * abs(sent - received) / (sent + received))), 6) AS trust FROM a)"
 BAND = "CASE WHEN {0} >= 80 THEN 'critical' WHEN {0} >= 60 THEN 'high' WHEN {0} >= 40 THEN 'medium' WHEN {0} >= 20 THEN 'low' ELSE 'minimal' END"
-register("scores", lambda v: scores(summary(v)), f"WITH {SCORES} SELECT *, {BAND.format('risk')} AS band FROM sc")
-register("final_score", lambda v: scores(summary(v)).select("address", F.round((F.col("risk") * 0.5 + F.col("influence") * 0.3 + F.col("trust") * 0.2), 5).alias("final")), f"WITH {SCORES} SELECT address, round(risk * 0.5::DOUBLE + influence * 0.3::DOUBLE + trust * 0.2::DOUBLE, 5) AS final FROM sc")
 signal = lambda: F.least(F.lit(100), F.when(F.col("risk") >= 60, 40).otherwise(0) + F.when(F.col("influence") >= 50, 25).otherwise(0) + F.when(F.col("trust") < 95, 35).otherwise(0))
-register("signal_score", lambda v: scores(summary(v)).select("address", signal().alias("signal"), F.when(signal() >= 80, "critical").when(signal() >= 60, "high").when(signal() >= 35, "medium").otherwise("low").alias("band")), f"WITH {SCORES}, g AS (SELECT address, least(100, CASE WHEN risk >= 60 THEN 40 ELSE 0 END + CASE WHEN influence >= 50 THEN 25 ELSE 0 END + CASE WHEN trust < 95 THEN 35 ELSE 0 END) AS signal FROM sc) SELECT address, signal, CASE WHEN signal >= 80 THEN 'critical' WHEN signal >= 60 THEN 'high' WHEN signal >= 35 THEN 'medium' ELSE 'low' END AS band FROM g")
+register("signal_score", lambda v: activity_scores(summary(v)).select("address", signal().alias("signal"), F.when(signal() >= 80, "critical").when(signal() >= 60, "high").when(signal() >= 35, "medium").otherwise("low").alias("band")), f"WITH {SCORES}, g AS (SELECT address, least(100, CASE WHEN risk >= 60 THEN 40 ELSE 0 END + CASE WHEN influence >= 50 THEN 25 ELSE 0 END + CASE WHEN trust < 95 THEN 35 ELSE 0 END) AS signal FROM sc) SELECT address, signal, CASE WHEN signal >= 80 THEN 'critical' WHEN signal >= 60 THEN 'high' WHEN signal >= 35 THEN 'medium' ELSE 'low' END AS band FROM g")
 
 
 def alerts(found: DataFrame, budget: int = 5) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Every registered query of the library against its SQL twin, on the smallest tables."""
+"""Every registered query of the library against its SQL twin, on the tables of the correctness gate."""
 
 import duckdb
 import pytest
@@ -6,7 +6,7 @@ import pytest
 from tallymark.catalog import ORACLE_SQL, QUERIES
 from tallymark.views import TABLES
 
-SF = "/root/testdata/sf0.001"
+SF = "/root/testdata/sf0.01"
 
 
 @pytest.fixture(scope="module")
