@@ -42,8 +42,8 @@ def bridge_pairs(outs: DataFrame, ins: DataFrame, days: int = 3) -> DataFrame:
     more than ``days`` earlier (ties: the greatest number): as-of joins by
     ranges of time, so a common amount is no single task.
     """
-    chains = outs.select(F.col("chain").alias("from_chain")).distinct()  # a row a chain
-    asks = ins.join(chains, F.col("chain") != F.col("from_chain")).select(F.concat_ws("|", F.col("amount").cast("string"), "from_chain").alias("symbol"), F.col("leg").alias("point_id"), F.col("at").alias("at_time"))
+    chains = outs.select("amount", F.col("chain").alias("from_chain")).distinct()  # of an amount, a row a chain
+    asks = ins.join(chains, "amount").where("chain <> from_chain").select(F.concat_ws("|", F.col("amount").cast("string"), "from_chain").alias("symbol"), F.col("leg").alias("point_id"), F.col("at").alias("at_time"))
     gone = outs.select(F.concat_ws("|", F.col("amount").cast("string"), "chain").alias("symbol"), F.col("at").alias("open_time"), F.col("leg").cast("double").alias("close"))
     met = asof(asks, gone, "1 day").where("price is not null").select("point_id", "at_time", F.col("price").cast("long").alias("out_leg"))
     both = met.join(outs.select(F.col("leg").alias("out_leg"), F.col("address").alias("x"), F.col("at").alias("out_at")), "out_leg").join(ins.select(F.col("leg").alias("point_id"), F.col("address").alias("y")), "point_id")
