@@ -42,7 +42,7 @@ from . import common
 TERM = re.compile(rb"[A-Za-z\x80-\xff]+")
 MIN_DOCS, TOP = 10, 10
 #: Entries that a task counts before it hands them on; entries of a part; sources of a block; postings scattered at once.
-FLUSH, PART, BLOCK, STRIDE = 400_000, 100_000, 256, 1_000_000
+FLUSH, PART, BLOCK, STRIDE = 200_000, 100_000, 256, 1_000_000
 
 
 def term_rows(docs: DataFrame, flush: int = FLUSH) -> DataFrame:
