@@ -14,7 +14,6 @@ APPROVAL_FOR_ALL = "0x17307eab39ab6107e8899845ad3d59bd9653f200f220920489ca2b5937
 ZERO = "0x" + "0" * 40
 
 LOGS = "result array<struct<address string, topics array<string>, data string, blockNumber string, blockHash string, logIndex string>>"
-BLOCK = "number string, hash string, parentHash string, timestamp string, transactions array<struct<hash string, `from` string, `to` string, value string, transactionIndex string>>"
 
 
 def uint_digits(digits: Column) -> Column:
@@ -66,14 +65,6 @@ def raw_logs(payloads: DataFrame, payload: str = "payload") -> DataFrame:
     )
 
 
-def raw_blocks(payloads: DataFrame, payload: str = "payload") -> DataFrame:
-    """A row per transaction of each recorded block; the place in the block stands in for a missing index."""
-    keep = [c for c in payloads.columns if c != payload]
-    block = payloads.select(*keep, F.from_json(payload, BLOCK).alias("b"))
-    each = block.select(*keep, small_quantity(F.col("b.number")).alias("number"), F.lower("b.hash").alias("block_hash"), small_quantity(F.col("b.timestamp")).alias("seconds"), F.posexplode_outer("b.transactions").alias("place", "t"))
-    return each.select(*keep, "number", "block_hash", "seconds", F.col("t.hash").alias("tx_hash"), F.lower("t.from").alias("sender"), F.lower("t.to").alias("recipient"), word_digits(F.col("t.value")).alias("value_digits"), F.coalesce(small_quantity(F.col("t.transactionIndex")), F.col("place").cast("long")).alias("tx_index"))
-
-
 def decode_transfers(logs: DataFrame) -> DataFrame:
     """Logs as token transfers.  Signature and layout come first: a log of neither standard shape is refused with a reason."""
     topic, n, size = F.lower(F.get("topics", F.lit(0))), F.coalesce(F.size("topics"), F.lit(0)), F.col("data_bytes")
@@ -142,16 +133,6 @@ def recorded_logs(v) -> DataFrame:
     return e.groupBy("block").agg(F.to_json(F.struct(F.collect_list(log).alias("result"))).alias("payload"))
 
 
-def recorded_blocks(v) -> DataFrame:
-    """``chain, payload``: a recorded block per chain and day, of its native transfers."""
-    hexed = lambda n: F.concat(F.lit("0x"), F.lower(F.hex(n.cast("long"))))
-    index = F.when(F.col("tx_index") != 3, hexed(F.col("tx_index")))
-    tx = F.struct(F.col("tx_key").alias("hash"), F.col("from_address").alias("from"), F.col("to_address").alias("to"), hexed(F.col("value")).alias("value"), index.alias("transactionIndex"))
-    each = v.txn.groupBy("chain", "block_number").agg(F.sort_array(F.collect_list(tx)).alias("transactions"))
-    block = F.struct(hexed(F.col("block_number")).alias("number"), block_hash(F.col("block_number")).alias("hash"), hexed(F.col("block_number") * 86400).alias("timestamp"), "transactions")
-    return each.select("chain", F.to_json(block).alias("payload"))
-
-
 LOG_SQL = """l AS (
   SELECT event_id AS log_index, datediff('hour', TIMESTAMP '2024-01-01 00:00:00', ts) AS block, event_type, event_id,
          concat('0x', lpad(lower(to_hex(CAST(regexp_extract(props, '([0-9]+)', 1) AS INT) % 20)), 40, '0')) AS contract, concat('0x', lpad(lower(to_hex(user_id)), 40, '0')) AS a, concat('0x', lpad(lower(to_hex((event_id * 7) % 150)), 40, '0')) AS b,
@@ -167,4 +148,3 @@ register("decode_approval", lambda v: decode_approvals(raw_logs(recorded_logs(v)
 SELECT log_index, kind, CASE WHEN kind IS NOT NULL THEN a END AS owner, CASE WHEN kind IS NOT NULL THEN b END AS spender, CASE kind WHEN 'erc20_approval' THEN amount END AS allowance, CASE kind WHEN 'erc721_approval_for_all' THEN event_id % 3 <> 0 END AS approved,
        CASE WHEN kind IS NOT NULL THEN concat(kind, '|', contract, '|', a, '|', b) END AS grant_key, coalesce(CASE kind WHEN 'erc20_approval' THEN amount = lpad('0', 78, '0') ELSE kind IS NOT NULL AND event_id % 3 = 0 END, false) AS is_revocation, CASE WHEN kind IS NULL THEN 'not an approval' END AS refusal FROM k""")
 register("log_linkage", lambda v: linkage(decode_transfers(raw_logs(recorded_logs(v))), recorded_logs(v).select("block", block_hash(F.col("block")).alias("expected_hash"))).groupBy("block").agg(*[F.sum((F.col("verdict") == k).cast("long")).alias(k) for k in ("filed", "no_hash", "mismatch")], F.sum(((F.col("verdict") == "filed") & F.col("refusal").isNotNull()).cast("long")).alias("unsupported")), f"WITH {LOG_SQL}, k AS (SELECT *, event_id % 50 = 7 AS no_hash, event_id % 50 = 9 AS mismatch FROM l) SELECT block, count(*) FILTER (WHERE NOT no_hash AND NOT mismatch) AS filed, count(*) FILTER (WHERE no_hash) AS no_hash, count(*) FILTER (WHERE mismatch) AS mismatch, count(*) FILTER (WHERE NOT no_hash AND NOT mismatch AND event_type NOT IN ('click', 'view')) AS unsupported FROM k GROUP BY block")
-register("raw_blocks", lambda v: raw_blocks(recorded_blocks(v)).select("chain", "number", "seconds", "tx_hash", "sender", "recipient", "value_digits"), "SELECT chain, block_number AS number, block_number * 86400 AS seconds, tx_key AS tx_hash, from_address AS sender, to_address AS recipient, lpad(value::VARCHAR, 78, '0') AS value_digits FROM txn")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..registry import register
+from .chainlog import uint_digits
 
 
 def parse_address(c: Column) -> Column:
@@ -19,13 +20,17 @@ def address_kind(c: Column) -> Column:
     return F.when(c.rlike("^0x[0-9a-fA-F]{40}$"), "evm").when(c.rlike("^bc1[0-9a-z]{11,71}$"), "bech32").when(c.rlike("^inj1[0-9a-z]{38}$"), "inj").when(c.rlike("^[13][1-9A-HJ-NP-Za-km-z]{25,34}$"), "base58").otherwise("unknown")
 
 
+def quantity_digits(c: Column) -> Column:
+    """A hex quantity of up to 256 bits, or one of up to 78 decimal digits, as 78 digits with leading zeros; null for anything else."""
+    text = F.btrim(F.lower(c), F.lit(" \t\r\n"))
+    hexed, plain = F.regexp_extract(text, "^0x0*([0-9a-f]{1,64})$", 1), F.regexp_extract(text, "^0*([0-9]{1,78})$", 1)
+    narrow = F.lpad(F.conv(hexed, 16, 10), 78, "0")  # 64 bits fit: the usual case, and far cheaper than limbs
+    return F.when((hexed != "") & (F.length(hexed) <= 16), narrow).when(hexed != "", uint_digits(hexed)).when(plain != "", F.lpad(plain, 78, "0"))
+
+
 def hex_quantity(c: Column) -> Column:
-    """A hex or decimal quantity as decimal(38,0): hex in slices of 12 digits; null for anything else or beyond 31 digits."""
-    digits = F.lpad(F.substring(F.lower(c), 3, 64), 36, "0")
-    part = lambda i: F.conv(F.substring(digits, i, 12), 16, 10).cast("decimal(38,0)")
-    scale = F.lit(1 << 48).cast("decimal(38,0)")
-    wide = ((part(1) * scale + part(13)).cast("decimal(38,0)") * scale + part(25)).cast("decimal(38,0)")
-    return F.when(F.lower(c).rlike("^0x[0-9a-f]{1,31}$"), wide).when(c.rlike("^[0-9]{1,38}$"), c.try_cast("decimal(38,0)"))
+    """A hex or decimal quantity below 10^38 as decimal(38,0); null for anything else (wider ones: ``quantity_digits``)."""
+    return F.regexp_extract(quantity_digits(c), "^0{40}([0-9]{38})$", 1).try_cast("decimal(38,0)")
 
 
 def padded_key(c: Column) -> Column:
@@ -42,23 +47,18 @@ def content_id(*parts: Column) -> Column:
     return F.substring(F.sha2(F.concat_ws("|", *parts), 256), 1, 32)
 
 
-def quality_findings(blocks: DataFrame) -> DataFrame:
-    """Findings of a block, worst first, and what they allow."""
-    checks = F.array_compact(F.array(
-        F.when(~F.col("complete") & (F.col("incomplete_reason") == "logs_captured"), F.lit("logs_captured")), F.when(F.col("incomplete_reason") == "selective_capture", F.lit("selective_capture")),
-        F.when(F.col("tx_count") == 0, F.lit("transactions_expanded")), F.when(F.col("block_time") > F.lit("1998-06-01").cast("timestamp_ntz"), F.lit("timestamp_future")),
-    ))
-    return blocks.select("block_key", F.array_join(checks, ",").alias("findings"), (F.size(checks) == 0).alias("clean"), F.forall(checks, lambda x: x == "selective_capture").alias("bounded"))
-
-
 register("parse_address", lambda v: v.txn.select("tx_key", parse_address(F.upper(F.substring("tx_key", 1, 42))).alias("short"), parse_address(F.concat(F.col("tx_key"), F.lit("00000000"))).alias("good"), parse_address(F.concat(F.lit("Zz"), "tx_key")).alias("base")), "SELECT tx_key, CAST(NULL AS VARCHAR) AS short, lower(concat(tx_key, '00000000')) AS good, concat('Zz', tx_key) AS base FROM txn")
 register("validate_address", lambda v: v.txn.select("tx_key", address_kind(F.concat(F.col("tx_key"), F.lit("ABCDEF12"))).alias("a"), address_kind(F.concat(F.lit("bc1"), F.substring("tx_key", 3, 32))).alias("b"), address_kind(F.col("from_address")).alias("c")), "SELECT tx_key, 'evm' AS a, 'bech32' AS b, 'unknown' AS c FROM txn")
-register("hex_quantity", lambda v: v.txn.select("tx_key", hex_quantity(F.concat(F.lit("0x"), F.lower(F.hex(F.col("value").cast("long"))))).alias("value"), hex_quantity(F.lit("0xzz")).alias("bad")), "SELECT tx_key, value::BIGINT AS value, CAST(NULL AS BIGINT) AS bad FROM txn")
+register(
+    "hex_quantity",
+    lambda v: v.txn.withColumn("h", F.lower(F.hex(F.col("value").cast("long")))).select(
+        "tx_key", hex_quantity(F.concat(F.lit("0x"), "h")).alias("value"), quantity_digits(F.concat(F.lit("0x000"), "h", F.lit("0" * 16))).alias("shifted"), quantity_digits(F.concat(F.lit("0X"), F.lpad("h", 64, "f"))).alias("high"), hex_quantity(F.col("value").cast("string")).alias("plain"),
+        quantity_digits(F.when(F.col("tx_index") % 4 == 0, F.concat(F.lit("-"), "h")).when(F.col("tx_index") % 4 == 1, "true").when(F.col("tx_index") % 4 == 2, F.concat(F.lit("0x1"), F.lpad("h", 64, "0"))).otherwise(F.concat(F.lit("0xg"), "h"))).alias("bad"),
+    ),
+    f"SELECT tx_key, value::BIGINT AS value, lpad((value::HUGEINT * 18446744073709551616)::VARCHAR, 78, '0') AS shifted, concat('{(2**256 - 2**64) // 10**39}', lpad(({(2**256 - 2**64) % 10**39 // 10**20}::HUGEINT + (({(2**256 - 2**64) % 10**20}::HUGEINT + ((1::HUGEINT << 64) - (1::HUGEINT << (4 * length(to_hex(value::BIGINT)))) + value::HUGEINT)) // {10**20}::HUGEINT))::VARCHAR, 19, '0'), lpad((({(2**256 - 2**64) % 10**20}::HUGEINT + ((1::HUGEINT << 64) - (1::HUGEINT << (4 * length(to_hex(value::BIGINT)))) + value::HUGEINT)) % {10**20}::HUGEINT)::VARCHAR, 20, '0')) AS high, value::BIGINT AS plain, CAST(NULL AS VARCHAR) AS bad FROM txn",
+)
 register("amount_units", lambda v: v.txn.select("tx_key", (F.col("value") / F.lit(100).cast("decimal(3,0)")).cast("decimal(30,2)").cast("double").alias("units")), "SELECT tx_key, CAST(value / 100 AS DECIMAL(30,2))::DOUBLE AS units FROM txn")
 register("padded_key", lambda v: v.txn.groupBy("chain").agg(F.max(padded_key(F.col("value"))).alias("largest_key")), "SELECT chain, max(lpad(value::VARCHAR, 78, '0')) AS largest_key FROM txn GROUP BY chain")
-register("tx_project", lambda v: v.txn.select("tx_key", F.lower("from_address").alias("sender"), F.coalesce("to_address", F.lit("")).alias("recipient"), F.col("to_address").isNull().alias("creates"), (F.length("tx_key") == 34).alias("hash_ok")), "SELECT tx_key, lower(from_address) AS sender, coalesce(to_address, '') AS recipient, to_address IS NULL AS creates, length(tx_key) = 34 AS hash_ok FROM txn")
-register("block_rules", lambda v: v.blk.select("block_key", (F.col("number") >= 0).alias("number_ok"), (F.col("tx_count") <= 5).alias("gas_ok"), F.when(F.col("tx_count") > 5, "gas_used above limit").alias("issue")), "SELECT block_key, number >= 0 AS number_ok, tx_count <= 5 AS gas_ok, CASE WHEN tx_count > 5 THEN 'gas_used above limit' END AS issue FROM blk")
-register("quality", lambda v: quality_findings(v.blk), "SELECT block_key, f AS findings, f = '' AS clean, f IN ('', 'selective_capture') AS bounded FROM (SELECT block_key, concat_ws(',', CASE WHEN NOT complete AND incomplete_reason = 'logs_captured' THEN 'logs_captured' END, CASE WHEN incomplete_reason = 'selective_capture' THEN 'selective_capture' END, CASE WHEN tx_count = 0 THEN 'transactions_expanded' END, CASE WHEN block_time > TIMESTAMP '1998-06-01' THEN 'timestamp_future' END) AS f FROM blk)")
 register("tx_kind", lambda v: v.events.select("event_id", tx_kind(F.col("event_type")).alias("kind")), "SELECT event_id, CASE WHEN contains(lower(event_type), 'purchase') THEN 'swap' WHEN contains(lower(event_type), 'sign') THEN 'mint' WHEN contains(lower(event_type), 'err') THEN 'burn' ELSE 'transfer' END AS kind FROM events")
 register("content_id", lambda v: v.events.select("event_id", content_id(F.lit("sim"), F.col("event_type"), F.col("props")).alias("id")), "SELECT event_id, substring(sha256(concat_ws('|', 'sim', event_type, props)), 1, 32) AS id FROM events")
 label_reason = lambda: F.when(~F.col("address").rlike("^s[0-9]+$"), "bad address").when(F.col("category") == "contract", "unknown category")
