@@ -8,10 +8,7 @@ from pyspark.sql import functions as F
 from ..registry import register
 from .ledger import count_if
 
-#: Cue words of stances, markers of languages, category patterns, credibility tiers.
-DENY, SUPPORT = ("false", "denies", "fake"), ("confirmed", "official", "announced")
-MARKERS = {"de": ["der", "die", "und", "ist"], "en": ["the", "and", "of", "is"], "es": ["el", "la", "de", "que"], "fr": ["le", "la", "les", "de"]}
-CATEGORIES = [("regulation", "court|law|regul"), ("exploit", "hack|exploit|stol"), ("listing", "list|delist"), ("macro", "rate|inflation")]
+#: Stand-ins: tiers of the sources of the table.
 TIERS = {"src0": 1, "src1": 2, "src2": 3}
 
 
@@ -28,27 +25,6 @@ def clean_text(c: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace(c, r"<[^>]*>", " "), r"[\x00-\x08\x0E-\x1F\x7F]", ""), r"\s+", " "))
 
 
-def language_votes(c: Column) -> Column:
-    """The language whose markers hit most distinct words, the first on ties; und without a hit."""
-    found = F.array_distinct(F.split(F.lower(c), r"[^\p{L}]+"))
-    votes = F.array(*[F.struct(F.size(F.array_intersect(found, F.array(*map(F.lit, m)))).alias("n"), F.lit(-i).alias("i"), F.lit(lang).alias("lang")) for i, (lang, m) in enumerate(MARKERS.items())])
-    best = F.array_max(votes)
-    return F.when(best["n"] > 0, best["lang"]).otherwise("und")
-
-
-def stance(c: Column) -> Column:
-    low = F.lower(c)
-    has = lambda ws: F.coalesce(low.rlike("|".join(ws)), F.lit(False))
-    return F.when(has(DENY), "deny").when(has(SUPPORT), "support").when(low.contains("?"), "question").otherwise("neutral")
-
-
-def category(c: Column) -> Column:
-    out = F
-    for name, pattern in CATEGORIES:
-        out = out.when(F.lower(c).rlike(pattern), name)
-    return out.otherwise("other")
-
-
 def tier(c: Column) -> Column:
     out = F
     for source, n in TIERS.items():
@@ -82,13 +58,7 @@ FP = f"sha256({NORM})"
 register("fingerprints", lambda v: v.news.select("doc_id", fingerprint(F.col("title")).alias("title_fp"), fingerprint(F.substring("content", 1, 800)).alias("content_fp")), f"SELECT doc_id, {FP.format('title')} AS title_fp, {FP.format('substring(content, 1, 800)')} AS content_fp FROM news")
 register("news_dedup", lambda v: news_dedup(v.news), f"WITH k AS (SELECT doc_id, {FP.format('title')} AS t, {FP.format('content')} AS c FROM news) SELECT doc_id FROM (SELECT doc_id, min(doc_id) OVER (PARTITION BY t) AS a, min(doc_id) OVER (PARTITION BY c) AS b FROM k) WHERE doc_id = a AND doc_id = b")
 register("clean_text", lambda v: v.pages.select("page_id", F.md5(clean_text(F.col("html"))).alias("digest"), F.length(clean_text(F.col("html"))).alias("n")), r"SELECT page_id, md5(x) AS digest, CAST(length(x) AS INT) AS n FROM (SELECT page_id, trim(regexp_replace(regexp_replace(regexp_replace(html, '<[^>]*>', ' ', 'g'), '[\x00-\x08\x0E-\x1F\x7F]', '', 'g'), '\s+', ' ', 'g')) AS x FROM pages)")
-votes_sql = ", ".join(f"len(list_intersect(w, {m}))" for m in MARKERS.values())
-register("language", lambda v: v.news.select("doc_id", language_votes(F.col("content")).alias("guess")), f"WITH t AS (SELECT doc_id, list_distinct(regexp_split_to_array(lower(content), '[^\\p{{L}}]+')) AS w FROM news), n AS (SELECT doc_id, [{votes_sql}] AS n FROM t) SELECT doc_id, CASE WHEN list_max(n) > 0 THEN {list(MARKERS)}[list_position(n, list_max(n))] ELSE 'und' END AS guess FROM n")
-register("stance", lambda v: v.news.select("doc_id", stance(F.col("content")).alias("stance")), "SELECT doc_id, CASE WHEN regexp_matches(lower(content), 'false|denies|fake') THEN 'deny' WHEN regexp_matches(lower(content), 'confirmed|official|announced') THEN 'support' WHEN contains(content, '?') THEN 'question' ELSE 'neutral' END AS stance FROM news")
-cat_sql = " ".join(f"WHEN regexp_matches(lower(content), '{p}') THEN '{n}'" for n, p in CATEGORIES)
-register("category", lambda v: v.news.select("doc_id", category(F.col("content")).alias("category")), f"SELECT doc_id, CASE {cat_sql} ELSE 'other' END AS category FROM news")
 TIER = "CASE source WHEN 'src0' THEN 1 WHEN 'src1' THEN 2 WHEN 'src2' THEN 3 ELSE 6 END"
-register("credibility", lambda v: v.news.select("doc_id", tier(F.col("source")).alias("tier")), f"SELECT doc_id, {TIER} AS tier FROM news")
 register("underlying_sources", lambda v: underlying(v.news), f"SELECT {FP.format('content')} AS fp, count(*) AS copies, count(DISTINCT source) AS sources, min({TIER}) AS best_tier, arg_min(doc_id, ({TIER})::BIGINT * 1000000000 + doc_id) AS representative FROM news GROUP BY 1")
 register("coordination", lambda v: coordination(v.news), f"WITH w AS (SELECT platform, max(k) AS burst, sum(k)::BIGINT AS n FROM (SELECT platform, epoch_us(published_at) // 1800000000 AS b, count(*) AS k FROM news GROUP BY ALL) GROUP BY platform), a AS (SELECT platform, max(k) AS top_author FROM (SELECT platform, author, count(*) AS k FROM news GROUP BY ALL) GROUP BY platform), t AS (SELECT platform, sum(CASE WHEN k > 1 THEN k ELSE 0 END) AS copied FROM (SELECT platform, {FP.format('content')} AS f, count(*) AS k FROM news GROUP BY ALL) GROUP BY platform) SELECT platform, n, burst, round(copied / n, 9) AS copied_share, round(top_author / n, 9) AS author_share FROM w JOIN a USING (platform) JOIN t USING (platform)")
 register(
@@ -96,7 +66,6 @@ register(
     lambda v: v.news.groupBy("source").agg(F.count(F.lit(1)).alias("mentions"), F.countDistinct("author").alias("authors"), F.countDistinct("platform").alias("platforms"), F.min("published_at").alias("first_at"), F.max("published_at").alias("last_at")).withColumn("velocity", F.round(F.col("mentions") / F.greatest(F.lit(1.0), (F.unix_micros(F.col("last_at").cast("timestamp")) - F.unix_micros(F.col("first_at").cast("timestamp"))) / 3.6e9), 7)),
     "SELECT *, round(mentions / greatest(1.0, (epoch_us(last_at) - epoch_us(first_at)) / 3.6e9), 7) AS velocity FROM (SELECT source, count(*) AS mentions, count(DISTINCT author) AS authors, count(DISTINCT platform) AS platforms, min(published_at) AS first_at, max(published_at) AS last_at FROM news GROUP BY source)",
 )
-register("contradictions", lambda v: v.events.where("event_type in ('error', 'purchase')").groupBy("user_id").agg(count_if(F.col("event_type") == "error").alias("deny"), count_if(F.col("event_type") == "purchase").alias("support")).where("deny > 0 and support > 0").withColumn("pairs", F.col("deny") * F.col("support")), "SELECT *, deny * support AS pairs FROM (SELECT user_id, count(*) FILTER (WHERE event_type = 'error') AS deny, count(*) FILTER (WHERE event_type = 'purchase') AS support FROM events GROUP BY user_id) WHERE deny > 0 AND support > 0")
 
 
 EMAIL, PHONE = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", r"\+?[0-9][0-9 ()-]{7,}[0-9]"
