@@ -111,17 +111,4 @@ def consensus(checks: DataFrame, threshold: float = 0.5) -> DataFrame:
 register("consensus", lambda v: consensus(v.evalcase.select(F.col("detector").alias("claim"), F.col("label").alias("ok"), (F.col("confidence") + 0.1).alias("weight"))), "SELECT *, agreement >= 0.5 AS consensus FROM (SELECT detector AS claim, count(*) AS checks, round(sum(CASE WHEN label THEN confidence + 0.1 ELSE 0 END) / sum(confidence + 0.1), 8) AS agreement, bool_and(label) AS unanimous FROM evalcase GROUP BY detector)")
 
 
-def evidence_confidence(artifacts: DataFrame) -> DataFrame:
-    """Weighted mean over collapsed groups (the most reliable of each), damped by contradictions, under a ceiling."""
-    rep = artifacts.groupBy("claim", "origin").agg(F.max_by(F.struct("confidence", "reliability"), F.struct("reliability", "confidence", "artifact")).alias("r"), count_if(F.col("contradicts")).alias("against"))
-    out = rep.groupBy("claim").agg((F.sum(F.col("r.confidence") * F.col("r.reliability")) / F.sum("r.reliability")).alias("mean"), F.sum("against").alias("against"), F.count(F.lit(1)).alias("groups"))
-    return out.select("claim", "groups", "against", F.round(F.least(F.lit(0.95), F.col("mean") * F.pow(F.lit(0.85), F.least("against", F.lit(5)))), 7).alias("confidence"))
-
-
-register(
-    "evidence_confidence",
-    lambda v: evidence_confidence(v.evalcase.select(F.col("detector").alias("claim"), (F.col("case_id") % 5).alias("origin"), "confidence", (F.lit(0.5) + (F.col("case_id") % 3) / 10).alias("reliability"), F.col("case_id").alias("artifact"), (F.col("predicted") & ~F.col("label")).alias("contradicts"))),
-    "WITH e AS (SELECT detector AS claim, case_id % 5 AS origin, confidence, 0.5::DOUBLE + (case_id % 3) / 10 AS reliability, case_id, predicted AND NOT label AS contradicts FROM evalcase), r AS (SELECT *, row_number() OVER (PARTITION BY claim, origin ORDER BY reliability DESC, confidence DESC, case_id DESC) AS k, count(*) FILTER (WHERE contradicts) OVER (PARTITION BY claim, origin) AS against FROM e), g AS (SELECT claim, sum(confidence * reliability) / sum(reliability) AS mean, sum(against)::BIGINT AS against, count(*) AS groups FROM r WHERE k = 1 GROUP BY claim) SELECT claim, groups, against, round(least(0.95::DOUBLE, mean * pow(0.85, least(against, 5))), 7) AS confidence FROM g",
-)
 register("heuristics", lambda v: v.lbl.groupBy("entity", "category").agg(F.count(F.lit(1)).alias("n"), F.max("confidence").alias("best")).groupBy("entity").agg(F.max_by("category", F.struct("n", "best", "category")).alias("category"), F.round(F.max("best") * F.max("n") / F.sum("n"), 9).alias("confidence")), "WITH g AS (SELECT entity, category, count(*) AS n, max(confidence) AS best FROM lbl GROUP BY ALL), k AS (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY n DESC, best DESC, category DESC) AS r FROM g) SELECT entity, max(category) FILTER (WHERE r = 1) AS category, round(max(best) * max(n) / sum(n), 9) AS confidence FROM k GROUP BY entity")
-register("hypothesis", lambda v: v.evalcase.groupBy("detector").agg(F.sum(F.when(F.col("label"), F.col("confidence")).otherwise(0.0)).alias("s"), F.sum(F.when(~F.col("label"), F.col("confidence")).otherwise(0.0)).alias("o")).select("detector", F.round(F.col("s") / F.nullif(F.col("s") + F.col("o"), F.lit(0.0)), 8).alias("strength"), F.when(F.col("s") > 2 * F.col("o"), "supported").when(F.col("o") > 2 * F.col("s"), "eliminated").otherwise("open").alias("status")), "WITH t AS (SELECT detector, sum(CASE WHEN label THEN confidence ELSE 0 END) AS s, sum(CASE WHEN NOT label THEN confidence ELSE 0 END) AS o FROM evalcase GROUP BY detector) SELECT detector, round(s / nullif(s + o, 0), 8) AS strength, CASE WHEN s > 2 * o THEN 'supported' WHEN o > 2 * s THEN 'eliminated' ELSE 'open' END AS status FROM t")

@@ -93,20 +93,6 @@ register("security_scan", lambda v: security(canonical(v.txn, v.blk)), f"WITH {C
 register("metric_analyzers", lambda v: v.part.select("p_partkey", F.when(F.col("p_retailprice") >= 1500, "deep").when(F.col("p_retailprice") >= 1000, "fair").otherwise("thin").alias("depth"), F.when(F.col("p_size") > 40, "concentrated").when(F.col("p_size") > 20, "mixed").otherwise("spread").alias("holding")), "SELECT p_partkey, CASE WHEN p_retailprice >= 1500 THEN 'deep' WHEN p_retailprice >= 1000 THEN 'fair' ELSE 'thin' END AS depth, CASE WHEN p_size > 40 THEN 'concentrated' WHEN p_size > 20 THEN 'mixed' ELSE 'spread' END AS holding FROM part")
 
 
-def activity_scores(addresses: DataFrame) -> DataFrame:
-    """Risk, influence and trust by transfers alone, 0 to 100, and the band of risk: what the signal score builds on."""
-    clamp = lambda c: F.round(F.greatest(F.lit(0.0), F.least(F.lit(100.0), c)), 6)
-    n = F.col("sent") + F.col("received")
-    out = addresses.select("address", clamp(100.0 * F.col("sent") / n * 0.6 + F.when(F.col("counterparties") <= 2, 40.0).otherwise(0.0)).alias("risk"), clamp(F.col("counterparties") * 1.5).alias("influence"), clamp(100.0 - 10.0 * F.abs(F.col("sent") - F.col("received")) / n).alias("trust"))
-    return out.withColumn("band", band(F.col("risk")))
-
-
-SCORES = f"{SUMMARY}, sc AS (SELECT address, round(greatest(0.0::DOUBLE, least(100.0::DOUBLE, 100.0::DOUBLE * sent / (sent + received) * 0.6::DOUBLE + CASE WHEN counterparties <= 2 THEN 40.0::DOUBLE ELSE 0.0::DOUBLE END)), 6) AS risk, round(greatest(0.0::DOUBLE, least(100.0::DOUBLE, counterparties * 1.5::DOUBLE)), 6) AS influence, round(greatest(0.0::DOUBLE, least(100.0::DOUBLE, 100.0::DOUBLE - 10.0::DOUBLE * abs(sent - received) / (sent + received))), 6) AS trust FROM a)"
-BAND = "CASE WHEN {0} >= 80 THEN 'critical' WHEN {0} >= 60 THEN 'high' WHEN {0} >= 40 THEN 'medium' WHEN {0} >= 20 THEN 'low' ELSE 'minimal' END"
-signal = lambda: F.least(F.lit(100), F.when(F.col("risk") >= 60, 40).otherwise(0) + F.when(F.col("influence") >= 50, 25).otherwise(0) + F.when(F.col("trust") < 95, 35).otherwise(0))
-register("signal_score", lambda v: activity_scores(summary(v)).select("address", signal().alias("signal"), F.when(signal() >= 80, "critical").when(signal() >= 60, "high").when(signal() >= 35, "medium").otherwise("low").alias("band")), f"WITH {SCORES}, g AS (SELECT address, least(100, CASE WHEN risk >= 60 THEN 40 ELSE 0 END + CASE WHEN influence >= 50 THEN 25 ELSE 0 END + CASE WHEN trust < 95 THEN 35 ELSE 0 END) AS signal FROM sc) SELECT address, signal, CASE WHEN signal >= 80 THEN 'critical' WHEN signal >= 60 THEN 'high' WHEN signal >= 35 THEN 'medium' ELSE 'low' END AS band FROM g")
-
-
 def alerts(found: DataFrame, budget: int = 5) -> DataFrame:
     """Alerts within a daily budget per subscription, the rest as a digest's count."""
     w = Window.partitionBy("subscription", "day").orderBy(F.desc("score"), "event_id")
@@ -126,6 +112,5 @@ def triggers(rows: DataFrame, rules: list[tuple[str, Column, str]]) -> DataFrame
 register("triggers", lambda v: triggers(v.events.select("event_id", "event_type", "value"), [("large", F.col("value") > 90, "high"), ("error", F.col("event_type") == "error", "low")]).select("event_id", "rule", "severity"), "SELECT event_id, 'large' AS rule, 'high' AS severity FROM events WHERE value > 90 UNION ALL SELECT event_id, 'error', 'low' FROM events WHERE event_type = 'error'")
 register("conclusions", lambda v: confusion(v.evalcase).select("detector", F.when(F.col("tp") + F.col("fp") == 0, "UNDETERMINED").when(F.col("precision") >= 0.5, "AFFIRMED").otherwise("NEGATED").alias("stance"), F.least(F.coalesce("precision", F.lit(0.0)), F.lit(0.9)).alias("confidence")), f"WITH {CONF} SELECT detector, CASE WHEN tp + fp = 0 THEN 'UNDETERMINED' WHEN round(tp / nullif(tp + fp, 0), 9) >= 0.5 THEN 'AFFIRMED' ELSE 'NEGATED' END AS stance, least(coalesce(round(tp / nullif(tp + fp, 0), 9), 0.0::DOUBLE), 0.9::DOUBLE) AS confidence FROM cf")
 register("rank_decisions", lambda v: confusion(v.evalcase).select("detector", F.col("tp").alias("priority")).orderBy(F.desc("priority"), "detector"), f"WITH {CONF} SELECT detector, tp AS priority FROM cf")
-register("forecasts", lambda v: v.candle.groupBy("symbol").agg(F.max_by("close", "open_time").alias("c"), F.regr_slope("close", F.unix_timestamp(F.col("open_time").cast("timestamp")) / 3600.0).alias("s")).select("symbol", F.explode(F.array(*map(F.lit, (1, 6, 24)))).alias("horizon"), "c", "s").select("symbol", "horizon", F.round(F.col("c") + F.col("s") * F.col("horizon"), 5).alias("expected"), F.round(F.exp(-F.col("horizon") / 24.0), 9).alias("confidence")), "WITH t AS (SELECT symbol, max_by(close, open_time) AS c, regr_slope(close, epoch(open_time) / 3600.0::DOUBLE) AS s FROM candle GROUP BY symbol) SELECT symbol, CAST(h AS INT) AS horizon, round(c + s * h, 5) AS expected, round(exp(-h / 24.0::DOUBLE), 9) AS confidence FROM t, (SELECT unnest([1, 6, 24]) AS h)")
 register("recommend", lambda v: v.blk.where("incomplete_reason <> ''").groupBy("chain", F.when(F.col("incomplete_reason") == "selective_capture", "lower_floor").otherwise("fetch_logs").alias("action")).agg(F.count(F.lit(1)).alias("weight")), "SELECT chain, CASE WHEN incomplete_reason = 'selective_capture' THEN 'lower_floor' ELSE 'fetch_logs' END AS action, count(*) AS weight FROM blk WHERE incomplete_reason <> '' GROUP BY ALL")
 register("st_backfill", lambda v: v.blk.groupBy("chain").agg(F.min("number").alias("a"), F.max("number").alias("b")).select("chain", F.explode(F.sequence("a", "b")).alias("number")).join(v.blk.select("chain", "number"), ["chain", "number"], "left_anti").groupBy("chain").agg(F.count(F.lit(1)).alias("missing"), F.min("number").alias("first_missing")), "WITH r AS (SELECT chain, unnest(range(min(number), max(number) + 1)) AS number FROM blk GROUP BY chain) SELECT r.chain, count(*) AS missing, CAST(min(r.number) AS INT) AS first_missing FROM r ANTI JOIN blk b ON r.chain = b.chain AND r.number = b.number GROUP BY r.chain")
