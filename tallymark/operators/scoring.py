@@ -11,11 +11,6 @@ from .ledger import CANON, CLS, canonical, count_if, flow_stats, flows_of, total
 from .rollups import SUMMARY, summary
 
 
-def band(score: Column, edges: tuple = (20, 40, 60, 80)) -> Column:
-    a, b, c, d = edges
-    return F.when(score >= d, "critical").when(score >= c, "high").when(score >= b, "medium").when(score >= a, "low").otherwise("minimal")
-
-
 def div(a: Column, b: Column) -> Column:
     """A ratio, null on a zero denominator."""
     return F.round(a / F.nullif(b, F.lit(0)), 9)
@@ -44,7 +39,37 @@ register("calibration", lambda v: calibration(v.evalcase), f"WITH {CAL} SELECT C
 register("outcome_calibration", lambda v: v.evalcase.where("confidence < 1.0").groupBy(F.floor(F.col("confidence") * 4 + 1e-9).cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(F.col("label").cast("int")), 9).alias("observed")), "SELECT CAST(floor(confidence * 4 + 1e-9) AS INT) AS bin, count(*) AS n, round(avg(label::INT), 9) AS observed FROM evalcase WHERE confidence < 1.0 GROUP BY 1")
 register("outcome_metrics", lambda v: v.evalcase.groupBy("detector").agg(F.round(F.avg((F.col("predicted") == F.col("label")).cast("int")), 9).alias("accuracy"), F.round(F.avg(F.pow(F.col("confidence") - F.col("label").cast("int"), 2)), 8).alias("brier"), F.round(F.avg(F.abs(F.col("confidence") - F.col("label").cast("int"))), 8).alias("mae"), F.round(F.avg(F.col("confidence") - F.col("label").cast("int")), 8).alias("bias")), "SELECT detector, round(avg((predicted = label)::INT), 9) AS accuracy, round(avg(pow(confidence - label::INT, 2)), 8) AS brier, round(avg(abs(confidence - label::INT)), 8) AS mae, round(avg(confidence - label::INT), 8) AS bias FROM evalcase GROUP BY detector")
 register("sample_eval", lambda v: v.evalcase.select("detector", F.when(F.col("predicted") & F.col("label"), "HIT").when(F.col("predicted"), "FP").when(F.col("label"), F.when(F.col("confidence") >= 0.5, "WEAK").otherwise("FN")).otherwise("PASS").alias("outcome")).groupBy("detector", "outcome").agg(F.count(F.lit(1)).alias("n")), "SELECT detector, CASE WHEN predicted AND label THEN 'HIT' WHEN predicted THEN 'FP' WHEN label THEN CASE WHEN confidence >= 0.5 THEN 'WEAK' ELSE 'FN' END ELSE 'PASS' END AS outcome, count(*) AS n FROM evalcase GROUP BY ALL")
-register("backtest", lambda v: confusion(v.evalcase).select("detector", (F.col("tp") + F.col("fp") + F.col("fn") + F.col("tn")).alias("cases"), ((F.col("tp") + F.col("fp") + F.col("fn") + F.col("tn") >= 10) & F.col("fpr").isNotNull()).alias("promotable")), f"WITH {CONF} SELECT detector, tp + fp + fn + tn AS cases, tp + fp + fn + tn >= 10 AND fp + tn > 0 AS promotable FROM cf")
+
+
+#: What a detector needs to be promoted, how far off confidences may be.
+CASES, OVERCONFIDENT, MISCALIBRATED = 100, 0.05, 0.10
+
+
+def backtest(cases: DataFrame, bins: int = 10) -> DataFrame:
+    """Per detector (``detector, predicted, label, confidence``): cases, rates, calibration, and what blocks its promotion.
+
+    It is promoted with 100 cases, a false-positive rate that is defined, and confidences
+    that exceed the observed rate by no more than 0.05.  Nulls: not predicted, not true, confidence 0.
+    """
+    no, sure = F.lit(False), F.coalesce("confidence", F.lit(0.0))
+    c = cases.select("detector", F.coalesce("predicted", no).alias("p"), F.coalesce("label", no).alias("y"), sure.alias("sure"), F.least(F.floor(sure * bins + 1e-9), F.lit(bins - 1)).alias("bin"))
+    p, y = F.col("p"), F.col("y")
+    by_bin = c.groupBy("detector", "bin").agg(F.count(F.lit(1)).alias("n"), count_if(p & y).alias("tp"), count_if(p & ~y).alias("fp"), count_if(~p & y).alias("fn"), count_if(~p & ~y).alias("tn"), (F.sum("sure") - count_if(y)).alias("gap"))
+    out = by_bin.groupBy("detector").agg(*[F.sum(x).alias(x) for x in ("n", "tp", "fp", "fn", "tn")], F.sum("gap").alias("signed"), F.sum(F.abs("gap")).alias("off"))
+    x = F.col
+    out = out.select("detector", x("n").alias("cases"), div(x("tp"), x("tp") + x("fp")).alias("precision"), div(x("tp"), x("tp") + x("fn")).alias("recall"), div(x("fp"), x("fp") + x("tn")).alias("fpr"), F.round(x("off") / x("n"), 8).alias("calibration_error"), F.round(x("signed") / x("n"), 8).alias("excess"))
+    blocks = F.array_compact(F.array(F.when(x("cases") < CASES, F.lit("too few cases")), F.when(x("fpr").isNull(), F.lit("no negative cases")), F.when(x("excess") > OVERCONFIDENT, F.lit("overconfident"))))
+    return out.select("*", F.array_join(blocks, "; ").alias("blockers"), (F.size(blocks) == 0).alias("promotable"), ((x("excess") <= OVERCONFIDENT) & (x("calibration_error") > MISCALIBRATED)).alias("underconfident"))
+
+
+#: Stand-ins by number: detectors of three kinds of confidence, a rare one, and one without negative cases.
+TRIAL = """SELECT concat(detector, CASE WHEN case_id % 17 = 0 AND label THEN '/positive' WHEN case_id % 40 = 1 THEN '/rare' WHEN case_id % 3 = 0 THEN '/sharp' WHEN case_id % 3 = 1 THEN '/even' ELSE '/bold' END) AS detector, predicted, label,
+CASE WHEN case_id % 3 = 0 THEN CASE WHEN label THEN 0.8e0 ELSE 0.1e0 END WHEN case_id % 3 = 1 THEN confidence ELSE least(1e0, confidence + 0.4e0) END AS confidence FROM """
+ALL_TRIAL = TRIAL.replace("concat(detector, ", "concat('all', ")
+register("backtest", lambda v: backtest(v.spark.sql(f"{TRIAL} {{e}} UNION ALL {ALL_TRIAL} {{e}}", e=v.evalcase)), f"""WITH t AS ({TRIAL} evalcase UNION ALL {ALL_TRIAL} evalcase), b AS (SELECT detector, least(floor(confidence * 10 + 1e-9), 9) AS bin, count(*) AS n, sum(confidence) - count(*) FILTER (WHERE label) AS gap FROM t GROUP BY ALL), c AS (SELECT detector, sum(gap) / sum(n) AS excess, sum(abs(gap)) / sum(n) AS off FROM b GROUP BY detector),
+m AS (SELECT detector, count(*) AS cases, count(*) FILTER (WHERE predicted AND label) AS tp, count(*) FILTER (WHERE predicted AND NOT label) AS fp, count(*) FILTER (WHERE NOT predicted AND label) AS fn, count(*) FILTER (WHERE NOT label) AS neg FROM t GROUP BY detector),
+r AS (SELECT detector, cases, round(tp / nullif(tp + fp, 0), 9) AS precision, round(tp / nullif(tp + fn, 0), 9) AS recall, round(fp / nullif(neg, 0), 9) AS fpr, round(off, 8) AS calibration_error, round(excess, 8) AS excess FROM m JOIN c USING (detector)), k AS (SELECT *, concat_ws('; ', CASE WHEN cases < 100 THEN 'too few cases' END, CASE WHEN fpr IS NULL THEN 'no negative cases' END, CASE WHEN excess > 0.05 THEN 'overconfident' END) AS blockers FROM r)
+SELECT *, blockers = '' AS promotable, excess <= 0.05 AND calibration_error > 0.1 AS underconfident FROM k""")
 
 
 def whales(transfers: DataFrame, percent: float = 99.0) -> DataFrame:
@@ -81,15 +106,32 @@ EX_CASE = "CASE WHEN n < 10 OR lean IS NULL THEN 'insufficient' WHEN lean >= 0.2
 register("det_exchange", lambda v: exchange_direction(flow_stats(flows_of(v))), f"{EX} SELECT chain, n AS attributed, round(lean, 9) AS imbalance, {EX_CASE} AS verdict FROM l")
 
 
-def security(transfers: DataFrame) -> DataFrame:
-    """Flags per sender: dust, concentration on one counterparty."""
-    pair = transfers.where("to_address is not null").groupBy("from_address", "to_address").agg(F.count(F.lit(1)).alias("k"), count_if(F.col("value") < 200000).alias("dust"))
-    out = pair.groupBy("from_address").agg(F.sum("k").alias("n"), F.sum("dust").alias("dust"), F.max("k").alias("top"))
-    flags = F.array_compact(F.array(F.when(F.col("dust") > 0, F.lit("dust")), F.when((F.col("n") > 5) & (F.col("top") / F.col("n") > 0.3), F.lit("concentrated"))))
-    return out.select("from_address", "n", "dust", F.array_join(flags, ",").alias("flags"))
+#: What is dust, how much of it tells, and when one counterparty is too much.
+DUST, DUST_LEAST, TOP_SHARE, TOP_LEAST = 10**14, 3, 0.8, 5
+
+
+def security(transfers: DataFrame, mixers: DataFrame) -> DataFrame:
+    """Flags of each address over all transfers that it takes part in, on either side: contact with a mixer (``mixers``: ``address``), dust, one counterparty in more than 0.8 of more than 5.
+
+    A transfer to oneself counts once, with oneself as the counterparty; one without a receiver has none.
+    """
+    sides = F.array(F.struct(F.col("from_address").alias("address"), F.col("to_address").alias("other")), F.when(~F.col("to_address").eqNullSafe(F.col("from_address")), F.struct(F.col("to_address").alias("address"), F.col("from_address").alias("other"))))
+    each = transfers.select(F.explode(F.array_compact(sides)).alias("s"), ((F.col("value") > 0) & (F.col("value") < DUST)).alias("dust")).select("s.*", "dust").where("address is not null")
+    pair = each.groupBy("address", "other").agg(F.count(F.lit(1)).alias("k"), count_if(F.col("dust")).alias("dust"))
+    known = mixers.select(F.col("address").alias("other"), F.lit(True).alias("mixer")).distinct()
+    pair = pair.join(known, "other", "left")
+    out = pair.groupBy("address").agg(F.sum("k").alias("n"), F.sum("dust").alias("dust"), F.coalesce(F.sum(F.when(F.col("mixer"), F.col("k"))), F.lit(0)).alias("mixer"), F.coalesce(F.max(F.when(F.col("other").isNotNull(), F.col("k"))), F.lit(0)).alias("top"))
+    share = F.col("top") / F.col("n")
+    flags = F.array_compact(F.array(F.when(F.col("mixer") > 0, F.lit("mixer")), F.when(F.col("dust") > DUST_LEAST, F.lit("dust")), F.when((share > TOP_SHARE) & (F.col("n") > TOP_LEAST), F.lit("concentrated"))))
+    return out.select("address", "n", "mixer", "dust", F.round(share, 4).alias("top_share"), F.array_join(flags, ",").alias("flags"))
 
 
-register("security_scan", lambda v: security(canonical(v.txn, v.blk)), f"WITH {CANON}, p AS (SELECT from_address, to_address, count(*) AS k, count(*) FILTER (WHERE value < 200000) AS dust FROM c WHERE to_address IS NOT NULL GROUP BY ALL), s AS (SELECT from_address, sum(k)::BIGINT AS n, sum(dust)::BIGINT AS dust, max(k) AS top FROM p GROUP BY ALL) SELECT from_address, n, dust, concat_ws(',', CASE WHEN dust > 0 THEN 'dust' END, CASE WHEN n > 5 AND top / n > 0.3 THEN 'concentrated' END) AS flags FROM s")
+#: Stand-ins: token transfers in the smallest unit, every fifth sender nearly always to one hub, some without a receiver.
+MOVES = "SELECT from_address, CASE WHEN log_index % 9 > 0 AND CAST(substring(from_address, 2) AS BIGINT) % 5 = 0 THEN concat('hub', from_address) WHEN log_index % 31 = 0 THEN NULL WHEN log_index % 37 = 0 THEN from_address ELSE to_address END AS to_address, CAST(CAST(value AS BIGINT) * 30000000000 AS DECIMAL(38,0)) AS value FROM "
+MIXERS = "SELECT DISTINCT from_address AS address FROM {0} WHERE CAST(substring(from_address, 2) AS BIGINT) % 17 = 3"
+register("security_scan", lambda v: security(v.spark.sql(MOVES + "{t}", t=v.ttx), v.spark.sql(MIXERS.replace("{0}", "{t}"), t=v.ttx)), f"""WITH m AS ({MOVES}ttx), x AS ({MIXERS.format('ttx')}), e AS (SELECT from_address AS address, to_address AS other, value FROM m WHERE from_address IS NOT NULL UNION ALL SELECT to_address, from_address, value FROM m WHERE to_address <> from_address),
+p AS (SELECT address, other, count(*) AS k, count(*) FILTER (WHERE value > 0 AND value < 100000000000000) AS dust, bool_or(other IN (SELECT address FROM x)) AS mixer FROM e GROUP BY ALL), s AS (SELECT address, sum(k)::BIGINT AS n, coalesce(sum(k) FILTER (WHERE mixer), 0)::BIGINT AS mixer, sum(dust)::BIGINT AS dust, coalesce(max(k) FILTER (WHERE other IS NOT NULL), 0) AS top FROM p GROUP BY address)
+SELECT address, n, mixer, dust, round(top / n, 4) AS top_share, concat_ws(',', CASE WHEN mixer > 0 THEN 'mixer' END, CASE WHEN dust > 3 THEN 'dust' END, CASE WHEN top / n > 0.8 AND n > 5 THEN 'concentrated' END) AS flags FROM s""")
 register("metric_analyzers", lambda v: v.part.select("p_partkey", F.when(F.col("p_retailprice") >= 1500, "deep").when(F.col("p_retailprice") >= 1000, "fair").otherwise("thin").alias("depth"), F.when(F.col("p_size") > 40, "concentrated").when(F.col("p_size") > 20, "mixed").otherwise("spread").alias("holding")), "SELECT p_partkey, CASE WHEN p_retailprice >= 1500 THEN 'deep' WHEN p_retailprice >= 1000 THEN 'fair' ELSE 'thin' END AS depth, CASE WHEN p_size > 40 THEN 'concentrated' WHEN p_size > 20 THEN 'mixed' ELSE 'spread' END AS holding FROM part")
 
 
