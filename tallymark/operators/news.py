@@ -68,8 +68,6 @@ register(
 )
 
 
-EMAIL, PHONE = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", r"\+?[0-9][0-9 ()-]{7,}[0-9]"
-register("moderation", lambda v: v.documents.select("doc_id", F.col("text").rlike(EMAIL).alias("has_email"), F.col("text").rlike(PHONE).alias("has_phone"), F.md5(F.regexp_replace(F.regexp_replace("text", EMAIL, "[EMAIL]"), PHONE, "[PHONE]")).alias("redacted")), f"SELECT doc_id, regexp_matches(text, '{EMAIL}') AS has_email, regexp_matches(text, '{PHONE}') AS has_phone, md5(regexp_replace(regexp_replace(text, '{EMAIL}', '[EMAIL]', 'g'), '{PHONE}', '[PHONE]', 'g')) AS redacted FROM documents")
 tokens = lambda: F.when(F.length("text") == 0, 0).otherwise(F.greatest(F.lit(1), F.floor(F.length("text") / 4))).cast("long")
 TOK = "(CASE WHEN length(text) = 0 THEN 0 ELSE greatest(1, length(text) // 4) END)::BIGINT"
 register("conv_stats", lambda v: v.conversations.groupBy("conv_id").agg(F.count(F.lit(1)).alias("messages"), F.sum(tokens()).alias("tokens"), count_if(F.col("role") == "user").alias("user"), count_if(F.col("role") == "assistant").alias("assistant"), F.max("turn").alias("last_turn")), f"SELECT conv_id, count(*) AS messages, sum({TOK})::BIGINT AS tokens, count(*) FILTER (WHERE role = 'user') AS user, count(*) FILTER (WHERE role = 'assistant') AS assistant, max(turn) AS last_turn FROM conversations GROUP BY conv_id")
