@@ -10,8 +10,8 @@ and last moment, and two episodes hold items a day apart exactly if these
 stretches are, so copies cost nothing beyond their count.
 
 A batch reads the episodes near its own time, joins its new ones to them by the
-first words of their titles (longest first, an order that needs no counting),
-and writes tables of its own: items, new episodes, and which narratives have
+first words of their titles (longest first, an order that needs no counting)
+and the days that they last, and writes tables of its own: items, new episodes, and which narratives have
 become part of another one.  Nothing is rewritten; every ``compact_every``
 batches these are gathered into one table.  What exists is read from the storage, so a run that
 starts again in the same folder goes on where the last one ended, and a batch
@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.graph import components, shared_folder, written
-from ..operators.setjoin import ITEMS_SQL, by_length, candidates, overlaps, title_words
+from ..operators.setjoin import ITEMS_SQL, alike, by_length, title_words
 from ..registry import register
 from .reorg import stored_batches
 
@@ -78,13 +78,12 @@ def meets(a: str, b: str) -> Column:
 
 def same_story(new: DataFrame, near: DataFrame) -> DataFrame:
     """``src, dst``: narratives of new episodes and of those nearby (the new ones among them) that tell one story."""
-    side = lambda e: e.where((F.size("words") > 0) & (F.size("entities") > 0)).select(F.col("episode").alias("id"), "words")
-    titles = overlaps(candidates(side(new), side(near), *LEAST), side(new), side(near), *LEAST).select("a", "b")
-    x, y = new.select(F.struct("*").alias("x")), near.select(F.struct("*").alias("y"))
-    pairs = titles.join(x, F.col("a") == F.col("x.episode")).join(y, F.col("b") == F.col("y.episode")).where(meets("x", "y") & F.arrays_overlap("x.entities", "y.entities"))
-    # Equal words and entities need no prefix: stretches that a batch before has begun.
-    again = x.join(y, (F.col("x.words") == F.col("y.words")) & (F.col("x.entities") == F.col("y.entities")) & (F.col("x.episode") != F.col("y.episode"))).where(meets("x", "y") & (F.size("x.words") > 0) & (F.size("x.entities") > 0))
-    both = pairs.select("x.narrative", F.col("y.narrative").alias("other")).unionByName(again.select("x.narrative", F.col("y.narrative").alias("other")))
+    day = lambda c, more=0: F.floor(F.col(c) / DAY) + more
+    side = lambda e, more: e.where((F.size("words") > 0) & (F.size("entities") > 0)).withColumn("day", F.explode(F.sequence(day("first", -more), day("last", more))))
+    # Episodes that meet share a day, if those of one side begin a day earlier and end a day later; the first such day counts.
+    first = F.col("x.day") == F.greatest(day("x.row.first"), day("y.row.first", -1))
+    fits = first & (F.col("x.row.episode") != F.col("y.row.episode")) & meets("x.row", "y.row") & F.arrays_overlap("x.row.entities", "y.row.entities")
+    both = alike(side(new, 0), side(near, 1), *LEAST, fits, ("day",)).select("x.narrative", F.col("y.narrative").alias("other"))
     return both.where("narrative <> other").select(F.col("narrative").alias("src"), F.col("other").alias("dst")).distinct()
 
 

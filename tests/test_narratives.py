@@ -158,3 +158,22 @@ def test_injected_instructions(spark):
     clean = sanitize(spark.createDataFrame([("ﬁne​ \x07 ````code",)], "t string"), "t").first()
     assert clean.clean == "fine `…code" and clean.invisible == 1 and clean.control == 1
     assert F.col("x") is not None
+
+
+def test_candidates_are_not_shuffled(spark):
+    """Sets that share a frequent word only: nothing is grouped or joined after the join of prefixes, which returns true pairs alone."""
+    sets = [(k, ["common", *(f"{k}-{i}" for i in range(3))]) for k in range(60)] + [(100 + k, ["common", "x", "y", str(k)]) for k in range(3)]
+    found = setjoin.similar_sets(spark.createDataFrame(sets, "id long, words array<string>"), 1, 2)
+    assert sorted((r.a, r.b, r.shared, r.either) for r in found.collect()) == [(100, 101, 3, 5), (100, 102, 3, 5), (101, 102, 3, 5)]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" not in plan and plan.count("Join") == 1
+
+
+def test_stories_meet_by_day(spark):
+    """Equal titles that are days apart are not candidates: the prefixes are joined by day."""
+    at = lambda d, h=0: datetime(2024, 1, 1 + d, h)
+    rows = [(1, "alpha beta gamma", ["e"], at(0), "s", "web"), (2, "alpha beta delta", ["e"], at(1), "s", "web"), (3, "alpha beta gamma", ["e"], at(2), "s", "web"), (4, "alpha beta gamma", ["e"], at(4), "s", "web"), (5, "alpha beta delta", ["f"], at(1, 1), "s", "web"), (6, "alpha beta gamma", ["e"], at(3, 1), "s", "web")]
+    new = narratives.episodes(narratives.prepared(spark.createDataFrame([(*r, 0) for r in rows], ITEM)))
+    links = narratives.same_story(new, new)
+    assert "day" in links._jdf.queryExecution().optimizedPlan().toString()
+    assert {(r.src, r.dst) for r in links.collect()} == {(1, 2), (2, 1), (2, 3), (3, 2)}
