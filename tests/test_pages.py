@@ -47,3 +47,9 @@ def test_searches_by_value(spark, mode):
     assert len(got) == len(want) and {(r.query_id, r.doc_id, r["rank"]) for r in got} == want
     empty = spark.createDataFrame([], "query_id long, text string")
     assert search.value_hits(empty, spark.createDataFrame(docs, "doc_id long, text string"), mode, 5).count() == 0
+
+
+def test_titles_keep_unfinished_references():
+    of = lambda title: pages.parsed(f"<p>a &amp b</p><title>{title}</title><title>&lt;</title><p>c &lt d", None)
+    assert [of(t)[0] for t in ("x &amp;&amp;&amp", "&amp", "&ampx; &lt;b&gt; &quot", "a &#38; &#38 &nbsp;b", "&#; x")] == ["x &&&amp", "&amp", "&ampx; <b> &quot", "a & &#38 b", "&#; x"]
+    assert of("x")[5] == "a & b\nc < d"
