@@ -123,3 +123,22 @@ def test_blocks_leave_a_key():
         for apart in (0, 3, 9):
             blocks, k = textsig.block_plan(prints, apart)
             assert len(blocks) == apart + k and sum(w for _, w in blocks) == 64 and [s for s, _ in blocks] == [sum(w for _, w in blocks[:i]) for i in range(len(blocks))]
+
+
+def test_minhash_pairs_shuffle_no_candidates(spark):
+    """Pairs come once each; bands are met and left out before words are joined, and nothing is made distinct after it."""
+    rng = random.Random(5)
+    texts = [[f"w{i}" for i in rng.sample(range(40), 30)] for _ in range(8)]
+    texts += [t[: 30 - k] + [f"n{i}-{j}" for i in range(k)] for j, t in enumerate(texts) for k in (0, 1, 2, 5)]
+    docs = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(texts)], "id long, text string")
+    signed = textsig.minhash(docs, "id", "text")
+    found = textsig.minhash_pairs(signed, "id")
+    band = {r.id: [tuple(r.signature[4 * i : 4 * i + 4]) for i in range(4)] for r in signed.collect()}
+    least = {}
+    for k, t in enumerate(texts):
+        least.setdefault(frozenset(t), k)
+    want = {(a, b) for x, a in least.items() for y, b in least.items() if a < b and any(p == q for p, q in zip(band[a], band[b])) and 10 * len(x & y) >= 8 * len(x | y)}
+    got = [(r.a, r.b) for r in found.collect()]
+    assert want and len(got) == len(want) and set(got) == want
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" not in plan and "Generate" not in plan
