@@ -1,8 +1,14 @@
 """What the steps of large jobs must hold: ties, odd orders, many rows of one moment."""
 
 import random
+import re
 
+from tallymark.catalog import QUERIES
+from tallymark.operators.evidence import all_links
 from tallymark.operators.market import nearest_other
+from tallymark.views import Views
+
+SF = "/root/testdata/sf0.001"
 
 
 def test_nearest_other_takes_the_least_of_events_at_one_moment(spark):
@@ -21,3 +27,24 @@ def test_nearest_other_takes_the_least_of_events_at_one_moment(spark):
 def test_nearest_other_reads_an_hour_once(spark):
     df = spark.sql("SELECT id AS event_id, concat('a', id % 2) AS asset, timestamp_seconds(id) AS first_seen, 0D AS measured_return FROM range(10)")
     assert "unboundedfollowing" not in nearest_other(df)._jdf.queryExecution().optimizedPlan().toString().lower()
+
+
+def test_rows_of_a_chain_are_not_shuffled_by_chain(spark):
+    for name in ("gate", "selective_capture", "det_whale"):
+        plan = QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+        assert "strategy=broadcast" in plan
+        assert not [j for j in re.findall(r"Join [^\n]*", plan) if re.search(r"\(chain#\d+ = chain#\d+\)(?! AND)", j.replace("((", "(")) and "strategy=broadcast" not in j and "block_number" not in j and "number" not in j]
+
+
+def test_lines_are_shuffled_once(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = Views(spark, SF).txn._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert not re.search(r"hashpartitioning\(l_orderkey#\d+L, l_linenumber", plan)  # copies are numbered where the order's lines meet
+
+
+def test_links_read_transfers_once(spark):
+    plan = all_links(Views(spark, SF))._jdf.queryExecution().executedPlan().toString()
+    assert "lineitem" not in plan
