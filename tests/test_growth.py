@@ -3,9 +3,12 @@
 import random
 import re
 
+import pyarrow as pa
+
 from tallymark.catalog import QUERIES
 from tallymark.operators.evidence import all_links
 from tallymark.operators.market import nearest_other
+from tallymark.operators.pages import STEP, extract
 from tallymark.views import Views
 
 SF = "/root/testdata/sf0.001"
@@ -48,3 +51,13 @@ def test_lines_are_shuffled_once(spark):
 def test_links_read_transfers_once(spark):
     plan = all_links(Views(spark, SF))._jdf.queryExecution().executedPlan().toString()
     assert "lineitem" not in plan
+
+
+def test_pages_are_handed_on_in_small_steps(spark, tmp_path):
+    """A task that reads 300 pages never has as many alive."""
+    rows = spark.range(300).repartition(1).selectExpr("id AS page_id", "'http://a/' AS url", "CASE WHEN id % 50 = 7 THEN NULL ELSE concat('<title>t', id, '</title><meta name=k content=v', id, '><a href=/', id, '>x</a>') END AS html")
+    got = {r.page_id: r for r in extract(rows, "page_id", "url", "html").collect()}
+    assert len(got) == 300 and got[8].title == "t8" and got[8].meta == {"k": "v8"} and got[8].links == ["http://a/8"] and got[7].meta == {} and got[7].links == []
+    # The batches that a task hands on, as Arrow sees them.
+    sizes = extract(rows, "page_id", "url", "html").mapInArrow(lambda bs: (pa.RecordBatch.from_pydict({"n": pa.array([b.num_rows], pa.int64())}) for b in bs), "n long").collect()
+    assert max(r.n for r in sizes) <= 10_000 and STEP < 300
