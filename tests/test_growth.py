@@ -9,6 +9,9 @@ from tallymark.catalog import QUERIES
 from tallymark.operators.evidence import all_links
 from tallymark.operators.market import nearest_other
 from tallymark.operators.pages import STEP, extract
+from tallymark.streaming import reorg
+from tallymark.streaming.reorg import Recent
+from tallymark.streaming.streams import run_once
 from tallymark.views import Views
 
 SF = "/root/testdata/sf0.001"
@@ -61,3 +64,22 @@ def test_pages_are_handed_on_in_small_steps(spark, tmp_path):
     # The batches that a task hands on, as Arrow sees them.
     sizes = extract(rows, "page_id", "url", "html").mapInArrow(lambda bs: (pa.RecordBatch.from_pydict({"n": pa.array([b.num_rows], pa.int64())}) for b in bs), "n long").collect()
     assert max(r.n for r in sizes) <= 10_000 and STEP < 300
+
+
+def test_reorgs_are_judged_the_same_in_steps(spark, tmp_path, monkeypatch):
+    """A batch that comes out of order and is cut into small steps, with finality, against all at once."""
+    rng, rows = random.Random(5), []
+    for a in range(60):
+        n = rng.choice((a, a, a, max(a - 3, 0), a + 2))
+        rows.append(("c", a, n, f"h{a}", f"h{a - 1}"))
+    want, recent = [], Recent([], [], None, 16)
+    for _, a, n, h, p in rows:
+        v = recent.observe(n, h, p)
+        want.append((a, v[0], v[1], v[2], list(v[5])))
+        recent.final = max(-1 if recent.final is None else recent.final, max(recent.at) - 4)
+        assert list(recent.at) == sorted(recent.at) and len(recent.at) <= 16
+    df = spark.createDataFrame(rng.sample(rows, len(rows)), "chain string, arrival long, number long, hash string, parent string")
+    df.repartition(1).write.parquet(str(tmp_path / "in"))
+    monkeypatch.setattr(reorg, "STEP", 7)
+    got = run_once(reorg.reorgs(spark.readStream.schema(df.schema).parquet(str(tmp_path / "in")), 4, 16)).orderBy("arrival").collect()
+    assert [(r.arrival, r.verdict, r.depth, r.ancestor, list(r.orphaned)) for r in got] == want
