@@ -4,10 +4,11 @@ import random
 import re
 
 import pyarrow as pa
+import pytest
 
 from tallymark.catalog import QUERIES
 from tallymark.operators.evidence import all_links
-from tallymark.operators.market import nearest_other
+from tallymark.operators.market import lineage, nearest_other
 from tallymark.operators.pages import STEP, extract
 from tallymark.streaming import reorg
 from tallymark.streaming.reorg import Recent
@@ -83,3 +84,11 @@ def test_reorgs_are_judged_the_same_in_steps(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(reorg, "STEP", 7)
     got = run_once(reorg.reorgs(spark.readStream.schema(df.schema).parquet(str(tmp_path / "in")), 4, 16)).orderBy("arrival").collect()
     assert [(r.arrival, r.verdict, r.depth, r.ancestor, list(r.orphaned)) for r in got] == want
+
+
+def test_lineage_of_long_chains_and_cycles(spark):
+    nodes = spark.range(21).selectExpr("id AS node", "id <> 3 AS observed")
+    chain = spark.range(1, 21).selectExpr("id AS node", "id - 1 AS parent")
+    assert {r.node: (r.ancestors, r.roots, r.grounded) for r in lineage(nodes, chain).collect()} == {n: (n, 1, True) for n in range(21)}
+    with pytest.raises(ValueError, match="itself"):
+        lineage(nodes, chain.union(spark.sql("SELECT 0L, 4L")))
