@@ -1,6 +1,8 @@
 """Functions beside their registered queries: quantities, reorganisations, headers, vectors, registries."""
 
+import math
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -118,6 +120,33 @@ def test_simhash_pairs_lose_none(spark, threshold):
     assert len(got) == len(want) and {(r.a, r.b) for r in got} == want
 
 
+def test_simhash_pairs_are_compared_where_filed(spark, monkeypatch):
+    """Fingerprints are filed under few keys and met without a join; a dense group is handed on in parts, each pair once."""
+    assert [math.comb(9 + k, k) for k in (textsig.block_plan(n, 9)[1] for n in (50_000, 3_000_000))] == [10, 55]
+    monkeypatch.setattr(textsig, "HANDED", 50)
+    rng = random.Random(9)
+    prints = sorted({rng.getrandbits(64) for _ in range(40)} | {0xABCDEF ^ sum(1 << i for i in rng.sample(range(64), rng.randint(0, 6))) for _ in range(120)})
+    got = textsig.simhash_pairs(spark.createDataFrame([(f"é{k}", p & 0xFFFFFFFF, p >> 32) for k, p in enumerate(prints)], "id string, low long, high long"), "id")
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "Aggregate" not in plan
+    want = {(*sorted((f"é{i}", f"é{j}")), 1 - (p ^ q).bit_count() / 64) for i, p in enumerate(prints) for j, q in enumerate(prints) if i < j and (p ^ q).bit_count() <= 9}
+    rows = [tuple(r) for r in got.collect()]
+    assert len(rows) > 1000 and len(rows) == len(want) and set(rows) == want
+
+
+def test_simhash_counts_bits_in_lanes(spark):
+    """Long texts, texts of one gram or none, and marks that are no words."""
+    import hashlib
+
+    rng = random.Random(2)
+    texts = [" ".join(rng.choice("ab c_ D9 é".split()) for _ in range(n)) for n in (0, 2, 3, 4, 5000)] + ["--a,,b!!c  ", None, "ÀB Straße İx a"]
+    got = {r.id: (r.low, r.high) for r in textsig.simhash(spark.createDataFrame(list(enumerate(texts)), "id int, t string"), "id", "t").collect()}
+    for k, t in enumerate(texts):
+        words = re.findall("[a-z0-9_]+", (t or "").lower())
+        grams = [hashlib.md5(" ".join(words[i : i + 3]).encode()).hexdigest() for i in range(len(words) - 2)]
+        assert got[k] == tuple(sum(1 << b for b in range(32) if 2 * sum(int(h[at : at + 8], 16) >> b & 1 for h in grams) > len(grams)) for at in (0, 8)), t
+
+
 def test_blocks_leave_a_key():
     for prints in (1, 10**4, 10**6, 10**9):
         for apart in (0, 3, 9):
