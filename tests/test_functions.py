@@ -106,6 +106,26 @@ def test_vector_duplicates_lose_none(spark, slice_rows):
     assert sorted((r.a, r.b) for r in got.collect()) == sorted((a, b) for a in range(len(v)) for b in range(a + 1, len(v)) if norm[a] and norm[b] and cosine[a, b] >= 0.95)
 
 
+@pytest.mark.parametrize("head", [1.0, 0.0])
+def test_vector_duplicates_write_each_vector_once(spark, monkeypatch, head):
+    """Vectors without structure are not written once a cell; with a bound that says nothing, all are still met; lengths do not mix."""
+    import numpy as np
+
+    rows = []
+    monkeypatch.setattr(textsig, "written", lambda df, f=textsig.written: (out := f(df), rows.append(out.count()))[0])
+    monkeypatch.setattr(textsig, "TILE", 64)
+    rng = np.random.default_rng(3)
+    v = rng.normal(size=(300, 40)) * np.where(np.arange(40) < 16, head, 1)
+    v = np.concatenate([v, v[:50] + rng.normal(scale=0.2, size=(50, 40))])
+    data = [(f"k{k:03}", x.tolist()) for k, x in enumerate(v)] + [("short", v[0][:39].tolist()), ("null", None)]
+    got = textsig.vector_duplicates(spark.createDataFrame(data, "id string, v array<double>"), "id", "v").collect()
+    u = v / np.linalg.norm(v, axis=1)[:, None]
+    cosine = u @ u.T
+    want = {(f"k{a:03}", f"k{b:03}"): cosine[a, b] for a in range(len(v)) for b in range(a + 1, len(v)) if cosine[a, b] >= 0.95}
+    assert sum(rows) <= len(data) and len(want) > 20 and len(got) == len(want)
+    assert all(abs(want[r.a, r.b] - r.cosine) < 1e-12 for r in got)
+
+
 @pytest.mark.parametrize("threshold", [0.85, 0.95, 1.0])
 def test_simhash_pairs_lose_none(spark, threshold):
     rng = random.Random(4)
