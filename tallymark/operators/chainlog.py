@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,27 +18,41 @@ ZERO = "0x" + "0" * 40
 LOGS = "result array<struct<address string, topics array<string>, data string, blockNumber string, blockHash string, logIndex string>>"
 
 
+def bound(c: Column, f: Callable[[Column], Column]) -> Column:
+    """``f`` of a value that is worked out once, however often ``f`` names it."""
+    return F.get(F.transform(F.array(c), f), F.lit(0))
+
+
+#: 2^(28 i) in limbs of nine decimal digits, for the ten chunks of 28 bits that 256 bits have.
+CHUNKS, LIMBS, LIMB = 10, 9, 10**9
+WEIGHTS = [[(1 << 28 * i) // LIMB**j % LIMB for i in range(CHUNKS)] for j in range(LIMBS)]
+
+
 def uint_digits(digits: Column) -> Column:
     """Up to 64 hex digits (no 0x) as a decimal number of 78 digits with leading zeros; null for anything else.
 
     256 bits are more than any number type holds: nine limbs of nine decimal
-    digits, multiplied up by 28 bits at a time.
+    digits, each a sum of chunks of 28 bits by fixed weights, which fits 63 bits; carries last.
     """
-    low = F.lower(digits)
-    padded = F.lpad(low, 70, "0")
-    chunks = F.array(*[F.conv(F.substring(padded, 1 + 7 * i, 7), 16, 10).cast("long") for i in range(10)])
-    limb = F.lit(10**9).cast("long")
 
-    def grow(limbs: Column, chunk: Column) -> Column:
-        def carry(a: Column, x: Column) -> Column:
-            t = x * F.lit(1 << 28).cast("long") + a["carry"]
-            return F.struct(F.call_function("div", t, limb).alias("carry"), F.array_append(a["out"], t % limb).alias("out"))
+    def chunks(padded: Column) -> Column:
+        wide = [F.conv(F.substring(padded, 57 - 14 * i, 14), 16, 10).cast("long") for i in range(CHUNKS // 2)]
+        return F.array(*wide)
 
-        return F.aggregate(limbs, F.struct(chunk.alias("carry"), F.expr("cast(array() as array<bigint>)").alias("out")), carry)["out"]
+    def sums(w: Column) -> Column:
+        of = lambda i: F.shiftright(F.get(w, F.lit(i // 2)), 28) if i % 2 else F.get(w, F.lit(i // 2)).bitwiseAND(F.lit((1 << 28) - 1))
+        chunk = F.array(*[of(i) for i in range(CHUNKS)])
+        return bound(chunk, lambda c: F.array(*[sum((F.get(c, F.lit(i)) * F.lit(x).cast("long") for i, x in enumerate(row) if x), F.lit(0).cast("long")) for row in WEIGHTS]))
 
-    limbs = F.aggregate(chunks, F.array(*[F.lit(0).cast("long")] * 9), grow)
-    text = F.concat_ws("", F.transform(F.reverse(limbs), lambda x: F.lpad(x.cast("string"), 9, "0")))
-    return F.when(low.rlike("^[0-9a-f]{1,64}$"), F.substring(text, 4, 78))
+    def text(limbs: Column) -> Column:
+        whole, out = F.lit(0).cast("long"), []
+        for j in range(LIMBS):
+            whole = F.get(limbs, F.lit(j)) + (F.call_function("div", whole, F.lit(LIMB).cast("long")) if j else F.lit(0).cast("long"))
+            out.append(F.lpad((whole % F.lit(LIMB).cast("long")).cast("string"), 9, "0"))
+        return F.substring(F.concat(*reversed(out)), 4, 78)
+
+    low = F.lower(digits)
+    return F.when(low.rlike("^[0-9a-f]{1,64}$"), bound(bound(bound(F.lpad(low, 70, "0"), chunks), sums), text))
 
 
 def word_digits(word: Column) -> Column:

@@ -2,6 +2,7 @@
 
 import json
 import random
+import time
 
 from pyspark.sql import functions as F
 
@@ -22,6 +23,18 @@ def test_quantities_of_256_bits_equal_python(spark):
         assert r.n == (str(want) if want is not None and want < 10**38 else None), r.q
 
 
+def test_quantities_run_fast_enough(spark):
+    """200,000 quantities of 256 bits; limbs grown one by one took minutes.  Nested and by batches are the same, also before odd line ends."""
+    wide = spark.range(0, 200_000, 1, 4).select(F.concat(F.lit("0x"), F.sha2(F.col("id").cast("string"), 256)).alias("q"))
+    begun = time.time()
+    assert wide.select(F.max(columns.quantity_digits(F.col("q")))).first()[0] == str(int(wide.select(F.max("q")).first()[0], 16)).zfill(78)
+    assert time.time() - begun < 30
+    odd = ["0x12\u2028", "12\u0085", "0x12\n", "12\r\n", "0X0", "00", "0x" + "0" * 70 + "f", "1" * 78, "1" * 79, "٣", "0xé", None, ""]
+    some = wide.limit(50).union(spark.createDataFrame([(x,) for x in odd], "q string"))
+    got = some.select("q", columns.quantity_digits(F.col("q")).alias("x"), columns.nested_digits(F.col("q")).alias("y")).collect()
+    assert all(r.x == r.y for r in got) and [r.x and int(r.x) for r in got[50:]] == [None, None, 18, 12, 0, 0, 15, int("1" * 78), None, None, None, None, None]
+
+
 def judge(spark, *payloads):
     df = spark.createDataFrame([(i, p if p is None or isinstance(p, str) else json.dumps(p), i) for i, p in enumerate(payloads)], "id int, payload string, stated_by int")
     return blocks.judged_blocks(df)
