@@ -108,3 +108,13 @@ def test_clusters_hold_all_links(spark):
     for x in list(up):
         want[find(x)] = want.get(find(x), 0) + 1
     assert {r.comp: r["size"] for r in QUERIES["clusters"](spark, "/root/testdata/sf0.001").collect()} == want
+
+
+def test_stored_tables_are_dealt_by_chain(spark, tmp_path):
+    """Rows are dealt anew before they are written: a small chain is one file, not one of each task that the join had."""
+    from tallymark.operators.mentions import stored_table
+
+    rows = spark.range(0, 400, 1, 8).select(F.concat(F.lit("c"), (F.col("id") % 5).cast("string")).alias("chain"), "id")
+    got = stored_table(rows, str(tmp_path), 1)
+    assert sorted((r.chain, r.id) for r in got.collect()) == sorted((f"c{i % 5}", i) for i in range(400))
+    assert [len(list(d.glob("*.parquet"))) for d in sorted((tmp_path / "v1").glob("chain=*"))] == [1] * 5
