@@ -24,8 +24,9 @@ Rows are packed into NumPy columns, a binary value per task and target part.
 An anchor with very many different runs in a task (more than ``HOT``) would make
 a large part: one marker goes to its key, and its open runs are cut into windows,
 each named by 96 bits of hash and dealt by its own name.  Parts and groups of
-rows are as many as the texts have multiples of ``PART_BYTES``, and a task takes
-one at a time.
+rows are as many as the texts have multiples of ``PART_BYTES``, a part goes to the
+task of its number, and a task takes one at a time.  Within a part, keys are taken
+in steps: up to about ``FLUSH`` runs are settled, ``STEP_BYTES`` of text sorted at once.
 """
 
 from __future__ import annotations
@@ -44,7 +45,7 @@ from . import common
 from .hashing import mix
 
 NONE = -(2**63)  # a null doc_id: before all others
-HOT, FLUSH, HOT_FLAG, PART_BYTES = 64, 300_000, 128, 16 << 20
+HOT, FLUSH, HOT_FLAG, PART_BYTES, STEP_BYTES = 64, 300_000, 128, 16 << 20, 1 << 19
 RUNS = np.dtype([("k", "<u8"), ("r", "<u8"), ("doc", "<i8"), ("row", "<i8"), ("at", "<i8"), ("n", "u1")])
 SPANS = RUNS  # spans use doc, row, at, n only
 
@@ -142,6 +143,17 @@ def settle(items: np.ndarray, same_doc: bool) -> tuple[np.ndarray, np.ndarray, n
     return order, items, later | (items["at"] > first["at"]) if same_doc else later
 
 
+def steps(k: np.ndarray, size: np.ndarray | int, most: int) -> Iterator[np.ndarray]:
+    """Places of ``k`` in steps of about ``most`` by ``size``, each in rising order; equal keys are in one step."""
+    n = -(-int(np.sum(np.broadcast_to(size, k.shape))) // most)
+    if n < 2:
+        yield np.arange(len(k))
+        return
+    step = (mix(np.ascontiguousarray(k)) >> np.uint64(32)) % np.uint64(n)  # parts are dealt by the low end
+    order = np.argsort(step.astype(np.uint16) if n < 1 << 16 else step, kind="stable")
+    yield from np.split(order, np.cumsum(np.bincount(step.astype(np.int64), minlength=n))[:-1])
+
+
 def refine(ids: np.ndarray, depth: int, start: np.ndarray, doc: np.ndarray, at: np.ndarray, width: int, same_doc: bool) -> np.ndarray:
     """Which windows of ``width`` symbols at ``start`` also start earlier, by bucket-pointer refinement.
 
@@ -251,18 +263,22 @@ def cut_in(data: bytes) -> tuple[np.ndarray, list[bytes]]:
 
 
 def long_spans(items: np.ndarray) -> np.ndarray:
-    """Windows in order of row and start, as few spans of up to 127."""
+    """The same windows in order of row and start, as few spans of up to 127."""
     if not len(items):
         return items
     items = items[np.lexsort((items["at"], items["row"], items["doc"]))]
     new = np.ones(len(items), bool)
-    new[1:] = (items["row"][1:] != items["row"][:-1]) | (items["doc"][1:] != items["doc"][:-1]) | (items["at"][1:] > items["at"][:-1] + 1)
-    head = np.flatnonzero(new)
-    since = items["at"] - items["at"][head][np.cumsum(new) - 1]
-    new |= (since % 127 == 0) & np.append(True, items["at"][1:] != items["at"][:-1])
+    new[1:] = (items["row"][1:] != items["row"][:-1]) | (items["doc"][1:] != items["doc"][:-1])
+    row = np.cumsum(new) << 32  # starts are below
+    end = np.maximum.accumulate(row + items["at"] + items["n"])
+    new[1:] |= (row + items["at"])[1:] > end[:-1]
     head = np.flatnonzero(new)
-    out = items[head]
-    out["n"] = items["at"][np.append(head[1:], len(items)) - 1] - out["at"] + 1
+    n = end[np.append(head[1:], len(items)) - 1] - (row + items["at"])[head]
+    cuts = -(-n // 127)
+    inside = 127 * (np.arange(cuts.sum()) - np.repeat(np.cumsum(cuts) - cuts, cuts))
+    out = items[np.repeat(head, cuts)]
+    out["at"] += inside
+    out["n"] = np.minimum(np.repeat(n, cuts) - inside, 127)
     return out
 
 
@@ -306,16 +322,20 @@ class Repeats:
     def repeats_of(self, payloads: list[bytes]) -> np.ndarray:
         """The spans of ``CUT`` payloads that repeat earlier windows."""
         got = [cut_in(b) for b in payloads]
-        items = np.concatenate([i for i, _ in got])
-        ids, depth, size = self.buckets([t for _, texts in got for t in texts])
-        n = np.minimum(items["n"].astype(np.int64), np.maximum(size - self.width + 1, 0))
-        inside = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        own = np.repeat(np.arange(len(items)), n)
-        start, at, doc = (np.cumsum(size) - size)[own] + inside, items["at"][own] + inside, items["doc"][own]
-        gone = refine(ids, depth, start, doc, at, self.width, self.same_doc)
-        out = np.zeros(int(gone.sum()), RUNS)
-        out["doc"], out["row"], out["at"], out["n"] = doc[gone], items["row"][own[gone]], at[gone], 1
-        return long_spans(out)
+        every, texts = np.concatenate([i for i, _ in got]), [t for _, of in got for t in of]
+        found = []
+        for step in steps(every["k"], np.array([len(t) for t in texts], np.int64), STEP_BYTES):
+            items = every[step]
+            ids, depth, size = self.buckets([texts[i] for i in step.tolist()])
+            n = np.minimum(items["n"].astype(np.int64), np.maximum(size - self.width + 1, 0))
+            inside = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            own = np.repeat(np.arange(len(items)), n)
+            start, at, doc = (np.cumsum(size) - size)[own] + inside, items["at"][own] + inside, items["doc"][own]
+            gone = refine(ids, depth, start, doc, at, self.width, self.same_doc)
+            out = np.zeros(int(gone.sum()), RUNS)
+            out["doc"], out["row"], out["at"], out["n"] = doc[gone], items["row"][own[gone]], at[gone], 1
+            found.append(long_spans(out))
+        return long_spans(np.concatenate(found))
 
     def find(self, docs: DataFrame, finish: Callable[[bytes, np.ndarray], tuple], schema: str) -> DataFrame:
         """``finish(text, spans)`` for every row, with the spans of repeated windows found in it."""
@@ -339,25 +359,31 @@ class Repeats:
 
         def by_anchor(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for kinds in by_part(frames):
-                items = joined(kinds[OPEN])
-                marks = items["n"] == 0
-                shared = np.unique(items["k"][marks])
-                _, items, repeats = settle(items[~marks], same_doc)
-                gone, left = items[repeats], items[~repeats]
-                new = np.ones(len(left), bool)
-                new[1:] = left["k"][1:] != left["k"][:-1]
-                differ = np.zeros(len(left), bool)
-                differ[1:] = ~new[1:] & (left["r"][1:] != left["r"][:-1])
-                hot = left[:0]
-                if len(left):
+                every = joined(kinds.pop(OPEN, []))
+                gone, hot, cut = [], [], []
+                for step in steps(every["k"], 1, FLUSH):
+                    items = every[step]
+                    marks = items["n"] == 0
+                    shared = np.unique(items["k"][marks])
+                    _, items, repeats = settle(items[~marks], same_doc)
+                    gone.append(items[repeats])
+                    left = items[~repeats]
+                    if not len(left):
+                        continue
+                    new = np.ones(len(left), bool)
+                    new[1:] = left["k"][1:] != left["k"][:-1]
+                    differ = np.zeros(len(left), bool)
+                    differ[1:] = ~new[1:] & (left["r"][1:] != left["r"][:-1])
                     several = np.add.reduceat(differ, np.flatnonzero(new)) > 0
                     size = np.diff(np.flatnonzero(np.append(new, True)))
                     is_hot = (left["n"] >= HOT_FLAG) | np.isin(left["k"], shared)
-                    hot, left = left[is_hot], left[np.repeat(several, size) & ~is_hot]
-                gone = np.concatenate([gone, joined(kinds[SETTLED])])
+                    hot.append(left[is_hot])
+                    cut.append(left[np.repeat(several, size) & ~is_hot])
+                del every
+                gone, hot, cut = (np.concatenate([np.zeros(0, RUNS), *x]) for x in ([*gone, joined(kinds[SETTLED])], hot, cut))
                 hot["n"] &= HOT_FLAG - 1
                 gone["n"] &= HOT_FLAG - 1
-                yield frame([*spans_by_group(OPEN, hot, groups), *spans_by_group(CUT, left, groups, True), *spans_by_group(SETTLED, gone, groups)])
+                yield frame([*spans_by_group(OPEN, hot, groups), *spans_by_group(CUT, cut, groups, True), *spans_by_group(SETTLED, gone, groups)])
 
         def open_up(text: pd.DataFrame, spans: pd.DataFrame) -> pd.DataFrame:
             kinds = next(by_part(iter([spans])), defaultdict(list))
@@ -390,8 +416,11 @@ class Repeats:
 
         def by_window(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for kinds in by_part(frames):
-                _, items, repeats = settle(joined(kinds[OPEN]), same_doc)
-                gone = [long_spans(items[repeats]), joined(kinds[SETTLED])]
+                every, found = joined(kinds.pop(OPEN, [])), []
+                for step in steps(every["k"], 1, FLUSH):
+                    _, items, repeats = settle(every[step], same_doc)
+                    found.append(long_spans(items[repeats]))
+                gone = [long_spans(np.concatenate(found)), joined(kinds[SETTLED])]
                 if kinds[CUT]:
                     gone.append(self.repeats_of(kinds[CUT]))
                 yield frame(list(spans_by_group(SETTLED, np.concatenate(gone), groups)))
@@ -410,9 +439,9 @@ class Repeats:
 
         # One exchange of the texts, compressed, serves steps 3 and 5.
         text = body.mapInPandas(grouped, "part int, doc long, row long, body binary")
-        runs = body.mapInPandas(anchors, SCHEMA).repartition(n, "part").sortWithinPartitions("part").mapInPandas(by_anchor, SCHEMA)
+        runs = body.mapInPandas(anchors, SCHEMA).repartitionById(n, F.col("part")).sortWithinPartitions("part").mapInPandas(by_anchor, SCHEMA)
         opened = text.groupBy("part").cogroup(runs.groupBy("part")).applyInPandas(open_up, SCHEMA)
-        spans = opened.repartition(n, "part").sortWithinPartitions("part").mapInPandas(by_window, SCHEMA)
+        spans = opened.repartitionById(n, F.col("part")).sortWithinPartitions("part").mapInPandas(by_window, SCHEMA)
         laid = text.groupBy("part").cogroup(spans.groupBy("part")).applyInPandas(lay_over, f"doc long, {schema}")
         return laid.withColumn("doc_id", F.nullif("doc", F.lit(NONE))).drop("doc")
 
