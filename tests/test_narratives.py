@@ -177,3 +177,18 @@ def test_stories_meet_by_day(spark):
     links = narratives.same_story(new, new)
     assert "day" in links._jdf.queryExecution().optimizedPlan().toString()
     assert {(r.src, r.dst) for r in links.collect()} == {(1, 2), (2, 1), (2, 3), (3, 2)}
+
+
+def test_sets_of_a_frequent_word_meet_in_slices(spark, monkeypatch):
+    """Near copies by the hundred, longer and shorter sets, ids that are strings: all pairs once, and no join brings pairs together."""
+    monkeypatch.setattr(setjoin, "CUT", 7)
+    monkeypatch.setattr(setjoin, "HANDED", 50)
+    rng = random.Random(4)
+    sets = [(f"é{k}", sorted({"a", "b", "c", *(rng.choice("uvwxyz") + str(rng.randint(0, 1)) for _ in range(rng.choice((0, 2, 3))))}), k) for k in range(90)]
+    sets += [(f"l{k}", [f"w{i}" for i in range(k % 3, 40 + 10 * (k % 5))], k) for k in range(20)] + [("none", [], 0)]
+    found = setjoin.similar_rows(spark.createDataFrame(sets, "id string, words array<string>, at int"), 1, 2)
+    want = {(a, b, p, q, len({*x} & {*y}), len({*x} | {*y})) for a, x, p in sets for b, y, q in sets if a < b and x and 2 * len({*x} & {*y}) >= len({*x} | {*y})}
+    got = [(r.x.id, r.y.id, r.x.at, r.y.at, r.shared, r.either) for r in found.collect()]
+    assert len(want) > 1000 and len(got) == len(want) and set(got) == want
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" in plan and not re.search(r"Join Inner", plan)
