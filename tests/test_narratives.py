@@ -192,3 +192,12 @@ def test_sets_of_a_frequent_word_meet_in_slices(spark, monkeypatch):
     assert len(want) > 1000 and len(got) == len(want) and set(got) == want
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert "MapInArrow" in plan and not re.search(r"Join Inner", plan)
+
+
+def test_similar_items_are_not_joined(spark):
+    """Pairs of items come from where their words meet, with entities in one look; a null and a repeat among the entities count once."""
+    rows = [(1, "alpha beta gamma", ["e", "e", None], datetime(2024, 1, 1), "s", "web", 1), (2, "alpha beta gamma delta", [None, "f"], datetime(2024, 1, 1), "s", "web", 1)]
+    found = setjoin.similarity(spark.createDataFrame(rows, ITEM), "2024-01-01 00:00:00")
+    assert [(r.a, r.b, r.title, r.entity) for r in found.collect()] == [(1, 2, 0.75, 0.333333333)]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join Inner" not in plan and "array_union" not in plan
