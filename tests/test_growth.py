@@ -92,3 +92,34 @@ def test_lineage_of_long_chains_and_cycles(spark):
     assert {r.node: (r.ancestors, r.roots, r.grounded) for r in lineage(nodes, chain).collect()} == {n: (n, 1, True) for n in range(21)}
     with pytest.raises(ValueError, match="itself"):
         lineage(nodes, chain.union(spark.sql("SELECT 0L, 4L")))
+
+
+def test_arrivals_are_ordered_in_runs(tmp_path, monkeypatch):
+    """Many runs, ties and nulls, with no more than a few runs' steps in memory; nothing is left on the disk."""
+    monkeypatch.setenv("TMPDIR", str(tmp_path))
+    monkeypatch.setattr(reorg.tempfile, "tempdir", None)
+    rng = random.Random(8)
+    rows = [(rng.choice([None, *range(300)]), rng.choice([None, 1, 2]), rng.choice([None, "a", "b"]), rng.choice([None, "p"])) for _ in range(1000)]
+    cols = lambda part: pa.table(dict(zip(reorg.ARRIVING.names, map(list, zip(*part)))), schema=reorg.ARRIVING)
+    key = lambda r: tuple((x is None, x or 0 if i < 2 else x or "") for i, x in enumerate(r))
+    written, real = [], pa.ipc.new_file
+    monkeypatch.setattr(pa.ipc, "new_file", lambda *a: written.append(1) or real(*a))
+    got = list(reorg.in_order((cols(rows[k : k + 9]) for k in range(0, 1000, 9)), 7, 40))
+    assert got == sorted(rows, key=key) and len(written) == 22 and not list(tmp_path.iterdir())
+    assert list(reorg.in_order([], 7, 40)) == []
+
+
+def test_withdrawal_runs_a_batch_once(spark, tmp_path):
+    """The changes of a batch are written from one run of its stream."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(frames):
+        for f in frames:
+            seen.add(len(f))
+            yield f
+
+    schema = "chain string, arrival long, verdict string, number long, hash string, crossed_finality boolean, orphaned array<string>"
+    rows = [("c", 1, "initial", 1, "a", False, []), ("c", 2, "extended", 2, "b", False, None), ("c", 3, "reorg", 2, "x", False, ["b"])]
+    spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / "in"))
+    got = reorg.withdrawn(spark.readStream.schema(schema).parquet(str(tmp_path / "in")).mapInPandas(count, schema), str(tmp_path / "out"))
+    assert sorted(map(tuple, got.collect())) == [("c", 1, "a"), ("c", 2, "x")] and seen.value == 3
