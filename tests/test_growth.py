@@ -7,6 +7,7 @@ import pyarrow as pa
 import pytest
 
 from tallymark.catalog import QUERIES
+from tallymark.operators import graph
 from tallymark.operators.evidence import all_links
 from tallymark.operators.market import lineage, nearest_other
 from tallymark.operators.pages import STEP, extract
@@ -123,3 +124,23 @@ def test_withdrawal_runs_a_batch_once(spark, tmp_path):
     spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / "in"))
     got = reorg.withdrawn(spark.readStream.schema(schema).parquet(str(tmp_path / "in")).mapInPandas(count, schema), str(tmp_path / "out"))
     assert sorted(map(tuple, got.collect())) == [("c", 1, "a"), ("c", 2, "x")] and seen.value == 3
+
+
+def test_components_shrink(spark, monkeypatch):
+    """Chains, stars, cliques, loops and nulls against brute force; edges are written whole once, and then fewer."""
+    rng = random.Random(6)
+    pairs = [(i, i + 1) for i in range(0, 60)] + [(199, i) for i in range(100, 199)] + [(300 + i, 300 + j) for i in range(12) for j in range(12)] + [(400, 400), (None, 401), (402, None), (403, 404), (404, 403)]
+    order = rng.sample(range(1000), 1000)
+    pairs = [tuple(None if x is None else f"n{order[x]}" for x in p) for p in pairs]
+    group = {x: x for p in pairs for x in p if x}
+    for _ in range(100):
+        for x, y in pairs:
+            if x and y:
+                group[x] = group[y] = min(group[x], group[y])
+    sizes, real = [], graph.written
+    monkeypatch.setattr(graph, "written", lambda df: sizes.append(df.columns) or real(df))
+    got = graph.components(spark.createDataFrame(pairs, "src string, dst string"))
+    assert {r.node: r.comp for r in got.collect()} == group and got.count() == len(group)
+    rounds = sizes.count(["a", "b"])
+    assert 2 <= rounds <= 8
+    assert graph.components(spark.createDataFrame([], "src string, dst string")).count() == 0
