@@ -5,10 +5,12 @@ import re
 
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from tallymark.catalog import QUERIES
 from tallymark.operators import graph
-from tallymark.operators.evidence import all_links
+from tallymark.operators.evidence import all_links, linkers
+from tallymark.operators.ledger import best_labels, canonical
 from tallymark.operators.market import lineage, nearest_other
 from tallymark.operators.pages import STEP, extract
 from tallymark.streaming import reorg
@@ -144,3 +146,14 @@ def test_components_shrink(spark, monkeypatch):
     rounds = sizes.count(["a", "b"])
     assert 2 <= rounds <= 8
     assert graph.components(spark.createDataFrame([], "src string, dst string")).count() == 0
+
+
+def test_links_of_short_keys(spark):
+    """Keys of 16 bytes give the evidence that their text gives; the stored transfers hold the short ones."""
+    v = Views(spark, SF)
+    t, best = canonical(v.txn, v.blk), best_labels(v.lbl)
+    short = t.withColumn("tx_key", F.unhex(F.substring("tx_key", 3, 32)))
+    rows = lambda c: sorted(tuple(r) for r in linkers(c, best).collect())
+    assert rows(short) == rows(t) and len(rows(t)) > 100
+    plan = all_links(v)._jdf.queryExecution().analyzed().toString()
+    assert "hex(" in plan
