@@ -191,3 +191,34 @@ def test_minhash_pairs_shuffle_no_candidates(spark):
     assert want and len(got) == len(want) and set(got) == want
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert "Aggregate" not in plan and "Generate" not in plan
+
+
+def test_signatures_are_of_each_word_once(spark, monkeypatch):
+    """The least digests are those of MD5 in text; a word is worked out once while it is remembered."""
+    import hashlib
+
+    import pyarrow as pa
+
+    sets = [["a", "b", "c"], ["b"], ["c", "z9"], ["a", "b", "c"]]
+    want = [[min(hashlib.md5(f"{i}:{w}".encode()).hexdigest() for w in s) for i in range(16)] for s in sets]
+    known = textsig.Digests(16)
+    assert textsig.signatures(pa.array(sets), known).to_pylist() == want and len(known.seen) == 4
+    assert textsig.signatures(pa.array(sets).slice(1, 2), known).to_pylist() == want[1:3]
+    tie = textsig.Digests(1)
+    tie.seen, tie.halves = {"a": 0, "b": 1}, textsig.np.array([[[5, 9]], [[5, 2]]], textsig.np.uint64)
+    assert textsig.signatures(pa.array([["a", "b"]]), tie).to_pylist() == [["0000000000000005" + "0000000000000002"]]
+    monkeypatch.setattr(textsig, "REMEMBERED", 3)
+    full = textsig.Digests(16)
+    assert [textsig.signatures(pa.array(sets[k:]), full).to_pylist() for k in (1, 0)] == [want[1:], want] and len(full.seen) == 3
+    df = spark.createDataFrame([(k, " ".join(s)) for k, s in enumerate(sets)] + [(9, "--"), (10, None)], "id long, t string")
+    assert {r.id: r.signature for r in textsig.minhash(df, "id", "t").collect()} == dict(enumerate(want))
+
+
+def test_words_are_not_shuffled_by_pair(spark):
+    """A group of near copies: one join, of bands that two sets share."""
+    texts = [" ".join(f"w{i}" for i in range(40)) + f" n{k}" for k in range(30)] + [" ".join(f"x{k}_{i}" for i in range(9)) for k in range(20)]
+    found = textsig.minhash_pairs(textsig.minhash(spark.createDataFrame(list(enumerate(texts)), "id long, text string"), "id", "text"), "id")
+    got = {(r.a, r.b): r.jaccard for r in found.collect()}
+    assert got and set(got.values()) == {40 / 42} and all(b < 30 for _, b in got)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") == 1 and "Aggregate" not in plan
