@@ -222,3 +222,13 @@ def test_words_are_not_shuffled_by_pair(spark):
     assert got and set(got.values()) == {40 / 42} and all(b < 30 for _, b in got)
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Join") == 1 and "Aggregate" not in plan
+
+
+def test_clusters_sign_a_set_once(spark, monkeypatch):
+    """Copies are folded before they are signed; texts without words stand alone."""
+    signed, real = [], textsig.signed_sets
+    monkeypatch.setattr(textsig, "signed_sets", lambda words, *a: signed.append(words.count()) or real(words, *a))
+    near = " ".join(f"w{i}" for i in range(40))
+    texts = [near + " a", near + " b", near + " a", "x y", "y x", "--", None, "z"]
+    got = {r.id: r.cluster for r in textsig.near_clusters(spark.createDataFrame(list(enumerate(texts)), "id long, text string"), "id", "text").collect()}
+    assert got[0] == got[2] == 0 and got[1] in (0, 1) and got[3] == got[4] == 3 and [got[k] for k in (5, 6, 7)] == [5, 6, 7] and signed == [4]
